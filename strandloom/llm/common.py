@@ -51,18 +51,21 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
             yield batch.slice(a, b - a)
 
 
-def split_hot(rows: DataFrame, key: str, member: str, chunk: int) -> DataFrame:
+def split_hot(rows: DataFrame, key: str, member: str, chunk: int, own: str | None = None) -> DataFrame:
     """Deal the rows of large keys out to several cells, so that every pair of members still meets.
 
     A key with at most ``chunk`` rows keeps one cell (0, 0). A larger key has its members hashed
     into b = ceil(rows / chunk) parts and each member goes to the b cells (i, j), i <= j, that
-    hold its part; two members of any parts i, j meet in the cell (i, j). Adds ``ci``, ``cj``.
+    hold its part; two members of any parts i, j meet in the cell (i, j). Adds ``ci``, ``cj``, and the
+    member's own part under the name ``own``.
     """
     large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > chunk)
     large = large.select(key, F.ceil(F.col("__n") / chunk).cast("int").alias("__b"))
     dealt = rows.join(large, key, "left").withColumn("__b", F.coalesce("__b", F.lit(1)))
     dealt = dealt.withColumn("__c", F.pmod(F.xxhash64(F.lit(7), F.col(member)), F.col("__b")).cast("int"))
     dealt = dealt.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
+    if own:
+        dealt = dealt.withColumn(own, F.col("__c"))
     return dealt.withColumn("ci", F.least("__c", "__j")).withColumn("cj", F.greatest("__c", "__j")).drop("__b", "__c", "__j")
 
 

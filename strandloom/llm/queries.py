@@ -5,18 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from strandloom.llm import decontaminate, packing, secrets, simhash, toxicity
+from strandloom.llm import decontaminate, embedding_dedup, html_text, lm_score, packing, secrets, simhash, token_counts, toxicity, url_filter
 from strandloom.llm.common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn_lexicon(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     return toxicity.score(docs.select("doc_id", "text"), lexicon).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "n_hits")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,7 +55,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
+        "op2_url_filter": op2_url_filter,
+        "op3_html_text": op3_html_text,
         "op4_toxicity": op4_toxicity,
+        "op5_embedding_dedup": op5_embedding_dedup,
+        "op6_lm_score": op6_lm_score,
         "op7_simhash": op7_simhash,
         "op8_secrets": op8_secrets,
         "op9_packing": op9_packing,
