@@ -25,7 +25,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn_lexicon(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score(docs.select("doc_id", "text"), lexicon).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "n_hits")
+    return toxicity.score(docs, lexicon, keep=["doc_id"]).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "n_hits")
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

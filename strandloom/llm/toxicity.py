@@ -15,11 +15,12 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandloom.llm.common import cut
+from strandloom.llm.common import cut, slices
 
 THRESHOLD = 0.7
 #: Labelled rows the lexicon is learned from at most, in an order given by a hash of the id.
@@ -131,15 +132,18 @@ def _features(text: str | None, longest: int) -> set[str]:
 def _counted(sample: DataFrame, label: int, longest: int, only=None, least: int = 1) -> Counter:
     """Documents of a label per feature; ``only``: a set of features (else those of at least ``least`` documents)."""
 
-    def run(frames):
+    def run(batches):
         c: Counter = Counter()
-        for pdf in frames:
-            for t in pdf["text"]:
-                f = _features(t, longest)
-                c.update(f & only if only is not None else f)
-        yield pd.DataFrame({"feature": list(c), "n": list(c.values())}, columns=["feature", "n"])
-
-    rows = sample.filter(F.col("y") == label).select("text").mapInPandas(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        for whole in batches:
+            for b in slices(whole, "text"):
+                for t in b.column("text").to_pylist():
+                    f = _features(t, longest)
+                    c.update(f & only if only is not None else f)
+        names, n = list(c), list(c.values())
+        for i in range(0, len(names), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 50_000], pa.string()), pa.array(n[i : i + 50_000], pa.int64())], names=["feature", "n"])
+
+    rows = sample.filter(F.col("y") == label).select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     return Counter({r["feature"]: r["n"] for r in rows.filter(F.col("n") >= least).toLocalIterator()})
 
 
@@ -186,12 +190,13 @@ def learn_lexicon(labelled: DataFrame, *, longest: int = 10, least: int | None =
 def _calibrate(lexicon: Lexicon, labelled: DataFrame) -> None:
     """Logistic curve over the normalised hits, by Newton steps with a weak prior; the slope stays positive."""
 
-    def run(frames):
+    def run(batches):
         a = lexicon.automaton()
-        for pdf in frames:
-            yield pd.DataFrame({"x": [round(lexicon.raw(a, t)[0], 3) for t in pdf["text"]], "y": pdf["y"].astype("int64")})
+        for whole in batches:
+            for b in slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array([round(lexicon.raw(a, t)[0], 3) for t in b.column("text").to_pylist()], pa.float64()), b.column("y").cast(pa.int64())], names=["x", "y"])
 
-    got = labelled.select("text", "y").mapInPandas(run, "x double, y long").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    got = labelled.select("text", "y").mapInArrow(run, "x double, y long").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
     x, y, n = (np.array([r[k] for r in got], dtype=float) for k in ("x", "y", "n"))
     b = np.array([-2.0, 1.5])
     design = np.stack([np.ones_like(x), x], axis=1)
@@ -206,24 +211,26 @@ def _calibrate(lexicon: Lexicon, labelled: DataFrame) -> None:
     lexicon.shift, lexicon.slope = float(b[0]), float(max(b[1], 0.1))
 
 
-def score(docs: DataFrame, lexicon: Lexicon, *, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score double``, ``predicted int`` and ``n_hits long`` added (existing ones of the name are replaced).
+def score(docs: DataFrame, lexicon: Lexicon, *, text_column: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all by default) of ``docs`` with ``score double``, ``predicted int`` and ``n_hits long`` added.
 
-    Null and empty texts score as texts without hits. Memory holds one batch; nothing is shuffled.
+    Columns of those names are replaced. Null and empty texts score as texts without hits. Memory holds some MB of
+    text at a time; nothing is shuffled.
     """
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted", "n_hits")]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_hits", T.LongType())])
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_ENTRIES patterns
 
-    @F.pandas_udf("struct<score double, n_hits long>")
-    def rate(column: pd.Series) -> pd.DataFrame:
+    def run(batches):
         lex = sent.value
-        a = lex.__dict__.get("_built")
-        if a is None:
-            a = lex.__dict__["_built"] = lex.automaton()
-        raw = [lex.raw(a, t) for t in column]
-        return pd.DataFrame({"score": [lex.score(r) for r, _ in raw], "n_hits": [k for _, k in raw]}, columns=["score", "n_hits"])
-
-    rated = docs.drop("score", "predicted", "n_hits").withColumn("__r", rate(F.col(text_column).cast("string")))
-    return rated.select("*", F.col("__r.score").alias("score"), (F.col("__r.score") >= threshold).cast("int").alias("predicted"), F.col("__r.n_hits").alias("n_hits")).drop("__r")
+        a = lex.automaton()
+        for whole in batches:
+            for b in slices(whole, "__text"):
+                raw = [lex.raw(a, t) for t in b.column("__text").to_pylist()]
+                scores = [lex.score(r) for r, _ in raw]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(scores, pa.float64()), pa.array([int(x >= threshold) for x in scores], pa.int32()), pa.array([k for _, k in raw], pa.int64())], names=schema.names)
+
+    return docs.select(*keep, F.col(text_column).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
