@@ -1,19 +1,585 @@
-"""The queries registered for the library's own operators, and their SQL counterparts."""
+"""The queries registered for the library's own operators, and their SQL counterparts.
+
+Every query runs over its whole tables. Long texts are cut into blocks of 256 characters in SQL too, as windows of a
+long string cost more the further on they begin.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.functions import scalars, sequence
+from strandloom.functions.alphabet import Alphabet
+from strandloom.operators import counting, metrics, pool, selection, splits
+from strandloom.plans.lineage import number_rows
+from strandloom.plans.training import BaselinePipeline, TrainingPipeline
+from strandloom.sources.labels import invalid_labels, numeric
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+DNA = Alphabet()
+LETTERS = Alphabet("abcdefghijklmnopqrstuvwxyz ")
+#: The pools that documents are searched for.
+WORDS = ("the", "and", "tion", "ing", "der", "que", "th", "zebra")
+DNA_POOL = ("a", "aac", "acg", "gat", "atat", "ttt", "cagtt", "aagct")
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # one small file is one partition; exploding work is dealt out first
+    wanted = spark.sparkContext.defaultParallelism
+    return d if d.rdd.getNumPartitions() >= wanted else d.repartition(wanted)
+
+
+def _nodes(spark: SparkSession, sf_dir: str, alphabet: Alphabet) -> DataFrame:
+    return sequence.contigs(_docs(spark, sf_dir), alphabet, id_column="doc_id", fasta=False)
+
+
+def _pool(spark: SparkSession, segments) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(segments)), "seg_id long, segment string")
+
+
+def _r(c: Column, digits: int = 6) -> Column:
+    return F.round(c, digits)
+
+
+# --- scalar functions
+
+_CLEAN = "regexp_replace(lower(text), '[^a-z ]', '', 'g')"
+_GATC = "regexp_replace(lower(text), '[^atgc]', '', 'g')"
+
+
+@query("sanitise_text", f"SELECT doc_id, {_CLEAN} AS clean FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", LETTERS.sanitise("text").alias("clean"))
+
+
+@query("sanitise_keep_unknown", "SELECT doc_id, regexp_replace(lower(text), '[^atgc]', 'n', 'g') AS clean FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", DNA.sanitise("text", keep_unknown=True).alias("clean"))
+
+
+@query("normalise_text", "SELECT item_id, lower(text) AS folded FROM benchmark")
+def _(spark, d):
+    return table(spark, d, "benchmark").select("item_id", LETTERS.normalise("text").alias("folded"))
+
+
+@query("reverse_complement", f"SELECT doc_id, reverse(translate({_GATC}, 'atgc', 'tacg')) AS rc FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", DNA.reverse_complement(DNA.sanitise("text")).alias("rc"))
+
+
+@query("canonical", f"WITH t AS (SELECT doc_id, {_GATC} AS s FROM documents) SELECT doc_id, least(s, reverse(translate(s, 'atgc', 'tacg'))) AS seq, s <= reverse(translate(s, 'atgc', 'tacg')) AS as_written FROM t")
+def _(spark, d):
+    t = table(spark, d, "documents").select("doc_id", DNA.sanitise("text").alias("s"))
+    return t.select("doc_id", DNA.canonical("s").alias("seq"), DNA.is_canonical("s").alias("as_written"))
+
+
+def _windows_sql(clean: str, lengths, source: str = "documents", key: str = "doc_id") -> str:
+    """CTEs up to ``w(key, w)``, one arm for each length."""
+    m = max(lengths)
+    arms = " UNION ALL ".join(f"SELECT {key}, substr(k, i, {n}) AS w FROM blk, unnest(range(1, least(256, length(k) - {n} + 1) + 1)) u(i)" for n in lengths)
+    return f"d AS (SELECT {key}, {clean} AS s FROM {source}), blk AS (SELECT {key}, substr(s, b * 256 + 1, {255 + m}) AS k FROM d, unnest(range(0, (length(s) - 1) // 256 + 1)) u(b) WHERE length(s) > 0), w AS ({arms})"
+
+
+_CODE = "list_sum(list_transform(range(1, length({s}) + 1), i -> CAST((instr('atgc', substr({s}, i, 1)) - 1) * 4 ** (length({s}) - i) AS BIGINT)))"
+
+
+@query("kmer_encode", f"WITH {_windows_sql(_GATC, [6])}, u AS (SELECT DISTINCT w AS kmer FROM w) SELECT kmer, CAST({_CODE.format(s='kmer')} AS BIGINT) AS code FROM u")
+def _(spark, d):
+    w = sequence.windows(_nodes(spark, d, DNA), [6]).select(F.col("window").alias("kmer")).distinct()
+    return w.select("kmer", DNA.encode("kmer").alias("code"))
+
+
+@query("kmer_decode", "SELECT CAST(v AS BIGINT) AS code, list_aggregate(list_transform(range(5, -1, -1), e -> substr('atgc', CAST((v // CAST(4 ** e AS BIGINT)) % 4 + 1 AS BIGINT), 1)), 'string_agg', '') AS kmer FROM range(4096) r(v)")
+def _(spark, d):
+    return spark.range(4**6).select(F.col("id").alias("code"), DNA.decode("id", 6).alias("kmer"))
+
+
+@query("sequence_lengths", "SELECT conv_id, count(*) AS n_contigs, CAST(sum(length(regexp_replace(lower(text), '[^a-z ]', '', 'g'))) AS BIGINT) AS length FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), F.col("turn").alias("contig_idx"), LETTERS.sanitise("text").alias("seq"))
+    return sequence.sequence_lengths(c).withColumnRenamed("sample_id", "conv_id")
+
+
+@query("concatenated_contigs", "SELECT conv_id, string_agg(regexp_replace(lower(text), '[^a-z ]', '', 'g'), '' ORDER BY turn) AS seq FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), F.col("turn").alias("contig_idx"), LETTERS.sanitise("text").alias("seq"))
+    return sequence.concatenated(c).withColumnRenamed("sample_id", "conv_id")
+
+
+@query("character_at", "SELECT conv_id, nullif(substr(string_agg(regexp_replace(lower(text), '[^a-z ]', '', 'g'), '' ORDER BY turn), 101, 1), '') AS character FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), F.col("turn").alias("contig_idx"), LETTERS.sanitise("text").alias("seq"))
+    return sequence.character_at(c, 100).withColumnRenamed("sample_id", "conv_id")
+
+
+@query(
+    "contig_parse",
+    r"""WITH f AS (SELECT conv_id, string_agg('>' || role || chr(10) || text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
+    p AS (SELECT conv_id, string_split(chr(10) || t, chr(10) || '>')[2:] AS parts FROM f)
+    SELECT conv_id, CAST(i - 1 AS INTEGER) AS contig_idx, CASE WHEN instr(parts[i], chr(10)) > 0 THEN replace(substr(parts[i], instr(parts[i], chr(10)) + 1), chr(10), '') ELSE '' END AS seq
+    FROM p, unnest(range(1, len(parts) + 1)) u(i)""",
+)
+def _(spark, d):
+    c = table(spark, d, "conversations")
+    line = F.concat(F.lit(">"), F.col("role"), F.lit("\n"), F.col("text"))
+    f = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("x")).select("conv_id", F.array_join(F.transform("x", lambda e: e["l"]), "\n").alias("t"))
+    return f.select("conv_id", F.posexplode(sequence.parse_fasta("t")).alias("contig_idx", "seq"))
+
+
+@query("discretise", "SELECT l_orderkey, l_linenumber, round_even(l_discount * 10, 0) AS k FROM lineitem")
+def _(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.discretise(F.col("l_discount") * 10).alias("k"))
+
+
+@query("clip_probabilities", "SELECT doc_id, round(greatest(1e-15, least(1 - 1e-15, n_chars / 4000.0)), 6) AS p, n_chars / 4000.0 >= 0.5 AS positive FROM documents")
+def _(spark, d):
+    p = F.col("n_chars") / F.lit(4000.0)
+    return table(spark, d, "documents").select("doc_id", _r(scalars.clip_probability(p)).alias("p"), scalars.is_positive(p).alias("positive"))
+
+
+@query("min_max_scaled", "SELECT o_orderkey, round((o_totalprice - min(o_totalprice) OVER ()) / (max(o_totalprice) OVER () - min(o_totalprice) OVER ()), 6) AS scaled FROM orders")
+def _(spark, d):
+    return scalars.min_max(table(spark, d, "orders"), "o_totalprice").select("o_orderkey", _r(F.col("scaled")).alias("scaled"))
+
+
+@query("standardised", "WITH m AS (SELECT avg(o_totalprice) AS a, stddev_pop(o_totalprice) AS s FROM orders) SELECT l_orderkey, l_linenumber, round((l_extendedprice - a) / s, 6) AS z FROM lineitem, m")
+def _(spark, d):
+    train = table(spark, d, "orders").select(F.col("o_totalprice").alias("z"))
+    other = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("z"))
+    return scalars.standardise(train, other, ["z"])[1].select("l_orderkey", "l_linenumber", _r(F.col("z")).alias("z"))
+
+
+# --- counting
+
+_CANON = "least(w, reverse(translate(w, 'atgc', 'tacg')))"
+
+
+@query("kmer_histogram", f"WITH {_windows_sql(_GATC, [6])}, c AS (SELECT doc_id, {_CANON} AS s, count(*) AS n FROM w GROUP BY ALL) SELECT doc_id, CAST({_CODE.format(s='s')} AS BIGINT) AS code, n FROM c")
+def _(spark, d):
+    return counting.kmer_histogram(_nodes(spark, d, DNA), DNA, 6).withColumnRenamed("sample_id", "doc_id")
+
+
+def _counts_sql(clean: str, segments, canonical: bool) -> str:
+    values = ", ".join(f"({i}, '{s}')" for i, s in enumerate(segments))
+    seg = _CANON if canonical else "w"
+    usable = " WHERE segment <= reverse(translate(segment, 'atgc', 'tacg'))" if canonical else ""
+    return f"WITH {_windows_sql(clean, sorted({len(s) for s in segments}))}, pool AS (SELECT CAST(i AS BIGINT) AS seg_id, segment FROM (VALUES {values}) v(i, segment){usable}), c AS (SELECT doc_id, seg_id, count(*) AS n FROM w JOIN pool ON pool.segment = {seg} GROUP BY ALL) "
+
+
+@query("segment_counts", _counts_sql(_CLEAN, WORDS, False) + "SELECT doc_id, seg_id, n FROM c")
+def _(spark, d):
+    return counting.count_segments(_nodes(spark, d, LETTERS), _pool(spark, WORDS), LETTERS, strategy="join").withColumnRenamed("sample_id", "doc_id")
+
+
+@query("segment_counts_arrow", _counts_sql(_CLEAN, WORDS, False) + "SELECT doc_id, seg_id, n FROM c")
+def _(spark, d):
+    return counting.count_segments(_nodes(spark, d, LETTERS), _pool(spark, WORDS), LETTERS, strategy="arrow").withColumnRenamed("sample_id", "doc_id")
+
+
+@query("segment_counts_dna", _counts_sql(_GATC, DNA_POOL, True) + "SELECT doc_id, seg_id, n FROM c")
+def _(spark, d):
+    return counting.count_segments(_nodes(spark, d, DNA), _pool(spark, DNA_POOL), DNA).withColumnRenamed("sample_id", "doc_id")
+
+
+@query("segment_counts_u16", _counts_sql(_GATC, ("a", "c"), True) + "SELECT doc_id, seg_id, least(n, 65535) AS n FROM c")
+def _(spark, d):
+    c = counting.count_segments(_nodes(spark, d, DNA), _pool(spark, ("a", "c")), DNA)
+    return c.select(F.col("sample_id").alias("doc_id"), "seg_id", counting.stored("n", uint16=True).alias("n"))
+
+
+@query("segment_presence", _counts_sql(_CLEAN, WORDS, False) + "SELECT doc_id, seg_id, least(n, 1) AS n FROM c")
+def _(spark, d):
+    c = counting.count_segments(_nodes(spark, d, LETTERS), _pool(spark, WORDS), LETTERS)
+    return c.select(F.col("sample_id").alias("doc_id"), "seg_id", counting.stored("n", presence=True).alias("n"))
+
+
+@query("segment_matrix_dense", _counts_sql(_CLEAN, WORDS, False) + f"SELECT doc_id, list_aggregate(list(CAST(coalesce(n, 0) AS VARCHAR) ORDER BY s.seg_id), 'string_agg', ',') AS counts FROM documents CROSS JOIN (SELECT unnest(range({len(WORDS)})) AS seg_id) s LEFT JOIN c USING (doc_id, seg_id) GROUP BY doc_id")
+def _(spark, d):
+    p = _pool(spark, WORDS)
+    c = counting.count_segments(_nodes(spark, d, LETTERS), p, LETTERS)
+    dense = counting.dense_counts(c, table(spark, d, "documents").select(F.col("doc_id").alias("sample_id")), p)
+    return dense.select(F.col("sample_id").alias("doc_id"), F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
+
+
+@query("segment_matrix_sparse", _counts_sql(_CLEAN, WORDS, False) + "SELECT doc_id, string_agg(seg_id || ':' || n, ' ' ORDER BY seg_id) AS entries FROM c GROUP BY doc_id")
+def _(spark, d):
+    c = counting.sparse_counts(counting.count_segments(_nodes(spark, d, LETTERS), _pool(spark, WORDS), LETTERS))
+    e = F.transform(F.arrays_zip("indices", "values"), lambda x: F.concat_ws(":", x["indices"].cast("string"), x["values"].cast("string")))
+    return c.select(F.col("sample_id").alias("doc_id"), F.array_join(e, " ").alias("entries"))
+
+
+# --- pool algebra, on the words of the benchmark items
+
+_WORDS_SQL = "bw AS (SELECT w AS segment, count(*) AS n FROM benchmark, unnest(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ')) u(w) WHERE w <> '' GROUP BY w), bp AS (SELECT row_number() OVER (ORDER BY n DESC, segment) - 1 AS seg_id, segment FROM bw)"
+
+
+def _word_pool(spark, d) -> DataFrame:
+    w = table(spark, d, "benchmark").select(F.explode(F.split(LETTERS.sanitise("text"), " ")).alias("segment")).filter("segment <> ''")
+    return number_rows(w.groupBy("segment").agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), F.col("segment").asc()], "seg_id").select("seg_id", "segment")
+
+
+@query(
+    "kmer_seed_pool",
+    "WITH k AS (SELECT v, list_aggregate(list_transform(range(4, -1, -1), e -> substr('atgc', CAST((v // CAST(4 ** e AS BIGINT)) % 4 + 1 AS BIGINT), 1)), 'string_agg', '') AS s FROM range(1024) r(v)), "
+    "c AS (SELECT least(s, reverse(translate(s, 'atgc', 'tacg'))) AS segment, min(v) AS o FROM k GROUP BY 1) SELECT row_number() OVER (ORDER BY o) - 1 AS seg_id, segment FROM c",
+)
+def _(spark, d):
+    return pool.canonical_kmers(spark, DNA, 5)
+
+
+@query(
+    "extend_segments",
+    f"WITH {_WORDS_SQL}, s AS (SELECT * FROM bp WHERE length(segment) BETWEEN 3 AND 4), a AS (SELECT unnest(range(27)) AS c), "
+    "e AS (SELECT 1 AS i, c AS code, substr('abcdefghijklmnopqrstuvwxyz ', c + 1, 1) AS e FROM a), "
+    "x AS (SELECT 1 AS part, seg_id, i, code, j, substr(e, 1, j) || segment || substr(e, j + 1) AS segment FROM s, e, unnest(range(0, i + 1)) u(j) UNION ALL SELECT 0, seg_id, 0, 0, 0, segment FROM bp), "
+    "f AS (SELECT segment, min((part, seg_id, i, code, j)) AS o FROM x GROUP BY segment) SELECT row_number() OVER (ORDER BY o) - 1 AS seg_id, segment FROM f",
+)
+def _(spark, d):
+    # lengths 3..4 are due, extended by one character: two steps of one character each
+    p = _word_pool(spark, d)
+    due = p.filter(F.length("segment").between(3, 4))
+    grown = None
+    for last in (2, 3):
+        mine = due.filter(F.length("segment") == last + 1)
+        one = pool.extend(mine, LETTERS, last, 1).filter(F.length("segment") == last + 2).select("segment")
+        grown = one if grown is None else grown.unionByName(one)
+    # the order of new entries follows the pool, whatever their length
+    codes = due.withColumn("code", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(26).cast("long")))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    e = LETTERS.decode("code", 1)
+    spelled = codes.select("seg_id", "code", "j", F.when(F.col("j") == 0, F.concat("segment", e)).otherwise(F.concat(e, "segment")).alias("segment")).join(grown.distinct(), "segment", "left_semi")
+    first = spelled.groupBy("segment").agg(F.min(F.struct("seg_id", "code", "j")).alias("o"))
+    return pool.append(p, number_rows(first, [F.col("o").asc()], "ord"))
+
+
+@query(
+    "graft_segments",
+    f"WITH {_WORDS_SQL}, g AS (SELECT 1 AS part, n, a.seg_id AS a, b.seg_id AS b, a.segment || substr(b.segment, n + 1) AS segment FROM unnest([4, 5, 6]) u(n), bp a, bp b WHERE a.seg_id <> b.seg_id AND length(a.segment) >= n AND length(b.segment) >= n AND right(a.segment, n) = left(b.segment, n) "
+    "UNION ALL SELECT 0, 0, seg_id, 0, segment FROM bp), f AS (SELECT segment, min((part, n, a, b)) AS o FROM g GROUP BY segment) SELECT row_number() OVER (ORDER BY o) - 1 AS seg_id, segment FROM f",
+)
+def _(spark, d):
+    return pool.graft(_word_pool(spark, d), 4, 6)
+
+
+@query("containment_pairs", f"WITH {_WORDS_SQL} SELECT a.seg_id AS outer_id, b.seg_id AS inner_id FROM bp a, bp b WHERE a.seg_id <> b.seg_id AND contains(a.segment, b.segment)")
+def _(spark, d):
+    return pool.containment_pairs(_word_pool(spark, d))
+
+
+_ELIMINATE_SQL = f"""WITH RECURSIVE {_WORDS_SQL}, s(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) UNION ALL
+    SELECT i + 1, CASE WHEN len(list_filter(kept, x -> contains(x, segment) OR contains(segment, x))) = 0 THEN list_append(kept, segment) ELSE kept END FROM s JOIN bp ON bp.seg_id = s.i)
+    SELECT seg_id AS rank, segment FROM bp WHERE list_contains((SELECT kept FROM s ORDER BY i DESC LIMIT 1), segment)"""
+
+
+@query("eliminate_redundant", _ELIMINATE_SQL)
+def _(spark, d):
+    return pool.eliminate_redundant(_word_pool(spark, d).withColumnRenamed("seg_id", "rank"))
+
+
+@query("eliminate_redundant_joins", _ELIMINATE_SQL)
+def _(spark, d):
+    return pool.eliminate_distributed(_word_pool(spark, d).withColumnRenamed("seg_id", "rank"))
+
+
+@query("feature_partitions", f"WITH {_WORDS_SQL}, p AS (SELECT count(*) AS n, greatest(count(*) // 100, 1) AS p FROM bp), q AS (SELECT p, n // p AS q, n % p AS r FROM p) SELECT seg_id, CAST(CASE WHEN seg_id < r * (q + 1) THEN seg_id // (q + 1) ELSE r + (seg_id - r * (q + 1)) // q END AS INTEGER) AS part FROM bp, q")
+def _(spark, d):
+    p = _word_pool(spark, d)
+    return p.select("seg_id", pool.partition_of("seg_id", p.count(), 100).alias("part"))
+
+
+@query("segment_fit", f"WITH {_WORDS_SQL} SELECT seg_id, NOT regexp_matches(segment, '[^atgcn]') AND segment <= reverse(translate(segment, 'atgc', 'tacg')) AS matchable FROM bp")
+def _(spark, d):
+    return _word_pool(spark, d).select("seg_id", DNA.matchable("segment").alias("matchable"))
+
+
+# --- labels and splits
+
+
+@query("label_join", "SELECT doc_id, source, quality, toxic FROM documents JOIN labels USING (doc_id)")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id")
+
+
+@query("missing_labels", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
+
+
+@query("label_table_clean", "SELECT doc_id, CAST(quality AS FLOAT) AS quality FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND regexp_matches(text, '\\S')")
+def _(spark, d):
+    t = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return t.filter(F.col("text").rlike("\\S") & F.col("quality").isNotNull()).select("doc_id", numeric(t, "quality").cast("float").alias("quality"))
+
+
+@query("invalid_labels", "SELECT DISTINCT 'lang' AS label, lang AS value FROM documents WHERE try_cast(lang AS DOUBLE) IS NULL UNION ALL SELECT DISTINCT 'source', source FROM documents WHERE try_cast(source AS DOUBLE) IS NULL")
+def _(spark, d):
+    return invalid_labels(table(spark, d, "documents"), ["lang", "source"])
+
+
+@query("non_binary_labels", "SELECT DISTINCT CAST(l_linenumber AS DOUBLE) AS value FROM lineitem WHERE l_linenumber NOT IN (0, 1)")
+def _(spark, d):
+    v = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("double").alias("value"))
+    return v.filter(~F.col("value").isin(0.0, 1.0)).distinct()
+
+
+_FOLD_SQL = """WITH s AS (SELECT doc_id, CAST(quality AS BIGINT) AS stratum FROM labels), z AS (SELECT stratum, count(*) AS n FROM s GROUP BY stratum),
+    o AS (SELECT stratum, coalesce(sum(n) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 5 AS o FROM z)
+    SELECT doc_id, stratum, CAST((row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || doc_id), doc_id) - 1 + o) % 5 AS INTEGER) AS fold FROM s JOIN o USING (stratum)"""
+
+
+@query("stratified_folds", _FOLD_SQL)
+def _(spark, d):
+    return splits.stratified_folds(table(spark, d, "labels"), 5, key="doc_id", label="quality").select("doc_id", "stratum", "fold")
+
+
+@query("fold_sizes", f"SELECT stratum, fold, count(*) AS n FROM ({_FOLD_SQL}) GROUP BY ALL")
+def _(spark, d):
+    return splits.stratified_folds(table(spark, d, "labels"), 5, key="doc_id", label="quality").groupBy("stratum", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("hold_out", "WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY quality) AS n FROM labels) SELECT doc_id, r <= least(ceil(n * 0.2), n - 1) AS is_test FROM r")
+def _(spark, d):
+    return splits.hold_out(table(spark, d, "labels"), key="doc_id", label="quality").select("doc_id", "is_test")
+
+
+@query("predefined_folds", "SELECT doc_id, quality FROM labels JOIN documents USING (doc_id) WHERE source NOT IN ('src0', 'src3')")
+def _(spark, d):
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("item"), "quality")
+    number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
+    folds = table(spark, d, "documents").select(F.col("doc_id").alias("item"), number.alias("fold")).join(labels.select("item"), "item", "left_semi")
+    most = folds.agg(F.max("fold")).first()[0] + 1
+    return splits.predefined_folds(labels, folds.filter("fold <> 0"), 3, most, item="item")[0].withColumnRenamed("item", "doc_id")
+
+
+@query("oversample", "WITH n AS (SELECT toxic, count(*) AS n FROM labels GROUP BY toxic), m AS (SELECT max(n) AS m FROM n), r AS (SELECT doc_id, toxic, n, m, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) - 1 AS r FROM labels JOIN n USING (toxic), m) SELECT doc_id, toxic, CAST(c AS INTEGER) AS copy FROM r, unnest(range(0, m // n + CASE WHEN r < m % n THEN 1 ELSE 0 END)) u(c)")
+def _(spark, d):
+    return pool.oversample(table(spark, d, "labels"), "toxic", ["doc_id"]).select("doc_id", "toxic", "copy")
+
+
+# --- scaling, importance
+
+@query("label_scaler", "SELECT round(avg(l_quantity), 6) AS mean_quantity, round(stddev_pop(l_quantity), 6) AS std_quantity, round(avg(l_extendedprice), 4) AS mean_price, round(stddev_pop(l_extendedprice), 4) AS std_price FROM lineitem")
+def _(spark, d):
+    s = selection.LabelScaler.fit(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"])
+    return spark.createDataFrame([(round(s.means[0], 6), round(s.stds[0], 6), round(s.means[1], 4), round(s.stds[1], 4))], "mean_quantity double, std_quantity double, mean_price double, std_price double")
+
+
+@query("scaled_labels", "WITH m AS (SELECT avg(l_quantity) AS a, stddev_pop(l_quantity) AS s FROM lineitem) SELECT l_orderkey, l_linenumber, round(CAST(CAST((l_quantity - a) / s AS FLOAT) AS DOUBLE), 4) AS z FROM lineitem, m")
+def _(spark, d):
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("z"))
+    return selection.LabelScaler.fit(t, ["z"]).transform(t).withColumn("z", _r(F.col("z").cast("double"), 4))
+
+
+def _gains(spark, d) -> DataFrame:
+    t = table(spark, d, "lineitem").select(F.col("l_partkey").alias("seg_id"), F.pmod("l_linenumber", F.lit(2)).cast("int").alias("label_idx"), F.col("l_extendedprice").alias("gain"))
+    return selection.mean_gain(t)
+
+
+_GAINS_SQL = "g AS (SELECT l_partkey AS seg_id, CAST(l_linenumber % 2 AS INTEGER) AS label_idx, avg(l_extendedprice) AS gain FROM lineitem GROUP BY ALL), s AS (SELECT seg_id, gain / sum(gain) OVER (PARTITION BY label_idx) AS gain FROM g), i AS (SELECT seg_id, sum(gain) AS importance FROM s GROUP BY seg_id)"
+
+
+@query("mean_gain", f"WITH {_GAINS_SQL} SELECT seg_id, label_idx, round(gain, 4) AS gain FROM g")
+def _(spark, d):
+    return _gains(spark, d).withColumn("gain", _r(F.col("gain"), 4))
+
+
+@query("gain_share_ranking", f"WITH {_GAINS_SQL} SELECT seg_id, round(importance, 9) AS importance FROM i")
+def _(spark, d):
+    return selection.rank_importance(_gains(spark, d)).withColumn("importance", _r(F.col("importance"), 9))
+
+
+@query("top_segments", f"WITH {_GAINS_SQL} SELECT seg_id, round(importance, 9) AS importance FROM i ORDER BY i.importance DESC, seg_id LIMIT 25")
+def _(spark, d):
+    return selection.top_features(selection.rank_importance(_gains(spark, d)), 25).withColumn("importance", _r(F.col("importance"), 9))
+
+
+@query("segment_importance", f"WITH {_GAINS_SQL}, {_WORDS_SQL} SELECT seg_id, segment AS Segment, round(coalesce(importance, 0), 9) AS Importance FROM bp LEFT JOIN i USING (seg_id)")
+def _(spark, d):
+    got = selection.with_importance(_word_pool(spark, d), selection.rank_importance(_gains(spark, d)))
+    return got.withColumn("Importance", _r(F.col("Importance"), 9))
+
+
+@query("merge_importance", "WITH x AS (SELECT l_shipmode AS Segment, l_linenumber AS f, avg(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT Segment, round(sum(v) / 7.0, 6) AS Importance FROM x WHERE f BETWEEN 1 AND 7 GROUP BY Segment")
+def _(spark, d):
+    t = table(spark, d, "lineitem")
+    folds = [t.filter(F.col("l_linenumber") == i).groupBy(F.col("l_shipmode").alias("Segment")).agg(F.avg("l_quantity").alias("Importance")) for i in range(1, 8)]
+    return selection.merge_importance(folds).withColumn("Importance", _r(F.col("Importance")))
+
+
+@query(
+    "split_gain_level",
+    f"WITH {_windows_sql(_GATC, [2])}, c AS (SELECT doc_id, {_CANON} AS s, count(*) AS n FROM w GROUP BY ALL), l AS (SELECT doc_id, 0.5 - quality AS g, 0.25 AS h FROM labels), t AS (SELECT sum(g) AS tg, sum(h) AS th FROM l), "
+    "b AS (SELECT s, n, sum(g) AS g, sum(h) AS h FROM c JOIN l USING (doc_id) GROUP BY ALL), r AS (SELECT s, n, sum(g) OVER o AS gr, sum(h) OVER o AS hr, coalesce(lead(n) OVER o, 0) AS threshold FROM b WINDOW o AS (PARTITION BY s ORDER BY n DESC)) "
+    "SELECT s AS segment, CAST(threshold AS BIGINT) AS threshold, round(CAST(0.5 * ((tg - gr) ** 2 / (th - hr + 1) + gr ** 2 / (hr + 1) - tg ** 2 / (th + 1)) AS DOUBLE), 6) AS gain FROM r, t",
+)
+def _(spark, d):
+    k2 = counting.kmer_histogram(_nodes(spark, d, DNA), DNA, 2).withColumnRenamed("code", "seg_id")
+    stats = table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), (0.5 - F.col("quality")).alias("g"), F.lit(0.25).alias("h"))
+    got = selection.split_gains(k2, stats)
+    return got.select(DNA.decode("seg_id", 2).alias("segment"), "threshold", _r(F.col("gain")).alias("gain"))
+
+
+# --- metrics
+
+_RETAIL = "SELECT l_extendedprice AS y, l_quantity * 1500.0 AS p FROM lineitem"
+_LOG2 = "SELECT floor(log2(l_extendedprice)) AS y, log2(l_quantity * 1500.0) AS p FROM lineitem"
+_TOXIC = "SELECT CAST(toxic AS DOUBLE) AS y, round((n_chars % 1000) / 1000.0, 2) AS p FROM labels JOIN documents USING (doc_id)"
+_CLASSES = "SELECT CAST(l_linenumber AS DOUBLE) AS y, l_quantity / 8.0 AS p FROM lineitem"
+
+
+def _retail(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500.0).alias("p"))
+
+
+def _log2(spark, d):
+    return table(spark, d, "lineitem").select(F.floor(F.log2("l_extendedprice")).cast("double").alias("y"), F.log2(F.col("l_quantity") * 1500.0).alias("p"))
+
+
+def _toxic(spark, d):
+    t = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return t.select(F.col("toxic").cast("double").alias("y"), F.round(F.pmod("n_chars", F.lit(1000)) / F.lit(1000.0), 2).alias("p"))
+
+
+def _classes(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_linenumber").cast("double").alias("y"), (F.col("l_quantity") / 8.0).alias("p"))
+
+
+_POS, _HIT = "y >= 0.5", "p >= 0.5"
+_CELLS = f"SELECT count(*) FILTER ({_POS} AND {_HIT}) AS tp, count(*) FILTER (NOT ({_POS}) AND {_HIT}) AS fp, count(*) FILTER (NOT ({_POS}) AND NOT ({_HIT})) AS tn, count(*) FILTER ({_POS} AND NOT ({_HIT})) AS fn FROM x"
+_RANKS = "r AS (SELECT y, p, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp FROM x)"
+_CONFUSION = "m AS (SELECT round_even(y, 0) AS y, round_even(p, 0) AS p, CAST(count(*) AS DOUBLE) AS n FROM x GROUP BY ALL)"
+
+_METRIC_SQL = {
+    "rmse": (_retail, _RETAIL, "SELECT sqrt(avg((y - p) ** 2)) AS v FROM x", {}),
+    "mae": (_retail, _RETAIL, "SELECT avg(abs(y - p)) AS v FROM x", {}),
+    "mape": (_retail, _RETAIL, "SELECT avg(abs((y - p) / y)) FILTER (y <> 0) * 100 AS v FROM x", {}),
+    "r2": (_retail, _RETAIL, "SELECT 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS v FROM x", {}),
+    "pearson": (_retail, _RETAIL, "SELECT covar_pop(y, p) / (stddev_pop(y) * stddev_pop(p)) AS v FROM x", {}),
+    "spearman": (_retail, _RETAIL, f"SELECT corr(ry, rp) AS v FROM (WITH {_RANKS} SELECT * FROM r)", {}),
+    "accuracy": (_classes, _CLASSES, "SELECT avg(CASE WHEN round_even(y, 0) = round_even(p, 0) THEN 1.0 ELSE 0.0 END) AS v FROM x", {}),
+    "mcc": (_classes, _CLASSES, f"SELECT v FROM (WITH {_CONFUSION}, t AS (SELECT y AS k, sum(n) AS t FROM m GROUP BY y), q AS (SELECT p AS k, sum(n) AS q FROM m GROUP BY p), a AS (SELECT (SELECT sum(n) FROM m) AS s, (SELECT sum(n) FROM m WHERE y = p) AS c, (SELECT sum(t * q) FROM t JOIN q USING (k)) AS tq, (SELECT sum(t * t) FROM t) AS tt, (SELECT sum(q * q) FROM q) AS qq) SELECT (c * s - tq) / sqrt((s * s - qq) * (s * s - tt)) AS v FROM a)", {}),
+    "auroc": (_toxic, _TOXIC, f"SELECT v FROM (WITH {_RANKS} SELECT (sum(rp) FILTER ({_POS}) - count(*) FILTER ({_POS}) * (count(*) FILTER ({_POS}) + 1) / 2.0) / (count(*) FILTER ({_POS}) * count(*) FILTER (NOT ({_POS}))) AS v FROM r)", {}),
+    "auprc": (_toxic, _TOXIC, f"SELECT v FROM (WITH g AS (SELECT p, count(*) AS n, count(*) FILTER ({_POS}) AS c FROM x GROUP BY p), h AS (SELECT c, sum(c) OVER (ORDER BY p DESC) AS hits, sum(n) OVER (ORDER BY p DESC) AS seen FROM g) SELECT sum(c * hits / seen) / sum(c) AS v FROM h)", {}),
+    "precision": (_toxic, _TOXIC, f"SELECT tp / (tp + fp) AS v FROM ({_CELLS})", {}),
+    "recall": (_toxic, _TOXIC, f"SELECT tp / (tp + fn) AS v FROM ({_CELLS})", {}),
+    "specificity": (_toxic, _TOXIC, f"SELECT tn / (tn + fp) AS v FROM ({_CELLS})", {}),
+    "f1": (_toxic, _TOXIC, f"SELECT 2 * tp / (2 * tp + fp + fn) AS v FROM ({_CELLS})", {}),
+    "balanced_accuracy": (_toxic, _TOXIC, f"SELECT (tp / (tp + fn) + tn / (tn + fp)) / 2 AS v FROM ({_CELLS})", {}),
+    "log_loss": (_toxic, _TOXIC, f"SELECT -avg(CASE WHEN {_POS} THEN ln(greatest(1e-15, least(1 - 1e-15, p))) ELSE ln(1 - greatest(1e-15, least(1 - 1e-15, p))) END) AS v FROM x", {}),
+    "essential_agreement": (
+        _log2,
+        _LOG2,
+        "SELECT avg(CASE WHEN y <= 12 THEN CASE WHEN r <= 12 THEN 1.0 ELSE 0.0 END WHEN y >= 16 THEN CASE WHEN r >= 16 THEN 1.0 ELSE 0.0 END WHEN abs(y - r) <= 1 THEN 1.0 ELSE 0.0 END) AS v FROM (SELECT y, CASE WHEN 2 ** p >= (2 ** floor(p) + 2 ** ceil(p)) / 2 THEN ceil(p) ELSE floor(p) END AS r FROM x)",
+        {"ea_min": 4096.0, "ea_max": 65536.0},
+    ),
+}
+
+
+def _metric_query(name: str) -> None:
+    pairs, source, sql, params = _METRIC_SQL[name]
+
+    def run(spark, d):
+        v = metrics.Metric(name, **params).score(pairs(spark, d))
+        return spark.createDataFrame([(name, round(v, 6))], "metric string, value double")
+
+    query(f"metric_{name}", f"WITH x AS ({source}) SELECT '{name}' AS metric, round(CAST(v AS DOUBLE), 6) AS value FROM ({sql})")(run)
+
+
+for _name in _METRIC_SQL:
+    _metric_query(_name)
+
+
+@query("confusion", f"WITH x AS ({_CLASSES}) SELECT round_even(y, 0) AS y, round_even(p, 0) AS p, count(*) AS n FROM x GROUP BY ALL")
+def _(spark, d):
+    return metrics.confusion(_classes(spark, d))
+
+
+@query("average_ranks", "SELECT doc_id, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS r FROM documents")
+def _(spark, d):
+    return metrics.average_ranks(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "r").select("doc_id", "r")
+
+
+# --- results over folds
+
+_FOLDS_SQL = "SELECT doc_id, CAST(i AS INTEGER) AS Fold, round((n_chars % 1000) / 1000.0, 3) AS Prediction, CAST(quality AS DOUBLE) AS Actual FROM labels JOIN documents USING (doc_id), unnest(range(0, 3)) u(i) WHERE doc_id % 3 = i"
+
+
+def _fold_tables(spark, d) -> list[DataFrame]:
+    t = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    p = t.select("doc_id", F.round(F.pmod("n_chars", F.lit(1000)) / F.lit(1000.0), 3).alias("Prediction"), F.col("quality").cast("double").alias("Actual"))
+    return [p.filter(F.pmod("doc_id", F.lit(3)) == i) for i in range(3)]  # the three folds make the whole table
+
+
+@query("fold_union", _FOLDS_SQL)
+def _(spark, d):
+    out = None
+    for i, f in enumerate(_fold_tables(spark, d)):
+        one = f.withColumn("Fold", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("best_fold", f"WITH f AS ({_FOLDS_SQL}), s AS (SELECT Fold, avg(abs(Actual - Prediction)) AS v FROM f GROUP BY Fold) SELECT Fold, round(v, 6) AS score, round((SELECT avg(v) FROM s), 6) AS mean_score FROM s ORDER BY v, Fold LIMIT 1")
+def _(spark, d):
+    from strandloom.plans.results import FoldResult, TrainingResult
+
+    m = metrics.Metric("mae")
+    r = TrainingResult([FoldResult(i, None, f, s := m.score(f, "Actual", "Prediction"), [s], None) for i, f in enumerate(_fold_tables(spark, d))], m)
+    best = r.best_fold
+    return spark.createDataFrame([(best.fold, round(best.score, 6), round(r.score, 6))], "Fold int, score double, mean_score double")
+
+
+# --- whole runs; the trees have no SQL counterpart
+
+
+def _labelled(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels"), "doc_id")
+
+
+def _settings(d: DataFrame) -> dict:
+    return {"table": d, "data_column": "text", "label_columns": "quality", "id_column": "doc_id", "alphabet": LETTERS, "binary": True, "lr": 0.3, "num_rounds": 20, "partition_size_target": 2000}
+
+
+@query("train_predict")
+def train_predict(spark, d):
+    run = TrainingPipeline(spark, **_settings(_labelled(spark, d)), k=2, ext=1, target=3, features=100)
+    return run.train().predictions
+
+
+@query("baseline_predict")
+def _(spark, d):
+    return BaselinePipeline(spark, **_settings(_labelled(spark, d)), k=2).train().predictions
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Segments and their importance after binary training on the labelled documents."""
+    run = TrainingPipeline(spark, **_settings(_labelled(spark, sf_dir)), k=2, ext=1, target=3, features=60)
+    return run.train().segments
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
