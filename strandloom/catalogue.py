@@ -101,7 +101,7 @@ def _windows_sql(clean: str, lengths, source: str = "documents", key: str = "doc
     return f"d AS (SELECT {key}, {clean} AS s FROM {source}), blk AS (SELECT {key}, substr(s, b * 256 + 1, {255 + m}) AS k FROM d, unnest(range(0, (length(s) - 1) // 256 + 1)) u(b) WHERE length(s) > 0), w AS ({arms})"
 
 
-_CODE = "list_sum(list_transform(range(1, length({s}) + 1), i -> CAST((instr('atgc', substr({s}, i, 1)) - 1) * 4 ** (length({s}) - i) AS BIGINT)))"
+_CODE = "list_sum(list_transform(range(1, length({s}) + 1), lambda i: CAST((instr('atgc', substr({s}, i, 1)) - 1) * 4 ** (length({s}) - i) AS BIGINT)))"
 
 
 @query("kmer_encode", f"WITH {_windows_sql(_GATC, [6])}, u AS (SELECT DISTINCT w AS kmer FROM w) SELECT kmer, CAST({_CODE.format(s='kmer')} AS BIGINT) AS code FROM u")
@@ -110,7 +110,7 @@ def _(spark, d):
     return w.select("kmer", DNA.encode("kmer").alias("code"))
 
 
-@query("kmer_decode", "SELECT CAST(v AS BIGINT) AS code, list_aggregate(list_transform(range(5, -1, -1), e -> substr('atgc', CAST((v // CAST(4 ** e AS BIGINT)) % 4 + 1 AS BIGINT), 1)), 'string_agg', '') AS kmer FROM range(4096) r(v)")
+@query("kmer_decode", "SELECT CAST(v AS BIGINT) AS code, list_aggregate(list_transform(range(5, -1, -1), lambda e: substr('atgc', CAST((v // CAST(4 ** e AS BIGINT)) % 4 + 1 AS BIGINT), 1)), 'string_agg', '') AS kmer FROM range(4096) r(v)")
 def _(spark, d):
     return spark.range(4**6).select(F.col("id").alias("code"), DNA.decode("id", 6).alias("kmer"))
 
@@ -241,7 +241,7 @@ def _word_pool(spark, d) -> DataFrame:
 
 @query(
     "kmer_seed_pool",
-    "WITH k AS (SELECT v, list_aggregate(list_transform(range(4, -1, -1), e -> substr('atgc', CAST((v // CAST(4 ** e AS BIGINT)) % 4 + 1 AS BIGINT), 1)), 'string_agg', '') AS s FROM range(1024) r(v)), "
+    "WITH k AS (SELECT v, list_aggregate(list_transform(range(4, -1, -1), lambda e: substr('atgc', CAST((v // CAST(4 ** e AS BIGINT)) % 4 + 1 AS BIGINT), 1)), 'string_agg', '') AS s FROM range(1024) r(v)), "
     "c AS (SELECT least(s, reverse(translate(s, 'atgc', 'tacg'))) AS segment, min(v) AS o FROM k GROUP BY 1) SELECT row_number() OVER (ORDER BY o) - 1 AS seg_id, segment FROM c",
 )
 def _(spark, d):
@@ -287,7 +287,7 @@ def _(spark, d):
 
 
 _ELIMINATE_SQL = f"""WITH RECURSIVE {_WORDS_SQL}, s(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) UNION ALL
-    SELECT i + 1, CASE WHEN len(list_filter(kept, x -> contains(x, segment) OR contains(segment, x))) = 0 THEN list_append(kept, segment) ELSE kept END FROM s JOIN bp ON bp.seg_id = s.i)
+    SELECT i + 1, CASE WHEN len(list_filter(kept, lambda x: contains(x, segment) OR contains(segment, x))) = 0 THEN list_append(kept, segment) ELSE kept END FROM s JOIN bp ON bp.seg_id = s.i)
     SELECT seg_id AS rank, segment FROM bp WHERE list_contains((SELECT kept FROM s ORDER BY i DESC LIMIT 1), segment)"""
 
 
@@ -398,9 +398,9 @@ def _gains(spark, d) -> DataFrame:
 _GAINS_SQL = "g AS (SELECT l_partkey AS seg_id, CAST(l_linenumber % 2 AS INTEGER) AS label_idx, avg(l_extendedprice) AS gain FROM lineitem GROUP BY ALL), s AS (SELECT seg_id, gain / sum(gain) OVER (PARTITION BY label_idx) AS gain FROM g), i AS (SELECT seg_id, sum(gain) AS importance FROM s GROUP BY seg_id)"
 
 
-@query("mean_gain", f"WITH {_GAINS_SQL} SELECT seg_id, label_idx, round(gain, 4) AS gain FROM g")
+@query("mean_gain", f"WITH {_GAINS_SQL} SELECT seg_id, label_idx, round(gain, 6) AS gain FROM g")
 def _(spark, d):
-    return _gains(spark, d).withColumn("gain", _r(F.col("gain"), 4))
+    return _gains(spark, d).withColumn("gain", _r(F.col("gain")))
 
 
 @query("gain_share_ranking", f"WITH {_GAINS_SQL} SELECT seg_id, round(importance, 9) AS importance FROM i")
@@ -419,10 +419,10 @@ def _(spark, d):
     return got.withColumn("Importance", _r(F.col("Importance"), 9))
 
 
-@query("merge_importance", "WITH x AS (SELECT l_shipmode AS Segment, l_linenumber AS f, avg(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT Segment, round(sum(v) / 7.0, 6) AS Importance FROM x WHERE f BETWEEN 1 AND 7 GROUP BY Segment")
+@query("merge_importance", "WITH x AS (SELECT l_returnflag AS Segment, l_linenumber AS f, avg(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT Segment, round(sum(v) / 7.0, 6) AS Importance FROM x WHERE f BETWEEN 1 AND 7 GROUP BY Segment")
 def _(spark, d):
     t = table(spark, d, "lineitem")
-    folds = [t.filter(F.col("l_linenumber") == i).groupBy(F.col("l_shipmode").alias("Segment")).agg(F.avg("l_quantity").alias("Importance")) for i in range(1, 8)]
+    folds = [t.filter(F.col("l_linenumber") == i).groupBy(F.col("l_returnflag").alias("Segment")).agg(F.avg("l_quantity").alias("Importance")) for i in range(1, 8)]
     return selection.merge_importance(folds).withColumn("Importance", _r(F.col("Importance")))
 
 
@@ -443,7 +443,7 @@ def _(spark, d):
 
 _RETAIL = "SELECT l_extendedprice AS y, l_quantity * 1500.0 AS p FROM lineitem"
 _LOG2 = "SELECT floor(log2(l_extendedprice)) AS y, log2(l_quantity * 1500.0) AS p FROM lineitem"
-_TOXIC = "SELECT CAST(toxic AS DOUBLE) AS y, round((n_chars % 1000) / 1000.0, 2) AS p FROM labels JOIN documents USING (doc_id)"
+_TOXIC = "SELECT CAST(toxic AS DOUBLE) AS y, (n_chars % 1000) // 10 / 100.0 AS p FROM labels JOIN documents USING (doc_id)"
 _CLASSES = "SELECT CAST(l_linenumber AS DOUBLE) AS y, l_quantity / 8.0 AS p FROM lineitem"
 
 
@@ -457,7 +457,7 @@ def _log2(spark, d):
 
 def _toxic(spark, d):
     t = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return t.select(F.col("toxic").cast("double").alias("y"), F.round(F.pmod("n_chars", F.lit(1000)) / F.lit(1000.0), 2).alias("p"))
+    return t.select(F.col("toxic").cast("double").alias("y"), (F.floor(F.pmod("n_chars", F.lit(1000)) / F.lit(10)) / F.lit(100.0)).alias("p"))
 
 
 def _classes(spark, d):

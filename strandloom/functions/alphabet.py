@@ -173,8 +173,9 @@ class Alphabet:
     def encode(self, segment: Column | str) -> Column:
         """The segment as a number to the base of the alphabet, first character most significant; null if it does not fit."""
         s = _col(segment)
-        codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(self.symbols()), c) - 1)
-        value = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a * self.base + c)
+        places = F.sequence(F.lit(1), F.length(s))
+        code = lambda i: F.instr(F.lit(self.symbols()), F.substring(s, i, F.lit(1))) - 1
+        value = F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a * self.base + code(i))
         return F.when(F.length(s) == 0, F.lit(0).cast("long")).when(~s.rlike(self._class()), value)
 
     def decode(self, number: Column | str, k: int) -> Column:

@@ -59,10 +59,14 @@ def windows(nodes: DataFrame, lengths: list[int], *, keep: tuple[str, ...] = ("s
     if not lengths:
         return nodes.select(*keep, F.lit("").alias("window")).limit(0)
     blocked = nodes.select(*keep, F.explode(blocks(seq_column, max(lengths), block)).alias("__b"))
-    out = None
-    for n in lengths:
-        places = F.sequence(F.lit(1), F.least(F.lit(block), F.length("__b") - (n - 1)))
-        cut = F.transform(places, lambda i, n=n: F.substring(F.col("__b"), i, F.lit(n)))
-        arm = blocked.filter(F.length("__b") >= n).select(*keep, F.explode(cut).alias("window"))
-        out = arm if out is None else out.unionByName(arm)
+    arms = [blocked.filter(F.length("__b") >= n).select(*keep, F.explode(_cut("__b", n, block)).alias("window")) for n in lengths]
+    out = arms[0]
+    for arm in arms[1:]:
+        out = out.unionByName(arm)
     return out
+
+
+def _cut(text: str, n: int, block: int) -> Column:
+    """Windows of length ``n`` that begin in the first ``block`` places."""
+    places = F.sequence(F.lit(1), F.least(F.lit(block), F.length(text) - (n - 1)))
+    return F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(n)))
