@@ -110,13 +110,13 @@ def _blocks(bench: DataFrame, item_id: str, item_text: str, block_chars: int) ->
     return [sized.filter(F.pmod(F.xxhash64("t", "i"), F.lit(n)) == k) for k in range(n)]
 
 
-def find_overlaps(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, near_span: int = 0, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS, keep: list[str] | None = None) -> DataFrame:
+def find_overlaps(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, near_span: int = 0, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Every document with what of the benchmark it holds.
 
     Returns ``doc_id, n_words, hits binary`` (bit i: word i lies in an exact occurrence of a
     window), ``items array<string>`` (ids of items with exact occurrences, sorted), ``near
     array<string>`` (items with a window whose terms all lie within ``near_span`` positions; empty when
-    that is 0) and the columns of ``keep``. An item of fewer words than ``window`` is one window; an
+    that is 0) and the columns of ``keep``; ``prefix`` goes before the four added names. An item of fewer words than ``window`` is one window; an
     item without words never matches. Null and empty texts have no words; repeated documents or
     items, null ids (an item's null id reads as ``None``), extra columns and empty tables are fine.
     """
@@ -171,7 +171,7 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, ne
                     )
 
         out = out.mapInArrow(run, schema)
-    return out.selectExpr("__id AS doc_id", *(f"__k{i} AS `{c}`" for i, c in enumerate(keep)), "n_words", "hits", "items", "near")
+    return out.selectExpr("__id AS doc_id", *(f"__k{i} AS `{c}`" for i, c in enumerate(keep)), *(f"{c} AS `{prefix}{c}`" for c in ("n_words", "hits", "items", "near")))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -106,11 +106,11 @@ def log_ratio(run: Column, table: list[float]) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(code) - 1, F.lit(1))
 
 
-def scan(docs: DataFrame, *, text_column: str = "text", table: list[float] | None = None, ratio: float = RATIO) -> DataFrame:
+def scan(docs: DataFrame, *, text_column: str = "text", table: list[float] | None = None, ratio: float = RATIO, out_column: str = "spans") -> DataFrame:
     """``docs`` with ``spans array<struct<start, rank, end>>`` added, ordered by start, then kind; code points, end exclusive.
 
     ``rank`` numbers ``KINDS``. Spans of kind ``markov`` never overlap a base span. A null text has none.
-    Nothing is shuffled, and rows stay as they are, repeated or not; a column named ``spans`` is replaced.
+    Nothing is shuffled, and rows stay as they are, repeated or not; a column named ``out_column`` is replaced.
     """
     table = train(training_samples(docs.sparkSession)) if table is None else table
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
@@ -124,7 +124,7 @@ def scan(docs: DataFrame, *, text_column: str = "text", table: list[float] | Non
     more = _when(text.rlike(RUN), _placed(text, RUN, 3, likely))
     out = docs.withColumn("__base", base).withColumn("__more", more)
     apart = F.filter("__more", lambda m: ~F.exists("__base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
-    return out.withColumn("spans", F.array_sort(F.concat("__base", apart))).drop("__base", "__more")
+    return out.withColumn(out_column, F.array_sort(F.concat("__base", apart))).drop("__base", "__more")
 
 
 def spelled(spans: Column | str) -> Column:
@@ -133,7 +133,7 @@ def spelled(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(scanned: DataFrame, *, text_column: str = "text", mask: str = "[SECRET]") -> DataFrame:
+def redact(scanned: DataFrame, *, text_column: str = "text", mask: str = "[SECRET]", spans: str = "spans") -> DataFrame:
     """Replaces the spans that ``scan`` found by ``mask``; overlapping spans by one. Null texts stay null."""
     text = F.col(text_column)
 
@@ -142,8 +142,8 @@ def redact(scanned: DataFrame, *, text_column: str = "text", mask: str = "[SECRE
         kept = F.concat(acc["out"], F.when(fresh, F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("out"))
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return scanned.withColumn(text_column, F.when(text.isNotNull() & (F.size("spans") > 0), done).otherwise(text))
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return scanned.withColumn(text_column, F.when(text.isNotNull() & (F.size(spans) > 0), done).otherwise(text))
 
 
 def digest(scanned: DataFrame, id_column: str = "doc_id") -> DataFrame:

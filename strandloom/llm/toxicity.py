@@ -211,14 +211,15 @@ def _calibrate(lexicon: Lexicon, labelled: DataFrame) -> None:
     lexicon.shift, lexicon.slope = float(b[0]), float(max(b[1], 0.1))
 
 
-def score(docs: DataFrame, lexicon: Lexicon, *, text_column: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default) of ``docs`` with ``score double``, ``predicted int`` and ``n_hits long`` added.
+def score(docs: DataFrame, lexicon: Lexicon, *, text_column: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None, names: tuple[str, str, str] = ("score", "predicted", "n_hits")) -> DataFrame:
+    """The columns ``keep`` (all by default) of ``docs`` with ``score double``, ``predicted int`` and ``n_hits long`` under ``names``.
 
-    Columns of those names are replaced. Null and empty texts score as texts without hits. Memory holds some MB of
-    text at a time; nothing is shuffled.
+    Columns that have one of these names already are replaced. Null and empty texts score as texts without hits.
+    Memory holds some MB of text at a time; nothing is shuffled.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted", "n_hits")]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_hits", T.LongType())])
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    added = [T.StructField(n, k) for n, k in zip(names, (T.DoubleType(), T.IntegerType(), T.LongType()), strict=True)]
+    schema = T.StructType([*(docs.schema[c] for c in keep), *added])
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_ENTRIES patterns
 
     def run(batches):
@@ -230,7 +231,7 @@ def score(docs: DataFrame, lexicon: Lexicon, *, text_column: str = "text", thres
                 scores = [lex.score(r) for r, _ in raw]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(scores, pa.float64()), pa.array([int(x >= threshold) for x in scores], pa.int32()), pa.array([k for _, k in raw], pa.int64())], names=schema.names)
 
-    return docs.select(*keep, F.col(text_column).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_column}`").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
