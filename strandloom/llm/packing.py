@@ -57,6 +57,9 @@ class Encoder:
             return np.asarray(full.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.asarray(fast.encode_ordinary(text), dtype=np.uint32)
 
+    def vocabulary(self) -> dict[str, int]:
+        return _engines(*self.args)[0].get_vocab()
+
 
 def public_encoder(name: str = "byte_bpe_50k") -> Encoder:
     """The encoder of one of the public byte-level vocabularies installed on every machine."""
