@@ -62,7 +62,7 @@ def test_article_text():
     assert [t for t, _ in html_text.parse(ARTICLE)] == ["Head & tail", "First bold line here. Same block", "Second <p> café", "one", "two"]
 
 
-@pytest.mark.parametrize("page, want", [(None, []), ("", []), ("plain text", ["plain text"]), ("<p>a<p>b", ["a", "b"]), ("<article><p>a b</p><p>cut off <b", ["a b", "cut off"]), ("<div>1 < 2</div>", ["1 < 2"]), ("<script>x", []), ("<main><div>m</div></main><div>o</div>", ["m"])])
+@pytest.mark.parametrize("page, want", [(None, []), ("", []), ("plain text", ["plain text"]), ("<p>a<p>b", ["a", "b"]), ("<article><p>a b</p><p>cut off <b", ["a b", "cut off"]), ("<div>1 < 2</div>", ["1 < 2"]), ("<script>x", []), ("<main><div>m</div></main><div>o</div>", ["m"]), ('<div class="post"><div class="post-header"><h1>T</h1><p>by</p></div><p>x</p></div>', ["T", "x"]), ('<div id="header"><h1>S</h1></div><p>x</p>', ["x"])])
 def test_odd_pages(page, want):
     assert [t for t, _ in html_text.parse(page)] == want
 

@@ -38,9 +38,9 @@ def tokenizer():
 
 
 def test_packing_round_trip(spark, tokenizer):
-    docs = frame(spark, [*TEXTS, (9, "a <|endoftext|> b"), (10, " " * 5000 + "x")])
-    rows = packing.pack(docs, with_ids=True).collect()
-    want = sorted([*(tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID) for _, t in [*TEXTS, (9, "a <|endoftext|> b"), (10, " " * 5000 + "x")]] and [[*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for _, t in [*TEXTS, (9, "a <|endoftext|> b"), (10, " " * 5000 + "x")]])
+    texts = [*TEXTS, (9, "a <|endoftext|> b"), (10, " " * 5000 + "x")]
+    rows = packing.pack(frame(spark, texts), with_ids=True).collect()
+    want = sorted([*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for _, t in texts)
     got = {}
     for r in sorted(rows, key=lambda r: r["sequence_id"]):
         assert r["length"] & (r["length"] - 1) == 0 and r["length"] <= 2048 and r["offset"] == 0 and r["bucket"] == r["length"]
@@ -71,11 +71,9 @@ def test_packing_empty_table(spark):
 
 def test_token_counts_follow_edits(spark, tokenizer):
     texts = [*TEXTS, (11, "call 5551234 now\n\n 99999 times's 12345"), (12, "\n\n 4444"), (13, "1234567")]
-    got = {r["n_chars_after"]: r for r in token_counts.count_tokens(frame(spark, texts)).collect()}
     count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
     rows = sorted((count(t or ""), count(re.sub("[0-9]{4,}", "<NUM>", t or ""))) for _, t in texts)
     assert sorted((r["n_tokens"], r["n_tokens_after"]) for r in token_counts.count_tokens(frame(spark, texts)).collect()) == rows
-    assert got
 
 
 def test_random_edits_equal_a_full_count(tokenizer):
@@ -322,35 +320,74 @@ def test_lm_base_score_equals_brute_force(spark):
     assert rows == sorted(want)
 
 
-def test_lm_model_is_a_distribution_and_learns():
-    from strandloom.llm.attention import Model
+def small_model(vocab=40, classes=4, rows=6, columns=25, seed=0, **kwargs):
+    from strandloom.llm.attention import Contexts, Model
+
+    r = np.random.default_rng(seed)
+    counts = r.integers(1, 50, vocab).astype(float)
+    x = Contexts(np.arange(vocab) % classes, counts, rows, columns)
+    return Model(x, counts, r.integers(0, 5, x.shape).astype(np.float32), **kwargs), r
+
 
-    r = np.random.default_rng(0)
-    vocab, classes = 40, 4
-    class_of = np.arange(vocab) % classes
-    follow = r.integers(0, 5, (classes + 1, vocab)).astype(np.float32)
-    m = Model(class_of, follow, width=8, window=12, overlap=4)
+def test_lm_model_is_a_distribution_and_learns():
+    m, r = small_model(width=8, window=12, overlap=4)
     # the second of each pair repeats the class two before it, which only attention can see
     seq = []
     for _ in range(400):
-        a = r.integers(0, vocab, 6)
-        seq.append(np.ravel(np.column_stack([a, a]))[:13])
-    windows = np.array([[-1, *s[:12]] for s in seq])
+        a = r.integers(0, 40, 6)
+        seq.append(np.ravel(np.column_stack([a, a]))[:12])
+    windows = np.array([[-1, *s] for s in seq])
     losses = m.fit(windows, steps=200, batch=64, rate=0.02)
     assert np.mean(losses[-20:]) < 0.8 * np.mean(losses[:5])
-    before = np.tile(np.array([[-1, 3, 7]]), (vocab, 1))
-    here = np.column_stack([np.full(vocab, 3), np.full(vocab, 7), np.arange(vocab)])
-    assert abs(np.exp(m.log_probs(before, here)[:, 2]).sum() - 1) < 1e-3
+    before = np.tile(np.array([[-1, 3, 7]]), (40, 1))
+    for last in (3, 7, -1):
+        here = np.column_stack([np.full(40, 3), np.full(40, 7), np.arange(40)])
+        before[:, 2] = last
+        assert abs(np.exp(m.log_probs(before, here)[:, 2]).sum() - 1) < 2e-3
+
+
+def test_lm_scoring_agrees_with_the_forward_pass():
+    m, r = small_model(width=8, window=12, overlap=4)
+    windows = np.concatenate([np.full((50, 1), -1), r.integers(0, 40, (50, 12))], axis=1)
+    m.fit(windows, steps=20, batch=32)
+    before, here = windows[:, :-1], windows[:, 1:]
+    *_, y = m._forward(before)
+    p = y - np.log(np.exp(y).sum(axis=2, keepdims=True))
+    x = m.contexts
+    want = np.take_along_axis(p, x.class_of[here][:, :, None].astype(int), axis=2)[:, :, 0]
+    row = np.where(before >= 0, x.row[before], x.start)
+    col = x.column[here]
+    inside = col < m.member.shape[1]
+    own = np.where(inside, m.member[row, np.where(inside, col, 0)], m.share[here] - m.left[row, x.class_of[here]])
+    assert np.allclose(m.log_probs(before, here), want + own, atol=1e-3)
+    assert np.allclose(m.log_probs(before, here, 4), (want + own)[:, 4:], atol=1e-3)
+
+
+def test_lm_context_cells_equal_brute_force():
+    m, r = small_model()
+    x = m.contexts
+    texts = [r.integers(0, 40, n) for n in (1, 5, 9)]
+    got = x.cells(np.concatenate(texts), np.array([0, 1, 6]))
+    want = [(x.row[t[i - 1]] if i else x.start) * x.shape[1] + x.column[t[i]] for t in texts for i in range(len(t))]
+    assert got.tolist() == want
+
+
+def test_lm_chunks_spell_every_word():
+    speller = lm_score._Speller(packing.public_encoder())
+    words = ["the", "naïve", "a\u00a0b", "\u3000x", "x\u2003", "don't", "'s", "12345", "!!", "\x1c", *word_soup(1, 300).split()]
+    for some in (words, words[5:]):
+        lens, ids = speller(some)
+        at = 0
+        for w, n in zip(some, lens.tolist(), strict=True):
+            assert ids[at : at + n].tolist() == speller.encoder(" " + w).tolist(), w
+            at += n
+    n = np.random.default_rng(0).integers(0, 1 << 20, 1000)
+    assert lm_score._swell(lm_score._squeeze(n)).tolist() == n.tolist()
 
 
 def test_lm_scores_every_position_once():
-    from strandloom.llm.attention import Model
-
-    class Ones(Model):
-        def log_probs(self, before, here, first=0):
-            return np.ones((len(before), before.shape[1] - first))
-
-    m = Ones(np.zeros(5, dtype=np.int64), np.ones((2, 5), dtype=np.float32), width=4, window=8, overlap=3)
+    m, _ = small_model(width=4, window=8, overlap=3)
+    m.log_probs = lambda before, here, first=0: np.ones((len(before), before.shape[1] - first))
     lengths = np.array([1, 8, 9, 13, 14, 30, 2])
     assert m.score(np.zeros(lengths.sum(), dtype=np.int64), lengths).tolist() == lengths.tolist()
 
