@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,25 +56,22 @@ def count_segments(nodes: DataFrame, pool: DataFrame, alphabet: Alphabet, *, str
 
 
 def _count_arrow(nodes: DataFrame, usable: DataFrame, alphabet: Alphabet) -> DataFrame:
-    table: dict[int, dict[str, list[int]]] = {}
+    table: dict[str, list[int]] = {}
     for r in usable.toLocalIterator():  # of a checked size
-        forms = {r["segment"], alphabet.complement_of(r["segment"])}
-        for form in forms:
-            table.setdefault(len(form), {}).setdefault(form, []).append(r["seg_id"])
+        for form in {r["segment"], alphabet.complement_of(r["segment"])}:
+            table.setdefault(form, []).append(r["seg_id"])
     sent = nodes.sparkSession.sparkContext.broadcast(table)
     schema = T.StructType([nodes.schema["sample_id"], T.StructField("seg_id", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches):
-        pool = sent.value
+        occurrences = _matcher(sent.value)
         for b in batches:
             rows, segs, ns = [], [], []
             for i, s in enumerate(b.column("seq").to_pylist()):
                 found: dict[int, int] = {}
-                for size, forms in pool.items():
-                    get = forms.get
-                    for at in range(len(s) - size + 1):
-                        for seg in get(s[at : at + size], ()):
-                            found[seg] = found.get(seg, 0) + 1
+                for form, n in Counter(occurrences(s)).items():
+                    for seg in sent.value[form]:
+                        found[seg] = found.get(seg, 0) + n
                 rows += [i] * len(found)
                 segs += found
                 ns += found.values()
@@ -80,6 +80,22 @@ def _count_arrow(nodes: DataFrame, usable: DataFrame, alphabet: Alphabet) -> Dat
     return nodes.select("sample_id", "seq").mapInArrow(run, schema).groupBy("sample_id", "seg_id").agg(F.sum("n").alias("n"))
 
 
+def _matcher(forms: Iterable[str]) -> Callable[[str], Iterable[str]]:
+    """All overlapping occurrences of the forms in a text: one pass of an automaton, or one for each length without it."""
+    try:
+        import ahocorasick
+    except ImportError:
+        lengths, known = sorted({len(f) for f in forms}), frozenset(forms)
+        return lambda s: (w for n in lengths for at in range(len(s) - n + 1) if (w := s[at : at + n]) in known)
+    a = ahocorasick.Automaton()
+    for f in forms:
+        a.add_word(f, f)
+    if not len(a):
+        return lambda s: ()
+    a.make_automaton()
+    return lambda s: (f for _, f in a.iter(s))
+
+
 def stored(n: Column | str = "n", *, uint16: bool = False, presence: bool = False) -> Column:
     """A count as it is stored: saturated, then turned into presence."""
     c = F.col(n) if isinstance(n, str) else n

@@ -20,8 +20,8 @@ def rank_importance(gains: DataFrame, n_labels: int | None = None) -> DataFrame:
     if n_labels is None:
         n_labels = gains.select("label_idx").distinct().count()
     if n_labels > 1:
-        total = F.sum("gain").over(W.partitionBy("label_idx"))
-        gains = gains.withColumn("gain", F.col("gain") / F.when(total == 0, F.lit(1.0)).otherwise(total))
+        totals = gains.groupBy("label_idx").agg(F.sum("gain").alias("__t"))  # one row per label
+        gains = gains.join(F.broadcast(totals), "label_idx").withColumn("gain", F.col("gain") / F.when(F.col("__t") == 0, F.lit(1.0)).otherwise(F.col("__t")))
     return gains.groupBy("seg_id").agg(F.sum("gain").alias("importance"))
 
 

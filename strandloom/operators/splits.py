@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandloom.plans.lineage import number_rows
+
 TEST_SHARE = 0.2
 SEED = 42
 
@@ -31,14 +32,9 @@ def stratified_folds(df: DataFrame, k: int, *, key: str = "sample_id", label: st
         least = df.groupBy(stratum_of(label).alias("s")).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
         label = label if least is not None and least >= k else None
     marked = df.withColumn("stratum", stratum_of(label))
-    sizes = {r["stratum"]: r["n"] for r in marked.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
-    start, at = {}, 0
-    for s in sorted(sizes):
-        start[s] = at % k
-        at += sizes[s]
-    offset = F.coalesce(*(F.when(F.col("stratum") == s, F.lit(o)) for s, o in start.items()), F.lit(0))
-    place = F.row_number().over(W.partitionBy("stratum").orderBy(shuffled(key, seed), key)) - 1
-    return marked.withColumn("fold", F.pmod(place + offset, F.lit(k)).cast("int"))
+    # numbered through all strata, so that no stratum has to be sorted in one task
+    placed = number_rows(marked, [F.col("stratum").asc(), shuffled(key, seed).asc(), F.col(key).asc()], "__r")
+    return placed.withColumn("fold", F.pmod("__r", F.lit(k)).cast("int")).drop("__r")
 
 
 def hold_out(df: DataFrame, *, key: str = "sample_id", label: str | None = None, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
@@ -49,10 +45,15 @@ def hold_out(df: DataFrame, *, key: str = "sample_id", label: str | None = None,
     if label is not None:
         least = df.groupBy(stratum_of(label).alias("s")).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
         label = label if least is not None and least >= 2 else None
-    w = W.partitionBy("__s")
-    marked = df.withColumn("__s", stratum_of(label)).withColumn("__r", F.row_number().over(w.orderBy(shuffled(key, seed), key))).withColumn("__n", F.count(F.lit(1)).over(w))
-    quota = F.least(F.ceil(F.col("__n") * share), F.greatest(F.col("__n") - 1, F.lit(0)))
-    return marked.withColumn("is_test", F.col("__r") <= quota).drop("__s", "__r", "__n")
+    marked = df.withColumn("__s", stratum_of(label))
+    sizes = marked.groupBy("__s").agg(F.count(F.lit(1)).alias("n")).orderBy("__s").collect()  # one row per class
+    quota, at = F.lit(False), 0
+    for r in sizes:
+        test = min(-(-r["n"] * round(share * 1_000_000) // 1_000_000), max(r["n"] - 1, 0))
+        quota = quota | ((F.col("__r") >= at) & (F.col("__r") < at + test))
+        at += r["n"]
+    placed = number_rows(marked, [F.col("__s").asc(), shuffled(key, seed).asc(), F.col(key).asc()], "__r")
+    return placed.withColumn("is_test", quota).drop("__s", "__r")
 
 
 def predefined_folds(df: DataFrame, folds: DataFrame, test: int, num_folds: int = 0, *, item: str = "item") -> tuple[DataFrame, DataFrame]:

@@ -52,7 +52,7 @@ def test_columns(spark):
     assert one(spark, DNA.sanitise("t", keep_unknown=True), "AxG-") == "angn"
     assert one(spark, DNA.reverse_complement("t"), "ang") == "cnt"
     assert one(spark, DNA.canonical("t"), "tttt") == "aaaa" and one(spark, DNA.is_canonical("t"), "cagtt") is False
-    special = Alphabet("]^-\\[.$", complement=None, unknown="$") if False else Alphabet("]^-\\[.", unknown="$")
+    special = Alphabet("]^-\\[.", unknown="$")
     assert one(spark, special.sanitise("t"), "a]b^c-d\\e[f.") == "]^-\\[." and one(spark, special.sanitise("t", keep_unknown=True), "a.") == "$."
     with pytest.raises(ValueError):
         Alphabet("acgtn").sanitise("t", keep_unknown=True)
