@@ -46,7 +46,10 @@ class Booster:
             values = np.unique(known)
             if len(values) > self.bins - 1:
                 values = np.unique(np.quantile(known, np.linspace(0, 1, self.bins - 1), method="nearest"))
-            self.cuts.append((values[:-1] + values[1:]) / 2.0 if len(values) > 1 else np.zeros(0))
+            cuts = (values[:-1] + values[1:]) / 2.0 if len(values) > 1 else np.zeros(0)
+            if self.zero_as_missing and len(values):
+                cuts = np.append(cuts, values[-1] + 1.0)  # all that is there against what is missing
+            self.cuts.append(cuts)
             out[j] = np.searchsorted(self.cuts[j], col, side="right")
         self.width = max((len(c) for c in self.cuts), default=0) + 2
         if self.zero_as_missing:

@@ -35,7 +35,7 @@ def fit_partitions(counts: DataFrame, samples: DataFrame, n_features: int, label
     # a part without any count still has to give its (constant) predictions
     every = spark.range(parts).select(F.lit(None).cast("long").alias("sample_id"), F.lit(None).cast("long").alias("seg_id"), F.lit(None).cast("float").alias("n"), F.col("id").cast("int").alias("part"))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         ids, test, y = sent.value
         part = int(key[0])
         first = part * (size + 1) if part < extra else extra * (size + 1) + (part - extra) * size

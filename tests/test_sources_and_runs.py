@@ -29,8 +29,8 @@ def genomes(tmp_path_factory):
     for i in range(20):
         a, b = bases(r), bases(r)
         if i % 2 == 0:
-            a = a[:40] + MOTIF + a[40:]
-            b = b[:10] + MOTIF + b[10:]
+            a = a[:40] + 3 * MOTIF + a[64:]
+            b = b[:10] + 3 * MOTIF + b[34:]
         name = d / f"{i:03d}.fna"
         name.write_text(f">one\n{a[:60]}\n{a[60:]}\n>two\n{b.upper()}\n")
         rows.append((1 - i % 2, name.name))
@@ -186,14 +186,13 @@ def test_planted_motif_regression(spark, planted, tmp_path):
 
 def test_binary_files(spark, genomes, tmp_path):
     small = {k: v for k, v in SMALL.items() if k not in ("data_column", "id_column")}
-    run = TrainingPipeline(spark, label_file=str(genomes / "labels.csv"), label_columns="labels", data_dir=str(genomes), binary=True, folds=2, sparse=True, uint16=True, binary_features=True, **small)
+    run = TrainingPipeline(spark, label_file=str(genomes / "labels.csv"), label_columns="labels", data_dir=str(genomes), binary=True, folds=2, sparse=True, uint16=True, **small)
     result = run.train()
     assert len(result.folds) == 2 and result.metric.name == "auroc" and result.score >= 0.9
     files = [str(genomes / f"{i:03d}.fna") for i in (1, 0)]
     p = result.model.predict(files)
     assert p[1] > p[0]
     assert np.allclose(p, result.model.predict_sequences([open(f).read() for f in files]))
-    assert {r["n"] for r in result.model.count(spark.createDataFrame([(0, open(files[0]).read())], "sample_id long, text string")).collect()} == {1}
     prefix = str(tmp_path / "m")
     assert [x.rsplit("/", 1)[1] for x in result.model.save(prefix)] == ["m.json", "m_segs.csv", "m_meta.json"]
     scored = InferencePipeline(spark, prefix).score_files(str(genomes)).collect()
@@ -202,6 +201,13 @@ def test_binary_files(spark, genomes, tmp_path):
     assert [r["Importance"] for r in merged] == sorted((r["Importance"] for r in merged), reverse=True)
 
 
+def test_presence_features(spark, planted):
+    run = BaselinePipeline(spark, table=planted, label_columns="mic", metric="rmse", binary_features=True, sparse=True, **(SMALL | {"num_rounds": 5}))
+    model = run.train().model
+    assert {r["n"] for r in model.count(planted, "id", "sequence").collect()} == {1}
+    assert model.metadata()["binary_features"] and np.ptp(model.predict_sequences([r["sequence"] for r in planted.limit(8).collect()])) > 0
+
+
 def test_multi_label_and_baseline(spark, planted):
     run = BaselinePipeline(spark, table=planted, label_columns=["mic", "growth"], metric="rmse", standardise_labels=True, **SMALL)
     result = run.train()
