@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,68 +121,67 @@ class Lexicon:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, self.slope * raw + self.shift))))
 
 
-def _features(text: str | None, longest: int) -> set[str]:
-    out: set[str] = set()
-    for w in set(fold(text).split()):
-        out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in range(3, min(longest, len(w)) + 1))
-    return out
-
-
-def _counted(sample: DataFrame, label: int, longest: int, only=None, least: int = 1) -> Counter:
-    """Documents of a label per feature; ``only``: a set of features (else those of at least ``least`` documents)."""
+def _contexts(labelled: DataFrame) -> DataFrame:
+    """``y, word, c``: every folded word with a hash of itself and its neighbours; within a slice of texts each once."""
 
     def run(batches):
-        c: Counter = Counter()
         for whole in batches:
             for b in slices(whole, "text"):
-                for t in b.column("text").to_pylist():
-                    f = _features(t, longest)
-                    c.update(f & only if only is not None else f)
-        names, n = list(c), list(c.values())
-        for i in range(0, len(names), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 50_000], pa.string()), pa.array(n[i : i + 50_000], pa.int64())], names=["feature", "n"])
+                for label in (0, 1):
+                    seen: set[tuple[str, int]] = set()
+                    for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+                        if y == label:
+                            w = ["", *fold(t).split(), ""]
+                            seen.update((v, xxhash.xxh64_intdigest(f"{u} {v} {x}") >> 1) for u, v, x in zip(w, w[1:], w[2:], strict=False))
+                    words, hashes = ([k[i] for k in seen] for i in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array([label] * len(seen), pa.int32()), pa.array(words, pa.string()), pa.array(hashes, pa.int64())], names=["y", "word", "c"])
 
-    rows = sample.filter(F.col("y") == label).select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    return Counter({r["feature"]: r["n"] for r in rows.filter(F.col("n") >= least).toLocalIterator()})
+    return labelled.select("text", "y").mapInArrow(run, "y int, word string, c long").distinct()
 
 
-def learn_lexicon(labelled: DataFrame, *, longest: int = 10, least: int | None = None, odds: float = 2.0) -> Lexicon:
+def learn_lexicon(labelled: DataFrame, *, longest: int = 16, least: int = 4, odds: float = 3.0) -> Lexicon:
     """``labelled(text, y)``, a bounded sample, to a lexicon and its curve.
 
-    A stem or word enters if it is in at least ``least`` toxic texts and its smoothed log-odds reach ``odds``;
-    a longer form of an entry enters only if it tells clearly more, and a stem seen in one full word only enters as
-    that word. Without toxic or clean rows the seed words alone stay.
+    Words are counted by the distinct contexts they stand in, so that copies of a text count once. Candidates are whole
+    words and beginnings of 3..``longest`` letters; one enters if its log-odds for toxic texts reach ``odds`` and its
+    likelihood ratio would be a surprise among all candidates. Of candidates that begin with each other the one with the
+    largest likelihood ratio is taken, in the longest form that covers the same contexts. Without toxic or clean rows the seed words alone stay.
     """
-    n = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = n.get(1, 0), n.get(0, 0)
     seeds = {f" {w} ": 3.0 for w in SEED_WORDS}
-    if not toxic or not clean:
+    words = cut(_contexts(labelled).groupBy("word").agg(F.sum(F.col("y").cast("long")).alias("a"), F.sum((1 - F.col("y")).cast("long")).alias("b")))
+    total = words.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    if not total["a"] or not total["b"]:
         return Lexicon(seeds, list(SEED_PHRASES))
-    least = least if least is not None else max(3, round(toxic * 0.004))
-    seen = _counted(labelled, 1, longest, least=least)
-    against = _counted(labelled, 0, longest, only=frozenset(seen))
-    weight = {f: math.log((k + 0.5) / (toxic + 1)) - math.log((against[f] + 0.5) / (clean + 1)) for f, k in seen.items()}
+    ta, tb = float(total["a"]), float(total["b"])
+    n = F.length("word")
+    stems = F.when(n >= 3, F.transform(F.sequence(F.lit(3), F.least(n, F.lit(longest))), lambda k: F.concat(F.lit(" "), F.substring("word", F.lit(1), k)))).otherwise(F.array().cast("array<string>"))
+    forms = words.select(F.explode(F.concat(stems, F.array(F.concat(F.lit(" "), "word", F.lit(" "))))).alias("f"), "a", "b").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    tested = forms.filter(F.col("a") >= least)
+    odd = F.log((F.col("a") + 0.5) / ta) - F.log((F.col("b") + 0.5) / tb)
+    part = lambda x, share: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / ((F.col("a") + F.col("b")) * share))).otherwise(0.0)
+    ratio = 2 * (part("a", ta / (ta + tb)) + part("b", tb / (ta + tb)))
+    rated = cut(tested.select("f", "a", "b", odd.alias("w"), ratio.alias("g")))
+    bound = 2 * (math.log(max(1, rated.count())) + 3)
+    best = rated.filter((F.col("w") >= odds) & (F.col("g") >= bound)).orderBy(F.desc("g"), "f").limit(8 * MAX_ENTRIES).collect()
+    known = {r["f"]: r for r in best}
+    longer: dict[str, list[str]] = {}
+    for f in known:
+        longer.setdefault(f[:-1], []).append(f)
     entries: dict[str, float] = {}
-    for f in sorted(weight, key=lambda f: (len(f.strip()), f.endswith(" "), f)):
-        w = weight[f]
-        if w < odds:
+    taken: set[str] = set()  # all beginnings of entries
+    for r in best:
+        f = r["f"]
+        begins = [f[:k] for k in range(4, len(f) + 1)]
+        if f in taken or any(x in entries for x in begins):
             continue
-        stem = f.rstrip(" ")
-        above = max((entries[stem[:k]] for k in range(4, len(stem) + 1) if stem[:k] in entries and stem[:k] != f), default=None)
-        if above is not None and w < above + 1.5:
-            continue
-        whole = f if f.endswith(" ") else next((x for x in (f"{stem}{tail} " for tail in [""]) if seen.get(x) == seen[f]), f)
-        entries[whole] = w
-    # a stem all of whose toxic texts hold one and the same full word is that word
-    words = [x for x in weight if x.endswith(" ")]
-    for f in [x for x in entries if not x.endswith(" ")]:
-        same = [w for w in words if w.startswith(f) and seen[w] >= 0.95 * seen[f]]
-        if len(same) == 1 and weight[same[0]] >= odds:
-            del entries[f]
-            entries[same[0]] = weight[same[0]]
-    entries = dict(sorted(entries.items(), key=lambda x: (-x[1] * math.log(1 + seen[x[0]]), x[0]))[:MAX_ENTRIES])
-    lexicon = Lexicon({**{k: v for k, v in seeds.items() if weight.get(k, 1.0) > 0}, **entries}, list(SEED_PHRASES))
+        while more := [x for x in longer.get(f, ()) if known[x]["a"] >= 0.95 * r["a"]]:  # as long a form as covers the same
+            f = max(more, key=lambda x: (known[x]["a"], x))
+        entries[f] = known[f]["w"]
+        taken.update(f[:k] for k in range(4, len(f) + 1))
+        if len(entries) == MAX_ENTRIES:
+            break
+    against = {r["f"] for r in rated.filter(F.col("f").isin(list(seeds)) & (F.col("w") < 1)).collect()}
+    lexicon = Lexicon({**{k: v for k, v in seeds.items() if k not in against and not any(k[:j] in entries for j in range(4, len(k) + 1))}, **entries}, list(SEED_PHRASES))
     _calibrate(lexicon, labelled)
     return lexicon
 
