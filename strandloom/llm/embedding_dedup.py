@@ -23,7 +23,9 @@ from strandloom.llm.components import connected_components
 COSINE = 0.95
 #: Nearest pivots that describe a vector, and how many of them two vectors must share.
 NEAREST = 8
-SHARED = 3
+SHARED = 2
+#: Vectors that pivots are chosen from: so many for each, taken by a hash.
+SAMPLED = 4
 #: Pivots grow as twice the root of the number of distinct vectors, up to this many, so that lists stay short.
 MOST_PIVOTS = 1024
 #: Bits of 64 random signs that may differ; at cosine 0.95 about 6.5 do, with a deviation of 2.4.
@@ -39,11 +41,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _choose_pivots(reps: DataFrame, n: int, size: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Pivots (unit rows) and sketch directions for vectors of ``size`` components."""
     m = max(16, min(MOST_PIVOTS, round(2 * math.sqrt(n))))
-    some = reps.orderBy(F.xxhash64("v"), "rid").limit(m).select("v").collect()  # at most MOST_PIVOTS vectors
+    some = reps.orderBy(F.xxhash64("v"), "rid").limit(SAMPLED * m).select("v").collect()  # a bounded sample
     rng = np.random.default_rng(seed)
-    p = np.array([r["v"] for r in some], dtype=np.float64).reshape(len(some), size)
+    x = np.array([r["v"] for r in some], dtype=np.float64).reshape(len(some), size)
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    # each next pivot is the one least like those chosen, so that a crowd of like vectors gives one
+    chosen, near = [], np.full(len(x), -2.0)
+    while len(chosen) < min(m, len(x)):
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, x @ x[chosen[-1]])
+        near[chosen] = np.inf
+    p = x[chosen].reshape(len(chosen), size)
     p = np.concatenate([p, rng.normal(size=(m - len(p), size))]) if len(p) < m else p
-    p = p / np.maximum(np.abs(p).max(axis=1, keepdims=True), 1e-300)
     return p / np.linalg.norm(p, axis=1, keepdims=True), rng.normal(size=(size, 64))
 
 
