@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import scalars, sequence
 from strandloom.functions.alphabet import Alphabet
 from strandloom.operators import counting, metrics, pool, selection, splits
-from strandloom.plans.lineage import number_rows
+from strandloom.plans.lineage import number_rows, prefix_sums
 from strandloom.plans.training import BaselinePipeline, TrainingPipeline
 from strandloom.sources.labels import invalid_labels, numeric
 
@@ -250,26 +250,13 @@ def _(spark, d):
 
 @query(
     "extend_segments",
-    f"WITH {_WORDS_SQL}, s AS (SELECT * FROM bp WHERE length(segment) BETWEEN 3 AND 4), a AS (SELECT unnest(range(27)) AS c), "
-    "e AS (SELECT 1 AS i, c AS code, substr('abcdefghijklmnopqrstuvwxyz ', c + 1, 1) AS e FROM a), "
+    f"WITH {_WORDS_SQL}, s AS (SELECT * FROM bp WHERE length(segment) BETWEEN 3 AND 4), a AS (SELECT c, substr('abcdefghijklmnopqrstuvwxyz ', c + 1, 1) AS x FROM range(27) r(c)), "
+    "e AS (SELECT 1 AS i, c AS code, x AS e FROM a UNION ALL SELECT 2, p.c * 27 + q.c, p.x || q.x FROM a p, a q), "
     "x AS (SELECT 1 AS part, seg_id, i, code, j, substr(e, 1, j) || segment || substr(e, j + 1) AS segment FROM s, e, unnest(range(0, i + 1)) u(j) UNION ALL SELECT 0, seg_id, 0, 0, 0, segment FROM bp), "
     "f AS (SELECT segment, min((part, seg_id, i, code, j)) AS o FROM x GROUP BY segment) SELECT row_number() OVER (ORDER BY o) - 1 AS seg_id, segment FROM f",
 )
 def _(spark, d):
-    # lengths 3..4 are due, extended by one character: two steps of one character each
-    p = _word_pool(spark, d)
-    due = p.filter(F.length("segment").between(3, 4))
-    grown = None
-    for last in (2, 3):
-        mine = due.filter(F.length("segment") == last + 1)
-        one = pool.extend(mine, LETTERS, last, 1).filter(F.length("segment") == last + 2).select("segment")
-        grown = one if grown is None else grown.unionByName(one)
-    # the order of new entries follows the pool, whatever their length
-    codes = due.withColumn("code", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(26).cast("long")))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(1))))
-    e = LETTERS.decode("code", 1)
-    spelled = codes.select("seg_id", "code", "j", F.when(F.col("j") == 0, F.concat("segment", e)).otherwise(F.concat(e, "segment")).alias("segment")).join(grown.distinct(), "segment", "left_semi")
-    first = spelled.groupBy("segment").agg(F.min(F.struct("seg_id", "code", "j")).alias("o"))
-    return pool.append(p, number_rows(first, [F.col("o").asc()], "ord"))
+    return pool.extend(_word_pool(spark, d), LETTERS, 2, 2)
 
 
 @query(
@@ -312,6 +299,28 @@ def _(spark, d):
     return _word_pool(spark, d).select("seg_id", DNA.matchable("segment").alias("matchable"))
 
 
+@query("pool_append", f"WITH {_WORDS_SQL}, c AS (SELECT w AS segment, min((conv_id, turn, i)) AS o FROM (SELECT conv_id, turn, unnest(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ')) AS w, generate_subscripts(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '), 1) AS i FROM conversations) WHERE w <> '' GROUP BY w), n AS (SELECT segment, row_number() OVER (ORDER BY o) - 1 AS ord FROM c WHERE segment NOT IN (SELECT segment FROM bp)) SELECT seg_id, segment FROM bp UNION ALL SELECT (SELECT count(*) FROM bp) + row_number() OVER (ORDER BY ord) - 1, segment FROM n")
+def _(spark, d):
+    words = F.posexplode(F.split(LETTERS.sanitise("text"), " "))
+    w = table(spark, d, "conversations").select("conv_id", "turn", words.alias("i", "segment")).filter("segment <> ''")
+    first = w.groupBy("segment").agg(F.min(F.struct("conv_id", "turn", "i")).alias("o"))
+    return pool.append(_word_pool(spark, d), number_rows(first, [F.col("o").asc()], "ord"))
+
+
+@query("pool_subset", f"WITH {_WORDS_SQL} SELECT row_number() OVER (ORDER BY length(segment) DESC, seg_id) - 1 AS seg_id, segment FROM bp WHERE length(segment) > 5")
+def _(spark, d):
+    p = _word_pool(spark, d)
+    ranked = number_rows(p.filter(F.length("segment") > 5), [F.length("segment").desc(), F.col("seg_id").asc()], "rank").select("seg_id", "rank")
+    return pool.SegmentPool(p).subset(ranked).table
+
+
+@query("segment_alphabet", f"WITH {_WORDS_SQL} SELECT DISTINCT substr(segment, i, 1) AS outside FROM bp, unnest(range(1, length(segment) + 1)) u(i) WHERE substr(segment, i, 1) NOT IN ('a', 't', 'g', 'c', 'n')")
+def _(spark, d):
+    used = _word_pool(spark, d).select(F.explode(F.split("segment", "")).alias("outside")).distinct()
+    known = spark.createDataFrame([(c,) for c in DNA.symbols(include_unknown=True)], "outside string")
+    return used.join(F.broadcast(known), "outside", "left_anti")
+
+
 # --- labels and splits
 
 
@@ -519,6 +528,31 @@ def _(spark, d):
     return metrics.average_ranks(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "r").select("doc_id", "r")
 
 
+@query("class_union", f"WITH x AS ({_CLASSES}) SELECT round_even(y, 0) AS k FROM x UNION SELECT round_even(p, 0) FROM x")
+def _(spark, d):
+    c = _classes(spark, d)
+    return c.select(scalars.discretise("y").alias("k")).union(c.select(scalars.discretise("p").alias("k"))).distinct()
+
+
+@query(
+    "precision_recall_points",
+    f"WITH x AS ({_TOXIC}), g AS (SELECT p, count(*) AS n, count(*) FILTER ({_POS}) AS pos FROM x GROUP BY p), h AS (SELECT p, sum(pos) OVER (ORDER BY p DESC) AS hits, sum(n) OVER (ORDER BY p DESC) AS seen, pos FROM g) "
+    "SELECT p, CAST(hits AS BIGINT) AS hits, CAST(seen AS BIGINT) AS seen, round(hits / seen, 6) AS precision, round(pos / (SELECT sum(pos) FROM g), 6) AS recall_step FROM h",
+)
+def _(spark, d):
+    x = _toxic(spark, d)
+    by = x.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if(scalars.is_positive("y")).alias("pos"))
+    total = x.filter(scalars.is_positive("y")).count()
+    got = prefix_sums(by, [F.col("p").desc()], {"hits": F.col("pos"), "seen": F.col("n")})
+    return got.select("p", "hits", "seen", _r(F.col("hits") / F.col("seen")).alias("precision"), _r(F.col("pos") / F.lit(float(total))).alias("recall_step"))
+
+
+@query("binary_cells", f"WITH x AS ({_TOXIC}) {_CELLS}")
+def _(spark, d):
+    tp, fp, tn, fn = metrics._cells(F.col("y"), F.col("p"))
+    return _toxic(spark, d).agg(tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"))
+
+
 # --- results over folds
 
 _FOLDS_SQL = "SELECT doc_id, CAST(i AS INTEGER) AS Fold, round((n_chars % 1000) / 1000.0, 3) AS Prediction, CAST(quality AS DOUBLE) AS Actual FROM labels JOIN documents USING (doc_id), unnest(range(0, 3)) u(i) WHERE doc_id % 3 = i"
@@ -571,6 +605,16 @@ def _(spark, d):
     return BaselinePipeline(spark, **_settings(_labelled(spark, d)), k=2).train().predictions
 
 
+@query("train_predict_levels")
+def _(spark, d):
+    return BaselinePipeline(spark, **(_settings(_labelled(spark, d)) | {"num_rounds": 3}), k=1, backend="levels").train().predictions
+
+
+@query("random_segments")
+def _(spark, d):
+    return pool.SegmentPool.of(spark, list(DNA_POOL), 0, 5).filled(DNA, 500, 6).table
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments and their importance after binary training on the labelled documents."""
     run = TrainingPipeline(spark, **_settings(_labelled(spark, sf_dir)), k=2, ext=1, target=3, features=60)

@@ -19,7 +19,8 @@ from strandloom.operators.pool import SegmentPool
 from strandloom.operators.selection import LabelScaler, mean_gain, rank_importance, scale_mismatch, top_features, with_importance
 from strandloom.operators.splits import hold_out, stratified_folds
 from strandloom.plans.boosting import NODE_COLUMNS
-from strandloom.plans.fitting import fit_partitions, mean_predictions, tree_nodes
+from strandloom.plans.fitting import MOST_SAMPLES, fit_partitions, mean_predictions, tree_nodes
+from strandloom.plans.levels import fit_levels
 from strandloom.plans.lineage import cut, number_rows
 from strandloom.plans.model import SegmentModel
 from strandloom.plans.results import FoldResult, SegmentImportance, TrainingResult, prediction_columns, wide_predictions
@@ -71,9 +72,12 @@ class TrainingPipeline:
     import_file: str | None = None
     count_strategy: str = "auto"
     baseline: bool = False
+    backend: str = "auto"
     rounds_done: list[dict] = field(default_factory=list)
 
     def __post_init__(self) -> None:
+        if self.backend not in ("auto", "tasks", "levels") or self.backend == "levels" and self.sparse:
+            raise ValueError("backend is auto, tasks or levels; levels has no missing values")
         if self.standardise_labels and self.binary:
             raise ValueError("binary labels are not standardised")
         if not isinstance(self.alphabet, Alphabet):
@@ -141,6 +145,9 @@ class TrainingPipeline:
         return cut(got.select("sample_id", "seg_id", stored("n", uint16=self.uint16, presence=self.binary_features).alias("n")))
 
     def _fit(self, counts: DataFrame, samples: DataFrame, n: int, target: int):
+        """Boosters in tasks, or, beyond the samples that a task may hold, trees grown by joins."""
+        if self.backend == "levels" or self.backend == "auto" and not self.sparse and samples.count() > MOST_SAMPLES:
+            return fit_levels(counts, samples, self.labels, binary=self.binary, rounds=self.num_rounds, rate=self.lr)
         return fit_partitions(counts, samples, n, self.labels, target=target, binary=self.binary, rounds=self.num_rounds, rate=self.lr, zero_as_missing=self.sparse)
 
     def _first_pool(self) -> SegmentPool:

@@ -159,6 +159,28 @@ def test_first_split_equals_an_exhaustive_search():
     assert root[5] == pytest.approx(best[0]) and root[3] == best[1] and root[4] == best[2]
 
 
+@pytest.mark.parametrize("binary", [False, True])
+def test_levels_equal_the_booster(spark, binary):
+    from strandloom.plans.levels import fit_levels
+
+    r = np.random.default_rng(8)
+    x = r.integers(0, 3, (80, 6)).astype(np.float32)
+    y = (x[:, 2] + x[:, 4] * (x[:, 1] > 0) > 1.5).astype(float) if binary else x[:, 2] * 2 - x[:, 4] + r.normal(size=80) * 0.01
+    test = np.arange(80) % 4 == 0
+    want = boosting.Booster(binary=binary, rounds=3, rate=0.5).fit(x[~test], y[~test], x[test], y[test])
+    counts = spark.createDataFrame([(i, j, int(x[i, j])) for i in range(80) for j in range(6) if x[i, j]], "sample_id long, seg_id long, n long")
+    samples = spark.createDataFrame([(i, bool(test[i]), float(y[i])) for i in range(80)], "sample_id long, is_test boolean, y double")
+    fitted, base = fit_levels(counts, samples, ["y"], binary=binary, rounds=3, rate=0.5)
+    got = {q["sample_id"]: q["prediction"] for q in fitted.filter("kind = 'prediction'").collect()}
+    p = want.predict(x)[:, 0]
+    assert base[0] == pytest.approx(want.base[0])
+    assert [got[i] for i in range(80) if not test[i]] == pytest.approx([p[i] for i in range(80) if not test[i]])
+    roots = [(q["tree_id"], q["seg_id"]) for q in fitted.filter("kind = 'node' AND node_id = 0").orderBy("tree_id").collect()]
+    assert roots == [(n[1], n[3]) for n in want.nodes if n[2] == 0]
+    model = SegmentModel(spark, [tuple(q[c] for c in boosting.NODE_COLUMNS) for q in fitted.filter("kind = 'node'").collect()], base, list("abcdef"), [0.0] * 6, Alphabet("abcdef"), ["y"], binary=binary)
+    assert np.allclose(boosting.predict(x, model.nodes, base, binary)[:, 0], [got[i] for i in range(80)])
+
+
 def test_booster_without_signal_or_rows():
     assert boosting.Booster(rounds=3).fit(np.zeros((5, 2), np.float32), np.arange(5.0)).predict(np.zeros((1, 2)))[0, 0] == pytest.approx(2.0, abs=0.1)
     assert boosting.Booster(rounds=3).fit(np.zeros((4, 0), np.float32), np.ones(4)).predict(np.zeros((2, 0))).tolist() == [[1.0], [1.0]]
