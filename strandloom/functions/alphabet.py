@@ -20,6 +20,8 @@ AUTO = _Auto()
 DNA = "atgc"
 DNA_PAIRS = {"a": "t", "t": "a", "g": "c", "c": "g"}
 UNKNOWN = "n"
+#: Digits of positional systems up to base 36.
+_DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
 def _col(c: Column | str) -> Column:
@@ -173,6 +175,9 @@ class Alphabet:
     def encode(self, segment: Column | str) -> Column:
         """The segment as a number to the base of the alphabet, first character most significant; null if it does not fit."""
         s = _col(segment)
+        if self.base <= len(_DIGITS) and not set(self.symbols()) & {"\0"}:  # the numbers of a positional system, in generated code
+            number = F.conv(F.translate(s, self.symbols(), _DIGITS[: self.base]), max(self.base, 2), 10).cast("long")
+            return F.when(F.length(s) == 0, F.lit(0).cast("long")).when(~s.rlike(self._class()), number)
         places = F.sequence(F.lit(1), F.length(s))
         code = lambda i: F.instr(F.lit(self.symbols()), F.substring(s, i, F.lit(1))) - 1
         value = F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a * self.base + code(i))

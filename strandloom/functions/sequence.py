@@ -46,11 +46,13 @@ def character_at(nodes: DataFrame, index: int) -> DataFrame:
 
 
 def blocks(seq: Column | str, longest: int, block: int = BLOCK) -> Column:
-    """Blocks of a text that overlap by ``longest - 1``, so that every window lies whole in one."""
-    s = _col(seq)
-    n = F.length(s)
-    cut = F.transform(F.sequence(F.lit(0), F.call_function("div", n - 1, F.lit(block)).cast("int")), lambda b: F.substring(s, b * block + 1, F.lit(block + longest - 1)))
-    return F.when(n > 0, cut).otherwise(F.array().cast("array<string>"))
+    """Blocks of a text that overlap by ``longest - 1``, so that every window lies whole in one.
+
+    The text is cut by one pattern, in time linear in its length, and each part gets the head of the next."""
+    parts = F.regexp_extract_all(_col(seq), F.lit(f"(?s).{{1,{max(block, longest)}}}"), F.lit(0))
+    if longest <= 1:
+        return parts
+    return F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.substring(F.get(parts, i + 1), F.lit(1), F.lit(longest - 1)), F.lit(""))))
 
 
 def windows(nodes: DataFrame, lengths: list[int], *, keep: tuple[str, ...] = ("sample_id",), seq_column: str = "seq", block: int = BLOCK) -> DataFrame:
@@ -58,15 +60,15 @@ def windows(nodes: DataFrame, lengths: list[int], *, keep: tuple[str, ...] = ("s
     lengths = sorted({n for n in lengths if n > 0})
     if not lengths:
         return nodes.select(*keep, F.lit("").alias("window")).limit(0)
+    # one arm a length; places are exploded, not mapped over, so that cutting stays in generated code
+    block = max(block, max(lengths))
     blocked = nodes.select(*keep, F.explode(blocks(seq_column, max(lengths), block)).alias("__b"))
-    arms = [blocked.filter(F.length("__b") >= n).select(*keep, F.explode(_cut("__b", n, block)).alias("window")) for n in lengths]
+    arms = []
+    for n in lengths:
+        places = F.explode(F.sequence(F.lit(1), F.least(F.lit(block), F.length("__b") - (n - 1))))
+        placed = blocked.filter(F.length("__b") >= n).select(*keep, "__b", places.alias("__i"))
+        arms.append(placed.select(*keep, F.substring("__b", F.col("__i"), F.lit(n)).alias("window")))
     out = arms[0]
     for arm in arms[1:]:
         out = out.unionByName(arm)
     return out
-
-
-def _cut(text: str, n: int, block: int) -> Column:
-    """Windows of length ``n`` that begin in the first ``block`` places."""
-    places = F.sequence(F.lit(1), F.least(F.lit(block), F.length(text) - (n - 1)))
-    return F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(n)))

@@ -107,7 +107,8 @@ def text_table(source: DataFrame | str, data_column: str, label_columns: str | l
         usable = usable & F.col(n).isNotNull()
     kept = picked.filter(F.coalesce(usable, F.lit(False)))
     kept = kept if id_column else cut(kept)
-    n_all, n_kept = source.count(), kept.count()
+    seen = picked.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.coalesce(usable, F.lit(False))).alias("kept")).first()
+    n_all, n_kept = seen["all"], seen["kept"]
     if not n_kept:
         raise ValueError("no row has both a text and labels")
     if n_kept < n_all:
