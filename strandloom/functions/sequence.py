@@ -52,7 +52,7 @@ def blocks(seq: Column | str, longest: int, block: int = BLOCK) -> Column:
     parts = F.regexp_extract_all(_col(seq), F.lit(f"(?s).{{1,{max(block, longest)}}}"), F.lit(0))
     if longest <= 1:
         return parts
-    return F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.substring(F.get(parts, i + 1), F.lit(1), F.lit(longest - 1)), F.lit(""))))
+    return F.zip_with(parts, F.slice(parts, 2, F.size(parts)), lambda x, y: F.concat(x, F.coalesce(F.substring(y, F.lit(1), F.lit(longest - 1)), F.lit(""))))
 
 
 def windows(nodes: DataFrame, lengths: list[int], *, keep: tuple[str, ...] = ("sample_id",), seq_column: str = "seq", block: int = BLOCK) -> DataFrame:
