@@ -188,6 +188,11 @@ def _counts_sql(clean: str, segments, canonical: bool) -> str:
 
 
 @query("segment_counts", _counts_sql(_CLEAN, WORDS, False) + "SELECT doc_id, seg_id, n FROM c")
+def _(spark, d):
+    return counting.count_segments(_nodes(spark, d, LETTERS), _pool(spark, WORDS), LETTERS).withColumnRenamed("sample_id", "doc_id")
+
+
+@query("segment_counts_join", _counts_sql(_CLEAN, WORDS, False) + "SELECT doc_id, seg_id, n FROM c")
 def _(spark, d):
     return counting.count_segments(_nodes(spark, d, LETTERS), _pool(spark, WORDS), LETTERS, strategy="join").withColumnRenamed("sample_id", "doc_id")
 

@@ -18,6 +18,8 @@ from strandloom.functions.sequence import windows
 UINT16 = 65_535
 #: Segments of a pool that are sent to every task at most; larger pools are joined.
 BROADCAST_SEGMENTS = 2_000_000
+#: Segments of a pool that are counted by a pattern each at most.
+PATTERNS = 32
 
 
 def kmer_histogram(nodes: DataFrame, alphabet: Alphabet, k: int, dense: bool = False) -> DataFrame:
@@ -34,8 +36,9 @@ def count_segments(nodes: DataFrame, pool: DataFrame, alphabet: Alphabet, *, str
     """``sample_id, seg_id, n``: occurrences of each pool segment (``seg_id, segment``), zeros left out.
 
     With a complement, a canonical segment counts on both strands and one that is not canonical counts nothing; empty
-    segments and such outside the alphabet count nothing; equal segments count each. ``join`` is a plan of built-in
-    functions, ``arrow`` slides over the texts in Python with the pool at hand; both give the same rows.
+    segments and such outside the alphabet count nothing; equal segments count each. All strategies give the same rows:
+    ``pattern`` counts look-ahead matches of each segment of a small pool, ``join`` joins windows with the pool, ``arrow``
+    runs an automaton of the pool over Arrow batches.
     """
     usable = pool.filter(alphabet.matchable("segment")).select("seg_id", "segment")
     sized = usable.groupBy(F.length("segment").alias("len")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per length
@@ -43,11 +46,13 @@ def count_segments(nodes: DataFrame, pool: DataFrame, alphabet: Alphabet, *, str
     total = sum(r["n"] for r in sized)
     text = nodes.withColumn("seq", alphabet.normalise("seq"))
     if strategy == "auto":
-        strategy = "arrow" if len(lengths) > 2 and total <= BROADCAST_SEGMENTS else "join"
+        strategy = "pattern" if total <= PATTERNS else "arrow" if len(lengths) > 2 and total <= BROADCAST_SEGMENTS else "join"
+    if strategy == "pattern":
+        return _count_patterns(text, usable, alphabet)
     if strategy == "arrow":
         return _count_arrow(text, usable, alphabet)
     if strategy != "join":
-        raise ValueError("strategy is auto, join or arrow")
+        raise ValueError("strategy is auto, pattern, join or arrow")
     w = windows(text, lengths).select("sample_id", alphabet.canonical("window").alias("segment"))
     if total <= 100_000:  # a pool of checked size thins the windows before they are grouped
         w = w.join(F.broadcast(usable.select("segment").distinct()), "segment", "left_semi")
@@ -55,6 +60,19 @@ def count_segments(nodes: DataFrame, pool: DataFrame, alphabet: Alphabet, *, str
     return seen.join(usable, "segment").select("sample_id", "seg_id", "n")
 
 
+def _count_patterns(nodes: DataFrame, usable: DataFrame, alphabet: Alphabet) -> DataFrame:
+    exact = lambda form: "(?=" + "".join(f"\\x{{{ord(c):x}}}" for c in form) + ")"
+    each = []
+    for r in usable.orderBy("seg_id").collect():  # a small pool
+        forms = sorted({r["segment"], alphabet.complement_of(r["segment"])})
+        n = sum((F.regexp_count("seq", F.lit(exact(f))).cast("long") for f in forms), F.lit(0).cast("long"))
+        each.append(F.struct(F.lit(r["seg_id"]).cast("long").alias("seg_id"), n.alias("n")))
+    if not each:
+        return nodes.select("sample_id", F.lit(0).cast("long").alias("seg_id"), F.lit(0).cast("long").alias("n")).limit(0)
+    counted = nodes.select("sample_id", F.explode(F.array(*each)).alias("c")).select("sample_id", "c.seg_id", "c.n").filter("n > 0")
+    return counted.groupBy("sample_id", "seg_id").agg(F.sum("n").alias("n"))
+
+
 def _count_arrow(nodes: DataFrame, usable: DataFrame, alphabet: Alphabet) -> DataFrame:
     table: dict[str, list[int]] = {}
     for r in usable.toLocalIterator():  # of a checked size

@@ -39,7 +39,7 @@ class Booster:
         """Thresholds per column, and the column's bins; the last bin is for missing values."""
         n, f = x.shape
         self.cuts: list[np.ndarray] = []
-        out = np.zeros((f, n), dtype=np.int32)
+        out = np.zeros((f, n), dtype=np.uint16)
         for j in range(f):
             col = x[:, j]
             known = col[col != 0] if self.zero_as_missing else col
@@ -55,8 +55,11 @@ class Booster:
         if self.zero_as_missing:
             out[x.T == 0] = self.width - 1
         self.binned = out
-        self.flat = out + np.arange(f, dtype=np.int64)[:, None] * self.width
-        self.n_cuts = np.array([len(c) for c in self.cuts])
+        self.n_cuts = np.array([len(c) for c in self.cuts], dtype=np.int64)
+        # histograms are summed over what is not zero; the bin of zeros gets the rest of a node's total
+        self.zero_bin = np.array([self.width - 1 if self.zero_as_missing else int(np.searchsorted(c, 0.0, side="right")) for c in self.cuts], dtype=np.int64)
+        self.entry_row, column = np.nonzero(x)
+        self.entry_cell = column * self.width + out[column, self.entry_row]
 
     def _grad(self, f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not self.binary:
@@ -70,46 +73,62 @@ class Booster:
         p = np.clip(1 / (1 + np.exp(-f)), 1e-15, 1 - 1e-15)
         return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
-    def _split(self, rows: np.ndarray, g: np.ndarray, h: np.ndarray):
-        """The best split of a node: ``(gain, column, bin, missing goes left)`` or None."""
+    def _histograms(self, place: np.ndarray, k: int, values: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Sums of ``values`` by node, column and bin; ``place`` is each row's node among ``k``, or -1."""
         nf, w = len(self.n_cuts), self.width
-        at = self.flat[:, rows].ravel()
-        hg = np.bincount(at, weights=np.tile(g[rows], nf), minlength=nf * w).reshape(nf, w)
-        hh = np.bincount(at, weights=np.tile(h[rows], nf), minlength=nf * w).reshape(nf, w)
-        tg, th = g[rows].sum(), h[rows].sum()
+        at = place[self.entry_row]
+        live = at >= 0
+        cells = self.entry_cell[live] + at[live] * (nf * w)
+        out = np.bincount(cells, weights=values[self.entry_row[live]], minlength=k * nf * w).astype(np.float64).reshape(k, nf, w)
+        out[:, np.arange(nf), self.zero_bin] += totals[:, None] - out.sum(axis=2)
+        return out
+
+    def _split(self, hg: np.ndarray, hh: np.ndarray, tg: float, th: float):
+        """The best split of a node by its histograms: ``(gain, column, bin, missing goes left)`` or None."""
         lam = self.reg_lambda
         gl, hl = np.cumsum(hg[:, :-1], axis=1), np.cumsum(hh[:, :-1], axis=1)
-        possible = np.arange(w - 1)[None, :] < self.n_cuts[:, None]
+        possible = np.arange(self.width - 1)[None, :] < self.n_cuts[:, None]
         best = None
         for left in (True, False) if self.zero_as_missing else (False,):
             a, b = (gl + hg[:, -1:], hl + hh[:, -1:]) if left else (gl, hl)
             c, d = tg - a, th - b
-            ok = possible & (b >= self.min_child) & (d >= self.min_child)
+            # sums of what is left over carry rounding of some last digits
+            ok = possible & (b >= self.min_child - 1e-9) & (d >= self.min_child - 1e-9)
             gain = np.where(ok, 0.5 * (a * a / (b + lam) + c * c / (d + lam) - tg * tg / (th + lam)), -np.inf)
+            gain = np.round(gain, 10)  # equal gains stay equal, and the first wins
             k = int(np.argmax(gain))
-            if gain.flat[k] > 1e-9 and (best is None or gain.flat[k] > best[0] + 1e-12):
-                best = (float(gain.flat[k]), k // (w - 1), k % (w - 1), left)
+            if gain.flat[k] > 1e-9 and (best is None or gain.flat[k] > best[0]):
+                best = (float(gain.flat[k]), k // (self.width - 1), k % (self.width - 1), left)
         return best
 
     def _tree(self, label: int, tree: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Grows a tree; returns what it adds to each training row."""
+        """Grows a tree, a level at a time; returns what it adds to each training row."""
         add = np.zeros(len(g))
-        todo, made = [(0, np.arange(len(g)), 0)], 1
-        while todo:
-            node, rows, level = todo.pop(0)
-            cover = float(h[rows].sum())
-            s = self._split(rows, g, h) if level < self.depth and len(rows) > 1 else None
-            if s is None:
-                leaf = float(-self.rate * g[rows].sum() / (cover + self.reg_lambda))
-                add[rows] = leaf
-                self.nodes.append((label, tree, node, None, None, None, cover, None, None, None, leaf))
-                continue
-            gain, col, b, left = s
-            bins = self.binned[col, rows]
-            goes = np.where(bins == self.width - 1, left, bins <= b) if self.zero_as_missing else bins <= b
-            self.nodes.append((label, tree, node, col, float(self.cuts[col][b]), gain, cover, made, made + 1, bool(left), None))
-            todo += [(made, rows[goes], level + 1), (made + 1, rows[~goes], level + 1)]
-            made += 2
+        level, made = [(0, np.arange(len(g)))], 1
+        for depth in range(self.depth + 1):
+            tg, th = (np.array([v[rows].sum() for _, rows in level]) for v in (g, h))
+            if depth < self.depth:
+                place = np.full(len(g), -1, dtype=np.int64)
+                for i, (_, rows) in enumerate(level):
+                    place[rows] = i
+                hg, hh = self._histograms(place, len(level), g, tg), self._histograms(place, len(level), h, th)
+            grown = []
+            for i, (node, rows) in enumerate(level):
+                s = self._split(hg[i], hh[i], tg[i], th[i]) if depth < self.depth and len(rows) > 1 else None
+                if s is None:
+                    leaf = float(-self.rate * tg[i] / (th[i] + self.reg_lambda))
+                    add[rows] = leaf
+                    self.nodes.append((label, tree, node, None, None, None, float(th[i]), None, None, None, leaf))
+                    continue
+                gain, col, b, left = s
+                bins = self.binned[col, rows]
+                goes = np.where(bins == self.width - 1, left, bins <= b) if self.zero_as_missing else bins <= b
+                self.nodes.append((label, tree, node, col, float(self.cuts[col][b]), gain, float(th[i]), made, made + 1, bool(left), None))
+                grown += [(made, rows[goes]), (made + 1, rows[~goes])]
+                made += 2
+            level = grown
+            if not level:
+                break
         return add
 
     def fit(self, x: np.ndarray, y: np.ndarray, x_test: np.ndarray | None = None, y_test: np.ndarray | None = None) -> Booster:
@@ -136,7 +155,7 @@ class Booster:
                 elif r - best_at >= self.patience:
                     break
         self.best_round = best_at
-        del self.binned, self.flat
+        del self.binned, self.entry_row, self.entry_cell
         return self
 
     def raw(self, x: np.ndarray, nodes: list[tuple], labels: int) -> np.ndarray:
