@@ -41,7 +41,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _choose_pivots(reps: DataFrame, n: int, size: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Pivots (unit rows) and sketch directions for vectors of ``size`` components."""
     m = max(16, min(MOST_PIVOTS, round(2 * math.sqrt(n))))
-    some = reps.orderBy(F.xxhash64("v"), "rid").limit(SAMPLED * m).select("v").collect()  # a bounded sample
+    hashed = reps.select("v", "rid", F.xxhash64("v").alias("h"))
+    if n > 4 * SAMPLED * m:  # the hashes are even, so this leaves twice as many as are wanted, whatever the number of tasks
+        hashed = hashed.filter(F.pmod("h", F.lit(1 << 40)) < int(2 * SAMPLED * m / n * (1 << 40)))
+    some = hashed.orderBy(F.pmod("h", F.lit(1 << 40)), "h", "rid").limit(SAMPLED * m).select("v").collect()  # a bounded sample
     rng = np.random.default_rng(seed)
     x = np.array([r["v"] for r in some], dtype=np.float64).reshape(len(some), size)
     x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
