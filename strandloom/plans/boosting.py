@@ -73,14 +73,34 @@ class Booster:
         p = np.clip(1 / (1 + np.exp(-f)), 1e-15, 1 - 1e-15)
         return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
-    def _histograms(self, place: np.ndarray, k: int, values: np.ndarray, totals: np.ndarray) -> np.ndarray:
-        """Sums of ``values`` by node, column and bin; ``place`` is each row's node among ``k``, or -1."""
-        nf, w = len(self.n_cuts), self.width
-        at = place[self.entry_row]
-        live = at >= 0
-        cells = self.entry_cell[live] + at[live] * (nf * w)
-        out = np.bincount(cells, weights=values[self.entry_row[live]], minlength=k * nf * w).astype(np.float64).reshape(k, nf, w)
-        out[:, np.arange(nf), self.zero_bin] += totals[:, None] - out.sum(axis=2)
+    def _histograms(self, nodes: list[np.ndarray], values: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """Sums of both ``values`` by column and bin for each node's rows: ``[2, columns, bins]``."""
+        nf, w, k = len(self.n_cuts), self.width, len(nodes)
+        if k == 1 and len(nodes[0]) == len(values[0]):
+            rows, cells = self.entry_row, self.entry_cell
+        else:
+            place = np.full(len(values[0]), -1, dtype=np.int64)
+            for i, mine in enumerate(nodes):
+                place[mine] = i
+            at = place[self.entry_row]
+            live = np.flatnonzero(at >= 0)
+            rows = self.entry_row[live]
+            cells = self.entry_cell[live] + at[live] * (nf * w)
+        out = np.empty((k, 2, nf, w))
+        for i, v in enumerate(values):
+            out[:, i] = np.bincount(cells, weights=v[rows], minlength=k * nf * w).reshape(k, nf, w)
+            totals = np.array([v[mine].sum() for mine in nodes])
+            out[:, i, np.arange(nf), self.zero_bin] += totals[:, None] - out[:, i].sum(axis=2)
+        return list(out)
+
+    def _level(self, level: list[tuple[int, np.ndarray]], parents: list[np.ndarray], values: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """Histograms of a level's nodes, which come in pairs: the smaller of a pair is summed, the other is what it leaves of the parent."""
+        if not parents:
+            return self._histograms([rows for _, rows in level], values)
+        small = [i if len(level[i][1]) <= len(level[i + 1][1]) else i + 1 for i in range(0, len(level), 2)]
+        out: list = [None] * len(level)
+        for i, parent, h in zip(small, parents, self._histograms([level[i][1] for i in small], values), strict=True):
+            out[i], out[i ^ 1] = h, parent - h
         return out
 
     def _split(self, hg: np.ndarray, hh: np.ndarray, tg: float, th: float):
@@ -104,27 +124,24 @@ class Booster:
     def _tree(self, label: int, tree: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Grows a tree, a level at a time; returns what it adds to each training row."""
         add = np.zeros(len(g))
-        level, made = [(0, np.arange(len(g)))], 1
+        level, made, parents = [(0, np.arange(len(g)))], 1, []
         for depth in range(self.depth + 1):
-            tg, th = (np.array([v[rows].sum() for _, rows in level]) for v in (g, h))
-            if depth < self.depth:
-                place = np.full(len(g), -1, dtype=np.int64)
-                for i, (_, rows) in enumerate(level):
-                    place[rows] = i
-                hg, hh = self._histograms(place, len(level), g, tg), self._histograms(place, len(level), h, th)
-            grown = []
+            hists = self._level(level, parents, (g, h)) if depth < self.depth else []
+            grown, parents = [], []
             for i, (node, rows) in enumerate(level):
-                s = self._split(hg[i], hh[i], tg[i], th[i]) if depth < self.depth and len(rows) > 1 else None
+                tg, th = float(g[rows].sum()), float(h[rows].sum())
+                s = self._split(*hists[i], tg, th) if depth < self.depth and len(rows) > 1 else None
                 if s is None:
-                    leaf = float(-self.rate * tg[i] / (th[i] + self.reg_lambda))
+                    leaf = -self.rate * tg / (th + self.reg_lambda)
                     add[rows] = leaf
-                    self.nodes.append((label, tree, node, None, None, None, float(th[i]), None, None, None, leaf))
+                    self.nodes.append((label, tree, node, None, None, None, th, None, None, None, leaf))
                     continue
                 gain, col, b, left = s
                 bins = self.binned[col, rows]
                 goes = np.where(bins == self.width - 1, left, bins <= b) if self.zero_as_missing else bins <= b
-                self.nodes.append((label, tree, node, col, float(self.cuts[col][b]), gain, float(th[i]), made, made + 1, bool(left), None))
+                self.nodes.append((label, tree, node, col, float(self.cuts[col][b]), gain, th, made, made + 1, bool(left), None))
                 grown += [(made, rows[goes]), (made + 1, rows[~goes])]
+                parents.append(hists[i])
                 made += 2
             level = grown
             if not level:
