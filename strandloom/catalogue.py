@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import scalars, sequence
 from strandloom.functions.alphabet import Alphabet
 from strandloom.operators import counting, metrics, pool, selection, splits
-from strandloom.plans.lineage import number_rows, prefix_sums
+from strandloom.plans.lineage import number_rows, prefix_sums, spread
 from strandloom.plans.training import BaselinePipeline, TrainingPipeline
 from strandloom.sources.labels import invalid_labels, numeric
 
@@ -44,10 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # one small file is one partition; exploding work is dealt out first
-    wanted = spark.sparkContext.defaultParallelism
-    return d if d.rdd.getNumPartitions() >= wanted else d.repartition(wanted)
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _nodes(spark: SparkSession, sf_dir: str, alphabet: Alphabet) -> DataFrame:

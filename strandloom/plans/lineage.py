@@ -18,6 +18,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it has fewer: a small file is one partition, whatever is done with its rows."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """``df`` with running sums (this row included) in the given total order.
 

@@ -21,7 +21,7 @@ from strandloom.operators.splits import hold_out, stratified_folds
 from strandloom.plans.boosting import NODE_COLUMNS
 from strandloom.plans.fitting import MOST_SAMPLES, fit_partitions, mean_predictions, tree_nodes
 from strandloom.plans.levels import fit_levels
-from strandloom.plans.lineage import cut, number_rows
+from strandloom.plans.lineage import cut, number_rows, spread
 from strandloom.plans.model import SegmentModel
 from strandloom.plans.results import FoldResult, SegmentImportance, TrainingResult, prediction_columns, wide_predictions
 from strandloom.sources.labels import label_names
@@ -162,7 +162,7 @@ class TrainingPipeline:
     def _fold(self, fold: int, samples: DataFrame, write: bool) -> FoldResult:
         scaler = LabelScaler.fit(samples.filter("NOT is_test"), self.labels) if self.standardise_labels else None
         fitted_on = scaler.transform(samples) if scaler else samples
-        nodes = cut(contigs(samples, self.alphabet, keep_unknown=self.keep_unknown))
+        nodes = cut(spread(contigs(samples, self.alphabet, keep_unknown=self.keep_unknown)))
         pool = self._first_pool()
         n = pool.table.count()
         counts = self._counts(nodes, pool)
