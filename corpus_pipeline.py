@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontaminate, packing, secrets, simhash, toxicity
+from strandloom.llm import decontaminate, near_copies, packing, secrets, toxicity
 from strandloom.llm.common import ensure_checkpoint_dir, table
 
 
@@ -27,15 +27,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by SimHash.
+    """One document, that of the smallest id, of each group linked by five-word shingles of Jaccard similarity 0.8 or more.
 
     Rows without an id get one from their text, behind all others, and rows that repeat an id that stays are one.
     """
     high = 1 << 62
     own = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(high - 1)).bitwiseOR(F.lit(high))
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), own))
-    found = simhash.near_duplicates(keyed, id_column="__key")
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
+    stay = near_copies.representatives(keyed, ["__key"])
     return _columns(keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]), docs)
 
 
@@ -59,7 +58,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("decontamination", drop_contaminated),
     ("secret scan", mask_secrets),
     ("packing", pack_sequences),

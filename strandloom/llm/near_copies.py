@@ -1,0 +1,148 @@
+"""Near copies by the Jaccard similarity of word shingles, every link verified.
+
+MinHash bands give candidates: texts whose sets of five-word shingles are similar to ``JACCARD`` share one of
+``BANDS`` bands of ``ROWS`` minima with probability 1 - (1 - 0.8^5)^20 = 0.9996, more alike ones with more. Members
+of a band are linked only where their whole shingle sets, compared exactly, reach the threshold.
+Equal sets are one vertex; bands with the same members are compared once.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strandloom.llm.common import cut, slices, split_hot
+from strandloom.llm.components import connected_components
+
+SHINGLE = 5
+JACCARD = 0.8
+BANDS, ROWS = 20, 5
+SEED = 42
+#: Members of a band compared in one task; larger bands are dealt out in parts that all meet.
+BAND_CHUNK = 256
+
+_MULTIPLY, _ADD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_MULTIPLY |= np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a shorter text is one shingle, one without words none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    n = max(1, len(words) - shingle + 1)
+    last = ends[min(shingle, len(words)) - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], dtype=np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band of the MinHash minima of a set; none for the empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(hashes), 2048):
+        low = np.minimum(low, (hashes[a : a + 2048] * _MULTIPLY + _ADD).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def links_within(sets: list[np.ndarray], jaccard: float = JACCARD) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets similar to ``jaccard``; breadth first, each compared with those not reached yet."""
+    size = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    at = np.concatenate([[0], np.cumsum(size)])
+    held = np.zeros(len(ids), bool)
+    left, out = np.arange(len(sets)), []
+    while len(left) > 1:
+        stack, left = [int(left[0])], left[1:]
+        while stack and len(left):
+            i = stack.pop()
+            fits = np.minimum(size[left], size[i]) >= jaccard * np.maximum(size[left], size[i])
+            near = np.zeros(len(left), bool)
+            held[ids[at[i] : at[i + 1]]] = True
+            for k in np.flatnonzero(fits).tolist():
+                j = left[k]
+                both = int(np.count_nonzero(held[ids[at[j] : at[j + 1]]]))
+                near[k] = both >= jaccard * (size[i] + size[j] - both)
+            held[ids[at[i] : at[i + 1]]] = False
+            got, left = left[near].tolist(), left[~near]
+            out += [(i, j) for j in got]
+            stack += got
+    return out
+
+
+def _marked(docs: DataFrame, id_columns: list[str], text_column: str) -> DataFrame:
+    """The id columns, ``v`` (a number of the shingle set) and ``bands`` of every row."""
+    kept = docs.select(*id_columns, F.col(text_column).alias("__text"))
+    schema = T.StructType([*kept.schema.fields[:-1], T.StructField("v", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "__text"):
+                sets = [shingle_set(t) for t in b.column("__text").to_pylist()]
+                v = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(v), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """``v, shingles binary`` of the distinct shingle sets of ``text``."""
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "text"):
+                sets = [shingle_set(t).tobytes() for t in b.column("text").to_pylist()]
+                v = np.array([xxhash.xxh64_intdigest(s, SEED) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(sets, pa.binary())], names=["v", "shingles"])
+
+    return texts.select("text").mapInArrow(run, "v long, shingles binary").groupBy("v").agg(F.first("shingles").alias("shingles"))
+
+
+def _links(batches):
+    """Verified links ``u, v`` within each run of (band, ci, cj)."""
+
+    def solve(held):
+        found = links_within([np.frombuffer(s, np.uint64) for _, s in held])
+        return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in found], pa.int64()), pa.array([held[j][0] for _, j in found], pa.int64())], names=["u", "v"])
+
+    now, held = None, []
+    for b in batches:
+        for *cell, v, s in zip(*(b.column(k).to_pylist() for k in ("band", "ci", "cj", "v", "shingles")), strict=True):
+            if cell != now:
+                if len(held) > 1:
+                    yield solve(held)
+                now, held = cell, []
+            held.append((v, s))
+    if len(held) > 1:
+        yield solve(held)
+
+
+def representatives(docs: DataFrame, id_columns: list[str], *, text_column: str = "text") -> DataFrame:
+    """The least ``id_columns`` of each group of rows that links of at least ``JACCARD`` connect, one row a group.
+
+    Texts without words are equal to each other. Ids must not be null; repeated rows and ids are fine, and an
+    empty table gives no rows.
+    """
+    marked = cut(_marked(docs, id_columns, text_column))
+    distinct = cut(marked.groupBy("v").agg(F.min(F.struct(*id_columns)).alias("least"), F.first("bands").alias("bands")))
+    rows = distinct.select("v", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v")).alias("x"), F.min("v").alias("m")).filter("n > 1")
+    shared = shared.groupBy("n", "x", "m").agg(F.min("band").alias("band")).select("band")
+    members = cut(rows.join(shared, "band").select("band", "v"))
+    # one text of every candidate
+    wanted = distinct.join(members.select("v").distinct(), "v", "left_semi").select(*(F.col(f"least.{c}").alias(c) for c in id_columns))
+    sets = _sets(docs.select(*id_columns, F.col(text_column).alias("text")).join(wanted, id_columns, "left_semi"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = split_hot(members, "band", "v", BAND_CHUNK).join(sets, "v")
+    dealt = dealt.repartition(parts, "band", "ci", "cj").sortWithinPartitions("band", "ci", "cj").select("band", "ci", "cj", "v", "shingles")
+    roots = connected_components(dealt.mapInArrow(_links, "u long, v long"))
+    named = distinct.join(roots, distinct.v == roots.vertex, "left").select("least", F.coalesce("root", "v").alias("root"))
+    return named.groupBy("root").agg(F.min("least").alias("least")).select(*(F.col(f"least.{c}").alias(c) for c in id_columns))

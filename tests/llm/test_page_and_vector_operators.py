@@ -208,3 +208,42 @@ def test_pipeline_stages(spark, tmp_path):
     want = sorted(len(encode(r["text"] or "")) + 1 for r in rows)
     packed = P.run(spark, str(tmp_path)).collect()
     assert sorted(r["doc_tokens"] for r in packed if r["start"] == 0) == want
+
+
+def test_near_copies_of_the_pipeline(spark):
+    import corpus_pipeline as P
+
+    docs, planted = [], 300
+    for i in range(planted):  # scattered edits that leave a shingle similarity of 0.8 or a little more
+        words = soup(10_000 + i, 440).split()
+        copy = list(words)
+        for k in range(9):
+            copy[20 + 47 * k] = "edited"
+        docs += [(i, " ".join(words)), (1000 + i, " ".join(copy))]
+    for i in range(20):  # half alike only: both are clean
+        words = soup(20_000 + i, 100).split()
+        docs += [(2000 + i, " ".join(words)), (3000 + i, " ".join(words[:70] + soup(30_000 + i, 30).split()))]
+    kept = {r["doc_id"] for r in P.drop_near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()}
+    assert {i for i in kept if i < 1000} == set(range(planted)) and {i for i in kept if i >= 2000} == {i for i, _ in docs if i >= 2000}
+    assert sum(1000 <= i < 2000 for i in kept) <= planted // 100  # recall
+
+
+def test_links_of_shingle_sets_equal_brute_force():
+    from strandloom.llm import near_copies
+
+    r = random.Random(4)
+    for _ in range(30):
+        base = [r.sample(range(1, 60), r.randrange(5, 40)) for _ in range(4)]
+        sets = [np.unique(np.array([x for x in r.choice(base) if r.random() < 0.93] or [1], np.uint64)) for _ in range(25)]
+        root = list(range(len(sets)))
+        for _ in sets:
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets):
+                    both = len(np.intersect1d(a, b))
+                    if both >= 0.8 * (len(a) + len(b) - both):
+                        root[i] = root[j] = min(root[i], root[j])
+        got = list(range(len(sets)))
+        for _ in sets:
+            for i, j in near_copies.links_within(sets):
+                got[i] = got[j] = min(got[i], got[j])
+        assert got == root
