@@ -27,15 +27,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word shingles of Jaccard similarity 0.8 or more.
+    """One document of each group linked by five-word shingles of Jaccard similarity 0.8 or more, the first by id, then by a hash of the text.
 
-    Rows without an id get one from their text, behind all others, and rows that repeat an id that stays are one.
+    Rows are known by id and text, so only rows equal in both, or linked, are merged; rows without an id are last.
     """
-    high = 1 << 62
-    own = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(high - 1)).bitwiseOR(F.lit(high))
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), own))
-    stay = near_copies.representatives(keyed, ["__key"])
-    return _columns(keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]), docs)
+    keyed = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    key = ["__none", "__id", "__hash"]
+    stay = near_copies.representatives(keyed, key)
+    return _columns(keyed.join(stay, key, "left_semi").dropDuplicates(key), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

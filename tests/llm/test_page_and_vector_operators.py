@@ -247,3 +247,11 @@ def test_links_of_shingle_sets_equal_brute_force():
             for i, j in near_copies.links_within(sets):
                 got[i] = got[j] = min(got[i], got[j])
         assert got == root
+
+
+def test_rows_of_one_id_and_different_texts_stay(spark):
+    import corpus_pipeline as P
+
+    docs = [(1, soup(1, 60)), (1, soup(2, 60)), (1, soup(2, 60)), (2, soup(1, 60)), (3, soup(3, 60)), (None, soup(4, 60)), (None, soup(3, 60)), (None, None), (4, "")]
+    got = P.drop_near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, soup(1, 60)), (1, soup(2, 60)), (3, soup(3, 60)), (0, soup(4, 60)), (4, "")])
