@@ -67,6 +67,11 @@ def test_odd_pages(page, want):
     assert [t for t, _ in html_text.parse(page)] == want
 
 
+@pytest.mark.parametrize("page, want", [('<article><p>a <svg width="1"/> b</p><p>c</p></article>', ["a b", "c"]), ("<article><p>a <svg><title/><path/><text>no</text></svg> b</p><p>c</p></article>", ["a b", "c"]), ("<article><p>a <svg><path> b</p><p>c</p></article>", ["a", "c"]), ("<article><p>a <math><mi>x</mi></math></p><object><p>b</p></object><p>c</p></article>", ["a x", "b", "c"]), ("<article><noscript><div>no</noscript><p>a</p><select><option>no<option>no</select><p>b</p></article>", ["a", "b"])])
+def test_embedded_elements(page, want):
+    assert [t for t, _ in html_text.parse(page)] == want
+
+
 def test_repeated_runs_equal_brute_force():
     r = random.Random(2)
     for _ in range(40):
