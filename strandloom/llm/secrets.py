@@ -2,7 +2,8 @@
 
 Three fixed patterns give the base spans. Beyond them, two character Markov models, one of random strings and one
 of ordinary identifiers, both trained from labelled samples, are compared on every long run of key-like
-characters: a run whose log-likelihood ratio per step exceeds a threshold is a span of kind ``markov``.
+characters: a run whose log-likelihood ratio per step exceeds a threshold is a span of kind ``markov``; in other
+runs the stretches of the highest summed ratio are, so a key joined to ordinary text is found in it.
 
 Positions come from cutting a text at its matches: a match starts after the parts and matches before it.
 """
@@ -18,7 +19,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: With the least length inside the pattern; a run of one class is matched whole, so this drops just the failing ones.
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
-RUN = "[A-Za-z0-9+/_=-]{20,}"
+RUN = "[A-Za-z0-9+/_=-]{16,}"
 #: Kinds in the order that breaks ties of start.
 KINDS = ("assign", "access", "hex", "markov")
 SPAN = "array<struct<start:int,rank:int,end:int>>"
@@ -26,6 +27,8 @@ SPAN = "array<struct<start:int,rank:int,end:int>>"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Mean log-likelihood ratio of a step from which a run counts as random.
 RATIO = 0.6
+#: Inside a run: what a step must add to go on, the fall of the sum that ends a stretch, and its least characters.
+MARGIN, FALL, STRETCH = 0.3, 8.0, 16
 
 #: Parts that ordinary identifiers, paths and long words are made of.
 PARTS = (
@@ -78,8 +81,8 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
-def _placed(text: Column, pattern: str, rank: int, keep=None) -> Column:
-    """Spans of all matches of ``pattern``; ``keep`` tests a matched string."""
+def _placed(text: Column, pattern: str, rank: int, keep=None, within=None) -> Column:
+    """Spans of all matches of ``pattern``; ``keep`` tests a matched string, ``within`` gives the ``start, end`` in it of spans instead."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("part"), found.alias("hit"))
 
@@ -87,7 +90,10 @@ def _placed(text: Column, pattern: str, rank: int, keep=None) -> Column:
         start = acc["at"] + F.length(x["part"])
         end = start + F.length(x["hit"])
         ok = x["hit"].isNotNull() if keep is None else x["hit"].isNotNull() & keep(x["hit"])
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
+        if within is None:
+            one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
+        else:
+            one = F.transform(within(x["hit"]), lambda p: F.struct((start + p["start"]).alias("start"), F.lit(rank).alias("rank"), (start + p["end"]).alias("end")))
         return F.struct(F.coalesce(end, start).alias("at"), F.when(ok, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
@@ -98,18 +104,64 @@ def _when(test: Column, spans: Column) -> Column:
     return F.when(test, spans).otherwise(F.array().cast(SPAN))
 
 
-def log_ratio(run: Column, table: list[float]) -> Column:
-    """Mean log-likelihood ratio of the steps of a run of ``ALPHABET`` characters."""
+def _steps(run: Column, table: list[float]) -> Column:
+    """Log-likelihood ratios of the steps of a run of ``ALPHABET`` characters."""
     ratios = F.lit(table)
     code = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    steps = F.zip_with(F.slice(code, 1, F.size(code) - 1), F.slice(code, 2, F.size(code) - 1), lambda a, b: F.element_at(ratios, (a * len(ALPHABET) + b + 1).cast("int")))
-    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(code) - 1, F.lit(1))
+    return F.zip_with(F.slice(code, 1, F.size(code) - 1), F.slice(code, 2, F.size(code) - 1), lambda a, b: F.element_at(ratios, (a * len(ALPHABET) + b + 1).cast("int")))
+
+
+def log_ratio(run: Column, table: list[float]) -> Column:
+    """Mean log-likelihood ratio of the steps of a run of ``ALPHABET`` characters."""
+    return F.aggregate(_steps(run, table), F.lit(0.0), lambda s, x: s + x) / F.greatest(F.length(run) - 1, F.lit(1))
+
+
+def stretches(run: Column, table: list[float], ratio: float = RATIO) -> Column:
+    """``start, end`` of the random stretches of a run, widened to the separators ``/ = _ -`` around them."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def ended(a: Column) -> Column:
+        long = (a["end"] - a["start"] >= STRETCH) & (a["best"] / (a["end"] - a["start"] - 1) + MARGIN > ratio)
+        return F.when(long, F.concat(a["out"], F.array(F.struct(a["start"].alias("start"), a["end"].alias("end"))))).otherwise(a["out"])
+
+    def state(i, cur, start, best, end, out):
+        return F.struct(i.cast("int").alias("i"), cur.alias("cur"), start.cast("int").alias("start"), best.alias("best"), end.cast("int").alias("end"), out.alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        i, cur = a["i"] + 1, a["cur"] + x - MARGIN
+        over = (cur <= 0) | (cur < a["best"] - FALL)
+        higher = state(i, cur, a["start"], F.greatest(a["best"], cur), F.when(cur > a["best"], a["i"] + 2).otherwise(a["end"]), a["out"])
+        return F.when(over, state(i, F.lit(0.0), i, F.lit(0.0), i, ended(a))).otherwise(higher)
+
+    found = F.aggregate(_steps(run, table), state(F.lit(0), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), F.array().cast(kind)), step, ended)
+
+    def widened(p: Column) -> Column:
+        before = F.length(F.regexp_extract(F.substring(run, F.lit(1), p["start"] + 1), "[^/=_-]*$", 0))
+        after = F.length(F.regexp_extract(F.substring(run, p["end"], F.length(run)), "^[^/=_-]*", 0))
+        return F.struct((p["start"] + 1 - before).cast("int").alias("start"), (p["end"] - 1 + after).cast("int").alias("end"))
+
+    return F.array_distinct(F.transform(found, widened))
+
+
+def _around(spans: Column, base: Column) -> Column:
+    """``spans`` without what ``base`` spans cover: the parts before, between and behind these. The name before an assignment is none."""
+
+    def parts(m: Column) -> Column:
+        inside = F.filter(base, lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"]))
+        starts = F.array_distinct(F.concat(F.array(m["start"]), F.transform(inside, lambda b: b["end"])))
+        to = lambda p: F.coalesce(F.array_min(F.transform(F.filter(inside, lambda b: b["start"] >= p), lambda b: b["start"])), m["end"])
+        cut = F.transform(starts, lambda p: F.struct(p.alias("start"), m["rank"].alias("rank"), to(p).alias("end")))
+        free = lambda x: (x["start"] < x["end"]) & (x["start"] < m["end"]) & ~F.exists(inside, lambda b: (b["start"] <= x["start"]) & (x["start"] < b["end"]))
+        named = lambda x: (x["end"] - x["start"] < STRETCH) & F.exists(inside, lambda b: (b["rank"] == 0) & (b["start"] == x["end"]))
+        return F.filter(cut, lambda x: free(x) & ~named(x))
+
+    return F.array_distinct(F.flatten(F.transform(spans, parts)))
 
 
 def scan(docs: DataFrame, *, text_column: str = "text", table: list[float] | None = None, ratio: float = RATIO, out_column: str = "spans") -> DataFrame:
     """``docs`` with ``spans array<struct<start, rank, end>>`` added, ordered by start, then kind; code points, end exclusive.
 
-    ``rank`` numbers ``KINDS``. Spans of kind ``markov`` never overlap a base span. A null text has none.
+    ``rank`` numbers ``KINDS``. Spans of kind ``markov`` never overlap a base span; they are split around these. A null text has none.
     Nothing is shuffled, and rows stay as they are, repeated or not; a column named ``out_column`` is replaced.
     """
     table = train(training_samples(docs.sparkSession)) if table is None else table
@@ -120,10 +172,11 @@ def scan(docs: DataFrame, *, text_column: str = "text", table: list[float] | Non
         _when(F.contains(text, F.lit("AKIA")), _placed(text, ACCESS, 1)),
         _when(text.rlike(HEX), _placed(text, HEX, 2)),
     )
-    likely = lambda m: (log_ratio(m, table) > ratio)
-    more = _when(text.rlike(RUN), _placed(text, RUN, 3, likely))
+    whole = lambda m: F.array(F.struct(F.lit(0).alias("start"), F.length(m).alias("end")))
+    likely = lambda m: F.when(log_ratio(m, table) > ratio, whole(m)).otherwise(stretches(m, table, ratio))
+    more = _when(text.rlike(RUN), _placed(text, RUN, 3, within=likely))
     out = docs.withColumn("__base", base).withColumn("__more", more)
-    apart = F.filter("__more", lambda m: ~F.exists("__base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
+    apart = _around(F.col("__more"), F.col("__base"))
     return out.withColumn(out_column, F.array_sort(F.concat("__base", apart))).drop("__base", "__more")
 
 

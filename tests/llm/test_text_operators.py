@@ -258,6 +258,11 @@ def test_redaction(spark):
     assert got == {1: "a [SECRET] b [SECRET]", 2: None, 3: "clean"}
 
 
+@pytest.mark.parametrize("text, want", [(f"see /usr/local/share/document/session/manager/{KEY}/table/index/content x", "see /usr/local/share/document/session/manager/[SECRET]/table/index/content x"), (f"--remote_service_configuration_option_value_handler={KEY} x", "--remote_service_configuration_option_value_handler=[SECRET] x"), (f"an {KEY[:17]} x", "an [SECRET] x"), (f"is {KEY}deadbeefdeadbeef{KEY[::-1]} x", "is [SECRET][SECRET][SECRET] x"), ("/usr/local/share/document/table/session_manager_factory", "/usr/local/share/document/table/session_manager_factory")])
+def test_keys_in_ordinary_text(spark, text, want):
+    assert secrets.redact(secrets.scan(frame(spark, [(1, text)]), out_column="__s"), spans="__s").first()["text"] == want
+
+
 # --- toxicity
 
 
