@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from strandloom.llm.common import slices
 
 WINDOW = 10
+#: Positions that hold all terms of a window in a proximity match of the registered query.
+NEAR_SPAN = 20
 #: Characters of test texts in one block at most (unless a single item has more).
 BLOCK_CHARS = 16 << 20
 

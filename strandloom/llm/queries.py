@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandloom.llm import decontaminate, embedding_dedup, html_text, lm_score, packing, secrets, simhash, token_counts, toxicity, url_filter
 from strandloom.llm.common import table
@@ -53,6 +54,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op10_proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near_span=decontaminate.NEAR_SPAN)
+    return found.select("doc_id", F.size("near").cast("long").alias("n_near"), F.array_join("near", ",").alias("near_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -65,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
+        "op10_proximity_matches": op10_proximity_matches,
     }
 
 

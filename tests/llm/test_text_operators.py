@@ -204,6 +204,17 @@ def test_proximity_matches(spark):
     assert got == {1: ([], ["7"]), 2: ([], []), 3: ([], [])}
 
 
+def test_proximity_query(spark, tmp_path):
+    from strandloom.llm import queries
+
+    words = [f"term{i}" for i in range(10)]
+    docs = [(1, " ".join(words)), (2, " so ".join(reversed(words))), (3, " so so so ".join(words)), (4, None)]
+    frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, " ".join(words))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["doc_id"]: (r["n_near"], r["near_items"]) for r in queries.queries()["op10_proximity_matches"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, "7"), 2: (1, "7"), 3: (0, ""), 4: (0, "")}
+
+
 def test_decontamination_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r["n_hit"] for r in decontaminate.digest(decontaminate.find_overlaps(frame(spark, TEXTS), bench)).collect()] == [0] * len(TEXTS)
