@@ -55,6 +55,28 @@ def test_packing_round_trip(spark, tokenizer):
     assert len({r["sequence_id"] for r in rows}) == len(rows)
 
 
+LONG_BLANKS = ["a" + "\n" * 2_000_000 + "b", "\t" * 2_000_000, " \n" * 1_000_000 + " x", "a" + "\u3000" * 1_200_000 + "b", "x" * 2_000_000, ". " * 500_000]
+
+
+def test_long_runs_of_any_white_space(spark, tokenizer):
+    docs = frame(spark, list(enumerate(LONG_BLANKS)))
+    want = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in LONG_BLANKS]
+    packed = packing.pack(docs).filter("start = 0").collect()
+    assert [n for _, n in sorted((r["doc_id"], r["doc_tokens"]) for r in packed)] == [n + 1 for n in want]
+    counted = token_counts.count_tokens(docs).collect()
+    assert [n for _, n in sorted((r["doc_id"], r["n_tokens"]) for r in counted)] == want
+
+
+def test_batches_hold_sequences_of_one_length(spark):
+    rows = packing.pack(frame(spark, [(i, word_soup(i, 40 * i + 1)) for i in range(60)])).collect()
+    batches = {}
+    for r in rows:
+        batches.setdefault(r["batch_id"], []).append(r["length"])
+    assert all(len(set(x)) == 1 and sum(x) <= packing.BATCH_TOKENS for x in batches.values())
+    assert sum(sum(x) for x in batches.values()) == sum(r["length"] for r in rows)
+    assert len(batches) < len(rows) / 4
+
+
 def test_piece_lengths():
     assert packing.piece_lengths(2048 * 2 + 11) == [2048, 2048, 8, 2, 1]
     assert packing.piece_lengths(0) == []
@@ -90,6 +112,29 @@ def test_random_edits_equal_a_full_count(tokenizer):
             assert tree.pretokens == len(pattern.findall(tree.text))
 
 
+def test_saved_trees_are_edited_without_encoding(spark):
+    docs = frame(spark, [*TEXTS, (9, word_soup(9, 4000) + " 123456 end"), (10, "1234 " * 3000)])
+    stored = token_counts.token_trees(docs)
+    edited = token_counts.edit_trees(stored, token_counts.mask_numbers)
+    plain = sorted(tuple(str(r[c]) for c in ("doc_id", *token_counts.NAMES)) for r in token_counts.count_tokens(docs).collect())
+    rows = edited.collect()
+    assert sorted(tuple(str(r[c]) for c in ("doc_id", *token_counts.NAMES)) for r in rows) == plain
+    again = token_counts.edit_trees(edited.select("doc_id", "text", "tree"), lambda t: [(0, 0, "new ")]).collect()
+    count, pattern = token_counts.Counter(packing.public_encoder()), token_counts.pretoken_pattern()
+    for r in again:
+        assert r["n_reencoded"] < 8 and r["n_tokens_after"] == sum(count(p) for p in pattern.findall(r["text"]))
+    assert token_counts.token_trees(frame(spark, [])).collect() == [] and token_counts.count_tokens(frame(spark, [])).collect() == []
+    with pytest.raises(ValueError):
+        token_counts.TokenTree("ab", count, pattern, saved=token_counts.TokenTree("a", count, pattern).saved)
+
+
+def test_many_edits_of_a_long_text():
+    count, pattern = token_counts.Counter(packing.public_encoder()), token_counts.pretoken_pattern()
+    tree = token_counts.TokenTree("word 12345 " * 40_000, count, pattern)
+    assert token_counts._edited(tree, token_counts.mask_numbers(tree.text))[2:] == [40_000, tree.encoded, tree.total, 440_000]
+    assert tree.encoded < 6 * 40_000 and tree.total == sum(count(p) for p in pattern.findall(tree.text))
+
+
 def test_an_edit_re_encodes_a_few_pretokens_only():
     count, pattern = token_counts.Counter(packing.public_encoder()), token_counts.pretoken_pattern()
     tree = token_counts.TokenTree(word_soup(1, 20_000), count, pattern)
