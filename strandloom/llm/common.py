@@ -12,16 +12,25 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one where it is unset and the master is local (tests), else an error."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
+        shared = tempfile.mkdtemp(prefix="strandloom-")
     sc.setCheckpointDir(shared)
     return shared
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -69,6 +78,24 @@ def split_hot(rows: DataFrame, key: str, member: str, chunk: int, own: str | Non
     return dealt.withColumn("ci", F.least("__c", "__j")).withColumn("cj", F.greatest("__c", "__j")).drop("__b", "__c", "__j")
 
 
+#: A key is hot with more than this part of all rows, so there are fewer hot keys than this.
+HOT_KEYS = 1000
+
+
+def join_names(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns that ``names`` has for their ``key``, where some keys have a large part of all rows.
+
+    ``names`` is unique by ``key``; its column ``n`` counts the rows of each. Keys with more than a ``HOT_KEYS``-th of all rows, which are
+    fewer than ``HOT_KEYS``, are sent to the rows; the other rows are shuffled, none of whose keys is large.
+    """
+    total = names.agg(F.sum("n")).first()[0] or 0
+    hot = names.filter(F.col("n") * HOT_KEYS > total).drop("n")
+    cold = names.filter(F.col("n") * HOT_KEYS <= total).drop("n")
+    here = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return here.unionByName(rest)
+
+
 def runs(keys: np.ndarray) -> np.ndarray:
     """Bounds of runs of equal values in ``keys`` (any structured or plain 1-d array)."""
     if not len(keys):

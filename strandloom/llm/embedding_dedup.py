@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import cut, runs, split_hot
+from strandloom.llm.common import cut, join_names, runs, split_hot
 from strandloom.llm.components import connected_components
 
 COSINE = 0.95
@@ -212,9 +212,11 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, id_column: st
     degree = found.select(F.col("a").alias("rid"), F.col("nb").alias("n")).unionByName(found.select(F.col("b").alias("rid"), F.col("na").alias("n"))).groupBy("rid").agg(F.sum("n").alias("n"))
     roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = reps.join(degree, "rid", "left").join(roots, reps.rid == roots.vertex, "left")
-    known = known.select("v", "least", F.coalesce("root", "rid").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    lowest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(lowest, "root").select("v", "n_links", "component_id")
-    linked = good.join(known, "v").select("vec_id", "n_links", "component_id")
+    known = cut(known.select("v", "least", F.col("copies").alias("n"), "root", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    grouped = known.filter("root IS NOT NULL")
+    lowest = cut(grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    names = join_names(grouped.select("v", "n", "n_links", "root").withColumnRenamed("n", "copies"), lowest, "root").select("v", F.col("copies").alias("n"), "n_links", "component_id")
+    names = cut(names.unionByName(known.filter("root IS NULL").select("v", "n", "n_links", F.col("least").alias("component_id"))))
+    linked = join_names(good, names, "v").select("vec_id", "n_links", "component_id")
     alone = named.filter(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -234,7 +234,7 @@ def test_near_copies_of_the_pipeline(spark):
 
 
 def test_links_of_shingle_sets_equal_brute_force():
-    from strandloom.llm import near_copies
+    from strandloom.llm import simhash
 
     r = random.Random(4)
     for _ in range(30):
@@ -249,11 +249,53 @@ def test_links_of_shingle_sets_equal_brute_force():
                         root[i] = root[j] = min(root[i], root[j])
         got = list(range(len(sets)))
         for _ in sets:
-            for i, j in near_copies.links_within(sets):
+            for i, j in simhash.links_within(sets, np.array([simhash.block_fingerprint(x) for x in sets])):
                 got[i] = got[j] = min(got[i], got[j])
         assert got == root
 
 
+def test_blocks_are_the_simhash_of_their_samples():
+    from strandloom.llm import simhash
+
+    r = np.random.default_rng(0)
+    for n in (1, 3, 5, 6, 400, 40_000):
+        h = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        got = simhash.block_fingerprint(h)
+        for b in (0, 7, 19):
+            order = np.argsort(h * simhash._MULTIPLY[b] + simhash._ADD[b])[: simhash.SAMPLE]
+            some = h[order].tolist()
+            assert int(got[b]) == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in some) > len(some))
+    assert len(simhash.block_fingerprint(np.zeros(0, np.uint64))) == 0
+
+
+def test_hot_names_are_joined_whole(spark, monkeypatch):
+    from strandloom.llm import common
+
+    rows = spark.createDataFrame([(i, 0 if i % 2 else i) for i in range(400)], "i int, k int")
+    names = rows.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k + 1 AS m")
+    for share in (1000, 3, 1):
+        monkeypatch.setattr(common, "HOT_KEYS", share)
+        assert sorted(map(tuple, common.join_names(rows, names, "k").select("i", "k", "m").collect())) == sorted((i, 0 if i % 2 else i, 1 if i % 2 else i + 1) for i in range(400))
+
+
+def test_stages_with_odd_tables(spark, tmp_path):
+    """Null and text ids, columns with the names the stages use, repeated rows, and no rows at all."""
+    import corpus_pipeline as P
+
+    schema = "doc_id string, text string, lang string, source string, n_chars long, row string, __hash string, __id string, __spans string, __score string, items string, spans string, score double, h int, text_hash long"
+    docs = [(k, t, None, "s", None, "r", "a", "b", "c", "d", "e", "f", 1.0, 2, 3) for k, t in [("x1", soup(1, 50)), ("x1", soup(1, 50)), ("x1", soup(2, 50)), (None, None), (None, ""), ("x2", " \n" * 3000), ("x3", f"token = abcdefABCDEF0123456789 {soup(4, 40)}")]]
+    spark.createDataFrame([(1, soup(2, 50))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([("x1", 0)], "doc_id string, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for rows in (docs, []):
+        kept = spark.createDataFrame(rows, schema)
+        for _, stage in P.STAGES[:-1]:
+            kept = stage(spark, kept, str(tmp_path))
+            assert kept.schema.names == schema.replace(",", "").split()[::2]
+        got = sorted((r["doc_id"] or "", (r["text"] or "")[:5], r["spans"], r["__spans"]) for r in kept.collect())
+        assert got == ([("x1", soup(1, 50)[:5], "f", "c"), ("x2", " \n \n ", "f", "c"), ("x3", "[SECR", "f", "c")] if rows else [])
+        P.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+
+
 def test_rows_of_one_id_and_different_texts_stay(spark):
     import corpus_pipeline as P
 

@@ -232,21 +232,60 @@ def brute_overlaps(texts, items, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_CHARS, 60])
-def test_decontamination_equals_brute_force(spark, block):
+@pytest.mark.parametrize("shard, listed", [(decontaminate.SHARD_BYTES, decontaminate.LIST_WINDOWS), (200, 3)])
+def test_decontamination_equals_brute_force(spark, monkeypatch, shard, listed):
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    monkeypatch.setattr(decontaminate, "LIST_WINDOWS", listed)
     small = "a b c".split()
     texts = [*TEXTS, *((300 + i, word_soup(300 + i, 60, small)) for i in range(20))]
-    items = [(1, word_soup(1, 8, small)), (2, word_soup(2, 4, small)), (3, "zeta, ETA"), (4, None), (5, "..."), (2, word_soup(2, 4, small)), (10, word_soup(6, 5000)[100:260]), (None, word_soup(9, 7, small))]
+    items = [(1, word_soup(1, 8, small)), (2, word_soup(2, 4, small)), (3, "zeta, ETA"), (4, None), (5, "..."), (2, word_soup(2, 4, small)), (10, word_soup(6, 5000)[100:260]), (None, word_soup(9, 7, small)), (11, "a a a a a")]
     bench = spark.createDataFrame([(i, t, 1.0) for i, t in items], "item_id long, text string, hits double")
-    got = decontaminate.digest(decontaminate.find_overlaps(frame(spark, texts), bench, window=5, block_chars=block)).collect()
+    found = decontaminate.find_overlaps(frame(spark, texts), bench, window=5)
+    got = decontaminate.digest(found).collect()
     assert sorted((str(r[0]), *r[1:]) for r in got) == brute_overlaps(texts, items, 5)
+    assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_hit"] for r in found.collect())
 
 
-def test_proximity_matches(spark):
-    docs = frame(spark, [(1, "x c q b a y"), (2, "a x x x x b c"), (3, "a b")])
-    bench = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
-    got = {r["doc_id"]: (r["items"], r["near"]) for r in decontaminate.find_overlaps(docs, bench, window=3, near_span=4).collect()}
-    assert got == {1: ([], ["7"]), 2: ([], []), 3: ([], [])}
+def brute_near(texts, items, window, span):
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for i, t in texts:
+        w, near = words(t), set()
+        for name, x in items:
+            x = words(x)
+            wins = [set(x[k : k + window]) for k in range(max(1, len(x) - window + 1) if x else 0)]
+            if any(q <= set(w[k : k + span]) for q in wins for k in range(len(w))):
+                near.add(str(name))
+        out.append((str(i), sorted(near)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard, at_once", [(decontaminate.SHARD_BYTES, decontaminate.AT_ONCE), (150, 7)])
+def test_proximity_equals_brute_force(spark, monkeypatch, shard, at_once):
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    monkeypatch.setattr(decontaminate, "AT_ONCE", at_once)
+    some = "a b c d e f g h".split()
+    texts = [*((i, t) for i, t in TEXTS if t is None or len(t) < 2000), *((300 + i, word_soup(300 + i, 40, some)) for i in range(20))]
+    items = [(1, word_soup(1, 8, some)), (2, word_soup(2, 5, some)), (3, "zeta, ETA"), (4, None), (5, "a"), (6, "d a d a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for span in (5, 7):
+        got = decontaminate.find_overlaps(frame(spark, texts), bench, window=4, near_span=span).collect()
+        assert sorted((str(r["doc_id"]), r["near"]) for r in got) == brute_near(texts, items, 4, span)
+
+
+def test_a_stored_index_serves_another_benchmark(spark, tmp_path):
+    index = decontaminate.build_index(frame(spark, [(1, "x c q b a y"), (2, "a x x x x b c"), (3, "a b")]), str(tmp_path / "index"))
+    bench = lambda t: spark.createDataFrame([(7, t)], "item_id long, text string")
+    found = lambda t, **k: {r["doc_id"]: (r["items"], r["near"]) for r in decontaminate.search(index, bench(t), **k).collect()}
+    assert found("a b c", window=3, near_span=4) == {1: ([], ["7"]), 2: ([], []), 3: ([], [])}
+    assert found("x x b") == {1: ([], []), 2: (["7"], []), 3: ([], [])}
+
+
+def test_decontamination_survives_a_benchmark_of_many_words(spark):
+    texts = [(i, word_soup(i, 200)) for i in range(40)]
+    items = [(i, " ".join(f"t{i}_{k}" for k in range(400))) for i in range(100)] + [(1000, texts[5][1])]
+    got = decontaminate.digest(decontaminate.find_overlaps(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"))).collect()
+    assert {r["doc_id"] for r in got if r["contaminated"]} == {5} and all(r["n_hit"] == 200 for r in got if r["doc_id"] == 5)
 
 
 def test_proximity_query(spark, tmp_path):
