@@ -8,56 +8,67 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontaminate, near_copies, packing, secrets, toxicity
-from strandloom.llm.common import ensure_checkpoint_dir, table
+from strandloom.llm import decontaminate, packing, secrets, simhash, toxicity
+from strandloom.llm.common import drop_folder, ensure_checkpoint_dir, table
 
+TEXT_HASH = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
-def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*(F.col(f"`{c}`") for c in like.columns))
+
+def _rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` as one column ``row`` beside columns of the stage's own, whatever names the documents' columns have."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in columns.items()))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score, by a lexicon learned from the labels, is below the threshold."""
+    """Documents whose toxicity score, by a lexicon learned from the labels, is below the threshold.
+
+    Null and empty texts have no hits and stay; repeated rows are judged alike; without rows or labels the seed words alone count.
+    """
     lexicon = toxicity.learn_lexicon(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    scored = toxicity.score(docs, lexicon, names=("__score", "__toxic", "__hits"))
-    return _columns(scored.filter("__toxic = 0"), docs)
+    scored = toxicity.score(_rows(docs, text=F.col("text")), lexicon, keep=["row"])
+    return scored.filter("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles of Jaccard similarity 0.8 or more, the first by id, then by a hash of the text.
 
-    Rows are known by id and text, so only rows equal in both, or linked, are merged; rows without an id are last.
+    Found by SimHash blocks. Rows are known by id and text, so only rows equal in both, or linked, are merged; rows without an id are last.
+    Texts without words are one group.
     """
-    keyed = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    key = ["__none", "__id", "__hash"]
-    stay = near_copies.representatives(keyed, key)
-    return _columns(keyed.join(stay, key, "left_semi").dropDuplicates(key), docs)
+    number = F.col("doc_id").try_cast("long")
+    key = {"no_id": F.col("doc_id").isNull(), "no_number": number.isNull(), "number": F.coalesce(number, F.lit(0)), "id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "hash": TEXT_HASH}
+    keyed = _rows(docs, text=F.col("text"), **key)
+    stay = simhash.representatives(keyed, list(key))
+    return keyed.join(stay, list(key), "left_semi").dropDuplicates(list(key)).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"), keep=[c for c in docs.columns if c != "doc_id"], prefix="__")
-    return _columns(found.filter(F.size("__items") == 0), docs)
+    """Documents without any window of a benchmark item. Texts without words stay; rows of one id and text are judged alike."""
+    found = decontaminate.find_overlaps(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    bad = found.filter(F.size("items") > 0).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    rows = _rows(docs, id=F.col("doc_id"), hash=decontaminate.text_hash("text"))
+    return rows.join(bad, (rows["hash"] == bad["bad_hash"]) & rows["id"].eqNullSafe(bad["bad_id"]), "left_anti").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked and ``n_chars`` counted anew where that changed the text."""
-    masked = secrets.redact(secrets.scan(docs, out_column="__spans"), spans="__spans")
-    counted = masked.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return _columns(counted, docs)
+    """All documents, with secrets masked and ``n_chars`` counted anew where that changed the text. Null texts stay null."""
+    masked = secrets.redact(secrets.scan(_rows(docs, text=F.col("text"))))
+    changed = F.size("spans") > 0
+    row = F.col("row").withField("text", F.col("text")).withField("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return masked.select(row.alias("row")).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two length of every document."""
+    """Pieces of power-of-two length of every document, one end id for a null or empty text."""
     return packing.pack(docs)
 
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near-dedup", drop_near_duplicates),
+    ("simhash near-dedup", drop_near_duplicates),
     ("decontamination", drop_contaminated),
     ("secret scan", mask_secrets),
     ("packing", pack_sequences),
@@ -68,10 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. A stage's table is removed when the next is written; the last one stays, for the result reads it."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            drop_folder(spark, f"{folder}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
