@@ -458,7 +458,7 @@ def test_lm_scoring_agrees_with_the_forward_pass():
     row = np.where(before >= 0, x.row[before], x.start)
     col = x.column[here]
     inside = col < m.member.shape[1]
-    own = np.where(inside, m.member[row, np.where(inside, col, 0)], m.share[here] - m.left[row, x.class_of[here]])
+    own = np.where(inside, m.member[row, np.where(inside, col, 0)], m.share[here] + m.left[row, x.class_of[here]])
     assert np.allclose(m.log_probs(before, here), want + own, atol=1e-3)
     assert np.allclose(m.log_probs(before, here, 4), (want + own)[:, 4:], atol=1e-3)
 
@@ -472,6 +472,77 @@ def test_lm_context_cells_equal_brute_force():
     assert got.tolist() == want
 
 
+def test_lm_score_equals_brute_force(spark, monkeypatch):
+    made, fit = [], lm_score.fit_model
+    monkeypatch.setattr(lm_score, "fit_model", lambda *a, **k: made.append(fit(*a, steps=40, **k)) or made[-1])
+    texts = [*TEXTS, *((400 + i, word_soup(400 + i, 30) + f" Rare{i}") for i in range(30)), (500, "zq" * 4000)]
+    rows = lm_score.score(frame(spark, texts)).collect()
+    model, encode = made[0], packing.public_encoder()
+    words = [[*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for _, t in texts]
+    c = {}
+    for (i, _), w in zip(texts, words, strict=True):
+        for x in () if lm_score.is_held_out(i) else w:
+            c[x] = c.get(x, 0) + 1
+    n, v = sum(c.values()), len(c)
+    want = []
+    for (i, _), w in zip(texts, words, strict=True):
+        ids = [[lm_score.END] if x is None else encode(" " + x).tolist() for x in w]
+        flat, each = [-1, *(x for y in ids for x in y)], []
+        for k in range(len(flat) - 1):
+            start = 0 if k < 32 else 24 * -(-(k - 31) // 24)
+            each.append(float(model.log_probs(np.array([flat[start : k + 1]]), np.array([flat[start + 1 : k + 2]]))[0, -1]))
+        ends = np.cumsum([len(x) for x in ids])
+        spelled = [sum(each[b - len(x) : b]) for x, b in zip(ids, ends.tolist(), strict=True)]
+        plain = [np.log((c.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in w]
+        ways = [sum(b if a == 0 else s if a == 1 else np.logaddexp(np.log(a) + s, np.log(1 - a) + b) for s, b in zip(spelled, plain, strict=True)) for a in (0, 0.25, 0.5, 0.75, 1)]
+        want.append((str(i), np.logaddexp.reduce(ways) / np.log(10) - np.log10(5)))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in rows)
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
+    assert np.allclose([x for _, x in got], [x for _, x in sorted(want)], rtol=2e-3, atol=0.05)
+    assert all(r["score"] >= r["base_score"] - np.log10(5) - 1e-6 for r in rows)
+
+
+def test_lm_attention_helps_and_every_group_of_windows_counts(spark, monkeypatch):
+    r = random.Random(8)
+    vocabulary = "river stone cloud paper green music table window garden silver orange winter".split()
+
+    def of_topic():  # what comes is told by what a text has had, not by the word before
+        mine = r.sample(vocabulary, 3)
+        return " ".join(r.choice(mine) for _ in range(60))
+
+    docs = frame(spark, [(i, of_topic()) for i in range(500)])
+    monkeypatch.setattr(lm_score, "GROUP_WINDOWS", 200)
+    seen = []
+    fit = lm_score.fit_model
+    monkeypatch.setattr(lm_score, "fit_model", lambda *a, **k: seen.append(fit(*a, steps=300, **k)) or seen[-1])
+    rows = lm_score.score(docs, fit_windows=256).filter("held_out").collect()
+    report = seen[0].report
+    assert report["windows"] > report["first"] == 256 and report["scale"] > 0
+    assert report["losses"][2] <= report["losses"][1] + 1e-6 < report["losses"][0] - 0.15
+    assert sum(x["score"] for x in rows) > sum(x["base_score"] for x in rows)
+
+
+def test_lm_windows_used_grow_with_the_texts(spark):
+    chunks = lambda n: lm_score._chunks(spark.createDataFrame([(i, word_soup(i, 300)) for i in range(n)], "id long, text string"), packing.public_encoder())
+    small, large = (lm_score._sampled(chunks(n), 0.25, 32).count() for n in (60, 600))
+    assert 7 < large / small < 14
+    total = sum(x["train_windows"] for x in chunks(60).collect())
+    rows = lm_score._as_windows(x["windows"] for x in lm_score._sampled(chunks(60), 1.0, 32).collect())
+    assert len(rows) == total
+    encode = packing.public_encoder()
+    assert (rows[:, 1:] >= 0).sum() == sum(len(encode(" " + word_soup(i, 300))) + 1 for i in range(60) if not lm_score.is_held_out(i))
+
+
+def test_lm_sums_of_blocks(spark):
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    vectors = [r.integers(0, 5, 20_000).astype("<i4") * (r.random(20_000) < 0.3) for _ in range(7)]
+    rows = [x for v in vectors for x in pa.Table.from_batches([lm_score._parts(v.astype("<i4"))]).to_pylist()]
+    sums = lm_score._summed(spark.createDataFrame([(x["r"], x["part"]) for x in rows], lm_score.PARTS), "<i4")
+    assert lm_score._gathered(sums, 20_000, "<i8").tolist() == sum(vectors).tolist()
+
+
 def test_lm_chunks_spell_every_word():
     speller = lm_score._Speller(packing.public_encoder())
     words = ["the", "naïve", "a\u00a0b", "\u3000x", "x\u2003", "don't", "'s", "12345", "!!", "\x1c", *word_soup(1, 300).split()]
