@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,8 +26,6 @@ from strandloom.llm.common import cut, slices
 THRESHOLD = 0.7
 #: Labelled rows the lexicon is learned from at most, in an order given by a hash of the id.
 FIT_ROWS = 20_000
-#: Stems and words kept after learning at most, the most telling first (a bound of the model's size).
-MAX_ENTRIES = 4_000
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -113,8 +112,16 @@ class Lexicon:
                 best[at] = max(w, best.get(at, 0.0))
             else:
                 shield.append((at, end))
-        if shield:
-            best = {at: w for at, w in best.items() if not any(a <= at < b for a, b in shield)}
+        if shield:  # as stretches apart from each other
+            shield.sort()
+            begins, ends = [shield[0][0]], [shield[0][1]]
+            for a, b in shield[1:]:
+                if a < ends[-1]:
+                    ends[-1] = max(ends[-1], b)
+                else:
+                    begins.append(a)
+                    ends.append(b)
+            best = {at: w for at, w in best.items() if (i := bisect_right(begins, at)) == 0 or at >= ends[i - 1]}
         return sum(best.values()) / math.log2(8 + folded.count(" ")), len(best)
 
     def score(self, raw: float) -> float:
@@ -162,7 +169,7 @@ def learn_lexicon(labelled: DataFrame, *, longest: int = 16, least: int = 4, odd
     ratio = 2 * (part("a", ta / (ta + tb)) + part("b", tb / (ta + tb)))
     rated = cut(tested.select("f", "a", "b", odd.alias("w"), ratio.alias("g")))
     bound = 2 * (math.log(max(1, rated.count())) + 3)
-    best = rated.filter((F.col("w") >= odds) & (F.col("g") >= bound)).orderBy(F.desc("g"), "f").limit(8 * MAX_ENTRIES).collect()
+    best = rated.filter((F.col("w") >= odds) & (F.col("g") >= bound)).orderBy(F.desc("g"), "f").collect()  # of a bounded sample
     known = {r["f"]: r for r in best}
     longer: dict[str, list[str]] = {}
     for f in known:
@@ -178,8 +185,6 @@ def learn_lexicon(labelled: DataFrame, *, longest: int = 16, least: int = 4, odd
             f = max(more, key=lambda x: (known[x]["a"], x))
         entries[f] = known[f]["w"]
         taken.update(f[:k] for k in range(4, len(f) + 1))
-        if len(entries) == MAX_ENTRIES:
-            break
     against = {r["f"] for r in rated.filter(F.col("f").isin(list(seeds)) & (F.col("w") < 1)).collect()}
     lexicon = Lexicon({**{k: v for k, v in seeds.items() if k not in against and not any(k[:j] in entries for j in range(4, len(k) + 1))}, **entries}, list(SEED_PHRASES))
     _calibrate(lexicon, labelled)
@@ -213,13 +218,13 @@ def _calibrate(lexicon: Lexicon, labelled: DataFrame) -> None:
 def score(docs: DataFrame, lexicon: Lexicon, *, text_column: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None, names: tuple[str, str, str] = ("score", "predicted", "n_hits")) -> DataFrame:
     """The columns ``keep`` (all by default) of ``docs`` with ``score double``, ``predicted int`` and ``n_hits long`` under ``names``.
 
-    Columns that have one of these names already are replaced. Null and empty texts score as texts without hits.
-    Memory holds some MB of text at a time; nothing is shuffled.
+    Columns that have one of these names already are replaced. Null and empty texts score as texts without hits; repeated rows
+    score alike, whatever their ids; an empty table gives no rows; a text of any length is matched whole in one pass. Memory holds some MB of text at a time; nothing is shuffled.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     added = [T.StructField(n, k) for n, k in zip(names, (T.DoubleType(), T.IntegerType(), T.LongType()), strict=True)]
     schema = T.StructType([*(docs.schema[c] for c in keep), *added])
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_ENTRIES patterns
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # what a bounded sample has
 
     def run(batches):
         lex = sent.value
@@ -239,8 +244,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> DataFrame:
-    """A sample of labelled texts ``(text, y)`` outside the held-out fold, ``rows`` labels at most."""
+    """A sample of labelled texts ``(text, y)`` outside the held-out fold, of ``rows`` labels and as many texts at most.
+
+    Null ids and labels other than 0 and 1 are left out; an id labelled twice counts as toxic if one label says so, and one that has
+    several texts gives the least of them."""
     kept = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
     some = cut(kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     parts = max(2, docs.sparkSession.sparkContext.defaultParallelism)
-    return cut(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "y").repartition(parts))
+    return cut(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y").repartition(parts))

@@ -1,7 +1,11 @@
 """URL filters: host rules first, then host word segmentation and naive Bayes.
 
 The longest rule that fits decides. For other urls the names in host and path are split into words by unigram
-Viterbi and multinomial naive Bayes, fitted to a few labelled names, scores the words.
+Viterbi and multinomial naive Bayes, fitted to labelled names, scores the words.
+
+The words of the segmenter come from the labelled names and from the pages themselves: names that stand alone in the urls of
+several hosts are words, counted over all pages. Those with more than a ``WORDS``-th of all such names are kept, which are
+fewer than ``WORDS`` whatever the input, so they may be sent to every task.
 """
 
 from __future__ import annotations
@@ -15,20 +19,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.llm.common import cut, slices
+
 #: Fixed values: (action, host, path) rules of the registered query.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
-#: Labelled names, the words of each joined by spaces.
+#: Words of names of unwanted sites, by subject, and of others. A word that is in both lists says little.
 UNWANTED = (
-    "free bets", "sports bets", "online casino", "casino win", "casino bonus", "poker slots", "lucky slots jackpot", "cheap pills", "buy pills online", "cheap meds", "viagra pharmacy", "spam farm", "spam mail", "mass spam", "link farm", "ads track", "ad tracker", "click ads",
-    "pop ads", "adult x", "adult videos", "xxx sex cams", "hot sex", "porn tube", "live cams", "escort dating", "payday loans", "fast cash loans", "crypto doubler", "win prize", "free money", "free iphone", "malware download", "crack warez", "keygen serial", "torrent pirate", "replica watches", "weight loss miracle",
-)
+    "bet bets betting bookmaker casino poker roulette blackjack slots jackpot lottery bingo gamble gambling wager spins bonus "
+    "adult porn porno sex sexy xxx nude naked cams webcam escort erotic hookup milf fetish hentai hot "
+    "pills viagra cialis meds tramadol steroids pharmacy slimming detox miracle enlargement cheap discount replica fake counterfeit "
+    "spam scam phishing fraud hoax clickbait bulk leads backlinks doorway parked "
+    "ads ad advert adverts adserver advertising tracker tracking pixel banner popup popunder clicks affiliate sponsor impressions "
+    "malware spyware trojan ransomware keylogger crack cracked warez keygen serials torrent pirate piracy hack cheats nulled "
+    "loans payday lender debt forex doubler ponzi investment cash fast quick rich money earn "
+    "win winner prize prizes giveaway free iphone gift cards survey lucky instant"
+).split()
 WANTED = (
-    "news", "daily news", "world news", "science journal", "open library", "public library", "university", "school learning", "history museum", "art museum", "health service", "city council", "government", "weather report", "travel guide", "food recipes", "home garden", "music review", "film review", "book review",
-    "sports news", "football club", "data project", "open source", "software docs", "help forum", "developer blog", "my blog", "photo blog", "local radio", "research institute", "medical center", "community center", "business report", "free library", "online course", "video lectures", "track field club", "fast train", "garden market",
-)
+    "news daily weekly times herald journal press review magazine world local city town county state national public open free "
+    "science research institute laboratory university college school academy learning education course lectures library archive museum history art gallery "
+    "health hospital clinic medical care pharmacy government council parliament court law police fire service office agency department "
+    "weather travel guide map maps train bus flight hotel garden home house kitchen food recipes cooking restaurant coffee bakery farm market shop store books music film theatre "
+    "sports football tennis cycling running hiking club team league track field video photo radio podcast "
+    "software code data project source docs manual wiki forum help support developer engineering network security cloud design studio community church charity foundation "
+    "business finance bank insurance energy water environment nature forest ocean river mountain animal birds flower family children parents"
+).split()
 #: Host labels and path parts that say nothing.
 COMMON = frozenset("www m blog com org net example en de fr es html htm php index".split())
+#: Learned words are fewer than this.
+WORDS = 100_000
 
 
 class Segmenter:
@@ -99,19 +118,48 @@ def rule_for(host: str, path: str, rules=RULES) -> tuple[str, str] | None:
     return max(fits)[1:] if fits else None
 
 
+def names_of(host: str, path: str) -> list[str]:
+    """The names of letters, of any script, in a url, in lower case."""
+    return [x for x in re.split(r"[\W\d_]+", f"{host} {path}".lower()) if x and x not in COMMON]
+
+
+def learn_words(pages: DataFrame, *, url_column: str = "url", least_hosts: int = 3) -> dict[str, int]:
+    """Names that stand alone in the urls of at least ``least_hosts`` hosts, with the numbers of hosts; null urls have none. Fewer than ``WORDS`` are returned."""
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "url"):
+                seen = set()
+                for u in b.column("url").to_pylist():
+                    host, path = split_url(u)
+                    seen.update((host, x) for x in names_of(host, path) if 3 <= len(x) <= 24)
+                hosts, names = zip(*seen, strict=True) if seen else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.string())], names=["host", "name"])
+
+    seen = pages.select(F.col(f"`{url_column}`").cast("string").alias("url")).mapInArrow(run, "host string, name string").distinct()
+    counted = cut(seen.groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+    every = counted.agg(F.sum("n")).first()[0] or 0
+    return {r["name"]: r["n"] for r in counted.filter((F.col("n") >= least_hosts) & (F.col("n") * WORDS > every)).collect()}
+
+
 class Judge:
     def __init__(self, rules=RULES, samples: list[tuple[str, bool]] | None = None, counts: dict[str, int] | None = None) -> None:
         samples = samples if samples is not None else [(x, True) for x in UNWANTED] + [(x, False) for x in WANTED]
-        words: dict[str, int] = dict(counts or {})
+        self.rules, self.bayes = rules, NaiveBayes(samples)
+        own: dict[str, int] = {}
         for text, _ in samples:
             for w in text.split():
-                words[w] = words.get(w, 0) + 2
-        self.rules, self.bayes = rules, NaiveBayes(samples)
+                own[w] = own.get(w, 0) + 2
+        plain = Segmenter({w: c for w, c in own.items() if len(w) > 1})
+        words = dict(own)
+        for w, c in (counts or {}).items():
+            if w in own or any(x not in own for x in plain(w)):  # names made of known words are none themselves
+                words[w] = words.get(w, 0) + c
         self.segment = Segmenter({w: c for w, c in words.items() if len(w) > 1})
         self.words = lru_cache(maxsize=100_000)(lambda name: tuple(self.segment(name)))
 
     def tokens(self, host: str, path: str) -> list[str]:
-        names = [x for x in re.split(r"[^a-z]+", (host + " " + path).lower()) if x and x not in COMMON]
+        names = names_of(host, path)
         return [w for x in names for w in ((x,) if x in self.bayes.words else self.words(x))]
 
     def __call__(self, url: str | None) -> tuple[str, str, str | None, str, float]:
@@ -121,14 +169,18 @@ class Judge:
         return host, path, rule and rule[0], rule[1] if rule else "block" if odds > 0 else "allow", odds
 
 
-def judge(pages: DataFrame, make=Judge, *, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
-    """``page_id, host, path, rule, verdict, log_odds`` for every row; extra columns, repeated and null ones are fine.
+def judge(pages: DataFrame, *, rules=RULES, samples: list[tuple[str, bool]] | None = None, counts: dict[str, int] | None = None, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+    """``page_id, host, path, rule, verdict, log_odds`` for every row.
 
-    ``make`` builds the judge (rules, labelled names, word counts) on each executor. Nothing is shuffled.
+    ``samples`` are labelled names, the words of each joined by spaces (those of this module if not given); ``counts`` the words learned from
+    pages (learned from these if not given). Of rules of equal length the one that comes last in order of spelling is taken; log-odds of 0 allow. Null urls have empty host
+    and path and no words; extra columns, repeated and null ids are fine; an empty table gives no rows; a url of any length is read whole.
     """
+    counts = learn_words(pages, url_column=url_column) if counts is None else counts
+    sent = pages.sparkSession.sparkContext.broadcast(counts)  # fewer than WORDS words of 24 letters at most
 
     def rate(batches):
-        j = make()
+        j = Judge(rules, samples, sent.value)
         for b in batches:
             got = [j(u) for u in b.column("url").to_pylist()]
             columns = list(zip(*got, strict=True)) if got else [()] * 5

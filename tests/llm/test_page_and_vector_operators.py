@@ -34,18 +34,51 @@ def test_url_rules(url, host, path, rule, action):
         assert got[3] == action
 
 
+#: Names put together for this test; none is a sample.
+UNWANTED_NAMES = "bettingbonus luckycasinospins nakedcams freeporntube cialismeds replicapills instantpaydayloans quickforexmoney warezcrack torrentkeygen adservertracking popupclicks prizegiveaway scamsurvey sexyescort pokerjackpot cheapsteroids phishingfraud".split()
+WANTED_NAMES = "dailyherald cityweather researchlibrary musicreview footballclub gardenguide universityarchive openscience travelmaps sourcecode hospitalcare naturephoto bakeryrecipes schoollectures forestbirds localradio communitychurch flighthotel".split()
+
+
 def test_host_segmentation_and_bayes():
     j = url_filter.Judge()
     assert j.segment("freebets") == ["free", "bets"]
     assert j.segment("xqcasinobonus") == ["xq", "casino", "bonus"]
-    assert j("http://freebets.org/")[3] == "block" and j("http://www.onlinecasinowin.example.org/x")[3] == "block"
-    assert j("http://dailynews.example.org/weather")[3] == "allow" and j("http://zzzqqq.org/")[3] == "allow"
+    assert j("http://zzzqqq.org/")[3] == "allow"
+    right = [j(f"http://{n}.org/")[3] == "block" for n in UNWANTED_NAMES] + [j(f"http://www.{n}.net/x")[3] == "allow" for n in WANTED_NAMES]
+    assert sum(right) >= 0.9 * len(right)
+
+
+def test_segmentation_and_bayes_equal_brute_force():
+    r = random.Random(6)
+    for _ in range(60):
+        counts = {"".join(r.choice("ab") for _ in range(r.randrange(2, 5))): r.randrange(1, 9) for _ in range(6)}
+        cut = url_filter.Segmenter(counts)
+        price = lambda w: cut.logp.get(w, -9.0 * len(w))  # noqa: B023, E731
+        name = "".join(r.choice("abc") for _ in range(9))
+        best = max(sum(price(name[a:b]) for a, b in zip((0, *c), (*c, 9), strict=True)) for k in range(512) for c in [[i for i in range(1, 9) if k >> i & 1]])
+        got = cut(name)
+        assert "".join(got) == name and abs(sum(price(w) for w in got) - best) < 1e-9
+    samples = [("free bets", True), ("free library", False), ("bets", True), ("news", False)]
+    odds = url_filter.NaiveBayes(samples, prior=0.2).odds("free bets bets news unknown".split())
+    words = ["free", "bets", "library", "news"]
+    p = lambda w, c: (sum(t.split().count(w) for t, y in samples if y == c) + 1) / (sum(len(t.split()) for t, y in samples if y == c) + len(words))
+    assert abs(odds - (np.log(0.25) + sum(np.log(p(w, True) / p(w, False)) for w in "free bets bets news".split()))) < 1e-9
+
+
+def test_words_are_learned_from_all_pages(spark):
+    urls = [f"http://zorblat.host{i % 7}.org/quuxen-{i}" for i in range(50)] + ["http://freebets.org/a"] * 9 + [f"http://freebets.s{i}.org/" for i in range(5)] + ["http://пример.рф/страница", None, "no url"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    counts = url_filter.learn_words(pages)
+    assert counts["zorblat"] == 7 and counts["quuxen"] == 7 and counts["freebets"] == 6 and "пример" not in counts
+    j = url_filter.Judge(counts=counts)
+    assert j.segment("zorblatcasino") == ["zorblat", "casino"] and j.segment("freebets") == ["free", "bets"]
+    assert url_filter.names_of("ümlaut.de", "/Über-uns") == ["ümlaut", "über", "uns"]
 
 
 def test_url_table(spark):
-    pages = spark.createDataFrame([(1, "http://x.net/es/2", "h"), (1, "http://x.net/es/2", "h"), (None, None, "h")], "page_id long, url string, host string")
+    pages = spark.createDataFrame([(1, "http://x.net/es/2", "h"), (1, "http://x.net/es/2", "h"), (None, None, "h"), (2, "http://a.org/" + "x" * 100_000, "h")], "page_id long, url string, host string")
     rows = url_filter.judge(pages).collect()
-    assert sorted(str(r["page_id"]) for r in rows) == ["1", "1", "None"] and {r["verdict"] for r in rows} == {"block", "allow"}
+    assert sorted(str(r["page_id"]) for r in rows) == ["1", "1", "2", "None"] and {r["verdict"] for r in rows} == {"block", "allow"}
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 

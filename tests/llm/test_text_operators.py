@@ -401,6 +401,39 @@ def test_toxicity_exceptions_and_odd_rows(spark):
     assert toxicity.score(frame(spark, []), empty).collect() == []
 
 
+def test_toxicity_equals_brute_force():
+    r = random.Random(9)
+    words = ["trash", "clown", "clowns", "can", "fish", "idiot", "tra", "x"]
+    for _ in range(200):
+        entries = {(f" {w} " if r.random() < 0.5 else f" {w}"): r.choice([1.0, 2.5]) for w in r.sample(words, 3)}
+        excuses = [" ".join(r.sample(words, 2)) for _ in range(3)]
+        lexicon = toxicity.Lexicon(entries, excuses)
+        text = " ".join(r.choice(words) for _ in range(r.randrange(0, 60)))
+        folded = toxicity.fold(text)
+        spots = {}
+        for p, w in entries.items():
+            for i in range(len(folded)):
+                if folded.startswith(p, i):
+                    spots[i] = max(w, spots.get(i, 0.0))
+        shield = [(i, i + len(e) + 1) for e in excuses for i in range(len(folded)) if folded.startswith(f" {e} ", i)]
+        left = {i: w for i, w in spots.items() if not any(a <= i < b for a, b in shield)}
+        want = (sum(left.values()) / np.log2(8 + folded.count(" ")), len(left)) if folded else (0.0, 0)
+        got = lexicon.raw(lexicon.automaton(), text)
+        assert abs(got[0] - want[0]) < 1e-9 and got[1] == want[1]
+
+
+def test_toxicity_of_a_very_long_text():
+    lexicon = toxicity.Lexicon({" trash ": 3.0, " idiot ": 3.0}, ["trash can"])
+    assert lexicon.raw(lexicon.automaton(), "trash can idiot " * 200_000)[1] == 200_000
+
+
+def test_toxicity_training_rows_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(0, "b")] * 30 + [(0, "a"), (2, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (0, 1), (2, 1), (None, 1), (5, 1)], "doc_id long, toxic int")
+    got = sorted((r["text"] or "", r["y"]) for r in toxicity.training_rows(docs, labels).collect())
+    assert got == [(t, 1) for i, t in ((2, ""), (0, "a")) if zlib.crc32(str(i).encode()) % 3 != 1]
+
+
 # --- language model
 
 
