@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from strandloom.functions import scalars, sequence
 from strandloom.functions.alphabet import Alphabet
 from strandloom.operators import counting, metrics, pool, selection, splits
-from strandloom.plans.lineage import number_rows, prefix_sums, spread
+from strandloom.plans.lineage import number_rows, spread
 from strandloom.plans.training import BaselinePipeline, TrainingPipeline
-from strandloom.sources.labels import invalid_labels, numeric
+from strandloom.sources.labels import invalid_labels, join_labels, without_labels
+from strandloom.sources.readers import text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -328,18 +329,18 @@ def _(spark, d):
 
 @query("label_join", "SELECT doc_id, source, quality, toxic FROM documents JOIN labels USING (doc_id)")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id")
+    return join_labels(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), "doc_id")
 
 
 @query("missing_labels", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
+    return without_labels(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
 @query("label_table_clean", "SELECT doc_id, CAST(quality AS FLOAT) AS quality FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND regexp_matches(text, '\\S')")
 def _(spark, d):
     t = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    return t.filter(F.col("text").rlike("\\S") & F.col("quality").isNotNull()).select("doc_id", numeric(t, "quality").cast("float").alias("quality"))
+    return text_table(t, "text", "quality", "doc_id").select(F.col("sample_id").alias("doc_id"), "quality")
 
 
 @query("invalid_labels", "SELECT DISTINCT 'lang' AS label, lang AS value FROM documents WHERE try_cast(lang AS DOUBLE) IS NULL UNION ALL SELECT DISTINCT 'source', source FROM documents WHERE try_cast(source AS DOUBLE) IS NULL")
@@ -349,8 +350,7 @@ def _(spark, d):
 
 @query("non_binary_labels", "SELECT DISTINCT CAST(l_linenumber AS DOUBLE) AS value FROM lineitem WHERE l_linenumber NOT IN (0, 1)")
 def _(spark, d):
-    v = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("double").alias("value"))
-    return v.filter(~F.col("value").isin(0.0, 1.0)).distinct()
+    return metrics.non_binary(table(spark, d, "lineitem"), ["l_linenumber"])
 
 
 _FOLD_SQL = """WITH s AS (SELECT doc_id, CAST(quality AS BIGINT) AS stratum FROM labels), z AS (SELECT stratum, count(*) AS n FROM s GROUP BY stratum),
@@ -532,8 +532,7 @@ def _(spark, d):
 
 @query("class_union", f"WITH x AS ({_CLASSES}) SELECT round_even(y, 0) AS k FROM x UNION SELECT round_even(p, 0) FROM x")
 def _(spark, d):
-    c = _classes(spark, d)
-    return c.select(scalars.discretise("y").alias("k")).union(c.select(scalars.discretise("p").alias("k"))).distinct()
+    return metrics.classes(_classes(spark, d))
 
 
 @query(
@@ -543,9 +542,8 @@ def _(spark, d):
 )
 def _(spark, d):
     x = _toxic(spark, d)
-    by = x.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if(scalars.is_positive("y")).alias("pos"))
     total = x.filter(scalars.is_positive("y")).count()
-    got = prefix_sums(by, [F.col("p").desc()], {"hits": F.col("pos"), "seen": F.col("n")})
+    got = metrics.precision_recall(x)
     return got.select("p", "hits", "seen", _r(F.col("hits") / F.col("seen")).alias("precision"), _r(F.col("pos") / F.lit(float(total))).alias("recall_step"))
 
 

@@ -26,7 +26,9 @@ def parser() -> argparse.ArgumentParser:
         t.add_argument(f"--{name}", type=int, default=default)
     for name, default in (("lr", 0.03), ("ea-min", None), ("ea-max", None)):
         t.add_argument(f"--{name}", type=float, default=default)
-    for name in ("alphabet", "complement", "metric", "export-file", "save-file", "import-file"):
+    t.add_argument("--backend", choices=("tasks", "levels"))
+    t.add_argument("--count-strategy", choices=("auto", "pattern", "join", "arrow"))
+    for name in ("id-column", "alphabet", "complement", "metric", "export-file", "save-file", "import-file"):
         t.add_argument(f"--{name}")
     for name in ("case-sensitive", "keep-unknown", "uint16", "sparse", "binary-features", "binary", "standardise-labels", "baseline"):
         t.add_argument(f"--{name}", action="store_true")
@@ -47,6 +49,7 @@ def main(argv: list[str] | None = None) -> int:
     a = vars(parser().parse_args(argv))
     logging.basicConfig(level=LEVELS[a.pop("log")], handlers=[logging.StreamHandler(), *([logging.FileHandler(f)] if (f := a.pop("log_file")) else [])])
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
+    from strandloom.plans.results import write_csv
     from strandloom.plans.training import BaselinePipeline, InferencePipeline, TrainingPipeline
 
     if a.pop("command") == "train":
@@ -65,8 +68,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         raise SystemExit("nothing to score")
     out = Path(a["out"] if a["out"].endswith(".csv") else a["out"] + ".csv")
-    out.parent.mkdir(parents=True, exist_ok=True)
-    got.toPandas().to_csv(out, index=False)
+    write_csv(got, str(out))
     return 0
 
 

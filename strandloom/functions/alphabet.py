@@ -89,11 +89,11 @@ class Alphabet:
                 raise ValueError("a complement pairs single characters")
             a, b = self._cased(a, self.case_sensitive), self._cased(b, self.case_sensitive)
             for x, y in ((a, b), (b, a)):
-                if x not in chars:
+                if x not in chars and x != self.unknown:
                     raise ValueError(f"complement of {x!r}, which is not in the alphabet")
                 if pairs.setdefault(x, y) != y:
                     raise ValueError(f"{x!r} has two complements")
-        return {c: pairs.get(c, c) for c in chars}
+        return {c: pairs.get(c, c) for c in chars} | {c: d for c, d in pairs.items() if c == self.unknown and d != c}
 
     def _key(self):
         return self.characters, self.case_sensitive, tuple(sorted((self.pairs or {}).items())), self.unknown

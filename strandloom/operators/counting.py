@@ -16,8 +16,10 @@ from strandloom.functions.sequence import windows
 
 #: Largest value of the compact count storage.
 UINT16 = 65_535
-#: Segments of a pool that are sent to every task at most; larger pools are joined.
-BROADCAST_SEGMENTS = 2_000_000
+#: Bytes of a pool as a table in memory that are sent to every task at most; larger pools are joined. And what a segment takes besides its characters.
+BROADCAST_BYTES, SEGMENT_BYTES = 128 << 20, 200
+#: Bytes of a pool that thins windows before they are grouped.
+THIN_BYTES = 16 << 20
 #: Segments of a pool that are counted by a pattern each at most.
 PATTERNS = 32
 
@@ -44,9 +46,10 @@ def count_segments(nodes: DataFrame, pool: DataFrame, alphabet: Alphabet, *, str
     sized = usable.groupBy(F.length("segment").alias("len")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per length
     lengths = sorted(r["len"] for r in sized)
     total = sum(r["n"] for r in sized)
+    size = sum(r["n"] * (SEGMENT_BYTES + 4 * r["len"]) for r in sized)
     text = nodes.withColumn("seq", alphabet.normalise("seq"))
     if strategy == "auto":
-        strategy = "pattern" if total <= PATTERNS else "arrow" if len(lengths) > 2 and total <= BROADCAST_SEGMENTS else "join"
+        strategy = "pattern" if total <= PATTERNS else "arrow" if len(lengths) > 2 and size <= BROADCAST_BYTES else "join"
     if strategy == "pattern":
         return _count_patterns(text, usable, alphabet)
     if strategy == "arrow":
@@ -54,7 +57,7 @@ def count_segments(nodes: DataFrame, pool: DataFrame, alphabet: Alphabet, *, str
     if strategy != "join":
         raise ValueError("strategy is auto, pattern, join or arrow")
     w = windows(text, lengths).select("sample_id", alphabet.canonical("window").alias("segment"))
-    if total <= 100_000:  # a pool of checked size thins the windows before they are grouped
+    if size <= THIN_BYTES:  # a pool of checked size thins the windows before they are grouped
         w = w.join(F.broadcast(usable.select("segment").distinct()), "segment", "left_semi")
     seen = w.groupBy("sample_id", "segment").agg(F.count(F.lit(1)).alias("n"))
     return seen.join(usable, "segment").select("sample_id", "seg_id", "n")

@@ -136,6 +136,11 @@ def confusion(df: DataFrame) -> DataFrame:
     return df.groupBy(discretise("y").alias("y"), discretise("p").alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def classes(df: DataFrame) -> DataFrame:
+    """``k``: rounded classes that occur on either side."""
+    return df.select(discretise("y").alias("k")).union(df.select(discretise("p").alias("k"))).distinct()
+
+
 @Metric.register("mcc", table=True)
 def mcc(df: DataFrame) -> float:
     """Matthews correlation of the rounded classes, for any number of them; 0 where either side is constant."""
@@ -175,12 +180,16 @@ def auroc(df: DataFrame) -> float:
     return (r["ranks"] - r["a"] * (r["a"] + 1) / 2.0) / (r["a"] * r["b"])
 
 
+def precision_recall(df: DataFrame) -> DataFrame:
+    """``p, n, pos, hits, seen``: for every score from the highest, its rows and positives, and those so far."""
+    by = df.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_positive("y")).alias("pos"))
+    return prefix_sums(by, [F.col("p").desc()], {"hits": F.col("pos"), "seen": F.col("n")})
+
+
 @Metric.register("auprc", table=True)
 def auprc(df: DataFrame) -> float:
     """Average precision, a step function over recall, tied scores one point; NaN without positives."""
-    by = df.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_positive("y")).alias("pos"))
-    got = prefix_sums(by, [F.col("p").desc()], {"hits": F.col("pos"), "seen": F.col("n")})
-    r = got.agg(F.sum(F.col("pos") * F.col("hits") / F.col("seen")).alias("area"), F.sum("pos").alias("a")).first()
+    r = precision_recall(df).agg(F.sum(F.col("pos") * F.col("hits") / F.col("seen")).alias("area"), F.sum("pos").alias("a")).first()
     return r["area"] / r["a"] if r["a"] else _NAN
 
 
@@ -250,11 +259,14 @@ def essential_agreement(y: Column, p: Column, ea_min: float | None = None, ea_ma
     return F.avg(agrees.cast("double"))
 
 
+def non_binary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``value``: distinct labels other than 0 and 1; null is none."""
+    values = df.select(F.explode(F.array(*(F.col(c).cast("double") for c in columns))).alias("value"))
+    return values.filter(F.col("value").isNotNull() & ~F.col("value").isin(0.0, 1.0)).distinct()
+
+
 def check_binary(df: DataFrame, columns: list[str]) -> None:
     """Raises unless all labels are 0 or 1 (or booleans)."""
-    bad: set[float] = set()
-    for c in columns:
-        v = F.col(c).cast("double")
-        bad |= {r[0] for r in df.select(v.alias("v")).filter(v.isNotNull() & ~v.isin(0.0, 1.0)).distinct().limit(5).collect()}
+    bad = {r["value"] for r in non_binary(df, columns).limit(5).collect()}
     if bad:
         raise ValueError(f"binary labels are 0 or 1, not {sorted(bad)}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.plans.lineage import number_rows
+from strandloom.sources.labels import without_labels
 
 TEST_SHARE = 0.2
 SEED = 42
@@ -59,7 +60,7 @@ def hold_out(df: DataFrame, *, key: str = "sample_id", label: str | None = None,
 def predefined_folds(df: DataFrame, folds: DataFrame, test: int, num_folds: int = 0, *, item: str = "item") -> tuple[DataFrame, DataFrame]:
     """Train and test rows by ``folds(fold, item)``: fold ``test`` is held out, the others below ``num_folds`` train
     (0: all but the first). An item without a row is an error."""
-    missing = folds.join(df, item, "left_anti").select(item).limit(5).collect()
+    missing = without_labels(folds, df, item).select(item).limit(5).collect()
     if missing:
         raise KeyError(f"fold items without a label: {[r[0] for r in missing]}")
     train = folds.filter((F.col("fold") < num_folds) & (F.col("fold") != test)) if num_folds > 0 else folds.filter("fold >= 1")
@@ -69,3 +70,9 @@ def predefined_folds(df: DataFrame, folds: DataFrame, test: int, num_folds: int
 def nested_folds(n: int) -> list[tuple[int, list[int]]]:
     """Outer folds with their inner folds in order: inner fold 0 is the one after the outer."""
     return [(i, [(i + d) % n for d in range(1, n)]) for i in range(n)]
+
+
+def inner_folds(folds: DataFrame, outer: int, inner: list[int]) -> DataFrame:
+    """``folds(fold, item)`` without the fold ``outer``, the others numbered as ``inner`` lists them."""
+    number = F.element_at(F.create_map(*(F.lit(x) for pair in zip(inner, range(len(inner)), strict=True) for x in pair)), F.col("fold"))
+    return folds.filter(F.col("fold") != outer).withColumn("fold", number)

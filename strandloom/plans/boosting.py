@@ -1,6 +1,7 @@
 """Gradient boosted trees on counts: second-order, histogram based, in numpy (Chen and Guestrin, KDD 2016).
 
-A booster runs inside one task on the columns of one feature partition; the trees are rows of a table.
+A booster runs inside one task on the columns of one feature partition, of which it holds the entries that are not
+zero; the trees are rows of a table.
 """
 
 from __future__ import annotations
@@ -18,6 +19,32 @@ NODE_SCHEMA = "label_idx int, tree_id int, node_id int, seg_id long, threshold d
 NODE_COLUMNS = [x.split()[0] for x in NODE_SCHEMA.split(", ")]
 
 
+class Entries:
+    """The entries of a matrix that are not zero, by column and row; its size in memory is theirs, whatever its shape."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> None:
+        order = np.lexsort((rows, columns))
+        self.rows, self.columns, self.values = rows[order].astype(np.int64), columns[order].astype(np.int64), values[order].astype(np.float32)
+        self.shape = shape
+        self.bounds = np.searchsorted(self.columns, np.arange(shape[1] + 1))
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Entries:
+        rows, columns = np.nonzero(x)
+        return cls(rows, columns, x[rows, columns], x.shape)
+
+    def of_rows(self, keep: np.ndarray) -> Entries:
+        """The rows that ``keep`` marks, numbered anew."""
+        some = keep[self.rows]
+        return Entries((np.cumsum(keep) - 1)[self.rows[some]], self.columns[some], self.values[some], (int(keep.sum()), self.shape[1]))
+
+    def column(self, j: int) -> np.ndarray:
+        out = np.zeros(self.shape[0], dtype=np.float32)
+        a, b = self.bounds[j], self.bounds[j + 1]
+        out[self.rows[a:b]] = self.values[a:b]
+        return out
+
+
 @dataclass
 class Booster:
     """``fit`` grows one tree per label and round; ``trees`` is the node table with ``seg_id`` as the column number."""
@@ -35,31 +62,37 @@ class Booster:
     nodes: list[tuple] = field(default_factory=list)
     best_round: int = -1
 
-    def _bin(self, x: np.ndarray) -> None:
-        """Thresholds per column, and the column's bins; the last bin is for missing values."""
-        n, f = x.shape
+    def _bin(self, e: Entries) -> None:
+        """Thresholds per column, and the bin of every entry; the last bin is for missing values."""
+        n, f = e.shape
+        self.entries = e
         self.cuts: list[np.ndarray] = []
-        out = np.zeros((f, n), dtype=np.uint16)
+        self.entry_bin = np.zeros(len(e.values), dtype=np.uint16)
         for j in range(f):
-            col = x[:, j]
-            known = col[col != 0] if self.zero_as_missing else col
-            values = np.unique(known)
+            a, b = e.bounds[j], e.bounds[j + 1]
+            col, zeros = e.values[a:b], 0 if self.zero_as_missing else n - (b - a)
+            values = np.unique(np.append(col, np.float32(0)) if zeros else col)
             if len(values) > self.bins - 1:
+                known = np.append(col, np.zeros(zeros, dtype=np.float32))
                 values = np.unique(np.quantile(known, np.linspace(0, 1, self.bins - 1), method="nearest"))
             cuts = (values[:-1] + values[1:]) / 2.0 if len(values) > 1 else np.zeros(0)
             if self.zero_as_missing and len(values):
                 cuts = np.append(cuts, values[-1] + 1.0)  # all that is there against what is missing
             self.cuts.append(cuts)
-            out[j] = np.searchsorted(self.cuts[j], col, side="right")
+            self.entry_bin[a:b] = np.searchsorted(cuts, col, side="right")
         self.width = max((len(c) for c in self.cuts), default=0) + 2
-        if self.zero_as_missing:
-            out[x.T == 0] = self.width - 1
-        self.binned = out
         self.n_cuts = np.array([len(c) for c in self.cuts], dtype=np.int64)
         # histograms are summed over what is not zero; the bin of zeros gets the rest of a node's total
         self.zero_bin = np.array([self.width - 1 if self.zero_as_missing else int(np.searchsorted(c, 0.0, side="right")) for c in self.cuts], dtype=np.int64)
-        self.entry_row, column = np.nonzero(x)
-        self.entry_cell = column * self.width + out[column, self.entry_row]
+        self.entry_row = e.rows
+        self.entry_cell = e.columns * self.width + self.entry_bin
+
+    def _bins_of(self, column: int) -> np.ndarray:
+        """The bins of all rows in a column."""
+        a, b = self.entries.bounds[column], self.entries.bounds[column + 1]
+        out = np.full(self.entries.shape[0], self.zero_bin[column], dtype=np.int64)
+        out[self.entry_row[a:b]] = self.entry_bin[a:b]
+        return out
 
     def _grad(self, f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not self.binary:
@@ -137,7 +170,7 @@ class Booster:
                     self.nodes.append((label, tree, node, None, None, None, th, None, None, None, leaf))
                     continue
                 gain, col, b, left = s
-                bins = self.binned[col, rows]
+                bins = self._bins_of(col)[rows]
                 goes = np.where(bins == self.width - 1, left, bins <= b) if self.zero_as_missing else bins <= b
                 self.nodes.append((label, tree, node, col, float(self.cuts[col][b]), gain, th, made, made + 1, bool(left), None))
                 grown += [(made, rows[goes]), (made + 1, rows[~goes])]
@@ -148,15 +181,16 @@ class Booster:
                 break
         return add
 
-    def fit(self, x: np.ndarray, y: np.ndarray, x_test: np.ndarray | None = None, y_test: np.ndarray | None = None) -> Booster:
+    def fit(self, x: np.ndarray | Entries, y: np.ndarray, x_test: np.ndarray | Entries | None = None, y_test: np.ndarray | None = None) -> Booster:
+        x = x if isinstance(x, Entries) else Entries.of(x)
         y = y.reshape(len(y), -1).astype(np.float64)
         labels = y.shape[1]
         mean = y.mean(axis=0) if len(y) else np.zeros(labels)
         self.base = np.log(np.clip(mean, 1e-6, 1 - 1e-6) / (1 - np.clip(mean, 1e-6, 1 - 1e-6))) if self.binary else mean
         self._bin(x)
         f = np.tile(self.base, (len(y), 1))
-        watch = x_test is not None and len(x_test) > 0
-        ft = np.tile(self.base, (len(x_test), 1)) if watch else None
+        watch = x_test is not None and x_test.shape[0] > 0
+        ft = np.tile(self.base, (x_test.shape[0], 1)) if watch else None
         yt = y_test.reshape(len(y_test), -1).astype(np.float64) if watch else None
         best, best_at = np.inf, -1
         for r in range(self.rounds if x.shape[1] and len(y) else 0):
@@ -172,34 +206,35 @@ class Booster:
                 elif r - best_at >= self.patience:
                     break
         self.best_round = best_at
-        del self.binned, self.entry_row, self.entry_cell
+        del self.entries, self.entry_bin, self.entry_row, self.entry_cell
         return self
 
-    def raw(self, x: np.ndarray, nodes: list[tuple], labels: int) -> np.ndarray:
+    def raw(self, x: np.ndarray | Entries, nodes: list[tuple], labels: int) -> np.ndarray:
         return walk(x, nodes, labels, self.zero_as_missing)
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
+    def predict(self, x: np.ndarray | Entries) -> np.ndarray:
         return predict(x, self.nodes, self.base, self.binary, self.zero_as_missing)
 
     def table(self) -> pd.DataFrame:
         return pd.DataFrame(self.nodes, columns=NODE_COLUMNS)
 
 
-def walk(x: np.ndarray, nodes: list[tuple], labels: int, zero_as_missing: bool = False) -> np.ndarray:
+def walk(x: np.ndarray | Entries, nodes: list[tuple], labels: int, zero_as_missing: bool = False) -> np.ndarray:
     """Sums of leaves per row and label over the trees of a node table."""
-    out = np.zeros((len(x), labels))
+    column = x.column if isinstance(x, Entries) else lambda c: x[:, c]
+    out = np.zeros((x.shape[0], labels))
     trees: dict[int, dict[int, tuple]] = {}
     for n in nodes:
         trees.setdefault(n[1], {})[n[2]] = n
     for t in trees.values():
-        todo = [(0, np.arange(len(x)))]
+        todo = [(0, np.arange(x.shape[0]))]
         while todo:
             k, rows = todo.pop()
             label, _, _, col, threshold, _, _, left, right, default_left, leaf = t[k]
             if col is None:
                 out[rows, label] += leaf
                 continue
-            v = x[rows, col]
+            v = column(col)[rows]
             goes = v < threshold
             if zero_as_missing:
                 goes = np.where(v == 0, default_left, goes)
@@ -207,6 +242,6 @@ def walk(x: np.ndarray, nodes: list[tuple], labels: int, zero_as_missing: bool =
     return out
 
 
-def predict(x: np.ndarray, nodes: list[tuple], base: np.ndarray, binary: bool, zero_as_missing: bool = False) -> np.ndarray:
+def predict(x: np.ndarray | Entries, nodes: list[tuple], base: np.ndarray, binary: bool, zero_as_missing: bool = False) -> np.ndarray:
     f = base + walk(x, nodes, len(base), zero_as_missing)
     return 1 / (1 + np.exp(-f)) if binary else f

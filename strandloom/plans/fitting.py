@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.pool import near_equal_parts, partition_of
-from strandloom.plans.boosting import NODE_COLUMNS, NODE_SCHEMA, Booster
+from strandloom.plans.boosting import NODE_COLUMNS, NODE_SCHEMA, Booster, Entries
 from strandloom.plans.lineage import cut
 
-#: Samples whose labels every booster task holds at most.
-MOST_SAMPLES = 5_000_000
+#: Bytes of ids, labels, predictions and gradients of all samples that a booster task holds at most; beyond it, ``backend="levels"`` is the way.
+MOST_BYTES = 2 << 30
 
 
 def fit_partitions(counts: DataFrame, samples: DataFrame, n_features: int, labels: list[str], *, target: int, binary: bool, rounds: int, rate: float, zero_as_missing: bool) -> tuple[DataFrame, np.ndarray]:
@@ -22,8 +22,8 @@ def fit_partitions(counts: DataFrame, samples: DataFrame, n_features: int, label
     of trees and predictions, told apart by ``kind``, and the base scores.
     """
     n = samples.count()
-    if n > MOST_SAMPLES:
-        raise ValueError(f"{n} samples; a booster task holds the labels of {MOST_SAMPLES} at most")
+    if n * (9 + 40 * len(labels)) > MOST_BYTES:
+        raise ValueError(f"the labels of {n} samples are more than a booster task holds; use backend='levels'")
     pdf = samples.select("sample_id", "is_test", *labels).orderBy("sample_id").toPandas()  # of a checked size
     ids = pdf["sample_id"].to_numpy(np.int64)
     test = pdf["is_test"].to_numpy(bool)
@@ -41,10 +41,9 @@ def fit_partitions(counts: DataFrame, samples: DataFrame, n_features: int, label
         first = part * (size + 1) if part < extra else extra * (size + 1) + (part - extra) * size
         width = size + (part < extra)
         rows = rows[rows["sample_id"].notna()]
-        x = np.zeros((len(ids), width), dtype=np.float32)
         at = np.searchsorted(ids, rows["sample_id"].to_numpy(np.int64))
-        x[at, rows["seg_id"].to_numpy(np.int64) - first] = rows["n"].to_numpy()
-        b = Booster(binary=binary, rounds=rounds, rate=rate, zero_as_missing=zero_as_missing).fit(x[~test], y[~test], x[test], y[test])
+        x = Entries(at, rows["seg_id"].to_numpy(np.int64) - first, rows["n"].to_numpy(), (len(ids), width))
+        b = Booster(binary=binary, rounds=rounds, rate=rate, zero_as_missing=zero_as_missing).fit(x.of_rows(~test), y[~test], x.of_rows(test), y[test])
         trees = b.table()
         trees["seg_id"] += first
         trees.insert(0, "kind", "node")

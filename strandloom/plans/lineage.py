@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints into the shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Checkpoints into the shared folder named by ``spark.checkpoint.dir``; a temporary one where it is unset and the master is local (tests)."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandloom-"))
     return df.checkpoint(eager=True)
 
 
@@ -32,16 +35,16 @@ def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) ->
     """
     ranged = cut(df.withColumns({f"__v{i}": c for i, c in enumerate(sums.values())}).sort(*order).withColumn("__p", F.spark_partition_id()))
     totals = ranged.groupBy("__p").agg(*(F.sum(f"__v{i}").alias(f"t{i}") for i in range(len(sums)))).orderBy("__p").collect()
+    kinds = [ranged.schema[f"__v{i}"].dataType.simpleString() for i in range(len(sums))]
+    rows, at = [], [0] * len(sums)
+    for r in totals:
+        rows.append((r["__p"], *at))
+        at = [x + (r[f"t{i}"] or 0) for i, x in enumerate(at)]
+    rows = [(p, *(float(x) if k in ("double", "float") else int(x) for x, k in zip(xs, kinds, strict=True))) for p, *xs in rows]
+    offsets = df.sparkSession.createDataFrame(rows, "__p int, " + ", ".join(f"__o{i} {'double' if k in ('double', 'float') else 'long'}" for i, k in enumerate(kinds)))
     own = W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = ranged
-    for i, name in enumerate(sums):
-        before, at = [0] * (1 + max((r["__p"] for r in totals), default=0)), 0
-        for r in totals:
-            before[r["__p"]] = at
-            at += r[f"t{i}"] or 0
-        kind = ranged.schema[f"__v{i}"].dataType.simpleString()
-        offset = F.element_at(F.array(*(F.lit(x) for x in before)).cast(f"array<{'double' if kind in ('double', 'float') else 'bigint'}>"), F.col("__p") + 1)
-        out = out.withColumn(name, F.sum(f"__v{i}").over(own) + offset)
+    out = ranged.join(F.broadcast(offsets), "__p")  # a row for each partition
+    out = out.withColumns({name: F.sum(f"__v{i}").over(own) + F.col(f"__o{i}") for i, name in enumerate(sums)}).drop(*(f"__o{i}" for i in range(len(sums))))
     return out.drop("__p", *(f"__v{i}" for i in range(len(sums))))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,15 @@ from strandloom.operators.metrics import Metric
 from strandloom.operators.selection import merge_importance
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """One CSV file with a header; the driver holds a partition's rows at a time, not the table."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f, lineterminator="\n")
+        w.writerow(df.columns)
+        w.writerows(tuple(r) for r in df.toLocalIterator(prefetchPartitions=True))
+
+
 class SegmentImportance:
     """``table(seg_id, Segment, Importance)`` in column order."""
 
@@ -27,8 +38,8 @@ class SegmentImportance:
         return self.table.orderBy("seg_id").select("Segment", "Importance")
 
     def to_csv(self, path: str) -> None:
-        """One CSV file in column order, for a list that fits the driver."""
-        self.to_frame().toPandas().to_csv(path, index=False)
+        """One CSV file in column order."""
+        write_csv(self.to_frame(), path)
 
     @classmethod
     def from_csv(cls, spark: SparkSession, path: str) -> SegmentImportance:

@@ -17,13 +17,13 @@ from strandloom.operators.counting import count_segments, stored
 from strandloom.operators.metrics import Metric, check_binary
 from strandloom.operators.pool import SegmentPool
 from strandloom.operators.selection import LabelScaler, mean_gain, rank_importance, scale_mismatch, top_features, with_importance
-from strandloom.operators.splits import hold_out, stratified_folds
+from strandloom.operators.splits import hold_out, inner_folds, nested_folds, predefined_folds, stratified_folds
 from strandloom.plans.boosting import NODE_COLUMNS
-from strandloom.plans.fitting import MOST_SAMPLES, fit_partitions, mean_predictions, tree_nodes
+from strandloom.plans.fitting import fit_partitions, mean_predictions, tree_nodes
 from strandloom.plans.levels import fit_levels
 from strandloom.plans.lineage import cut, number_rows, spread
 from strandloom.plans.model import SegmentModel
-from strandloom.plans.results import FoldResult, SegmentImportance, TrainingResult, prediction_columns, wide_predictions
+from strandloom.plans.results import FoldResult, SegmentImportance, TrainingResult, prediction_columns, wide_predictions, write_csv
 from strandloom.sources.labels import label_names
 from strandloom.sources.readers import DEFAULT_LABEL, build_source, fasta_directory, fasta_files, fold_file, segment_list
 
@@ -34,9 +34,12 @@ log = logging.getLogger("strandloom")
 class TrainingPipeline:
     """One run over a table of texts or labelled sequence files.
 
-    ``folds`` 0 is one stratified 80 : 20 split. ``train()`` keeps everything in memory; ``run()`` also writes
-    ``export_file`` and resumes from ``save_file``. By default the held-out rows also stop the boosting; ``inner_validation``
-    uses a part of the training rows for that instead.
+    ``folds`` 0 is one stratified 80 : 20 split, or with predefined folds (``folds_file``, or a table ``fold_table`` of ``fold, item``) fold 0 held
+    out from all others; with ``folds`` n the folds 0..n-1 are held out in turn, and folds beyond these are not used. ``train()`` keeps
+    everything in memory; ``run()`` also writes ``export_file`` and resumes from ``save_file``. The held-out rows also stop the boosting.
+
+    ``backend`` says how trees are grown, whatever the size: ``tasks`` fits a booster for each feature partition in a task, which holds the
+    labels of all samples and the entries of its columns; ``levels`` grows them by joins, over all columns and any number of samples.
     """
 
     spark: SparkSession
@@ -52,6 +55,7 @@ class TrainingPipeline:
     features: int = 10_000
     folds: int = 0
     folds_file: str | None = None
+    fold_table: DataFrame | None = None
     ea_min: float | None = None
     ea_max: float | None = None
     num_rounds: int = 1500
@@ -72,12 +76,12 @@ class TrainingPipeline:
     import_file: str | None = None
     count_strategy: str = "auto"
     baseline: bool = False
-    backend: str = "auto"
+    backend: str = "tasks"
     rounds_done: list[dict] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        if self.backend not in ("auto", "tasks", "levels") or self.backend == "levels" and self.sparse:
-            raise ValueError("backend is auto, tasks or levels; levels has no missing values")
+        if self.backend not in ("tasks", "levels") or self.backend == "levels" and self.sparse:
+            raise ValueError("backend is tasks or levels; levels has no missing values")
         if self.standardise_labels and self.binary:
             raise ValueError("binary labels are not standardised")
         if not isinstance(self.alphabet, Alphabet):
@@ -114,7 +118,7 @@ class TrainingPipeline:
                 os.remove(progress)
             if self.export_file and result.folds:
                 Path(self.export_file).parent.mkdir(parents=True, exist_ok=True)
-                result.predictions.toPandas().to_csv(f"{self.export_file}.csv", index=False)
+                write_csv(result.predictions, f"{self.export_file}.csv")
                 for f in result.folds:
                     f.model.save(f"{self.export_file}_fold_{f.fold}")
         return result
@@ -122,15 +126,11 @@ class TrainingPipeline:
     def _splits(self, samples: DataFrame):
         """``(fold, samples with is_test)``; with several labels nothing is stratified."""
         label = self.labels[0] if len(self.labels) == 1 else None
-        if self.folds_file:
-            table = fold_file(self.spark, self.folds_file, self.data_dir)
-            missing = table.join(samples, "item", "left_anti").select("item").limit(5).collect()
-            if missing:
-                raise KeyError(f"fold items without a label: {[r[0] for r in missing]}")
-            marked = cut(samples.join(table, "item"))
-            n = self.folds or 1 + table.agg(F.max("fold")).first()[0]
-            for i in range(n):
-                yield i, marked.withColumn("is_test", F.col("fold") == i)
+        if self.folds_file or self.fold_table is not None:
+            table = cut(self.fold_table if self.fold_table is not None else fold_file(self.spark, self.folds_file, self.data_dir))
+            for i in range(max(1, self.folds)):
+                train, test = predefined_folds(samples, table, i, self.folds)
+                yield i, cut(train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True))))
         elif self.folds > 1:
             marked = cut(stratified_folds(samples, self.folds, label=label))
             for i in range(self.folds):
@@ -145,8 +145,7 @@ class TrainingPipeline:
         return cut(got.select("sample_id", "seg_id", stored("n", uint16=self.uint16, presence=self.binary_features).alias("n")))
 
     def _fit(self, counts: DataFrame, samples: DataFrame, n: int, target: int):
-        """Boosters in tasks, or, beyond the samples that a task may hold, trees grown by joins."""
-        if self.backend == "levels" or self.backend == "auto" and not self.sparse and samples.count() > MOST_SAMPLES:
+        if self.backend == "levels":
             return fit_levels(counts, samples, self.labels, binary=self.binary, rounds=self.num_rounds, rate=self.lr)
         return fit_partitions(counts, samples, n, self.labels, target=target, binary=self.binary, rounds=self.num_rounds, rate=self.lr, zero_as_missing=self.sparse)
 
@@ -210,16 +209,29 @@ class BaselinePipeline(TrainingPipeline):
         super().__init__(*args, **{**kwargs, "baseline": True})
 
 
-def nested_cross_validation(make, samples: DataFrame, k: int, **splitting) -> DataFrame:
-    """Outer folds held out from whole inner runs: ``make(train)`` returns a model; gives all outer predictions with ``Fold``."""
-    marked = cut(stratified_folds(samples, k, **splitting))
-    out = None
-    for i in range(k):
-        model = make(marked.filter(F.col("fold") != i).drop("fold", "stratum"))
-        held = marked.filter(F.col("fold") == i)
-        one = model.predict_table(held).join(held.select("sample_id", "item"), "sample_id").withColumn("Fold", F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    return out
+def nested_cross_validation(make, samples: DataFrame, folds: DataFrame, *, export: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Outer folds held out from whole inner runs; the predictions for the outer folds and for the inner held-out ones, both with ``Fold``.
+
+    ``folds(fold, item)`` are numbered from 0. For each outer fold, ``make(samples, fold_table)`` trains on the others, numbered so that
+    the next one is fold 0, which that run holds out, and returns its ``TrainingResult``. With ``export``, writes
+    ``<export>_inner_fold_<i>.csv``, ``<export>_outer_fold_<i>.csv``, ``<export>_nested_test.csv`` and ``<export>_nested_val.csv``.
+    """
+    folds = cut(folds)
+    outer_all = inner_all = None
+    for i, inner in nested_folds(1 + folds.agg(F.max("fold")).first()[0]):
+        rest, held = (samples.join(folds.filter(f).select("item"), "item") for f in (F.col("fold") != i, F.col("fold") == i))
+        result = make(rest, inner_folds(folds, i, inner))
+        scored = cut(result.model.predict_table(held).join(held.select("sample_id", "item"), "sample_id").withColumn("Fold", F.lit(i)))
+        checked = result.predictions.withColumn("Fold", F.lit(i))
+        if export:
+            write_csv(checked, f"{export}_inner_fold_{i}.csv")
+            write_csv(scored, f"{export}_outer_fold_{i}.csv")
+        outer_all = scored if outer_all is None else outer_all.unionByName(scored)
+        inner_all = checked if inner_all is None else inner_all.unionByName(checked)
+    if export and outer_all is not None:
+        write_csv(outer_all, f"{export}_nested_test.csv")
+        write_csv(inner_all, f"{export}_nested_val.csv")
+    return outer_all, inner_all
 
 
 @dataclass

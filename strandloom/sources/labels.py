@@ -30,6 +30,16 @@ def require_columns(df: DataFrame, names: list[str]) -> None:
         raise ValueError(f"no column {', '.join(missing)}; there are {', '.join(df.columns)}")
 
 
+def join_labels(df: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` that have labels, with them."""
+    return df.join(labels, key)
+
+
+def without_labels(df: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` that have none."""
+    return df.join(labels, key, "left_anti")
+
+
 def numeric(df: DataFrame, name: str) -> Column:
     """A label as a double: booleans as 0 and 1, numbers in strings read; null where it is none."""
     kind = df.schema[name].dataType

@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.plans.lineage import cut
+from strandloom.plans.lineage import cut, number_rows
 from strandloom.sources.labels import label_names, require_columns, with_numeric_labels
 
 log = logging.getLogger("strandloom")
@@ -40,9 +40,18 @@ def fasta_directory(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(plain_path(F.col("_metadata.file_path")).alias("item"), F.col("value").alias("text"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def existing(paths: DataFrame) -> DataFrame:
+    """The ``path`` of ``paths`` that exist, as they are spelled: a semi join with the listings of the folders they name, one request a folder."""
+    spark = paths.sparkSession
+    split = paths.select("path", F.regexp_extract("path", "^(.*/)?[^/]*$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("name")).filter("name <> ''").distinct()
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    listed = []
+    for r in split.select("folder").distinct().collect():  # folders, not files
+        p = hadoop.Path(r["folder"] or ".")
+        system = p.getFileSystem(conf)
+        if system.exists(p):
+            listed += [(r["folder"], x.getName()) for x in hadoop.FileUtil.stat2Paths(system.listStatus(p))]
+    return split.join(spark.createDataFrame(listed, "folder string, name string"), ["folder", "name"], "left_semi").select("path")
 
 
 def label_table(source: DataFrame | str | Mapping, label_columns: str | list[str], data_dir: str | None = None, spark: SparkSession | None = None) -> DataFrame:
@@ -68,19 +77,17 @@ def label_table(source: DataFrame | str | Mapping, label_columns: str | list[str
     require_columns(source, [FILES, *names])
     spark = source.sparkSession
     numbered = cut(with_numeric_labels(source.select(FILES, *names), names).withColumn("__o", F.monotonically_increasing_id()))
-    last = numbered.groupBy(FILES).agg(F.max_by(F.struct("__o", *names), "__o").alias("x")).select(FILES, "x.*").orderBy("__o")
-    found, missing = [], 0
-    for r in last.collect():  # the driver lists the files of a run anyway
-        p = r[FILES]
-        if data_dir and not _exists(spark, p):
-            p = os.path.join(data_dir, p)
-        if _exists(spark, p):
-            found.append((len(found), p, *(r[n] for n in names)))
-        else:
-            missing += 1
+    last = numbered.groupBy(FILES).agg(F.max_by(F.struct("__o", *names), "__o").alias("x")).select(FILES, "x.*")
+    last = last.withColumns({"__a": F.col(FILES), "__b": F.concat(F.lit(data_dir.rstrip("/") + "/"), F.col(FILES)) if data_dir else F.col(FILES)})
+    last = last.withColumn("__b", F.when(F.col(FILES).startswith("/") | F.col(FILES).contains("://"), F.col(FILES)).otherwise(F.col("__b")))
+    there = cut(existing(last.select(F.col("__a").alias("path")).union(last.select("__b")).distinct()))
+    found = last.join(there.select(F.col("path").alias("__a"), F.lit(True).alias("__as_is")), "__a", "left").join(there.select(F.col("path").alias("__b"), F.lit(True).alias("__in_dir")), "__b", "left")
+    found = cut(found.withColumn("item", F.when(F.col("__as_is"), F.col("__a")).when(F.col("__in_dir"), F.col("__b"))))
+    missing = found.filter("item IS NULL").count()
     if missing:
         log.warning("%d files with labels do not exist and are left out", missing)
-    return spark.createDataFrame(found, "sample_id long, item string, " + ", ".join(f"`{n}` float" for n in names))
+    placed = number_rows(found.filter("item IS NOT NULL").select("__o", "item", *names), [F.col("__o").asc()], "sample_id")
+    return placed.select("sample_id", "item", *(F.col(n).cast("float").alias(n) for n in names))
 
 
 def read_items(samples: DataFrame) -> DataFrame:

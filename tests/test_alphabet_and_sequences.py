@@ -36,6 +36,8 @@ def test_defaults():
     assert Alphabet("aAbB").characters == ("a", "b") and Alphabet("aAbB", case_sensitive=True).characters == ("a", "A", "b", "B")
     assert Alphabet("abc", complement={"a": "b"}).pairs == {"a": "b", "b": "a", "c": "c"}
     assert Alphabet("atgc", complement=None).complement_of("ag") == "ag"
+    assert Alphabet("atgc", complement={"a": "t", "g": "c", "n": "n"}).complement_of("ang") == "cnt"
+    assert Alphabet("ab", complement={"a": "n"}).complement_of("anb") == "ban"
     assert Alphabet("augc", complement="uacg").complement_of("aug") == "cau"
     assert Alphabet.from_dict(DNA.to_dict()) == DNA and hash(Alphabet.from_dict(DNA.to_dict())) == hash(DNA)
     with pytest.raises(ValueError):

@@ -181,6 +181,21 @@ def test_levels_equal_the_booster(spark, binary):
     assert np.allclose(boosting.predict(x, model.nodes, base, binary)[:, 0], [got[i] for i in range(80)])
 
 
+def test_entries_equal_the_dense_matrix():
+    r = np.random.default_rng(4)
+    x = r.integers(0, 4, (90, 7)).astype(np.float32) * (r.random((90, 7)) < 0.4)
+    e = boosting.Entries.of(x)
+    assert np.array_equal(np.stack([e.column(j) for j in range(7)], axis=1), x)
+    keep = r.random(90) < 0.5
+    assert np.array_equal(np.stack([e.of_rows(keep).column(j) for j in range(7)], axis=1), x[keep])
+    y = x[:, 2] - x[:, 5] + r.normal(size=90) * 0.1
+    for missing in (False, True):
+        dense, sparse = (boosting.Booster(rounds=9, rate=0.3, zero_as_missing=missing).fit(m, y) for m in (x, e))
+        assert dense.nodes == sparse.nodes and np.array_equal(dense.predict(x), sparse.predict(e))
+    wide = boosting.Entries(np.array([0, 1]), np.array([0, 4_999_999]), np.array([1.0, 2.0]), (1_000_000, 5_000_000))
+    assert wide.column(4_999_999)[1] == 2.0  # no matrix of this shape is made
+
+
 def test_booster_without_signal_or_rows():
     assert boosting.Booster(rounds=3).fit(np.zeros((5, 2), np.float32), np.arange(5.0)).predict(np.zeros((1, 2)))[0, 0] == pytest.approx(2.0, abs=0.1)
     assert boosting.Booster(rounds=3).fit(np.zeros((4, 0), np.float32), np.ones(4)).predict(np.zeros((2, 0))).tolist() == [[1.0], [1.0]]
@@ -252,14 +267,39 @@ def test_predefined_folds(spark, genomes, tmp_path):
     assert [f.predictions.count() for f in result.folds] == [4, 4]
 
 
-def test_nested_cross_validation(spark, planted):
+def test_predefined_folds_beyond_the_number_asked_are_not_used(spark, genomes):
+    small = {k: v for k, v in SMALL.items() if k not in ("data_column", "id_column")}
+    table = spark.createDataFrame([(j % 5, str(genomes / f"{j:03d}.fna")) for j in range(20)], "fold int, item string")
+    make = lambda folds: TrainingPipeline(spark, label_file=str(genomes / "labels.csv"), label_columns="labels", data_dir=str(genomes), fold_table=table, folds=folds, **small)
+    samples = readers.label_table(str(genomes / "labels.csv"), "labels", str(genomes), spark)
+    for folds, want in ((3, [(0, 4, 8), (1, 4, 8), (2, 4, 8)]), (0, [(0, 4, 16)])):
+        assert [(i, s.filter("is_test").count(), s.filter("NOT is_test").count()) for i, s in make(folds)._splits(samples)] == want
+
+
+def test_nested_cross_validation(spark, planted, tmp_path):
     samples = readers.text_table(planted, "sequence", "mic", "id")
+    folds = samples.select("item", (samples.sample_id % 3).cast("int").alias("fold"))
+    seen = []
+
+    def make(rest, inner):
+        seen.append({r["fold"]: r["x"] for r in inner.join(samples, "item").groupBy("fold").agg({"sample_id": "min"}).withColumnRenamed("min(sample_id)", "x").collect()})
+        named = rest.withColumnRenamed("text", "sequence").drop("item")
+        return BaselinePipeline(spark, table=named, label_columns="mic", metric="rmse", fold_table=inner, **(SMALL | {"id_column": "sample_id", "k": 3, "num_rounds": 3})).train()
+
+    outer, inner = nested_cross_validation(make, samples, folds, export=str(tmp_path / "n"))
+    assert seen == [{0: 1, 1: 2}, {0: 2, 1: 0}, {0: 0, 1: 1}]  # the fold after the outer one is held out by the inner run
+    for got in (outer, inner):
+        assert got.count() == 60 and got.select("sample_id").distinct().count() == 60 and got.select("Fold").distinct().count() == 3
+    assert {(r["sample_id"] % 3 - r["Fold"]) % 3 for r in outer.collect()} == {0} and {(r["sample_id"] % 3 - r["Fold"]) % 3 for r in inner.collect()} == {1}
+    assert len(pd.read_csv(tmp_path / "n_nested_test.csv")) == len(pd.read_csv(tmp_path / "n_nested_val.csv")) == 60 and (tmp_path / "n_outer_fold_2.csv").exists()
 
-    def make(train):
-        return BaselinePipeline(spark, table=train.withColumnRenamed("text", "sequence"), label_columns="mic", metric="rmse", **(SMALL | {"id_column": "sample_id", "k": 3, "num_rounds": 3})).train().model
 
-    got = nested_cross_validation(make, samples, 3, label="mic")
-    assert got.count() == 60 and got.select("sample_id").distinct().count() == 60 and got.select("Fold").distinct().count() == 3
+def test_existing_files_by_a_join(spark, genomes, tmp_path):
+    a = str(genomes / "000.fna")
+    (tmp_path / "x.fna").write_text(">a\nacgt\n")
+    paths = [a, str(genomes / "nope.fna"), "/no/such/folder/x.fna", str(tmp_path / "x.fna"), f"file:{tmp_path}/x.fna", "relative.fna"]
+    got = readers.existing(spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert sorted(r["path"] for r in got.collect()) == sorted([a, str(tmp_path / "x.fna"), f"file:{tmp_path}/x.fna"])
 
 
 def test_results_and_importance(spark, tmp_path):
@@ -296,7 +336,7 @@ def test_command_line(spark, planted, tmp_path):
 
     planted.toPandas().to_csv(tmp_path / "t.csv", index=False)
     out = str(tmp_path / "run")
-    assert cli.main(["train", "--table", str(tmp_path / "t.csv"), "--data-column", "sequence", "--label-columns", "mic", "--k", "3", "--target", "3", "--num-rounds", "5", "--metric", "rmse", "--export-file", out, "--baseline", "--log", "0"]) == 0
+    assert cli.main(["train", "--table", str(tmp_path / "t.csv"), "--data-column", "sequence", "--label-columns", "mic", "--k", "3", "--target", "3", "--num-rounds", "5", "--metric", "rmse", "--export-file", out, "--baseline", "--id-column", "id", "--backend", "levels", "--count-strategy", "join", "--log", "0"]) == 0
     assert cli.main(["predict", "--model", f"{out}_fold_0", "--table", str(tmp_path / "t.csv"), "--data-column", "sequence", "--out", str(tmp_path / "p"), "--log", "0"]) == 0
     got = pd.read_csv(tmp_path / "p.csv")
     assert list(got) == ["sequence", "prediction"] and len(got) == 60
