@@ -583,7 +583,7 @@ def _(spark, d):
     return spark.createDataFrame([(best.fold, round(best.score, 6), round(r.score, 6))], "Fold int, score double, mean_score double")
 
 
-# --- whole runs; the trees have no SQL counterpart
+# --- whole runs; trees of more than one split have no SQL counterpart
 
 
 def _labelled(spark, d) -> DataFrame:
@@ -605,6 +605,31 @@ def _(spark, d):
     return BaselinePipeline(spark, **_settings(_labelled(spark, d)), k=2).train().predictions
 
 
+_STUMP_SQL = f"""WITH t AS (SELECT doc_id, {_CLEAN} AS c, CAST(quality AS DOUBLE) AS y FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND regexp_matches(text, '\\S')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY y) AS n FROM t),
+    s AS (SELECT doc_id, c, y, r <= least(ceil(n * 0.2), n - 1) AS test FROM r), m AS (SELECT avg(y) AS base, count(*) AS h FROM s WHERE NOT test),
+    p AS (SELECT DISTINCT doc_id, test, y, substr(c, i, 2) AS w FROM s, unnest(range(1, length(c))) u(i)), z AS (SELECT sum(base - y) AS tg FROM s, m WHERE NOT test),
+    q AS (SELECT w, sum(base - y) AS g, count(*) AS n FROM p, m WHERE NOT test GROUP BY w),
+    b AS (SELECT w, g, n FROM q, m, z WHERE n >= 1 AND h - n >= 1 ORDER BY round(0.5 * (g * g / (n + 1) + (tg - g) * (tg - g) / (h - n + 1) - tg * tg / (h + 1)), 10) DESC, strpos('abcdefghijklmnopqrstuvwxyz ', substr(w, 1, 1)) * 27 + strpos('abcdefghijklmnopqrstuvwxyz ', substr(w, 2, 1)) LIMIT 1)
+    SELECT doc_id AS sample_id, CAST(doc_id AS VARCHAR) AS item, round(base - 0.5 * CASE WHEN contains(c, w) THEN g / (n + 1) ELSE (tg - g) / (h - n + 1) END, 6) AS prediction, y AS actual FROM s, m, z, b WHERE test"""
+
+
+def _stumps(spark, d, **how) -> DataFrame:
+    settings = _settings(_labelled(spark, d)) | {"binary": False, "binary_features": True, "lr": 0.5, "num_rounds": 1, "depth": 1, "metric": "rmse", "partition_size_target": 0}
+    p = BaselinePipeline(spark, **settings, k=2, **how).train().predictions
+    return p.select("sample_id", "item", _r(F.col("Prediction")).alias("prediction"), F.col("Actual").alias("actual"))
+
+
+@query("stump_predict", _STUMP_SQL)
+def _(spark, d):
+    return _stumps(spark, d)
+
+
+@query("stump_predict_levels", _STUMP_SQL)
+def _(spark, d):
+    return _stumps(spark, d, backend="levels")
+
+
 @query("train_predict_levels")
 def _(spark, d):
     return BaselinePipeline(spark, **(_settings(_labelled(spark, d)) | {"num_rounds": 3}), k=1, backend="levels").train().predictions

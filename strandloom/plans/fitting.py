@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.pool import near_equal_parts, partition_of
-from strandloom.plans.boosting import NODE_COLUMNS, NODE_SCHEMA, Booster, Entries
+from strandloom.plans.boosting import DEPTH, NODE_COLUMNS, NODE_SCHEMA, Booster, Entries
 from strandloom.plans.lineage import cut
 
 #: Bytes of ids, labels, predictions and gradients of all samples that a booster task holds at most; beyond it, ``backend="levels"`` is the way.
 MOST_BYTES = 2 << 30
 
 
-def fit_partitions(counts: DataFrame, samples: DataFrame, n_features: int, labels: list[str], *, target: int, binary: bool, rounds: int, rate: float, zero_as_missing: bool) -> tuple[DataFrame, np.ndarray]:
+def fit_partitions(counts: DataFrame, samples: DataFrame, n_features: int, labels: list[str], *, target: int, binary: bool, rounds: int, rate: float, zero_as_missing: bool, depth: int = DEPTH) -> tuple[DataFrame, np.ndarray]:
     """Fits a booster for each contiguous group of about ``target`` columns (0: one for all).
 
     ``samples(sample_id, is_test, labels...)``, ``counts(sample_id, seg_id, n)`` without zeros. Returns rows
@@ -43,7 +43,7 @@ def fit_partitions(counts: DataFrame, samples: DataFrame, n_features: int, label
         rows = rows[rows["sample_id"].notna()]
         at = np.searchsorted(ids, rows["sample_id"].to_numpy(np.int64))
         x = Entries(at, rows["seg_id"].to_numpy(np.int64) - first, rows["n"].to_numpy(), (len(ids), width))
-        b = Booster(binary=binary, rounds=rounds, rate=rate, zero_as_missing=zero_as_missing).fit(x.of_rows(~test), y[~test], x.of_rows(test), y[test])
+        b = Booster(binary=binary, rounds=rounds, rate=rate, depth=depth, zero_as_missing=zero_as_missing).fit(x.of_rows(~test), y[~test], x.of_rows(test), y[test])
         trees = b.table()
         trees["seg_id"] += first
         trees.insert(0, "kind", "node")

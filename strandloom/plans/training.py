@@ -18,7 +18,7 @@ from strandloom.operators.metrics import Metric, check_binary
 from strandloom.operators.pool import SegmentPool
 from strandloom.operators.selection import LabelScaler, mean_gain, rank_importance, scale_mismatch, top_features, with_importance
 from strandloom.operators.splits import hold_out, inner_folds, nested_folds, predefined_folds, stratified_folds
-from strandloom.plans.boosting import NODE_COLUMNS
+from strandloom.plans.boosting import DEPTH, NODE_COLUMNS
 from strandloom.plans.fitting import fit_partitions, mean_predictions, tree_nodes
 from strandloom.plans.levels import fit_levels
 from strandloom.plans.lineage import cut, number_rows, spread
@@ -60,6 +60,7 @@ class TrainingPipeline:
     ea_max: float | None = None
     num_rounds: int = 1500
     lr: float = 0.03
+    depth: int = DEPTH
     alphabet: str | Alphabet = DNA
     case_sensitive: bool = False
     complement: object = AUTO
@@ -146,8 +147,8 @@ class TrainingPipeline:
 
     def _fit(self, counts: DataFrame, samples: DataFrame, n: int, target: int):
         if self.backend == "levels":
-            return fit_levels(counts, samples, self.labels, binary=self.binary, rounds=self.num_rounds, rate=self.lr)
-        return fit_partitions(counts, samples, n, self.labels, target=target, binary=self.binary, rounds=self.num_rounds, rate=self.lr, zero_as_missing=self.sparse)
+            return fit_levels(counts, samples, self.labels, binary=self.binary, rounds=self.num_rounds, rate=self.lr, depth=self.depth)
+        return fit_partitions(counts, samples, n, self.labels, target=target, binary=self.binary, rounds=self.num_rounds, rate=self.lr, zero_as_missing=self.sparse, depth=self.depth)
 
     def _first_pool(self) -> SegmentPool:
         if self.import_file and os.path.exists(self.import_file):
