@@ -1,7 +1,8 @@
 """Boosted trees grown level by level as plans, for more samples than a task can hold.
 
-One level of a tree is one aggregation of the counts joined with the samples' gradients, by node, column and count,
-with running sums down the counts; the driver sees the best split of each node only. Columns are not
+Counts and samples are partitioned by sample once. One level of a tree is one aggregation of the counts joined with the
+samples' gradients where they lie, by node, column and count, with running sums down the counts; only these sums are
+shuffled, and the driver sees the best split of each node only. Columns are not
 partitioned. Counts are split exactly, without bins; samples without a row for a column have count 0.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.plans.boosting import DEPTH, NODE_COLUMNS, NODE_SCHEMA, PATIENCE
-from strandloom.plans.lineage import cut
+from strandloom.plans.lineage import cut_by
 
 
 def _gradients(state: DataFrame, binary: bool) -> DataFrame:
@@ -44,7 +45,7 @@ def fit_levels(counts: DataFrame, samples: DataFrame, labels: list[str], *, bina
 
     Zeros are counts here, never missing values."""
     spark = samples.sparkSession
-    counts = counts.select("sample_id", F.col("seg_id").cast("long").alias("seg_id"), F.col("n").cast("double").alias("n"))
+    counts = cut_by(counts.select("sample_id", F.col("seg_id").cast("long").alias("seg_id"), F.col("n").cast("double").alias("n")), "sample_id")
     nodes: list[tuple] = []
     base = np.zeros(len(labels))
     states: list[DataFrame] = []
@@ -55,12 +56,12 @@ def fit_levels(counts: DataFrame, samples: DataFrame, labels: list[str], *, bina
             mean = min(max(mean, 1e-6), 1 - 1e-6)
             mean = float(np.log(mean / (1 - mean)))
         base[i] = mean
-        states.append(cut(samples.select("sample_id", "is_test", y.alias("y"), F.lit(mean).alias("f"))))
+        states.append(cut_by(samples.select("sample_id", "is_test", y.alias("y"), F.lit(mean).alias("f")), "sample_id"))
     best, best_at = np.inf, -1
     for r in range(rounds):
         losses = []
         for i in range(len(labels)):
-            states[i] = cut(_one_tree(counts, states[i], nodes, i, r * len(labels) + i, binary, rate, depth, reg_lambda))
+            states[i] = cut_by(_one_tree(counts, states[i], nodes, i, r * len(labels) + i, binary, rate, depth, reg_lambda))
             p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), 1 / (1 + F.exp(-F.col("f")))))
             one = -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p)) if binary else (F.col("f") - F.col("y")) * (F.col("f") - F.col("y"))
             losses.append(states[i].filter("is_test").agg(F.avg(one)).first()[0])
@@ -101,10 +102,11 @@ def _one_tree(counts: DataFrame, state: DataFrame, nodes: list[tuple], label: in
             break
         # the count of the column that the sample's node asks for; 0 where there is no row
         asked = F.broadcast(counts.sparkSession.createDataFrame([(k, int(splits[k][1]), float(splits[k][2]), *grown[k]) for k in grown], "node int, seg_id long, threshold double, lo int, hi int"))
-        picked = counts.filter(F.col("seg_id").isin([int(splits[k][1]) for k in grown]))
-        to = placed.join(asked, "node", "left").join(picked, ["sample_id", "seg_id"], "left")
-        child = F.when(F.col("threshold").isNull(), F.col("node")).when(F.coalesce("n", F.lit(0.0)) < F.col("threshold"), F.col("lo")).otherwise(F.col("hi"))
-        placed = cut(to.select("sample_id", "is_test", "y", "f", "g", "h", child.alias("node")))
+        picked = counts.filter(F.col("seg_id").isin([int(splits[k][1]) for k in grown])).groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("seg_id", "n"))).alias("has"))
+        to = placed.join(asked, "node", "left").join(picked, "sample_id", "left")
+        n = F.coalesce(F.try_element_at("has", F.col("seg_id")), F.lit(0.0))
+        child = F.when(F.col("threshold").isNull(), F.col("node")).when(n < F.col("threshold"), F.col("lo")).otherwise(F.col("hi"))
+        placed = cut_by(to.select("sample_id", "is_test", "y", "f", "g", "h", child.alias("node")))
         live = {x for pair in grown.values() for x in pair}
     add = F.coalesce(*(F.when(F.col("node") == k, F.lit(v)) for k, v in leaves.items()), F.lit(0.0)) if leaves else F.lit(0.0)
     return placed.select("sample_id", "is_test", "y", (F.col("f") + add).alias("f"))

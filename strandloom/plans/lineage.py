@@ -21,6 +21,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Like ``cut``, and the plan goes on knowing how the rows are partitioned and sorted: by ``key`` if given, else as they are.
+
+    Joins and groups by that key need no shuffle then. (A plan that adaptive execution may change does not say.)"""
+    spark = df.sparkSession
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        if key:
+            df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
+        return cut(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as there are cores, if it has fewer: a small file is one partition, whatever is done with its rows."""
     wanted = df.sparkSession.sparkContext.defaultParallelism

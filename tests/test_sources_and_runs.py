@@ -340,3 +340,12 @@ def test_command_line(spark, planted, tmp_path):
     assert cli.main(["predict", "--model", f"{out}_fold_0", "--table", str(tmp_path / "t.csv"), "--data-column", "sequence", "--out", str(tmp_path / "p"), "--log", "0"]) == 0
     got = pd.read_csv(tmp_path / "p.csv")
     assert list(got) == ["sequence", "prediction"] and len(got) == 60
+
+
+def test_levels_do_not_shuffle_the_counts(spark):
+    from strandloom.plans.lineage import cut_by
+
+    counts = cut_by(spark.range(2000).selectExpr("id % 100 AS sample_id", "id AS seg_id", "1.0 AS n"), "sample_id")
+    rows = cut_by(spark.range(100).selectExpr("id AS sample_id", "0 AS node"), "sample_id")
+    joined = counts.join(rows.hint("merge"), "sample_id")
+    assert "hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 2000
