@@ -82,13 +82,13 @@ def split_hot(rows: DataFrame, key: str, member: str, chunk: int, own: str | Non
 HOT_KEYS = 1000
 
 
-def join_names(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+def join_names(rows: DataFrame, names: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """``rows`` with the columns that ``names`` has for their ``key``, where some keys have a large part of all rows.
 
-    ``names`` is unique by ``key``; its column ``n`` counts the rows of each. Keys with more than a ``HOT_KEYS``-th of all rows, which are
+    ``names`` is unique by ``key``; its column ``n`` counts the rows of each, ``total`` is their sum where it is known. Keys with more than a ``HOT_KEYS``-th of all rows, which are
     fewer than ``HOT_KEYS``, are sent to the rows; the other rows are shuffled, none of whose keys is large.
     """
-    total = names.agg(F.sum("n")).first()[0] or 0
+    total = (names.agg(F.sum("n")).first()[0] or 0) if total is None else total
     hot = names.filter(F.col("n") * HOT_KEYS > total).drop("n")
     cold = names.filter(F.col("n") * HOT_KEYS <= total).drop("n")
     here = rows.join(F.broadcast(hot), key)

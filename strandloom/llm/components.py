@@ -2,8 +2,8 @@
 
 Alternating large-star and small-star steps (Kiveris et al., "Connected Components in
 MapReduce and Beyond", 2014). Each step is a map-side combined minimum per vertex and an
-equi-join that adaptive execution may split, so hubs do not land in one task. The lineage is
-cut through the shared checkpoint folder after every round.
+equi-join in which hubs are joined apart, so none lands in one task. The lineage is
+cut through the shared checkpoint folder after every step.
 """
 
 from __future__ import annotations
@@ -11,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import cut
+from strandloom.llm.common import cut, join_names
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_names(both.filter("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = join_names(down, least, "u", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -34,12 +34,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     and an empty table are fine.
     """
     edges = cut(edges.filter("u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct())
-    mark = None
-    while True:
-        edges = cut(_small_star(_large_star(edges)))
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    mark, n = None, edges.count()
+    while n:
+        large = cut(_large_star(edges, n))
+        edges = cut(_small_star(large, large.count()))
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark:
             break
-        mark = now
+        mark, n = now, now[0]
     roots = edges.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(roots)

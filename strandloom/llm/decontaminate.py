@@ -317,5 +317,5 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, ne
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The counts of ``find_overlaps``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    """The counts of ``find_overlaps``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near``."""
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandloom.llm import decontaminate, embedding_dedup, html_text, lm_score, packing, secrets, simhash, token_counts, toxicity, url_filter
 from strandloom.llm.common import table
@@ -50,13 +49,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontaminate.digest(found)
-
-
-def op10_proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near_span=decontaminate.NEAR_SPAN)
-    return found.select("doc_id", F.size("near").cast("long").alias("n_near"), F.array_join("near", ",").alias("near_items"))
+    return decontaminate.digest(found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -71,7 +65,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
-        "op10_proximity_matches": op10_proximity_matches,
     }
 
 
@@ -89,8 +82,12 @@ _OP10 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELEC
     x AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM q) l, unnest(range(1, len(w) - n + 2)) u(i)),
     h AS (SELECT doc_id, i, n, item_id FROM x JOIN q USING (g, n)),
     p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + n)) u(p) GROUP BY doc_id),
-    t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(k, ',' ORDER BY k)) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM h) GROUP BY doc_id)
-    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
+    t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(k, ',' ORDER BY k)) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM h) GROUP BY doc_id),
+    k AS (SELECT DISTINCT item_id, list_sort(list_distinct(w[i:i + 9])) AS t FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i) WHERE len(w) > 0),
+    o AS (SELECT doc_id, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) u(p)), f AS (SELECT x, count(*) AS n FROM o GROUP BY x),
+    a AS (SELECT t, arg_min(x, (n, x)) AS x FROM (SELECT DISTINCT t, unnest(t) AS x FROM k) JOIN f USING (x) GROUP BY t HAVING count(*) = len(t)),
+    z AS (SELECT doc_id, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_near FROM a JOIN k USING (t) JOIN o USING (x) JOIN d USING (doc_id), unnest(range(greatest(p - 19, 1), p + 1)) u(s) WHERE list_has_all(w[s:s + 19], t) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_near, 0) AS n_near, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN z USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:

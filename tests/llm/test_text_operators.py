@@ -242,7 +242,7 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, shard, listed):
     bench = spark.createDataFrame([(i, t, 1.0) for i, t in items], "item_id long, text string, hits double")
     found = decontaminate.find_overlaps(frame(spark, texts), bench, window=5)
     got = decontaminate.digest(found).collect()
-    assert sorted((str(r[0]), *r[1:]) for r in got) == brute_overlaps(texts, items, 5)
+    assert sorted((str(r[0]), *r[1:6]) for r in got) == brute_overlaps(texts, items, 5)
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_hit"] for r in found.collect())
 
 
@@ -295,8 +295,8 @@ def test_proximity_query(spark, tmp_path):
     docs = [(1, " ".join(words)), (2, " so ".join(reversed(words))), (3, " so so so ".join(words)), (4, None)]
     frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(7, " ".join(words))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {r["doc_id"]: (r["n_near"], r["near_items"]) for r in queries.queries()["op10_proximity_matches"](spark, str(tmp_path)).collect()}
-    assert got == {1: (1, "7"), 2: (1, "7"), 3: (0, ""), 4: (0, "")}
+    got = {r["doc_id"]: (r["n_near"], r["n_hit"]) for r in queries.queries()["op10_decontamination"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 10), 2: (1, 0), 3: (0, 0), 4: (0, 0)}
 
 
 def test_decontamination_empty_tables(spark):
