@@ -1,9 +1,10 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Reference points (pivots) are taken from a bounded sample. A vector is described by its nearest pivots in order; the
+Reference points (pivots) are taken from a bounded sample. A vector is described by its nearest pivots; the
 inverted lists of pivots, intersected two at a time, list the vectors that have both among their nearest.
 Two vectors meet in the list of their first common pair only, are compared if they share enough pivots and
-their sign sketches agree, and are then verified by their cosine in double precision. Equal vectors are one entry with
+their sign sketches agree, and are then verified by their cosine in double precision. (The order among a vector's nearest
+pivots is not used: links of 0.95 swap near ones freely, and the sketch tells candidates apart better.) Equal vectors are one entry with
 a count. Long lists are dealt out in parts that all meet, so no list is capped.
 """
 
@@ -196,7 +197,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, id_column: st
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
 
     A null or empty vector, one of zeros only, or with a null or non-finite component links with nothing and is its own
-    component; vectors of different lengths never link. Equal vectors link with each other. Repeated rows and ids keep a
+    component; vectors of different lengths never link. A null id never names a component unless all its ids are null, and is kept only then. Equal vectors link with each other. Repeated rows and ids keep a
     row each; extra columns are ignored; an empty table gives no rows.
     """
     named = vectors.select(F.col(id_column).alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
@@ -219,4 +220,4 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, id_column: st
     names = cut(names.unionByName(known.filter("root IS NULL").select("v", "n", "n_links", F.col("least").alias("component_id"))))
     linked = join_names(good, names, "v").select("vec_id", "n_links", "component_id")
     alone = named.filter(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return linked.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

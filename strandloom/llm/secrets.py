@@ -162,7 +162,8 @@ def scan(docs: DataFrame, *, text_column: str = "text", table: list[float] | Non
     """``docs`` with ``spans array<struct<start, rank, end>>`` added, ordered by start, then kind; code points, end exclusive.
 
     ``rank`` numbers ``KINDS``. Spans of kind ``markov`` never overlap a base span; they are split around these. A null text has none.
-    Nothing is shuffled, and rows stay as they are, repeated or not; a column named ``out_column`` is replaced.
+    Nothing is shuffled, and rows stay as they are, repeated or not; a column named ``out_column`` is replaced; an empty table gives no rows;
+    a text of any length is read whole.
     """
     table = train(training_samples(docs.sparkSession)) if table is None else table
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
@@ -175,9 +176,11 @@ def scan(docs: DataFrame, *, text_column: str = "text", table: list[float] | Non
     whole = lambda m: F.array(F.struct(F.lit(0).alias("start"), F.length(m).alias("end")))
     likely = lambda m: F.when(log_ratio(m, table) > ratio, whole(m)).otherwise(stretches(m, table, ratio))
     more = _when(text.rlike(RUN), _placed(text, RUN, 3, within=likely))
-    out = docs.withColumn("__base", base).withColumn("__more", more)
-    apart = _around(F.col("__more"), F.col("__base"))
-    return out.withColumn(out_column, F.array_sort(F.concat("__base", apart))).drop("__base", "__more")
+    longest = max(map(len, docs.columns), default=0)
+    names = [x.ljust(longest + 1, "_") for x in ("__base", "__more")]  # longer than any there is
+    out = docs.withColumn(names[0], base).withColumn(names[1], more)
+    apart = _around(F.col(names[1]), F.col(names[0]))
+    return out.withColumn(out_column, F.array_sort(F.concat(names[0], apart))).drop(*names)
 
 
 def spelled(spans: Column | str) -> Column:
@@ -187,16 +190,20 @@ def spelled(spans: Column | str) -> Column:
 
 
 def redact(scanned: DataFrame, *, text_column: str = "text", mask: str = "[SECRET]", spans: str = "spans") -> DataFrame:
-    """Replaces the spans that ``scan`` found by ``mask``; overlapping spans by one. Null texts stay null."""
+    """Replaces the spans that ``scan`` found by ``mask``; overlapping spans by one. Null texts stay null; a text of any length is cut once."""
     text = F.col(text_column)
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        kept = F.concat(acc["out"], F.when(fresh, F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return scanned.withColumn(text_column, F.when(text.isNotNull() & (F.size(spans) > 0), done).otherwise(text))
+        last = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when((F.size(acc) > 0) & (s["start"] < F.element_at(F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), acc), -1)["end"]), longer).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+
+    apart = F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), step)
+    chars = F.split(text, "")
+    cut = lambda a, b: F.array_join(F.slice(chars, a + 1, F.greatest(b - a, F.lit(0))), "")
+    ends = F.concat(F.array(F.lit(0)), F.transform(apart, lambda m: m["end"]))  # where the piece before each span begins
+    pieces = F.zip_with(ends, F.transform(apart, lambda m: m["start"]), lambda a, b: F.when(b.isNull(), cut(a, F.size(chars))).otherwise(F.concat(cut(a, b), F.lit(mask))))
+    return scanned.withColumn(text_column, F.when(text.isNotNull() & (F.size(spans) > 0), F.array_join(pieces, "")).otherwise(text))
 
 
 def digest(scanned: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -165,7 +165,8 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     ``component_id`` is the smallest ``doc_id`` reachable by links of at most ``distance`` differing bits.
     Null, empty and white-space texts have fingerprint zero and link like any other. Documents with one
     fingerprint are one vertex, so copies cost one row. Repeated rows and ids keep a row each; a null
-    ``doc_id`` is never a component's name unless all ids there are null; extra columns are ignored.
+    ``doc_id`` is never a component's name unless all ids there are null; extra columns are ignored; an empty table gives no
+    rows, and a text of any length is read whole.
     """
     marked = cut(fingerprints(docs, id_column=id_column, text_column=text_column, shingle=shingle))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))

@@ -245,6 +245,12 @@ def test_embedding_recall_and_no_false_links(spark, monkeypatch, chunk):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_embedding_rows_without_an_id(spark):
+    rows = [(None, [1.0, 0.0]), (7, [1.0, 0.0]), (None, [0.0, 1.0]), (None, [0.0, 0.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(str(x) for x in [(None, 1, 7, False), (7, 1, 7, True), (None, 0, None, True), (None, 0, None, True)])
+
+
 # --- pipeline
 
 

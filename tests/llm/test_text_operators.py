@@ -361,6 +361,55 @@ def test_keys_in_ordinary_text(spark, text, want):
 # --- toxicity
 
 
+def test_redaction_equals_brute_force(spark):
+    r = random.Random(12)
+    docs, want = [], {}
+    for i in range(60):
+        text = "".join(r.choice("abc é𝄞\n") for _ in range(r.randrange(1, 60)))
+        spans = sorted((a, r.randrange(4), min(len(text), a + r.randrange(1, 9))) for a in (r.randrange(len(text)) for _ in range(r.randrange(6))))
+        docs.append((i, text, spans))
+        marked = {}
+        for a, _, b in spans:
+            for k in range(a, b):
+                marked[k] = True
+        out, joined, end = "", [], -1
+        for a, _, b in spans:
+            if joined and a < joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], b)
+            else:
+                joined.append([a, b])
+        at = 0
+        for a, b in joined:
+            out += text[at:a] + "[SECRET]"
+            at = b
+        want[i] = out + text[at:]
+    frame_ = spark.createDataFrame(docs, f"doc_id long, text string, spans {secrets.SPAN}")
+    assert {x["doc_id"]: x["text"] for x in secrets.redact(frame_).collect()} == want
+
+
+def test_secrets_of_long_texts_and_clashing_columns(spark):
+    text = "word token = abcdefABCDEF0123456789 " * 4000
+    docs = spark.createDataFrame([(1, text, "x", "y"), (2, None, "x", "y")], "doc_id long, text string, __base string, __more string")
+    got = {r["doc_id"]: r for r in secrets.redact(secrets.scan(docs)).collect()}
+    assert got[1]["text"] == "word [SECRET] " * 4000 and len(got[1]["spans"]) == 4000 and got[2]["text"] is None
+    assert (got[1]["__base"], got[1]["__more"]) == ("x", "y")
+    assert secrets.digest(secrets.scan(frame(spark, []))).collect() == []
+
+
+def test_markov_models_on_strings_they_have_not_seen(spark):
+    """Random strings of another source and plain names of words that are not among the model's parts."""
+    import secrets as entropy
+
+    r = random.Random(entropy.__name__)
+    alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    keys = ["".join(r.choice(r.choice(alphabets)) for _ in range(r.randrange(28, 48))) for _ in range(200)]
+    words = "weather mountain kitchen bridge yellow planet window summer market bottle forest silver travel doctor winter orange garden thunder village captain".split()
+    plain = [r.choice("_-/").join(r.sample(words, 3)) for _ in range(100)] + ["".join(w.capitalize() for w in r.sample(words, 3)) for _ in range(100)]
+    rows = secrets.scan(spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(keys + plain)], "doc_id long, text string")).collect()
+    found = {x["doc_id"] for x in rows if any(s["rank"] == 3 for s in x["spans"])}
+    assert sum(i < 200 for i in found) >= 190 and sum(i >= 200 for i in found) <= 10
+
+
 def test_folding():
     assert toxicity.fold("1D10T!!") == " idiot "
     assert toxicity.fold("ｉｄｉоt, ïdïöt  $tup1d 2024 é") == " idiot idiot stupid e "
