@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A key is hot with more than this part of all rows, so there are fewer hot keys than this.
+HOT_KEYS = 1000
+#: Keys that are sent to every task at most.
+SENT_KEYS = 10_000
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one where it is unset and the master is local (tests), else an error."""
     sc = spark.sparkContext
@@ -66,11 +72,21 @@ def split_hot(rows: DataFrame, key: str, member: str, chunk: int, own: str | Non
     A key with at most ``chunk`` rows keeps one cell (0, 0). A larger key has its members hashed
     into b = ceil(rows / chunk) parts and each member goes to the b cells (i, j), i <= j, that
     hold its part; two members of any parts i, j meet in the cell (i, j). Adds ``ci``, ``cj``, and the
-    member's own part under the name ``own``.
+    member's own part under the name ``own``. Members of large keys are told so by a broadcast while there are fewer than ``SENT_KEYS`` such
+    keys; beyond that, only the few hottest are, and the rows of these are spread over the join with the others.
     """
-    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > chunk)
-    large = large.select(key, F.ceil(F.col("__n") / chunk).cast("int").alias("__b"))
-    dealt = rows.join(large, key, "left").withColumn("__b", F.coalesce("__b", F.lit(1)))
+    large = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > chunk).withColumn("__b", F.ceil(F.col("__n") / chunk).cast("int")))
+    n_keys, total = large.agg(F.count(F.lit(1)), F.sum("__n")).first()
+    if not n_keys:
+        dealt = rows.withColumn("__b", F.lit(1))
+    elif n_keys < SENT_KEYS:
+        dealt = rows.join(F.broadcast(large.drop("__n")), key, "left").withColumn("__b", F.coalesce("__b", F.lit(1)))
+    else:
+        hot = large.filter(F.col("__n") * HOT_KEYS > total).select(key, F.col("__b").alias("__h"))
+        cold = large.filter(F.col("__n") * HOT_KEYS <= total).select(key, "__b", F.lit(0).cast("long").alias("__s"))
+        spread = F.when(F.col("__h").isNotNull(), F.pmod(F.xxhash64(member), F.lit(997)) + 1).otherwise(F.lit(0).cast("long"))
+        dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__s", spread).join(cold, [key, "__s"], "left")
+        dealt = dealt.withColumn("__b", F.coalesce("__h", "__b", F.lit(1))).drop("__h", "__s")
     dealt = dealt.withColumn("__c", F.pmod(F.xxhash64(F.lit(7), F.col(member)), F.col("__b")).cast("int"))
     dealt = dealt.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
     if own:
@@ -78,10 +94,6 @@ def split_hot(rows: DataFrame, key: str, member: str, chunk: int, own: str | Non
     return dealt.withColumn("ci", F.least("__c", "__j")).withColumn("cj", F.greatest("__c", "__j")).drop("__b", "__c", "__j")
 
 
-#: A key is hot with more than this part of all rows, so there are fewer hot keys than this.
-HOT_KEYS = 1000
-
-
 def join_names(rows: DataFrame, names: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """``rows`` with the columns that ``names`` has for their ``key``, where some keys have a large part of all rows.
 

@@ -309,8 +309,8 @@ def representatives(docs: DataFrame, id_columns: list[str], *, text_column: str
     distinct = cut(marked.groupBy("v").agg(F.min(F.struct(*id_columns)).alias("least"), F.first("blocks").alias("blocks")))
     rows = distinct.select("v", F.posexplode("blocks").alias("place", "block")).select("v", F.xxhash64("place", "block").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v")).alias("x"), F.min("v").alias("m")).filter("n > 1")
-    shared = shared.groupBy("n", "x", "m").agg(F.min("key").alias("key")).select("key")  # blocks shared by the same texts once
-    members = cut(rows.join(shared, "key").select("key", "v"))
+    shared = shared.groupBy("n", "x", "m").agg(F.min("key").alias("key")).select("key", "n")  # blocks shared by the same texts once
+    members = cut(join_names(rows, cut(shared), "key").select("key", "v"))
     # one text of every candidate
     wanted = distinct.join(members.select("v").distinct(), "v", "left_semi").select(*(F.col(f"least.{c}").alias(c) for c in id_columns))
     sets = _sets(docs.select(*id_columns, F.col(text_column).alias("text")).join(wanted, id_columns, "left_semi"))

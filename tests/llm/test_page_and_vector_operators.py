@@ -352,6 +352,21 @@ def test_hot_names_are_joined_whole(spark, monkeypatch):
         assert sorted(map(tuple, common.join_names(rows, names, "k").select("i", "k", "m").collect())) == sorted((i, 0 if i % 2 else i, 1 if i % 2 else i + 1) for i in range(400))
 
 
+@pytest.mark.parametrize("sent, hot", [(10_000, 1000), (1, 1000), (1, 2)])
+def test_members_of_large_keys_meet_in_some_cell(spark, monkeypatch, sent, hot):
+    from strandloom.llm import common
+
+    monkeypatch.setattr(common, "SENT_KEYS", sent)
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    rows = spark.createDataFrame([(0 if i < 40 else 1 if i < 55 else i, i) for i in range(80)], "k long, v long")
+    cells = {}
+    for r in common.split_hot(rows, "k", "v", 6, own="own").collect():
+        cells.setdefault((r["k"], r["ci"], r["cj"]), []).append(r["v"])
+    met = {(a, b) for members in cells.values() for a in members for b in members if a < b}
+    assert met == {(a, b) for lo, hi in ((0, 40), (40, 55)) for a in range(lo, hi) for b in range(a + 1, hi)}
+    assert {v for members in cells.values() for v in members} == set(range(80)) and max(map(len, cells.values())) < 30
+
+
 def test_stages_with_odd_tables(spark, tmp_path):
     """Null and text ids, columns with the names the stages use, repeated rows, and no rows at all."""
     import corpus_pipeline as P
