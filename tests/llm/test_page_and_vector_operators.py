@@ -245,6 +245,18 @@ def test_embedding_recall_and_no_false_links(spark, monkeypatch, chunk):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_footrule_of_orders():
+    def plain(p, q):
+        k = len(p)
+        return sum(abs((p.index(x) if x in p else k) - (q.index(x) if x in q else k)) for x in set(p) | set(q))
+
+    rng = np.random.default_rng(4)
+    p, q = (np.array([rng.permutation(14)[:8] for _ in range(200)], dtype=np.uint16) for _ in range(2))
+    assert embedding_dedup._footrule(p, q).tolist() == [plain(a, b) for a, b in zip(p.tolist(), q.tolist(), strict=True)]
+    assert embedding_dedup._footrule(p, p).tolist() == [0] * 200
+    assert embedding_dedup._footrule(p[:1], p[:1] + 20).tolist() == [72]
+
+
 def test_embedding_rows_without_an_id(spark):
     rows = [(None, [1.0, 0.0]), (7, [1.0, 0.0]), (None, [0.0, 1.0]), (None, [0.0, 0.0])]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
