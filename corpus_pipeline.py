@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from strandloom.llm import decontaminate, packing, secrets, simhash, toxicity
 from strandloom.llm.common import drop_folder, ensure_checkpoint_dir, table
 
-TEXT_HASH = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-
 
 def _rows(docs: DataFrame, **columns: Column) -> DataFrame:
     """``docs`` as one column ``row`` beside columns of the stage's own, whatever names the documents' columns have."""
@@ -39,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words are one group.
     """
     number = F.col("doc_id").try_cast("long")
-    key = {"no_id": F.col("doc_id").isNull(), "no_number": number.isNull(), "number": F.coalesce(number, F.lit(0)), "id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "hash": TEXT_HASH}
+    key = {"no_id": F.col("doc_id").isNull(), "no_number": number.isNull(), "number": F.coalesce(number, F.lit(0)), "id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}
     keyed = _rows(docs, text=F.col("text"), **key)
     stay = simhash.representatives(keyed, list(key))
     return keyed.join(stay, list(key), "left_semi").dropDuplicates(list(key)).select("row.*")
@@ -54,10 +52,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked and ``n_chars`` counted anew where that changed the text. Null texts stay null."""
+    """All documents, with secrets masked and ``n_chars``, where there is such a column, counted anew if that changed the text. Null texts stay null."""
     masked = secrets.redact(secrets.scan(_rows(docs, text=F.col("text"))))
-    changed = F.size("spans") > 0
-    row = F.col("row").withField("text", F.col("text")).withField("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        row = row.withField("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("row.n_chars")))
     return masked.select(row.alias("row")).select("row.*")
 
 
