@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import decontaminate, embedding_dedup, html_text, lm_score, packing, secrets, simhash, token_counts, toxicity, url_filter
+from strandloom.llm import decontaminate, embedding_dedup, html_text, lm_score, mixing, packing, secrets, simhash, token_counts, toxicity, url_filter
 from strandloom.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
+        "op11_source_mixing": op11_source_mixing,
     }
 
 
@@ -89,6 +94,25 @@ _OP10 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELEC
     z AS (SELECT doc_id, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_near FROM a JOIN k USING (t) JOIN o USING (x) JOIN d USING (doc_id), unnest(range(greatest(p - 19, 1), p + 1)) u(s) WHERE list_has_all(w[s:s + 19], t) GROUP BY doc_id)
     SELECT doc_id, coalesce(n_near, 0) AS n_near, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN z USING (doc_id)"""
 
+_OP11 = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+        (CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE AS u FROM documents),
+    s AS (SELECT source, source_size, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w
+        FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+    f AS (SELECT *, row_number() OVER o AS i, (1.5::DOUBLE * sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(CAST(source_size AS DOUBLE) * 2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM s WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) * 2 / w, source NULLS LAST)),
+    l AS (SELECT arg_min(level, i) AS level FROM f WHERE CAST(source_size AS DOUBLE) * 2 >= level * w),
+    t AS (SELECT source, source_size, CASE WHEN CAST(source_size AS DOUBLE) * 2 < l.level * w THEN CAST(source_size AS DOUBLE) * 2 ELSE l.level * w END AS target FROM s, l),
+    k AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / CAST(source_size AS DOUBLE)) AS BIGINT) ELSE 0 END AS whole FROM t),
+    z AS (SELECT g.source, size, target - whole * CAST(source_size AS DOUBLE) - CAST(coalesce(sum(m * size) OVER (PARTITION BY g.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS open,
+        CAST(sum(m * size * size) OVER (PARTITION BY g.source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS below
+        FROM (SELECT source, size, count(*) AS m FROM d WHERE size > 0 GROUP BY source, size) g JOIN k ON k.source IS NOT DISTINCT FROM g.source),
+    c AS (SELECT source, min(size) FILTER (open * size >= below) AS sure, arg_max(open / below, size) FILTER (open * size < below) AS c, arg_max(open, size) FILTER (open * size < below) AS left_words FROM z GROUP BY source),
+    r AS (SELECT doc_id, d.source, size, source_size, target, whole, left_words, size >= coalesce(sure, size + 1) AS certain,
+        CASE WHEN size > 0 AND c * size > 0 AND size < coalesce(sure, size + 1) THEN (u / (1 - u)) / ((c * size) / (1 - c * size)) END AS q FROM d JOIN k ON k.source IS NOT DISTINCT FROM d.source LEFT JOIN c ON c.source IS NOT DISTINCT FROM d.source),
+    o AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q / (1 + q), doc_id, size ROWS UNBOUNDED PRECEDING) - size END AS before FROM r)
+    SELECT doc_id, size, source_size, target, whole + CAST(certain OR coalesce(before + size / 2.0::DOUBLE <= left_words, false) AS BIGINT) AS copies,
+        (whole + CAST(certain OR coalesce(before + size / 2.0::DOUBLE <= left_words, false) AS BIGINT)) * size AS taken FROM o"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_embedding_dedup": _OP5, "op10_decontamination": _OP10}
+    return {"op5_embedding_dedup": _OP5, "op10_decontamination": _OP10, "op11_source_mixing": _OP11}
