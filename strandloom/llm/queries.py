@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import decontaminate, embedding_dedup, html_text, lm_score, mixing, packing, secrets, simhash, token_counts, toxicity, url_filter
+from strandloom.llm import conversation_repair, decontaminate, embedding_dedup, html_text, lm_score, mixing, packing, secrets, simhash, token_counts, toxicity, url_filter
 from strandloom.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
         "op11_source_mixing": op11_source_mixing,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
@@ -113,6 +118,31 @@ _OP11 = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(tex
     SELECT doc_id, size, source_size, target, whole + CAST(certain OR coalesce(before + size / 2.0::DOUBLE <= left_words, false) AS BIGINT) AS copies,
         (whole + CAST(certain OR coalesce(before + size / 2.0::DOUBLE <= left_words, false) AS BIGINT)) * size AS taken FROM o"""
 
+_OP12 = """WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+    k AS (SELECT *, coalesce('=' || conv_id, '') AS k, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place FROM conversations),
+    d AS (SELECT k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(place) + 1), lambda i: CAST(ascii(substr(place, i, 1)) AS BIGINT))), lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)), 4294967295) % 20 AS draw FROM k, crc),
+    e AS (SELECT k, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM d, unnest(CASE WHEN draw = 3 THEN [0, 1] ELSE [0] END) u(copy) WHERE draw <> 0),
+    n AS (SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(len(role) || ':' || role || text)) AS i FROM e),
+    f AS (SELECT *, lag(initial) OVER (PARTITION BY k ORDER BY i) || initial AS pair, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1
+        WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 3 ELSE 0 END AS fault FROM n),
+    nxt(s, x, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+    ins(s, m, n) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (0, 3, 2), (1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 2, 1)),
+    edit AS (SELECT DISTINCT m, 'D' AS letter, m AS t, 2 AS cost, NULL AS x FROM ins UNION ALL SELECT s, 'K', t, 0, x FROM nxt UNION ALL SELECT s, 'R', t, 1, NULL FROM nxt WHERE x <> 's'),
+    walk AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, 0 AS s, CAST(0 AS BIGINT) AS cost, '' AS audit FROM f UNION ALL
+        SELECT k, i + 1, t, best.cost, best.audit FROM (SELECT w.k, w.i, edit.t, min({'cost': w.cost + 5 * n + edit.cost + CASE WHEN fault = 3 AND letter <> 'D' THEN 5 ELSE 0 END, 'audit': w.audit || repeat('I', n) || letter}) AS best
+            FROM walk w JOIN f ON f.k = w.k AND f.i = w.i + 1 JOIN ins ON ins.s = w.s JOIN edit ON edit.m = ins.m AND (x IS NULL OR x = initial) AND (letter = 'D' OR fault NOT IN (1, 2)) GROUP BY w.k, w.i, edit.t)),
+    a AS (SELECT k, min({'cost': cost + CASE s WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END, 'audit': audit || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END}) AS best FROM walk JOIN (SELECT k, max(i) AS i FROM f GROUP BY k) USING (k, i) GROUP BY k),
+    l AS (SELECT k, p, substr(best.audit, p, 1) AS letter FROM a, unnest(range(1, len(best.audit) + 1)) u(p)),
+    m AS (SELECT *, count(*) FILTER (letter <> 'I') OVER o AS i, count(*) FILTER (letter <> 'D') OVER o AS j FROM l WINDOW o AS (PARTITION BY k ORDER BY p)),
+    r AS (SELECT m.k, j, letter, role, initial, CASE WHEN letter = 'I' THEN '' ELSE text END AS text, bool_or(j = 1 AND letter = 'K' AND initial = 's') OVER (PARTITION BY m.k) AS sys FROM m LEFT JOIN f ON f.k = m.k AND f.i = m.i WHERE letter <> 'D'),
+    h AS (SELECT k, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN j % 2 = CASE WHEN sys THEN 0 ELSE 1 END THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS repaired FROM r GROUP BY k),
+    g AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY k)
+    SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+        CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, coalesce(repaired, sha256('')) AS repaired_sha256
+    FROM (SELECT k, any_value(conv_id) AS conv_id FROM k GROUP BY k) LEFT JOIN g USING (k) LEFT JOIN a USING (k) LEFT JOIN h USING (k)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_embedding_dedup": _OP5, "op10_decontamination": _OP10, "op11_source_mixing": _OP11}
+    return {"op5_embedding_dedup": _OP5, "op10_decontamination": _OP10, "op11_source_mixing": _OP11, "op12_conversation_repair": _OP12}
