@@ -112,7 +112,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     names = known.select("source_key", "source_size", "target", "whole", "sure", "c", "left", "n")
     ranked = join_names(sized.drop("source"), names, "source_key")
     ranked = ranked.select("row", "source_key", "size", "source_size", "target", "whole", "left", F.coalesce(F.col("size") >= F.col("sure"), F.lit(False)).alias("certain"), F.when(drawn, rank / (1 + rank)).alias("v"))
-    ranked = ranked.withColumn("bin", F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1)).cast("int"))
+    ranked = ranked.withColumn("bin", F.when(F.col("v").isNotNull(), F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1)).cast("int")))
     bins = ranked.filter("v IS NOT NULL").groupBy("source_key", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     upto = F.sum("words").over(W.partitionBy("source_key").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
     reached = bins.select("source_key", "bin", "left", (upto - F.col("words")).alias("before"), upto.alias("upto")).filter("upto > left").groupBy("source_key").agg(F.min("bin").alias("last_bin"), F.min("before").alias("before"))
