@@ -62,11 +62,11 @@ def _r(c: Column, digits: int = 6) -> Column:
 
 # --- scalar functions
 
-_CLEAN = "regexp_replace(lower(text), '[^a-z ]', '', 'g')"
-_GATC = "regexp_replace(lower(text), '[^atgc]', '', 'g')"
+LETTERS_SQL = "regexp_replace(lower(text), '[^a-z ]', '', 'g')"
+GATC_SQL = "regexp_replace(lower(text), '[^atgc]', '', 'g')"
 
 
-@query("sanitise_text", f"SELECT doc_id, {_CLEAN} AS clean FROM documents")
+@query("sanitise_text", f"SELECT doc_id, {LETTERS_SQL} AS clean FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", LETTERS.sanitise("text").alias("clean"))
 
@@ -81,28 +81,28 @@ def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", LETTERS.normalise("text").alias("folded"))
 
 
-@query("reverse_complement", f"SELECT doc_id, reverse(translate({_GATC}, 'atgc', 'tacg')) AS rc FROM documents")
+@query("reverse_complement", f"SELECT doc_id, reverse(translate({GATC_SQL}, 'atgc', 'tacg')) AS rc FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", DNA.reverse_complement(DNA.sanitise("text")).alias("rc"))
 
 
-@query("canonical", f"WITH t AS (SELECT doc_id, {_GATC} AS s FROM documents) SELECT doc_id, least(s, reverse(translate(s, 'atgc', 'tacg'))) AS seq, s <= reverse(translate(s, 'atgc', 'tacg')) AS as_written FROM t")
+@query("canonical", f"WITH t AS (SELECT doc_id, {GATC_SQL} AS s FROM documents) SELECT doc_id, least(s, reverse(translate(s, 'atgc', 'tacg'))) AS seq, s <= reverse(translate(s, 'atgc', 'tacg')) AS as_written FROM t")
 def _(spark, d):
     t = table(spark, d, "documents").select("doc_id", DNA.sanitise("text").alias("s"))
     return t.select("doc_id", DNA.canonical("s").alias("seq"), DNA.is_canonical("s").alias("as_written"))
 
 
-def _windows_sql(clean: str, lengths, source: str = "documents", key: str = "doc_id") -> str:
+def windows_sql(clean: str, lengths, source: str = "documents", key: str = "doc_id") -> str:
     """CTEs up to ``w(key, w)``, one arm for each length."""
     m = max(lengths)
     arms = " UNION ALL ".join(f"SELECT {key}, substr(k, i, {n}) AS w FROM blk, unnest(range(1, least(256, length(k) - {n} + 1) + 1)) u(i)" for n in lengths)
     return f"d AS (SELECT {key}, {clean} AS s FROM {source}), blk AS (SELECT {key}, substr(s, b * 256 + 1, {255 + m}) AS k FROM d, unnest(range(0, (length(s) - 1) // 256 + 1)) u(b) WHERE length(s) > 0), w AS ({arms})"
 
 
-_CODE = "list_sum(list_transform(range(1, length({s}) + 1), lambda i: CAST((instr('atgc', substr({s}, i, 1)) - 1) * 4 ** (length({s}) - i) AS BIGINT)))"
+CODE_SQL = "list_sum(list_transform(range(1, length({s}) + 1), lambda i: CAST((instr('atgc', substr({s}, i, 1)) - 1) * 4 ** (length({s}) - i) AS BIGINT)))"
 
 
-@query("kmer_encode", f"WITH {_windows_sql(_GATC, [6])}, u AS (SELECT DISTINCT w AS kmer FROM w) SELECT kmer, CAST({_CODE.format(s='kmer')} AS BIGINT) AS code FROM u")
+@query("kmer_encode", f"WITH {windows_sql(GATC_SQL, [6])}, u AS (SELECT DISTINCT w AS kmer FROM w) SELECT kmer, CAST({CODE_SQL.format(s='kmer')} AS BIGINT) AS code FROM u")
 def _(spark, d):
     w = sequence.windows(_nodes(spark, d, DNA), [6]).select(F.col("window").alias("kmer")).distinct()
     return w.select("kmer", DNA.encode("kmer").alias("code"))
@@ -173,7 +173,7 @@ def _(spark, d):
 _CANON = "least(w, reverse(translate(w, 'atgc', 'tacg')))"
 
 
-@query("kmer_histogram", f"WITH {_windows_sql(_GATC, [6])}, c AS (SELECT doc_id, {_CANON} AS s, count(*) AS n FROM w GROUP BY ALL) SELECT doc_id, CAST({_CODE.format(s='s')} AS BIGINT) AS code, n FROM c")
+@query("kmer_histogram", f"WITH {windows_sql(GATC_SQL, [6])}, c AS (SELECT doc_id, {_CANON} AS s, count(*) AS n FROM w GROUP BY ALL) SELECT doc_id, CAST({CODE_SQL.format(s='s')} AS BIGINT) AS code, n FROM c")
 def _(spark, d):
     return counting.kmer_histogram(_nodes(spark, d, DNA), DNA, 6).withColumnRenamed("sample_id", "doc_id")
 
@@ -182,42 +182,42 @@ def _counts_sql(clean: str, segments, canonical: bool) -> str:
     values = ", ".join(f"({i}, '{s}')" for i, s in enumerate(segments))
     seg = _CANON if canonical else "w"
     usable = " WHERE segment <= reverse(translate(segment, 'atgc', 'tacg'))" if canonical else ""
-    return f"WITH {_windows_sql(clean, sorted({len(s) for s in segments}))}, pool AS (SELECT CAST(i AS BIGINT) AS seg_id, segment FROM (VALUES {values}) v(i, segment){usable}), c AS (SELECT doc_id, seg_id, count(*) AS n FROM w JOIN pool ON pool.segment = {seg} GROUP BY ALL) "
+    return f"WITH {windows_sql(clean, sorted({len(s) for s in segments}))}, pool AS (SELECT CAST(i AS BIGINT) AS seg_id, segment FROM (VALUES {values}) v(i, segment){usable}), c AS (SELECT doc_id, seg_id, count(*) AS n FROM w JOIN pool ON pool.segment = {seg} GROUP BY ALL) "
 
 
-@query("segment_counts", _counts_sql(_CLEAN, WORDS, False) + "SELECT doc_id, seg_id, n FROM c")
+@query("segment_counts", _counts_sql(LETTERS_SQL, WORDS, False) + "SELECT doc_id, seg_id, n FROM c")
 def _(spark, d):
     return counting.count_segments(_nodes(spark, d, LETTERS), _pool(spark, WORDS), LETTERS).withColumnRenamed("sample_id", "doc_id")
 
 
-@query("segment_counts_join", _counts_sql(_CLEAN, WORDS, False) + "SELECT doc_id, seg_id, n FROM c")
+@query("segment_counts_join", _counts_sql(LETTERS_SQL, WORDS, False) + "SELECT doc_id, seg_id, n FROM c")
 def _(spark, d):
     return counting.count_segments(_nodes(spark, d, LETTERS), _pool(spark, WORDS), LETTERS, strategy="join").withColumnRenamed("sample_id", "doc_id")
 
 
-@query("segment_counts_arrow", _counts_sql(_CLEAN, WORDS, False) + "SELECT doc_id, seg_id, n FROM c")
+@query("segment_counts_arrow", _counts_sql(LETTERS_SQL, WORDS, False) + "SELECT doc_id, seg_id, n FROM c")
 def _(spark, d):
     return counting.count_segments(_nodes(spark, d, LETTERS), _pool(spark, WORDS), LETTERS, strategy="arrow").withColumnRenamed("sample_id", "doc_id")
 
 
-@query("segment_counts_dna", _counts_sql(_GATC, DNA_POOL, True) + "SELECT doc_id, seg_id, n FROM c")
+@query("segment_counts_dna", _counts_sql(GATC_SQL, DNA_POOL, True) + "SELECT doc_id, seg_id, n FROM c")
 def _(spark, d):
     return counting.count_segments(_nodes(spark, d, DNA), _pool(spark, DNA_POOL), DNA).withColumnRenamed("sample_id", "doc_id")
 
 
-@query("segment_counts_u16", _counts_sql(_GATC, ("a", "c"), True) + "SELECT doc_id, seg_id, least(n, 65535) AS n FROM c")
+@query("segment_counts_u16", _counts_sql(GATC_SQL, ("a", "c"), True) + "SELECT doc_id, seg_id, least(n, 65535) AS n FROM c")
 def _(spark, d):
     c = counting.count_segments(_nodes(spark, d, DNA), _pool(spark, ("a", "c")), DNA)
     return c.select(F.col("sample_id").alias("doc_id"), "seg_id", counting.stored("n", uint16=True).alias("n"))
 
 
-@query("segment_presence", _counts_sql(_CLEAN, WORDS, False) + "SELECT doc_id, seg_id, least(n, 1) AS n FROM c")
+@query("segment_presence", _counts_sql(LETTERS_SQL, WORDS, False) + "SELECT doc_id, seg_id, least(n, 1) AS n FROM c")
 def _(spark, d):
     c = counting.count_segments(_nodes(spark, d, LETTERS), _pool(spark, WORDS), LETTERS)
     return c.select(F.col("sample_id").alias("doc_id"), "seg_id", counting.stored("n", presence=True).alias("n"))
 
 
-@query("segment_matrix_dense", _counts_sql(_CLEAN, WORDS, False) + f"SELECT doc_id, list_aggregate(list(CAST(coalesce(n, 0) AS VARCHAR) ORDER BY s.seg_id), 'string_agg', ',') AS counts FROM documents CROSS JOIN (SELECT unnest(range({len(WORDS)})) AS seg_id) s LEFT JOIN c USING (doc_id, seg_id) GROUP BY doc_id")
+@query("segment_matrix_dense", _counts_sql(LETTERS_SQL, WORDS, False) + f"SELECT doc_id, list_aggregate(list(CAST(coalesce(n, 0) AS VARCHAR) ORDER BY s.seg_id), 'string_agg', ',') AS counts FROM documents CROSS JOIN (SELECT unnest(range({len(WORDS)})) AS seg_id) s LEFT JOIN c USING (doc_id, seg_id) GROUP BY doc_id")
 def _(spark, d):
     p = _pool(spark, WORDS)
     c = counting.count_segments(_nodes(spark, d, LETTERS), p, LETTERS)
@@ -225,7 +225,7 @@ def _(spark, d):
     return dense.select(F.col("sample_id").alias("doc_id"), F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
 
 
-@query("segment_matrix_sparse", _counts_sql(_CLEAN, WORDS, False) + "SELECT doc_id, string_agg(seg_id || ':' || n, ' ' ORDER BY seg_id) AS entries FROM c GROUP BY doc_id")
+@query("segment_matrix_sparse", _counts_sql(LETTERS_SQL, WORDS, False) + "SELECT doc_id, string_agg(seg_id || ':' || n, ' ' ORDER BY seg_id) AS entries FROM c GROUP BY doc_id")
 def _(spark, d):
     c = counting.sparse_counts(counting.count_segments(_nodes(spark, d, LETTERS), _pool(spark, WORDS), LETTERS))
     e = F.transform(F.arrays_zip("indices", "values"), lambda x: F.concat_ws(":", x["indices"].cast("string"), x["values"].cast("string")))
@@ -439,7 +439,7 @@ def _(spark, d):
 
 @query(
     "split_gain_level",
-    f"WITH {_windows_sql(_GATC, [2])}, c AS (SELECT doc_id, {_CANON} AS s, count(*) AS n FROM w GROUP BY ALL), l AS (SELECT doc_id, 0.5 - quality AS g, 0.25 AS h FROM labels), t AS (SELECT sum(g) AS tg, sum(h) AS th FROM l), "
+    f"WITH {windows_sql(GATC_SQL, [2])}, c AS (SELECT doc_id, {_CANON} AS s, count(*) AS n FROM w GROUP BY ALL), l AS (SELECT doc_id, 0.5 - quality AS g, 0.25 AS h FROM labels), t AS (SELECT sum(g) AS tg, sum(h) AS th FROM l), "
     "b AS (SELECT s, n, sum(g) AS g, sum(h) AS h FROM c JOIN l USING (doc_id) GROUP BY ALL), r AS (SELECT s, n, sum(g) OVER o AS gr, sum(h) OVER o AS hr, coalesce(lead(n) OVER o, 0) AS threshold FROM b WINDOW o AS (PARTITION BY s ORDER BY n DESC)) "
     "SELECT s AS segment, CAST(threshold AS BIGINT) AS threshold, round(CAST(0.5 * ((tg - gr) ** 2 / (th - hr + 1) + gr ** 2 / (hr + 1) - tg ** 2 / (th + 1)) AS DOUBLE), 6) AS gain FROM r, t",
 )
@@ -605,7 +605,7 @@ def _(spark, d):
     return BaselinePipeline(spark, **_settings(_labelled(spark, d)), k=2).train().predictions
 
 
-_STUMP_SQL = f"""WITH t AS (SELECT doc_id, {_CLEAN} AS c, CAST(quality AS DOUBLE) AS y FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND regexp_matches(text, '\\S')),
+_STUMP_SQL = f"""WITH t AS (SELECT doc_id, {LETTERS_SQL} AS c, CAST(quality AS DOUBLE) AS y FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND regexp_matches(text, '\\S')),
     r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY y) AS n FROM t),
     s AS (SELECT doc_id, c, y, r <= least(ceil(n * 0.2), n - 1) AS test FROM r), m AS (SELECT avg(y) AS base, count(*) AS h FROM s WHERE NOT test),
     p AS (SELECT DISTINCT doc_id, test, y, substr(c, i, 2) AS w FROM s, unnest(range(1, length(c))) u(i)), z AS (SELECT sum(base - y) AS tg FROM s, m WHERE NOT test),

@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints into the shared folder named by ``spark.checkpoint.dir``; a temporary one where it is unset and the master is local (tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset and the master is local (tests), else an error."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandloom-"))
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoints into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
