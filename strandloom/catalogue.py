@@ -6,6 +6,7 @@ long string cost more the further on they begin.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from strandloom.functions import scalars, sequence
 from strandloom.functions.alphabet import Alphabet
 from strandloom.operators import counting, metrics, pool, selection, splits
-from strandloom.plans.lineage import number_rows, spread
+from strandloom.plans.lineage import number_rows, shared_folder, spread
 from strandloom.plans.training import BaselinePipeline, TrainingPipeline
+from strandloom.sources import fasta
 from strandloom.sources.labels import invalid_labels, join_labels, without_labels
 from strandloom.sources.readers import text_table
 
@@ -145,6 +147,26 @@ def _(spark, d):
     return f.select("conv_id", F.posexplode(sequence.parse_fasta("t")).alias("contig_idx", "seq"))
 
 
+# --- sequence files: the documents written as FASTA by source, read back in byte ranges
+
+
+def _fasta_folder(spark: SparkSession, d: str) -> str:
+    folder = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    clean = F.regexp_replace(DNA.sanitise("text"), "(.{60})", "$1\n")
+    docs = table(spark, d, "documents").filter("text IS NOT NULL")
+    docs.select("source", F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\n"), clean).alias("value")).write.partitionBy("source").text(folder)
+    return folder
+
+
+def _of_source(item: str) -> Column:
+    return F.regexp_extract(item, "source=([^/]*)/", 1).alias("source")
+
+
+@query("fasta_file_contigs", f"SELECT source, {GATC_SQL} AS seq, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+def _(spark, d):
+    return fasta.fasta_contigs(spark, _fasta_folder(spark, d), DNA).groupBy(_of_source("item"), "seq").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("discretise", "SELECT l_orderkey, l_linenumber, round_even(l_discount * 10, 0) AS k FROM lineitem")
 def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.discretise(F.col("l_discount") * 10).alias("k"))
@@ -232,6 +254,13 @@ def _(spark, d):
     return c.select(F.col("sample_id").alias("doc_id"), F.array_join(e, " ").alias("entries"))
 
 
+@query("fasta_file_counts", _counts_sql(GATC_SQL, DNA_POOL, True) + "SELECT source, seg_id, CAST(sum(n) AS BIGINT) AS n FROM c JOIN documents USING (doc_id) GROUP BY ALL")
+def _(spark, d):
+    chunks = fasta.fasta_chunks(spark, _fasta_folder(spark, d), DNA, max(map(len, DNA_POOL)) - 1)
+    counts = counting.count_chunks(chunks.withColumnRenamed("item", "sample_id"), _pool(spark, DNA_POOL), DNA)
+    return counts.groupBy(_of_source("sample_id"), "seg_id").agg(F.sum("n").alias("n"))
+
+
 # --- pool algebra, on the words of the benchmark items
 
 _WORDS_SQL = "bw AS (SELECT w AS segment, count(*) AS n FROM benchmark, unnest(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ')) u(w) WHERE w <> '' GROUP BY w), bp AS (SELECT row_number() OVER (ORDER BY n DESC, segment) - 1 AS seg_id, segment FROM bw)"

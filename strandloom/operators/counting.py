@@ -63,6 +63,17 @@ def count_segments(nodes: DataFrame, pool: DataFrame, alphabet: Alphabet, *, str
     return seen.join(usable, "segment").select("sample_id", "seg_id", "n")
 
 
+def count_chunks(chunks: DataFrame, pool: DataFrame, alphabet: Alphabet, *, strategy: str = "auto") -> DataFrame:
+    """``count_segments`` over rows that overlap their next: what begins beyond the first ``own`` characters of a row is the next row's.
+
+    Occurrences in the overlaps are counted by themselves and taken off. Overlaps shorter than the longest segment less one are an error of the caller.
+    """
+    whole = count_segments(chunks, pool, alphabet, strategy=strategy)
+    rest = chunks.withColumn("seq", F.substring("seq", F.col("own") + 1, F.length("seq"))).filter("seq <> ''")
+    twice = count_segments(rest, pool, alphabet, strategy=strategy).withColumn("n", -F.col("n"))
+    return whole.unionByName(twice).groupBy("sample_id", "seg_id").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def _count_patterns(nodes: DataFrame, usable: DataFrame, alphabet: Alphabet) -> DataFrame:
     exact = lambda form: "(?=" + "".join(f"\\x{{{ord(c):x}}}" for c in form) + ")"
     each = []

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.alphabet import Alphabet
 from strandloom.functions.sequence import contigs
-from strandloom.operators.counting import count_segments, stored
+from strandloom.operators.counting import count_chunks, count_segments, stored
 from strandloom.operators.selection import LabelScaler
 from strandloom.plans import boosting
 from strandloom.plans.results import SegmentImportance
-from strandloom.sources.readers import fasta_files
+from strandloom.sources.fasta import fasta_chunks, fasta_paths
 
 log = logging.getLogger("strandloom")
 VERSION = 1
@@ -43,14 +43,28 @@ class SegmentModel:
     def count(self, samples: DataFrame, id_column: str = "sample_id", text_column: str = "text") -> DataFrame:
         """``sample_id, seg_id, n`` of a table of texts, zeros left out."""
         nodes = contigs(samples, self.alphabet, id_column=id_column, text_column=text_column, keep_unknown=self.keep_unknown)
-        got = count_segments(nodes, self._pool(), self.alphabet)
-        return got.select("sample_id", "seg_id", stored("n", uint16=self.uint16, presence=self.binary_features).alias("n"))
+        return self._stored(count_segments(nodes, self._pool(), self.alphabet))
+
+    def count_files(self, paths: list[str] | str, glob: str | None = None) -> DataFrame:
+        """The same of sequence files, read in byte ranges; ``sample_id`` is the path."""
+        longest = max((len(s) for s in self.segments), default=1)
+        chunks = fasta_chunks(self.spark, paths, self.alphabet, longest - 1, keep_unknown=self.keep_unknown, glob=glob).withColumnRenamed("item", "sample_id")
+        return self._stored(count_chunks(chunks, self._pool(), self.alphabet))
+
+    def _stored(self, counts: DataFrame) -> DataFrame:
+        return counts.select("sample_id", "seg_id", stored("n", uint16=self.uint16, presence=self.binary_features).alias("n"))
 
     def predict_table(self, samples: DataFrame, id_column: str = "sample_id", text_column: str = "text") -> DataFrame:
         """``sample_id`` and ``prediction`` (or ``prediction_<label>``) for every row; ids must be distinct."""
-        counts = self.count(samples, id_column, text_column)
+        return self._scored(samples.select(F.col(id_column).alias("sample_id")), self.count(samples, id_column, text_column))
+
+    def predict_files(self, paths: list[str] | str, glob: str | None = None) -> DataFrame:
+        """``sample_id`` (the path) and predictions of sequence files, or of the files of a folder."""
+        return self._scored(fasta_paths(self.spark, paths, glob).select(F.col("item").alias("sample_id")), self.count_files(paths, glob))
+
+    def _scored(self, ids: DataFrame, counts: DataFrame) -> DataFrame:
         packed = counts.groupBy("sample_id").agg(F.collect_list(F.struct(F.col("seg_id").alias("i"), F.col("n").cast("float").alias("n"))).alias("c"))
-        rows = samples.select(F.col(id_column).alias("sample_id")).join(packed, "sample_id", "left").select("sample_id", F.transform("c", lambda x: x["i"]).alias("i"), F.transform("c", lambda x: x["n"]).alias("n"))
+        rows = ids.join(packed, "sample_id", "left").select("sample_id", F.transform("c", lambda x: x["i"]).alias("i"), F.transform("c", lambda x: x["n"]).alias("n"))
         names = ["prediction"] if len(self.labels) == 1 else [f"prediction_{n}" for n in self.labels]
         used = sorted({n[3] for n in self.nodes if n[3] is not None})
         place = {c: k for k, c in enumerate(used)}
@@ -85,9 +99,11 @@ class SegmentModel:
         return self._collected(self.predict_table(self.spark.createDataFrame(list(enumerate(texts)), "sample_id long, text string")), len(texts))
 
     def predict(self, files: list[str]) -> np.ndarray:
-        """Predictions of sequence files in their order."""
-        read = {r["item"]: r["text"] for r in fasta_files(self.spark, files).collect()}
-        return self.predict_sequences([read[f if f.startswith("/") else str(Path(f).absolute())] for f in files])
+        """Predictions of sequence files in their order; a row a file comes to the driver."""
+        names = [f if f.startswith("/") or "://" in f else str(Path(f).absolute()) for f in files]
+        scored = {r[0]: r[1:] for r in self.predict_files(sorted(set(names))).collect()}
+        out = np.array([scored[n] for n in names], dtype=float)
+        return out[:, 0] if len(self.labels) == 1 else out
 
     def metadata(self) -> dict:
         return {

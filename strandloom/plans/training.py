@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.alphabet import AUTO, DNA, Alphabet
 from strandloom.functions.sequence import contigs
-from strandloom.operators.counting import count_segments, stored
+from strandloom.operators.counting import count_chunks, count_segments, stored
 from strandloom.operators.metrics import Metric, check_binary
 from strandloom.operators.pool import SegmentPool
 from strandloom.operators.selection import LabelScaler, mean_gain, rank_importance, scale_mismatch, top_features, with_importance
@@ -25,7 +25,7 @@ from strandloom.plans.lineage import cut, number_rows, spread
 from strandloom.plans.model import SegmentModel
 from strandloom.plans.results import FoldResult, SegmentImportance, TrainingResult, prediction_columns, wide_predictions, write_csv
 from strandloom.sources.labels import label_names
-from strandloom.sources.readers import DEFAULT_LABEL, build_source, fasta_directory, fasta_files, fold_file, segment_list
+from strandloom.sources.readers import DEFAULT_LABEL, SEQUENCE_FILES, build_source, fold_file, item_chunks, segment_list
 
 log = logging.getLogger("strandloom")
 
@@ -141,8 +141,15 @@ class TrainingPipeline:
 
     # --- one fold
 
+    def _nodes(self, samples: DataFrame, longest: int) -> DataFrame:
+        """The contigs of texts, or chunks of the contigs of files in which windows of up to ``longest`` are whole."""
+        if "text" in samples.columns:
+            return cut(spread(contigs(samples, self.alphabet, keep_unknown=self.keep_unknown)))
+        return cut(item_chunks(samples, self.alphabet, longest - 1, keep_unknown=self.keep_unknown))
+
     def _counts(self, nodes: DataFrame, pool: SegmentPool) -> DataFrame:
-        got = count_segments(nodes, pool.table, self.alphabet, strategy=self.count_strategy)
+        count = count_chunks if "own" in nodes.columns else count_segments
+        got = count(nodes, pool.table, self.alphabet, strategy=self.count_strategy)
         return cut(got.select("sample_id", "seg_id", stored("n", uint16=self.uint16, presence=self.binary_features).alias("n")))
 
     def _fit(self, counts: DataFrame, samples: DataFrame, n: int, target: int):
@@ -162,8 +169,8 @@ class TrainingPipeline:
     def _fold(self, fold: int, samples: DataFrame, write: bool) -> FoldResult:
         scaler = LabelScaler.fit(samples.filter("NOT is_test"), self.labels) if self.standardise_labels else None
         fitted_on = scaler.transform(samples) if scaler else samples
-        nodes = cut(spread(contigs(samples, self.alphabet, keep_unknown=self.keep_unknown)))
         pool = self._first_pool()
+        nodes = self._nodes(samples, max(pool.current_max, self.target) + self.ext)
         n = pool.table.count()
         counts = self._counts(nodes, pool)
         while not self.baseline:
@@ -253,9 +260,8 @@ class InferencePipeline:
 
     def score_files(self, files: list[str] | str) -> DataFrame:
         """``file, prediction`` of a list of files, or of the sequence files of a folder, sorted by path."""
-        read = fasta_directory(self.spark, files) if isinstance(files, str) else fasta_files(self.spark, files)
-        rows = number_rows(read, [F.col("item").asc()], "sample_id")
-        return self._named(self.model.predict_table(rows), rows, "file")
+        scored = self.model.predict_files(files, SEQUENCE_FILES if isinstance(files, str) else None)
+        return scored.withColumnRenamed("sample_id", "file").orderBy("file")
 
     def score_table(self, table: DataFrame, data_column: str) -> DataFrame:
         """The text column with its prediction, row by row."""

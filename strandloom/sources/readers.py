@@ -13,7 +13,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions.alphabet import Alphabet
 from strandloom.plans.lineage import cut, number_rows
+from strandloom.sources.fasta import fasta_chunks, plain_path
 from strandloom.sources.labels import label_names, require_columns, with_numeric_labels
 
 log = logging.getLogger("strandloom")
@@ -21,11 +23,9 @@ log = logging.getLogger("strandloom")
 DEFAULT_LABEL = "labels"
 FILES = "files"
 SUFFIXES = (".fna", ".fasta")
-
-
-def plain_path(uri):
-    """A file URI as a plain path; other schemes stay."""
-    return F.regexp_replace(uri, "^file:/+", "/")
+SEQUENCE_FILES = "*.{" + ",".join(s[1:] for s in SUFFIXES) + "}"
+#: Paths that are given to a reader one by one at most, and samples whose paths are sent to every task at most.
+DRIVER_PATHS, SENT_SAMPLES = 10_000, 200_000
 
 
 def fasta_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -36,7 +36,7 @@ def fasta_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 def fasta_directory(spark: SparkSession, folder: str) -> DataFrame:
     """``item, text`` of the sequence files of a folder; sort by ``item`` for a fixed order."""
-    raw = spark.read.option("pathGlobFilter", "*.{" + ",".join(s[1:] for s in SUFFIXES) + "}").text(folder, wholetext=True)
+    raw = spark.read.option("pathGlobFilter", SEQUENCE_FILES).text(folder, wholetext=True)
     return raw.select(plain_path(F.col("_metadata.file_path")).alias("item"), F.col("value").alias("text"))
 
 
@@ -90,15 +90,35 @@ def label_table(source: DataFrame | str | Mapping, label_columns: str | list[str
     return placed.select("sample_id", "item", *(F.col(n).cast("float").alias(n) for n in names))
 
 
+def item_paths(samples: DataFrame) -> list[str]:
+    """What a reader is given for the samples' files: their paths while these are few, else the folders they lie in, whose other files the join with the samples leaves out."""
+    items = samples.select("item").distinct()
+    few = [r[0] for r in items.limit(DRIVER_PATHS + 1).collect()]
+    if len(few) <= DRIVER_PATHS:
+        return few
+    return [r[0] for r in items.select(F.regexp_extract("item", "^(.*/)?[^/]*$", 1)).distinct().collect()]
+
+
 def read_items(samples: DataFrame) -> DataFrame:
-    """A label table with the files' ``text``."""
-    items = [r["item"] for r in samples.select("item").distinct().collect()]
-    if not items:
+    """A label table with the files' ``text``, each whole; ``item_chunks`` has no limit on a file's size."""
+    paths = item_paths(samples)
+    if not paths:
         return samples.withColumn("text", F.lit(None).cast("string"))
-    files = fasta_files(samples.sparkSession, items)
+    files = fasta_files(samples.sparkSession, paths)
     return samples.withColumn("__p", plain_path(F.col("item"))).join(files.withColumnRenamed("item", "__f"), F.col("__p") == F.col("__f")).drop("__p", "__f")
 
 
+def item_chunks(samples: DataFrame, alphabet: Alphabet, overlap: int, *, keep_unknown: bool = False) -> DataFrame:
+    """``sample_id, contig_idx, chunk_idx, own, seq``: the files of a label table in chunks that overlap, read in byte ranges."""
+    spark = samples.sparkSession
+    paths = item_paths(samples)
+    named = samples.select("sample_id", plain_path(F.col("item")).alias("item"))
+    if not paths:
+        return named.select("sample_id", *(F.lit(0).cast("long").alias(c) for c in ("contig_idx", "chunk_idx", "own")), F.lit("").alias("seq")).limit(0)
+    named = F.broadcast(named) if named.count() <= SENT_SAMPLES else named
+    return fasta_chunks(spark, paths, alphabet, overlap, keep_unknown=keep_unknown).join(named, "item").drop("item")
+
+
 def text_table(source: DataFrame | str, data_column: str, label_columns: str | list[str] | None = None, id_column: str | None = None, spark: SparkSession | None = None) -> DataFrame:
     """``sample_id, item, text`` and labels of a table with one text a row.
 
@@ -124,14 +144,14 @@ def text_table(source: DataFrame | str, data_column: str, label_columns: str | l
 
 
 def build_source(spark: SparkSession, *, table=None, data_column: str | None = None, label_file=None, label_columns=None, data_dir: str | None = None, id_column: str | None = None) -> DataFrame:
-    """The samples of a run: a table goes before a label file; neither is an error."""
+    """The samples of a run, with their ``text`` if they are of a table; a table goes before a label file, neither is an error."""
     if table is not None:
         if not data_column:
             raise ValueError("a table needs the name of its text column")
         return text_table(table, data_column, label_columns, id_column, spark)
     if label_file is None:
         raise ValueError("a table or a label file is needed")
-    return read_items(label_table(label_file, label_columns, data_dir, spark))
+    return label_table(label_file, label_columns, data_dir, spark)
 
 
 def fold_file(spark: SparkSession, path: str, data_dir: str | None) -> DataFrame:
