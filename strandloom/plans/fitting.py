@@ -11,8 +11,10 @@ from strandloom.operators.pool import near_equal_parts, partition_of
 from strandloom.plans.boosting import DEPTH, NODE_COLUMNS, NODE_SCHEMA, Booster, Entries
 from strandloom.plans.lineage import cut
 
-#: Bytes of ids, labels, predictions and gradients of all samples that a booster task holds at most; beyond it, ``backend="levels"`` is the way.
+#: Bytes of ids, labels, predictions and gradients of all samples, and of the entries of its columns, that a booster task holds at most; beyond it, ``backend="levels"`` is the way.
 MOST_BYTES = 2 << 30
+#: Bytes of an entry in a booster: row, column, value, bin, cell, and the copies made while they are sorted.
+ENTRY_BYTES = 80
 
 
 def fit_partitions(counts: DataFrame, samples: DataFrame, n_features: int, labels: list[str], *, target: int, binary: bool, rounds: int, rate: float, zero_as_missing: bool, depth: int = DEPTH) -> tuple[DataFrame, np.ndarray]:
@@ -24,6 +26,8 @@ def fit_partitions(counts: DataFrame, samples: DataFrame, n_features: int, label
     n = samples.count()
     if n * (9 + 40 * len(labels)) > MOST_BYTES:
         raise ValueError(f"the labels of {n} samples are more than a booster task holds; use backend='levels'")
+    if (most := largest_part(counts, n_features, target)) * ENTRY_BYTES > MOST_BYTES:
+        raise ValueError(f"{most} entries in a group of columns are more than a booster task holds; use smaller groups or backend='levels'")
     pdf = samples.select("sample_id", "is_test", *labels).orderBy("sample_id").toPandas()  # of a checked size
     ids = pdf["sample_id"].to_numpy(np.int64)
     test = pdf["is_test"].to_numpy(bool)
@@ -62,6 +66,11 @@ def fit_partitions(counts: DataFrame, samples: DataFrame, n_features: int, label
     return fitted, base
 
 
+def largest_part(counts: DataFrame, n_features: int, target: int) -> int:
+    """Entries of the group of columns that has most."""
+    return counts.groupBy(partition_of("seg_id", n_features, target)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def tree_nodes(fitted: DataFrame) -> DataFrame:
     return fitted.filter("kind = 'node'").select("part", *NODE_COLUMNS)
 

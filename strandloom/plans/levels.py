@@ -1,20 +1,30 @@
-"""Boosted trees grown level by level as plans, for more samples than a task can hold.
+"""Histogram boosting as plans, for more samples and entries than a task can hold.
 
-Counts and samples are partitioned by sample once. One level of a tree is one aggregation of the counts joined with the
-samples' gradients where they lie, by node, column and count, with running sums down the counts; only these sums are
-shuffled, and the driver sees the best split of each node only. Columns are not
-partitioned. Counts are split exactly, without bins; samples without a row for a column have count 0.
+Bins come from an exact histogram of the values of every column, aggregated over all training samples. Counts, with their bins, and samples are
+partitioned by sample once. One level of a tree is one aggregation of the counts joined with the samples' gradients where they lie, by node, column and
+bin; only these sums are shuffled, no group holds more than the bins of a column in a node, and the driver sees the best split of each node only.
+Bins, splits and ties are those of ``boosting.Booster``: the trees are the same. With ``zero_as_missing`` what a sample has no row for is
+missing, and each split learns to which side it goes from the sums of what is there.
+
+With ``progress`` every few rounds are logged, from which a run that was killed goes on to the same trees.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.plans.boosting import DEPTH, NODE_COLUMNS, NODE_SCHEMA, PATIENCE
-from strandloom.plans.lineage import cut_by
+from strandloom.plans.lineage import cut, cut_by
+
+BINS = 256
+#: Rounds between two entries of the log.
+LOGGED = 10
 
 
 def _gradients(state: DataFrame, binary: bool) -> DataFrame:
@@ -23,54 +33,111 @@ def _gradients(state: DataFrame, binary: bool) -> DataFrame:
     return state.withColumns({"g": p - F.col("y"), "h": h})
 
 
-def best_splits(counts: DataFrame, rows: DataFrame, totals: list, reg_lambda: float = 1.0, min_child: float = 1.0) -> dict[int, tuple]:
-    """``node -> (gain, seg_id, threshold)`` of ``rows(sample_id, node, g, h)``; ``totals(node, g, h)`` are the nodes' sums.
+def histogram_bins(counts: DataFrame, n_rows: int, *, bins: int = BINS, zero_as_missing: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``seg_id, n, bin`` of every value of ``counts(seg_id, n)``, the entries of ``n_rows`` samples, and ``seg_id, bin, threshold``: the cut above a bin.
+
+    A column with fewer than ``bins`` values has a bin for each, else one for every (bins - 1)th part of its rows; zeros count as a value
+    unless they are missing. What is missing lies above one more cut.
+    """
+    seen = counts.groupBy("seg_id", "n").agg(F.count(F.lit(1)).alias("m"))
+    if not zero_as_missing:
+        zeros = seen.groupBy("seg_id").agg((F.lit(n_rows) - F.sum("m")).alias("m")).filter("m > 0").select("seg_id", F.lit(0.0).alias("n"), "m")
+        seen = seen.unionByName(zeros)
+    column, up = W.partitionBy("seg_id"), W.partitionBy("seg_id").orderBy("n")
+    ranked = seen.select("seg_id", "n", F.count(F.lit(1)).over(column).alias("d"), (F.sum("m").over(column) - 1).alias("last"), (F.sum("m").over(up) - F.col("m")).alias("lo"), F.sum("m").over(up).alias("hi"))
+    near = F.floor(F.col("lo") * (bins - 2) / F.greatest(F.col("last"), F.lit(1)))
+    quantile = F.exists(F.sequence(near - 1, near + 2), lambda j: (j >= 0) & (j <= bins - 2) & (F.rint(j * F.col("last") / (bins - 2)) >= F.col("lo")) & (F.rint(j * F.col("last") / (bins - 2)) < F.col("hi")))
+    kept = ranked.select("seg_id", "n", ((F.col("d") <= bins - 1) | quantile).alias("kept"))
+    after = F.min(F.when(F.col("kept"), F.col("n"))).over(up.rowsBetween(1, W.unboundedFollowing))
+    placed = kept.select("seg_id", "n", "kept", (F.sum(F.col("kept").cast("int")).over(up) - 1).alias("k"), F.max(F.when(F.col("kept"), F.col("n"))).over(up).alias("at"), after.alias("after"))
+    placed = cut(placed.withColumn("threshold", (F.col("at") + F.col("after")) / 2.0))
+    values = placed.filter("n <> 0").select("seg_id", "n", (F.col("k") + F.when(~F.col("kept") & (F.col("n") >= F.col("threshold")), 1).otherwise(0)).cast("int").alias("bin"))
+    top = F.col("at") + 1.0 if zero_as_missing else F.lit(None).cast("double")
+    cuts = placed.filter("kept").select("seg_id", F.col("k").cast("int").alias("bin"), F.coalesce("threshold", top).alias("threshold")).filter("threshold IS NOT NULL")
+    return values, cuts
+
+
+def best_splits(counts: DataFrame, cuts: DataFrame, rows: DataFrame, totals: list, *, zero_as_missing: bool = False, reg_lambda: float = 1.0, min_child: float = 1.0) -> dict[int, tuple]:
+    """``node -> (gain, seg_id, threshold, missing goes left)`` by ``counts(sample_id, seg_id, bin)`` of ``rows(sample_id, node, g, h)``; ``totals(node, g, h)`` are the nodes' sums.
 
-    Equal gains go to the smallest column, then the smallest threshold."""
+    Equal gains go to missing left, then the smallest column, then the smallest threshold."""
     spark = rows.sparkSession
     sums = F.broadcast(spark.createDataFrame([(r["node"], r["g"], r["h"]) for r in totals], "node int, tg double, th double"))  # one row per node of a level
-    seen = counts.join(rows, "sample_id").groupBy("node", "seg_id", "n").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    down = W.partitionBy("node", "seg_id").orderBy(F.desc("n"))
-    s = seen.select("node", "seg_id", "n", F.sum("g").over(down).alias("gr"), F.sum("h").over(down).alias("hr"), F.coalesce(F.lead("n").over(down), F.lit(0)).alias("low")).join(sums, "node")
-    gl, hl = F.col("tg") - F.col("gr"), F.col("th") - F.col("hr")
+    seen = counts.join(rows, "sample_id").groupBy("node", "seg_id", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    column, up = W.partitionBy("node", "seg_id"), W.partitionBy("node", "seg_id").orderBy("bin")
+    s = seen.select("node", "seg_id", "bin", F.sum("g").over(up).alias("g"), F.sum("h").over(up).alias("h"), F.sum("g").over(column).alias("pg"), F.sum("h").over(column).alias("ph"), F.row_number().over(up).alias("i")).join(sums, "node")
+    side = lambda j, g, h: F.struct(j.cast("int").alias("bin"), g.alias("g"), h.alias("h"))
+    upto, zero = side(F.col("bin"), F.col("g"), F.col("h")), F.lit(0.0)
+    # a cut after each bin of the node; and one below the first, if the column has a lower bin
+    s = s.withColumn("c", F.explode(F.when((F.col("i") == 1) & (F.col("bin") > 0), F.array(side(F.lit(0), zero, zero), upto)).otherwise(F.array(upto))))
+    rest_g, rest_h = F.col("tg") - F.col("pg"), F.col("th") - F.col("ph")
+    to_left = F.struct(F.lit(True).alias("left"), (F.col("c.g") + rest_g).alias("g"), (F.col("c.h") + rest_h).alias("h"))
+    if zero_as_missing:
+        ways = F.array(to_left, F.struct(F.lit(False).alias("left"), F.col("c.g").alias("g"), F.col("c.h").alias("h")))
+    else:  # zeros lie below every cut
+        ways = F.array(to_left.withField("left", F.lit(False)))
+    s = s.select("node", "seg_id", F.col("c.bin").alias("bin"), "tg", "th", F.explode(ways).alias("w")).select("node", "seg_id", "bin", "tg", "th", "w.*")
+    gr, hr = F.col("tg") - F.col("g"), F.col("th") - F.col("h")
     score = lambda g, h: g * g / (h + reg_lambda)
-    gain = 0.5 * (score(gl, hl) + score(F.col("gr"), F.col("hr")) - score(F.col("tg"), F.col("th")))
-    good = s.filter((F.col("hr") >= min_child) & (hl >= min_child)).select("node", gain.alias("gain"), "seg_id", ((F.col("low") + F.col("n")) / 2.0).alias("threshold")).filter("gain > 1e-9")
-    best = good.groupBy("node").agg(F.max(F.struct(F.round("gain", 10).alias("r"), (-F.col("seg_id")).alias("s"), (-F.col("threshold")).alias("t"), F.col("gain").alias("gain"))).alias("b"))
-    return {r["node"]: (r["b"]["gain"], -r["b"]["s"], -r["b"]["t"]) for r in best.collect()}
+    gain = 0.5 * (score(F.col("g"), F.col("h")) + score(gr, hr) - score(F.col("tg"), F.col("th")))
+    good = s.filter((F.col("h") >= min_child - 1e-9) & (hr >= min_child - 1e-9)).select("node", F.round(gain, 10).alias("gain"), "left", "seg_id", "bin").filter("gain > 1e-9")
+    best = good.groupBy("node").agg(F.max(F.struct("gain", "left", (-F.col("seg_id")).alias("s"), (-F.col("bin")).alias("b"))).alias("x"))
+    best = best.select("node", "x.gain", "x.left", (-F.col("x.s")).alias("seg_id"), (-F.col("x.b")).alias("bin"))
+    found = cuts.join(F.broadcast(best), ["seg_id", "bin"]).select("node", "gain", "seg_id", "threshold", "left").collect()  # one row per node
+    return {r["node"]: (r["gain"], r["seg_id"], r["threshold"], r["left"]) for r in found}
 
 
-def fit_levels(counts: DataFrame, samples: DataFrame, labels: list[str], *, binary: bool, rounds: int, rate: float, depth: int = DEPTH, patience: int = PATIENCE, reg_lambda: float = 1.0) -> tuple[DataFrame, np.ndarray]:
+def fit_levels(
+    counts: DataFrame, samples: DataFrame, labels: list[str], *, binary: bool, rounds: int, rate: float, depth: int = DEPTH, patience: int = PATIENCE, reg_lambda: float = 1.0, bins: int = BINS, zero_as_missing: bool = False, progress: str | None = None,
+    logged: int = LOGGED,
+) -> tuple[DataFrame, np.ndarray]:
     """Same arguments and result as ``fit_partitions``: rows of trees and predictions, and the base scores.
 
-    Zeros are counts here, never missing values."""
+    ``progress`` names a folder for the log of this very fit; it is left there, and a finished fit is not grown again."""
     spark = samples.sparkSession
-    counts = cut_by(counts.select("sample_id", F.col("seg_id").cast("long").alias("seg_id"), F.col("n").cast("double").alias("n")), "sample_id")
+    train = samples.filter("NOT is_test")
+    n_train = train.count()
+    counts = counts.select("sample_id", F.col("seg_id").cast("long").alias("seg_id"), F.col("n").cast("double").alias("n"))
+    values, cuts = histogram_bins(counts.join(train.select("sample_id"), "sample_id", "left_semi"), n_train, bins=bins, zero_as_missing=zero_as_missing)
+    counts = cut_by(counts.join(values, ["seg_id", "n"], "left").select("sample_id", "seg_id", "n", "bin"), "sample_id")  # a value of test rows alone has no bin
     nodes: list[tuple] = []
-    base = np.zeros(len(labels))
     states: list[DataFrame] = []
-    for i, name in enumerate(labels):
-        y = F.col(name).cast("double")
-        mean = samples.filter("NOT is_test").agg(F.avg(y)).first()[0] or 0.0
-        if binary:
-            mean = min(max(mean, 1e-6), 1 - 1e-6)
-            mean = float(np.log(mean / (1 - mean)))
-        base[i] = mean
-        states.append(cut_by(samples.select("sample_id", "is_test", y.alias("y"), F.lit(mean).alias("f")), "sample_id"))
-    best, best_at = np.inf, -1
-    for r in range(rounds):
+    best, best_at, begin = np.inf, -1, 0
+    settings = json.dumps([labels, binary, rate, depth, patience, reg_lambda, bins, zero_as_missing, n_train])
+    if progress and (was := _last_logged(spark, progress, settings)):
+        begin, best, best_at, base = was["round"] + 1, was["best"], was["best_at"], np.array(was["base"])
+        at = f"{progress}/round={was['round']}"
+        nodes = [tuple(r[c] for c in NODE_COLUMNS) for r in spark.read.schema(f"i int, {NODE_SCHEMA}").parquet(f"{at}/nodes").orderBy("i").collect()]
+        states = [cut_by(spark.read.parquet(f"{at}/label={i}"), "sample_id") for i in range(len(labels))]
+    else:
+        base = np.zeros(len(labels))
+        for i, name in enumerate(labels):
+            y = F.col(name).cast("double")
+            mean = train.agg(F.avg(y)).first()[0] or 0.0
+            if binary:
+                mean = min(max(mean, 1e-6), 1 - 1e-6)
+                mean = float(np.log(mean / (1 - mean)))
+            base[i] = mean
+            states.append(cut_by(samples.select("sample_id", "is_test", y.alias("y"), F.lit(mean).alias("f")), "sample_id"))
+    stopped = best_at >= 0 and begin - 1 - best_at >= patience
+    for r in range(begin, 0 if stopped else rounds):
         losses = []
         for i in range(len(labels)):
-            states[i] = cut_by(_one_tree(counts, states[i], nodes, i, r * len(labels) + i, binary, rate, depth, reg_lambda))
+            states[i] = cut_by(_one_tree(counts, cuts, states[i], nodes, i, r * len(labels) + i, binary, rate, depth, reg_lambda, zero_as_missing))
             p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), 1 / (1 + F.exp(-F.col("f")))))
             one = -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p)) if binary else (F.col("f") - F.col("y")) * (F.col("f") - F.col("y"))
             losses.append(states[i].filter("is_test").agg(F.avg(one)).first()[0])
+        last = False
         if losses[0] is not None:
             loss = float(np.mean(losses)) if binary else float(np.sqrt(np.mean(losses)))
             if loss < best:
                 best, best_at = loss, r
-            elif r - best_at >= patience:
-                break
+            else:
+                last = r - best_at >= patience
+        if progress and ((r + 1) % logged == 0 or last or r + 1 == rounds):
+            _log_round(spark, progress, r, nodes, states, {"settings": settings, "round": r, "best": best, "best_at": best_at, "base": base.tolist()})
+        if last:
+            break
     out = spark.createDataFrame([("node", 0, None, None, *n) for n in nodes] + [("base", 0, None, float(b), i, *[None] * (len(NODE_COLUMNS) - 1)) for i, b in enumerate(base)], f"kind string, part int, sample_id long, prediction double, {NODE_SCHEMA}")
     for i, s in enumerate(states):
         p = 1 / (1 + F.exp(-F.col("f"))) if binary else F.col("f")
@@ -79,14 +146,35 @@ def fit_levels(counts: DataFrame, samples: DataFrame, labels: list[str], *, bina
     return out, base
 
 
-def _one_tree(counts: DataFrame, state: DataFrame, nodes: list[tuple], label: int, tree: int, binary: bool, rate: float, depth: int, reg_lambda: float) -> DataFrame:
+def _log_round(spark: SparkSession, progress: str, r: int, nodes: list[tuple], states: list[DataFrame], about: dict) -> None:
+    """Writes what a run goes on from; the note that it is whole comes last."""
+    at = f"{progress}/round={r}"
+    for i, s in enumerate(states):
+        s.write.mode("overwrite").parquet(f"{at}/label={i}")
+    spark.createDataFrame([(i, *n) for i, n in enumerate(nodes)], f"i int, {NODE_SCHEMA}").write.mode("overwrite").parquet(f"{at}/nodes")
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/whole")
+
+
+def _last_logged(spark: SparkSession, progress: str, settings: str) -> dict | None:
+    try:
+        rows = [json.loads(r[0]) for r in spark.read.text(f"{progress}/round=*/whole").collect()]  # one row per log entry
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if any(r["settings"] != settings for r in rows):
+        raise ValueError(f"{progress} is the log of a fit with other settings or samples")
+    return max(rows, key=lambda r: r["round"], default=None)
+
+
+def _one_tree(counts: DataFrame, cuts: DataFrame, state: DataFrame, nodes: list[tuple], label: int, tree: int, binary: bool, rate: float, depth: int, reg_lambda: float, zero_as_missing: bool) -> DataFrame:
     """Adds a tree to ``nodes``; returns the samples with their new raw predictions."""
     placed = _gradients(state, binary).withColumn("node", F.lit(0))
     live, made, leaves = {0}, 1, {}
     for level in range(depth + 1):
         train = placed.filter("NOT is_test").filter(F.col("node").isin(sorted(live)))
         totals = [r for r in train.groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).orderBy("node").collect()]  # one row per node
-        splits = best_splits(counts, train.select("sample_id", "node", "g", "h"), totals, reg_lambda) if level < depth and totals else {}
+        splits = best_splits(counts, cuts, train.select("sample_id", "node", "g", "h"), totals, zero_as_missing=zero_as_missing, reg_lambda=reg_lambda) if level < depth and totals else {}
         grown: dict[int, tuple[int, int]] = {}
         for r in totals:
             k = r["node"]
@@ -94,18 +182,19 @@ def _one_tree(counts: DataFrame, state: DataFrame, nodes: list[tuple], label: in
                 leaves[k] = float(-rate * r["g"] / (r["h"] + reg_lambda))
                 nodes.append((label, tree, k, None, None, None, float(r["h"]), None, None, None, leaves[k]))
                 continue
-            gain, seg, threshold = splits[k]
-            nodes.append((label, tree, k, int(seg), float(threshold), float(gain), float(r["h"]), made, made + 1, False, None))
+            gain, seg, threshold, left = splits[k]
+            nodes.append((label, tree, k, int(seg), float(threshold), float(gain), float(r["h"]), made, made + 1, bool(left), None))
             grown[k] = (made, made + 1)
             made += 2
         if not grown:
             break
-        # the count of the column that the sample's node asks for; 0 where there is no row
-        asked = F.broadcast(counts.sparkSession.createDataFrame([(k, int(splits[k][1]), float(splits[k][2]), *grown[k]) for k in grown], "node int, seg_id long, threshold double, lo int, hi int"))
+        # the count of the column that the sample's node asks for; 0 or missing where there is no row
+        asked = F.broadcast(counts.sparkSession.createDataFrame([(k, int(splits[k][1]), float(splits[k][2]), bool(splits[k][3]), *grown[k]) for k in grown], "node int, seg_id long, threshold double, left boolean, lo int, hi int"))
         picked = counts.filter(F.col("seg_id").isin([int(splits[k][1]) for k in grown])).groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("seg_id", "n"))).alias("has"))
         to = placed.join(asked, "node", "left").join(picked, "sample_id", "left")
-        n = F.coalesce(F.try_element_at("has", F.col("seg_id")), F.lit(0.0))
-        child = F.when(F.col("threshold").isNull(), F.col("node")).when(n < F.col("threshold"), F.col("lo")).otherwise(F.col("hi"))
+        n = F.try_element_at("has", F.col("seg_id"))
+        below = F.coalesce(n < F.col("threshold"), F.col("left") if zero_as_missing else F.lit(0.0) < F.col("threshold"))
+        child = F.when(F.col("threshold").isNull(), F.col("node")).when(below, F.col("lo")).otherwise(F.col("hi"))
         placed = cut_by(to.select("sample_id", "is_test", "y", "f", "g", "h", child.alias("node")))
         live = {x for pair in grown.values() for x in pair}
     add = F.coalesce(*(F.when(F.col("node") == k, F.lit(v)) for k, v in leaves.items()), F.lit(0.0)) if leaves else F.lit(0.0)

@@ -19,7 +19,7 @@ from strandloom.operators.pool import SegmentPool
 from strandloom.operators.selection import LabelScaler, mean_gain, rank_importance, scale_mismatch, top_features, with_importance
 from strandloom.operators.splits import hold_out, inner_folds, nested_folds, predefined_folds, stratified_folds
 from strandloom.plans.boosting import DEPTH, NODE_COLUMNS
-from strandloom.plans.fitting import fit_partitions, mean_predictions, tree_nodes
+from strandloom.plans.fitting import ENTRY_BYTES, MOST_BYTES, fit_partitions, mean_predictions, tree_nodes
 from strandloom.plans.levels import fit_levels
 from strandloom.plans.lineage import cut, number_rows, spread
 from strandloom.plans.model import SegmentModel
@@ -28,6 +28,8 @@ from strandloom.sources.labels import label_names
 from strandloom.sources.readers import DEFAULT_LABEL, SEQUENCE_FILES, build_source, fold_file, item_chunks, segment_list
 
 log = logging.getLogger("strandloom")
+#: Where trees are grown: whole groups of columns in tasks, or level by level over all columns and any number of samples.
+BACKENDS = ("tasks", "levels")
 
 
 @dataclass
@@ -38,8 +40,10 @@ class TrainingPipeline:
     out from all others; with ``folds`` n the folds 0..n-1 are held out in turn, and folds beyond these are not used. ``train()`` keeps
     everything in memory; ``run()`` also writes ``export_file`` and resumes from ``save_file``. The held-out rows also stop the boosting.
 
-    ``backend`` says how trees are grown, whatever the size: ``tasks`` fits a booster for each feature partition in a task, which holds the
-    labels of all samples and the entries of its columns; ``levels`` grows them by joins, over all columns and any number of samples.
+    ``backend`` says how trees are grown: ``tasks`` fits a booster for each feature partition in a task, which holds the
+    labels of all samples and the entries of its columns; ``levels`` grows the same trees by joins, over all columns and any number of samples.
+    The final fit has one group of all columns; it takes ``final_backend``, or ``levels`` where its entries are more than a task holds.
+    ``fit_progress`` names a folder in which fits by ``levels`` log their rounds, to go on from after a crash; one folder for one run.
     """
 
     spark: SparkSession
@@ -78,11 +82,13 @@ class TrainingPipeline:
     count_strategy: str = "auto"
     baseline: bool = False
     backend: str = "tasks"
+    final_backend: str | None = None
+    fit_progress: str | None = None
     rounds_done: list[dict] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        if self.backend not in ("tasks", "levels") or self.backend == "levels" and self.sparse:
-            raise ValueError("backend is tasks or levels; levels has no missing values")
+        if self.backend not in BACKENDS or self.final_backend not in (None, *BACKENDS):
+            raise ValueError(f"backend is one of {BACKENDS}")
         if self.standardise_labels and self.binary:
             raise ValueError("binary labels are not standardised")
         if not isinstance(self.alphabet, Alphabet):
@@ -152,9 +158,10 @@ class TrainingPipeline:
         got = count(nodes, pool.table, self.alphabet, strategy=self.count_strategy)
         return cut(got.select("sample_id", "seg_id", stored("n", uint16=self.uint16, presence=self.binary_features).alias("n")))
 
-    def _fit(self, counts: DataFrame, samples: DataFrame, n: int, target: int):
-        if self.backend == "levels":
-            return fit_levels(counts, samples, self.labels, binary=self.binary, rounds=self.num_rounds, rate=self.lr, depth=self.depth)
+    def _fit(self, counts: DataFrame, samples: DataFrame, n: int, target: int, backend: str, step: str):
+        if backend == "levels":
+            log_of = f"{self.fit_progress}/{step}" if self.fit_progress else None
+            return fit_levels(counts, samples, self.labels, binary=self.binary, rounds=self.num_rounds, rate=self.lr, depth=self.depth, zero_as_missing=self.sparse, progress=log_of)
         return fit_partitions(counts, samples, n, self.labels, target=target, binary=self.binary, rounds=self.num_rounds, rate=self.lr, zero_as_missing=self.sparse, depth=self.depth)
 
     def _first_pool(self) -> SegmentPool:
@@ -174,7 +181,7 @@ class TrainingPipeline:
         n = pool.table.count()
         counts = self._counts(nodes, pool)
         while not self.baseline:
-            fitted, _ = self._fit(counts, fitted_on, n, self.partition_size_target)
+            fitted, _ = self._fit(counts, fitted_on, n, self.partition_size_target, self.backend, f"fold={fold}/length={pool.current_max}")
             importance = rank_importance(mean_gain(tree_nodes(fitted)), len(self.labels))
             best = top_features(importance, self.features)
             ranked = number_rows(best, [F.desc("importance"), F.col("seg_id").asc()], "rank").select("seg_id", "rank")
@@ -191,7 +198,8 @@ class TrainingPipeline:
                 break
             if write and self.save_file:
                 pool.save(self.save_file)
-        fitted, base = self._fit(counts, fitted_on, n, 0)
+        last = self.final_backend or ("levels" if self.backend == "tasks" and counts.count() * ENTRY_BYTES > MOST_BYTES else self.backend)
+        fitted, base = self._fit(counts, fitted_on, n, 0, last, f"fold={fold}/final")
         trees = tree_nodes(fitted)
         importance = rank_importance(mean_gain(trees), len(self.labels))
         listed = with_importance(pool.table, importance).orderBy("seg_id").toPandas()

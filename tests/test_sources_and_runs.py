@@ -159,26 +159,104 @@ def test_first_split_equals_an_exhaustive_search():
     assert root[5] == pytest.approx(best[0]) and root[3] == best[1] and root[4] == best[2]
 
 
+def matrix_frames(spark, x, y, test):
+    counts = spark.createDataFrame([(i, j, int(x[i, j])) for i in range(len(x)) for j in range(x.shape[1]) if x[i, j]], "sample_id long, seg_id long, n long")
+    return counts, spark.createDataFrame([(i, bool(test[i]), float(y[i])) for i in range(len(x))], "sample_id long, is_test boolean, y double")
+
+
+def tree_rows(fitted):
+    return [tuple(q[c] for c in boosting.NODE_COLUMNS) for q in fitted.filter("kind = 'node'").orderBy("tree_id", "node_id").collect()]
+
+
+def same_trees(got, want):
+    got, want = (sorted((tuple(n) for n in x), key=lambda n: n[1:3]) for x in (got, want))
+    assert [(n[:4], n[7:10]) for n in got] == [(n[:4], n[7:10]) for n in want]
+    for g, w in zip(got, want, strict=True):
+        for i in (4, 5, 6, 10):
+            assert g[i] is None and w[i] is None or g[i] == pytest.approx(w[i], abs=1e-7)
+
+
+@pytest.mark.parametrize("sparse", [False, True])
 @pytest.mark.parametrize("binary", [False, True])
-def test_levels_equal_the_booster(spark, binary):
+def test_levels_equal_the_booster(spark, binary, sparse):
     from strandloom.plans.levels import fit_levels
 
     r = np.random.default_rng(8)
-    x = r.integers(0, 3, (80, 6)).astype(np.float32)
-    y = (x[:, 2] + x[:, 4] * (x[:, 1] > 0) > 1.5).astype(float) if binary else x[:, 2] * 2 - x[:, 4] + r.normal(size=80) * 0.01
+    x = r.integers(0, 4, (80, 6)).astype(np.float32) * (r.random((80, 6)) < 0.7)
+    x[:, 5] += 1  # a column without zeros
+    y = (x[:, 2] + x[:, 4] * (x[:, 1] > 0) > 1.5).astype(float) if binary else x[:, 2] * 2 - x[:, 4] + (x[:, 3] == 0) + r.normal(size=80) * 0.01
     test = np.arange(80) % 4 == 0
-    want = boosting.Booster(binary=binary, rounds=3, rate=0.5).fit(x[~test], y[~test], x[test], y[test])
-    counts = spark.createDataFrame([(i, j, int(x[i, j])) for i in range(80) for j in range(6) if x[i, j]], "sample_id long, seg_id long, n long")
-    samples = spark.createDataFrame([(i, bool(test[i]), float(y[i])) for i in range(80)], "sample_id long, is_test boolean, y double")
-    fitted, base = fit_levels(counts, samples, ["y"], binary=binary, rounds=3, rate=0.5)
-    got = {q["sample_id"]: q["prediction"] for q in fitted.filter("kind = 'prediction'").collect()}
-    p = want.predict(x)[:, 0]
+    want = boosting.Booster(binary=binary, rounds=2, rate=0.5, zero_as_missing=sparse).fit(x[~test], y[~test], x[test], y[test])
+    counts, samples = matrix_frames(spark, x, y, test)
+    fitted, base = fit_levels(counts, samples, ["y"], binary=binary, rounds=2, rate=0.5, zero_as_missing=sparse)
+    same_trees(tree_rows(fitted), want.nodes)
     assert base[0] == pytest.approx(want.base[0])
-    assert [got[i] for i in range(80) if not test[i]] == pytest.approx([p[i] for i in range(80) if not test[i]])
-    roots = [(q["tree_id"], q["seg_id"]) for q in fitted.filter("kind = 'node' AND node_id = 0").orderBy("tree_id").collect()]
-    assert roots == [(n[1], n[3]) for n in want.nodes if n[2] == 0]
-    model = SegmentModel(spark, [tuple(q[c] for c in boosting.NODE_COLUMNS) for q in fitted.filter("kind = 'node'").collect()], base, list("abcdef"), [0.0] * 6, Alphabet("abcdef"), ["y"], binary=binary)
-    assert np.allclose(boosting.predict(x, model.nodes, base, binary)[:, 0], [got[i] for i in range(80)])
+    got = {q["sample_id"]: q["prediction"] for q in fitted.filter("kind = 'prediction'").collect()}
+    assert [got[i] for i in range(80)] == pytest.approx(want.predict(x)[:, 0].tolist())
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_bins_of_many_values_equal_the_booster(spark, sparse):
+    from strandloom.plans.levels import fit_levels, histogram_bins
+
+    r = np.random.default_rng(2)
+    x = np.floor(r.exponential(60, (700, 3))).astype(np.float32)
+    x[:, 1] *= r.random(700) < 0.2
+    y = np.sqrt(x[:, 0]) + (x[:, 1] > 40) * 3 + (x[:, 1] == 0) + r.normal(size=700) * 0.1
+    for bins in (256, 20):
+        b = boosting.Booster(bins=bins, zero_as_missing=sparse)
+        b._bin(boosting.Entries.of(x))
+        counts, samples = matrix_frames(spark, x, y, np.zeros(700, bool))
+        values, cuts = histogram_bins(counts.select("seg_id", counts.n.cast("double").alias("n")), 700, bins=bins, zero_as_missing=sparse)
+        got = {(q["seg_id"], q["bin"]): q["threshold"] for q in cuts.collect()}
+        assert got == {(j, k): float(c) for j, cut in enumerate(b.cuts) for k, c in enumerate(cut)}
+        place = {(q["seg_id"], q["n"]): q["bin"] for q in values.collect()}
+        assert all(place[int(c), float(v)] == k for c, v, k in zip(b.entries.columns, b.entries.values, b.entry_bin, strict=True))
+    want = boosting.Booster(rounds=1, rate=0.5, bins=20, zero_as_missing=sparse).fit(x, y)
+    same_trees(tree_rows(fit_levels(counts, samples, ["y"], binary=False, rounds=1, rate=0.5, bins=20, zero_as_missing=sparse)[0]), want.nodes)
+
+
+def test_a_killed_fit_goes_on_to_the_same_trees(spark, tmp_path, monkeypatch):
+    from strandloom.plans import levels
+
+    r = np.random.default_rng(9)
+    x = r.integers(0, 3, (60, 3)).astype(np.float32)
+    y = x[:, 0] - x[:, 1] * x[:, 2] + r.normal(size=60) * 0.1
+    counts, samples = matrix_frames(spark, x, y, np.arange(60) % 5 == 0)
+    fit = lambda progress: levels.fit_levels(counts, samples, ["y"], binary=False, rounds=5, rate=0.4, depth=1, progress=progress, logged=2)
+    want = tree_rows(fit(None)[0])
+    grow, grown = levels._one_tree, []
+
+    def killed(*args):
+        if len(grown) == 3:
+            raise KeyboardInterrupt
+        grown.append(args[5])
+        return grow(*args)
+
+    monkeypatch.setattr(levels, "_one_tree", killed)
+    with pytest.raises(KeyboardInterrupt):
+        fit(str(tmp_path / "log"))
+    monkeypatch.setattr(levels, "_one_tree", lambda *args: (grown.append(args[5]), grow(*args))[1])
+    assert tree_rows(fit(str(tmp_path / "log"))[0]) == want
+    assert grown == [0, 1, 2, 2, 3, 4]  # the round after the last logged one is grown again
+    assert tree_rows(fit(str(tmp_path / "log"))[0]) == want and len(grown) == 6
+    with pytest.raises(ValueError, match="other settings"):
+        levels.fit_levels(counts, samples, ["y"], binary=False, rounds=5, rate=0.1, depth=1, progress=str(tmp_path / "log"))
+
+
+def test_final_fit_beyond_a_task(spark, planted, monkeypatch):
+    """The final fit goes by levels where a task would not hold its entries; the trees are the same."""
+    settings = SMALL | {"num_rounds": 2, "k": 2, "partition_size_target": 3}
+    want = BaselinePipeline(spark, table=planted, label_columns="mic", metric="rmse", **settings).train()
+    from strandloom.plans import training
+
+    used = []
+    fit = training.fit_levels
+    monkeypatch.setattr(training, "fit_levels", lambda *a, **k: (used.append(1), fit(*a, **k))[1])
+    monkeypatch.setattr(training, "MOST_BYTES", 1000)
+    got = BaselinePipeline(spark, table=planted, label_columns="mic", metric="rmse", **settings).train()
+    assert used and got.score == pytest.approx(want.score)
+    same_trees(got.model.nodes, want.model.nodes)
 
 
 def test_entries_equal_the_dense_matrix():
