@@ -645,7 +645,7 @@ _STUMP_SQL = f"""WITH t AS (SELECT doc_id, {LETTERS_SQL} AS c, CAST(quality AS D
 
 def _stumps(spark, d, **how) -> DataFrame:
     settings = _settings(_labelled(spark, d)) | {"binary": False, "binary_features": True, "lr": 0.5, "num_rounds": 1, "depth": 1, "metric": "rmse", "partition_size_target": 0}
-    p = BaselinePipeline(spark, **settings, k=2, **how).train().predictions
+    p = BaselinePipeline(spark, **(settings | how), k=2).train().predictions
     return p.select("sample_id", "item", _r(F.col("Prediction")).alias("prediction"), F.col("Actual").alias("actual"))
 
 
@@ -659,6 +659,32 @@ def _(spark, d):
     return _stumps(spark, d, backend="levels")
 
 
+#: One split of counts with zeros as missing: bins of each column, every cut in both directions, then the leaves of the held-out rows.
+_SPARSE_STUMP_SQL = _STUMP_SQL[: _STUMP_SQL.index("    p AS (SELECT DISTINCT")] + """    z AS (SELECT sum(base - y) AS tg FROM s, m WHERE NOT test),
+    e AS (SELECT doc_id, test, y, substr(c, i, 2) AS w, count(*) AS n FROM s, unnest(range(1, length(c))) u(i) GROUP BY ALL),
+    v AS (SELECT w, n, count(*) AS m, sum(base - y) AS g FROM e, m WHERE NOT test GROUP BY w, n),
+    x AS (SELECT *, count(*) OVER (PARTITION BY w) AS d, sum(m) OVER (PARTITION BY w) - 1 AS last, sum(m) OVER (PARTITION BY w ORDER BY n) AS hi FROM v),
+    k AS (SELECT *, d <= 255 OR len(list_filter(range(255), lambda j: round_even(j * last / 254, 0) >= hi - m AND round_even(j * last / 254, 0) < hi)) > 0 AS kept FROM x),
+    a AS (SELECT *, max(CASE WHEN kept THEN n END) OVER (PARTITION BY w ORDER BY n) AS at_n, min(CASE WHEN kept THEN n END) OVER (PARTITION BY w ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after_n FROM k),
+    t1 AS (SELECT *, coalesce((at_n + after_n) / 2, at_n + 1.0::DOUBLE) AS threshold FROM a),
+    c1 AS (SELECT w, n, threshold FROM t1 WHERE kept),
+    l1 AS (SELECT c1.w, threshold, coalesce(sum(g) FILTER (v.n < threshold), 0) AS bg, coalesce(sum(v.m) FILTER (v.n < threshold), 0) AS bh, sum(g) AS pg, sum(v.m) AS ph FROM c1 JOIN v ON v.w = c1.w GROUP BY c1.w, threshold),
+    w1 AS (SELECT w, threshold, to_left, CASE WHEN to_left THEN bg + tg - pg ELSE bg END AS gl, CASE WHEN to_left THEN bh + h - ph ELSE bh END AS hl, tg, h FROM l1, m, z, (VALUES (TRUE), (FALSE)) y(to_left)),
+    b AS (SELECT * FROM w1 WHERE hl >= 1 AND h - hl >= 1 ORDER BY round(CAST(0.5 * (gl * gl / (hl + 1) + (tg - gl) * (tg - gl) / (h - hl + 1) - tg * tg / (h + 1)) AS DOUBLE), 10) DESC, to_left DESC, strpos('abcdefghijklmnopqrstuvwxyz ', substr(w, 1, 1)) * 27 + strpos('abcdefghijklmnopqrstuvwxyz ', substr(w, 2, 1)), threshold LIMIT 1)
+    SELECT s.doc_id AS sample_id, CAST(s.doc_id AS VARCHAR) AS item, round(CAST(base - 0.5 * CASE WHEN coalesce(n < threshold, to_left) THEN gl / (hl + 1) ELSE (tg - gl) / (b.h - hl + 1) END AS DOUBLE), 6) AS prediction, s.y AS actual
+    FROM s CROSS JOIN m CROSS JOIN b LEFT JOIN e ON e.doc_id = s.doc_id AND e.w = b.w WHERE s.test"""
+
+
+@query("stump_predict_sparse", _SPARSE_STUMP_SQL)
+def _(spark, d):
+    return _stumps(spark, d, sparse=True, binary_features=False)
+
+
+@query("stump_predict_sparse_levels", _SPARSE_STUMP_SQL)
+def _(spark, d):
+    return _stumps(spark, d, sparse=True, binary_features=False, backend="levels")
+
+
 @query("train_predict_levels")
 def _(spark, d):
     return BaselinePipeline(spark, **(_settings(_labelled(spark, d)) | {"num_rounds": 3}), k=1, backend="levels").train().predictions
