@@ -403,3 +403,39 @@ def test_rows_of_one_id_and_different_texts_stay(spark):
     docs = [(1, soup(1, 60)), (1, soup(2, 60)), (1, soup(2, 60)), (2, soup(1, 60)), (3, soup(3, 60)), (None, soup(4, 60)), (None, soup(3, 60)), (None, None), (4, "")]
     got = P.drop_near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, soup(1, 60)), (1, soup(2, 60)), (3, soup(3, 60)), (0, soup(4, 60)), (4, "")])
+
+
+BROKEN = {
+    "tags that nothing closes": '<a "' * 250_000, "stray end tags": "<span>" * 80_000 + "</i>" * 80_000, "stray ends in a block": "<i><div>" + "<span>" * 80_000 + "</i>" * 80_000, "declarations": "<!" * 500_000,
+    "a quote that nothing closes": '<a "x" ' * 140_000 + "'>", "quotes in quotes": "<a \"'\"" * 160_000 + "'>", "one long attribute": "<p " + "a" * 1_000_000 + "=>x", "deep headers": "<article><header>" + "<span>t" * 100_000, "comments": "<!-- " * 200_000,
+}
+
+
+@pytest.mark.parametrize("kind", sorted(BROKEN))
+def test_broken_pages_of_a_megabyte_take_seconds(kind):
+    import time
+
+    began = time.process_time()
+    html_text.parse(BROKEN[kind])
+    assert time.process_time() - began < 10  # seconds; a search per tag would take hours
+
+
+def test_ends_of_tags_by_a_plain_search():
+    import random
+
+    def plain(page, at):
+        quote = ""
+        for k in range(at, len(page)):
+            if quote:
+                quote = "" if page[k] == quote else quote
+            elif page[k] == ">":
+                return k
+            elif page[k] in "\"'":
+                quote = page[k]
+        return -1
+
+    r = random.Random(4)
+    for _ in range(3000):
+        page = "".join(r.choice("<><\"' ab") for _ in range(r.randint(1, 30)))
+        tags = html_text._Tags(page)
+        assert [tags.end(k + 1) for k, c in enumerate(page) if c == "<"] == [plain(page, k + 1) for k, c in enumerate(page) if c == "<"]
