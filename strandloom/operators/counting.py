@@ -13,11 +13,14 @@ from pyspark.sql import types as T
 
 from strandloom.functions.alphabet import Alphabet
 from strandloom.functions.sequence import windows
+from strandloom.plans.lineage import cut
 
 #: Largest value of the compact count storage.
 UINT16 = 65_535
-#: Bytes of a pool as a table in memory that are sent to every task at most; larger pools are joined. And what a segment takes besides its characters.
+#: Bytes of an automaton's part of a pool that are sent to every task at most; larger pools are dealt out to several. And what a segment takes besides its characters.
 BROADCAST_BYTES, SEGMENT_BYTES = 128 << 20, 200
+#: K-mers that are listed with their numbers at most.
+LISTED_KMERS = 1 << 16
 #: Bytes of a pool that thins windows before they are grouped.
 THIN_BYTES = 16 << 20
 #: Segments of a pool that are counted by a pattern each at most.
@@ -25,9 +28,16 @@ PATTERNS = 32
 
 
 def kmer_histogram(nodes: DataFrame, alphabet: Alphabet, k: int, dense: bool = False) -> DataFrame:
-    """``sample_id, code, n``: canonical k-mers by their number. ``dense`` adds the zeros of all base^k codes."""
-    w = windows(nodes, [k]).select("sample_id", alphabet.encode(alphabet.canonical("window")).alias("code"))
-    got = w.filter("code IS NOT NULL").groupBy("sample_id", "code").agg(F.count(F.lit(1)).alias("n"))
+    """``sample_id, code, n``: canonical k-mers by their number. ``dense`` adds the zeros of all base^k codes.
+
+    While there are no more than ``LISTED_KMERS`` k-mers, windows find their number in a table of all of them, which is sent to every task; else it is worked out for each."""
+    w = windows(nodes, [k])
+    if alphabet.base**k <= LISTED_KMERS:
+        every = nodes.sparkSession.range(alphabet.base**k).select(alphabet.decode("id", k).alias("window"))
+        w = w.join(F.broadcast(every.select("window", alphabet.encode(alphabet.canonical("window")).alias("code"))), "window")
+    else:
+        w = w.select("sample_id", alphabet.encode(alphabet.canonical("window")).alias("code")).filter("code IS NOT NULL")
+    got = w.groupBy("sample_id", "code").agg(F.count(F.lit(1)).alias("n"))
     if not dense:
         return got
     all_codes = nodes.select("sample_id").distinct().withColumn("code", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(alphabet.base**k - 1).cast("long"))))
@@ -40,7 +50,7 @@ def count_segments(nodes: DataFrame, pool: DataFrame, alphabet: Alphabet, *, str
     With a complement, a canonical segment counts on both strands and one that is not canonical counts nothing; empty
     segments and such outside the alphabet count nothing; equal segments count each. All strategies give the same rows:
     ``pattern`` counts look-ahead matches of each segment of a small pool, ``join`` joins windows with the pool, ``arrow``
-    runs an automaton of the pool over Arrow batches.
+    runs automata over Arrow batches, one for each part of the pool of ``BROADCAST_BYTES``, and reads the texts once for each; ``auto`` takes these while that is less than the windows of all lengths.
     """
     usable = pool.filter(alphabet.matchable("segment")).select("seg_id", "segment")
     sized = usable.groupBy(F.length("segment").alias("len")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per length
@@ -49,11 +59,11 @@ def count_segments(nodes: DataFrame, pool: DataFrame, alphabet: Alphabet, *, str
     size = sum(r["n"] * (SEGMENT_BYTES + 4 * r["len"]) for r in sized)
     text = nodes.withColumn("seq", alphabet.normalise("seq"))
     if strategy == "auto":
-        strategy = "pattern" if total <= PATTERNS else "arrow" if len(lengths) > 2 and size <= BROADCAST_BYTES else "join"
+        strategy = "pattern" if total <= PATTERNS else "arrow" if len(lengths) > 2 and -(-size // BROADCAST_BYTES) <= len(lengths) else "join"
     if strategy == "pattern":
         return _count_patterns(text, usable, alphabet)
     if strategy == "arrow":
-        return _count_arrow(text, usable, alphabet)
+        return _count_arrow(text, usable, alphabet, max(1, -(-size // BROADCAST_BYTES)))
     if strategy != "join":
         raise ValueError("strategy is auto, pattern, join or arrow")
     w = windows(text, lengths).select("sample_id", alphabet.canonical("window").alias("segment"))
@@ -87,7 +97,19 @@ def _count_patterns(nodes: DataFrame, usable: DataFrame, alphabet: Alphabet) ->
     return counted.groupBy("sample_id", "seg_id").agg(F.sum("n").alias("n"))
 
 
-def _count_arrow(nodes: DataFrame, usable: DataFrame, alphabet: Alphabet) -> DataFrame:
+def _count_arrow(nodes: DataFrame, usable: DataFrame, alphabet: Alphabet, parts: int) -> DataFrame:
+    """Automata of ``parts`` parts of the pool, dealt by a hash of the segment. The driver holds one part at a time; texts are cut from their lineage where they are read again."""
+    if parts == 1:
+        return _count_automaton(nodes, usable, alphabet)
+    nodes, dealt = cut(nodes.select("sample_id", "seq")), cut(usable.withColumn("part", F.pmod(F.xxhash64("segment"), F.lit(parts))))
+    out = None
+    for i in range(parts):
+        one = cut(_count_automaton(nodes, dealt.filter(F.col("part") == i).drop("part"), alphabet))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _count_automaton(nodes: DataFrame, usable: DataFrame, alphabet: Alphabet) -> DataFrame:
     table: dict[str, list[int]] = {}
     for r in usable.toLocalIterator():  # of a checked size
         for form in {r["segment"], alphabet.complement_of(r["segment"])}:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,16 +73,52 @@ def graft(pool: DataFrame, shortest: int, longest: int) -> DataFrame:
 def containment_pairs(pool: DataFrame) -> DataFrame:
     """``outer_id, inner_id``: pairs of entries of which one's text holds the other's, equal ones included (smaller id first).
 
-    An equi-join of the distinct substrings of each entry, of the lengths that occur, with the entries themselves.
+    An entry lies in another where it begins one of its suffixes. Entries and suffixes, one row for each character, are put in order together by range
+    partitions; what begins a suffix then stands before it, and one pass keeps the chain of entries that begin the present row, which is
+    no longer than there are lengths. Entries of the partitions before that begin a partition's first row are found by its beginnings.
     """
-    lengths = [r["n"] for r in pool.filter(F.length("segment") > 0).select(F.length("segment").alias("n")).distinct().orderBy("n").collect()]
-    if not lengths:
-        return pool.select(F.col("seg_id").alias("outer_id"), F.col("seg_id").alias("inner_id")).limit(0)
-    fit = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("segment"))
-    cuts = F.flatten(F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.length("segment") - n + 1), lambda i: F.substring(F.col("segment"), i, n))))
-    grams = pool.select(F.col("seg_id").alias("outer_id"), F.length("segment").alias("outer_len"), F.explode(F.array_distinct(cuts)).alias("segment"))
-    inner = pool.select(F.col("seg_id").alias("inner_id"), "segment")
-    return grams.join(inner, "segment").filter((F.col("outer_len") > F.length("segment")) | (F.col("outer_id") < F.col("inner_id"))).select("outer_id", "inner_id")
+    named = pool.filter(F.length("segment") > 0).select(F.col("seg_id").cast("long").alias("seg_id"), "segment")
+    texts = named.groupBy("segment").agg(F.min("seg_id").alias("rep"))
+    entries = texts.select(F.col("segment").alias("text"), F.lit(0).alias("kind"), "rep")
+    places = F.explode(F.sequence(F.lit(1), F.length("segment")))
+    suffixes = texts.select("rep", "segment", places.alias("i")).select(F.expr("substring(segment, i)").alias("text"), F.lit(1).alias("kind"), "rep")
+    ordered = cut(entries.unionByName(suffixes).sort("text", "kind", "rep").withColumn("part", F.spark_partition_id()))
+    firsts = ordered.groupBy("part").agg(F.min("text").alias("first"))
+    heads = firsts.select("part", F.explode(F.sequence(F.lit(1), F.length("first"))).alias("n"), "first").select("part", F.expr("left(first, n)").alias("text"))
+    before = heads.join(ordered.filter("kind = 0").select("text", "rep", F.col("part").alias("of")), "text").filter("of < part")
+    chains: dict[int, list[tuple[str, int]]] = {}
+    for r in before.select("part", "text", "rep").orderBy("part", F.length("text")).collect():  # lengths that occur, for each partition
+        chains.setdefault(r["part"], []).append((r["text"], r["rep"]))
+    pairs = ordered.mapInArrow(_begins(chains), "outer_rep long, inner_rep long").distinct()
+    members = named.join(texts, "segment").select("rep", "seg_id")
+    outer, inner = (members.select(F.col("rep").alias(f"{x}_rep"), F.col("seg_id").alias(f"{x}_id")) for x in ("outer", "inner"))
+    proper = pairs.join(outer, "outer_rep").join(inner, "inner_rep").select("outer_id", "inner_id")
+    equal = outer.join(inner, F.col("outer_rep") == F.col("inner_rep")).filter("outer_id < inner_id").select("outer_id", "inner_id")
+    return proper.unionByName(equal)
+
+
+def _begins(chains: dict[int, list[tuple[str, int]]]):
+    """Pairs of a suffix's entry and each other entry that begins the suffix, of rows in order."""
+
+    def run(batches):
+        chain = None
+        for b in batches:
+            outer, inner = [], []
+            for text, kind, rep, part in zip(*(b.column(c).to_pylist() for c in ("text", "kind", "rep", "part")), strict=True):
+                if chain is None:
+                    chain = list(chains.get(part, []))
+                while chain and not text.startswith(chain[-1][0]):
+                    chain.pop()
+                if kind == 0:
+                    chain.append((text, rep))
+                    continue
+                for _, other in chain:
+                    if other != rep:
+                        outer.append(rep)
+                        inner.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(outer, pa.int64()), pa.array(inner, pa.int64())], names=["outer_rep", "inner_rep"])
+
+    return run
 
 
 def eliminate_redundant(ranked: DataFrame) -> DataFrame:

@@ -176,3 +176,50 @@ def test_blocked_long_text(spark):
     text = "ab" * 5000
     nodes = spark.createDataFrame([(0, text)], "sample_id long, seq string")
     assert sequence.windows(nodes, [3]).count() == len(text) - 2
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_containment_by_sorted_suffixes(spark, parts):
+    import random
+
+    r = random.Random(parts)
+    words = ["".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(150)] + ["", "é", "aé", "éa", "ab" * 40]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(x) for x in pool.containment_pairs(spark.createDataFrame(list(enumerate(words)), "seg_id long, segment string")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if i != j and b and b in a and (len(a) > len(b) or i < j)}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_a_pool_of_several_automata(spark, monkeypatch):
+    import random
+
+    from strandloom.operators import counting
+
+    r = random.Random(3)
+    texts = [("".join(r.choice("atgc") for _ in range(300)),) for _ in range(20)]
+    nodes = spark.createDataFrame([(i, t[0]) for i, t in enumerate(texts)], "sample_id long, seq string")
+    segments = spark.createDataFrame(list(enumerate(sorted({"".join(r.choice("atgc") for _ in range(r.randint(2, 6))) for _ in range(300)}))), "seg_id long, segment string")
+    want = sorted(map(tuple, counting.count_segments(nodes, segments, Alphabet(), strategy="join").collect()))
+    monkeypatch.setattr(counting, "BROADCAST_BYTES", 15_000)
+    used = []
+    one = counting._count_automaton
+    monkeypatch.setattr(counting, "_count_automaton", lambda *a: (used.append(1), one(*a))[1])
+    for strategy in ("arrow", "auto"):
+        assert sorted(map(tuple, counting.count_segments(nodes, segments, Alphabet(), strategy=strategy).collect())) == want
+    assert 2 < len(used)
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_listed_kmers_equal_worked_out_ones(spark, monkeypatch, dense):
+    from strandloom.operators import counting
+
+    nodes = spark.createDataFrame([(1, "gattacanngat"), (1, "tt"), (2, "acgtacgt"), (3, "")], "sample_id long, seq string")
+    want = sorted(map(tuple, counting.kmer_histogram(nodes, Alphabet(), 3, dense).collect()))
+    monkeypatch.setattr(counting, "LISTED_KMERS", 0)
+    assert sorted(map(tuple, counting.kmer_histogram(nodes, Alphabet(), 3, dense).collect())) == want
