@@ -106,7 +106,7 @@ def _when(test: Column, spans: Column) -> Column:
 
 def _steps(run: Column, table: list[float]) -> Column:
     """Log-likelihood ratios of the steps of a run of ``ALPHABET`` characters."""
-    ratios = F.lit(table)
+    ratios = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")  # one literal, folded when the plan is made; one call for each number takes seconds
     code = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     return F.zip_with(F.slice(code, 1, F.size(code) - 1), F.slice(code, 2, F.size(code) - 1), lambda a, b: F.element_at(ratios, (a * len(ALPHABET) + b + 1).cast("int")))
 
