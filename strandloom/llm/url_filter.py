@@ -3,8 +3,8 @@
 The longest rule that fits decides. For other urls the names in host and path are split into words by unigram
 Viterbi and multinomial naive Bayes, fitted to labelled names, scores the words.
 
-The words of the segmenter come from the labelled names and from the pages themselves: names that stand alone in the urls of
-several hosts are words, counted over all pages. Those with more than a ``WORDS``-th of all such names are kept, which are
+The words of the segmenter are those of the labelled names. ``learn_words`` adds to them, where asked, names that stand alone in the urls of
+several hosts of a table. Those with more than a ``WORDS``-th of all such names are kept, which are
 fewer than ``WORDS`` whatever the input, so they may be sent to every task.
 """
 
@@ -33,7 +33,7 @@ UNWANTED = (
     "ads ad advert adverts adserver advertising tracker tracking pixel banner popup popunder clicks affiliate sponsor impressions "
     "malware spyware trojan ransomware keylogger crack cracked warez keygen serials torrent pirate piracy hack cheats nulled "
     "loans payday lender debt forex doubler ponzi investment cash fast quick rich money earn "
-    "win winner prize prizes giveaway free iphone gift cards survey lucky instant"
+    "win winner prize prizes giveaway free iphone gift cards survey lucky instant track farm farms"
 ).split()
 WANTED = (
     "news daily weekly times herald journal press review magazine world local city town county state national public open free "
@@ -46,6 +46,8 @@ WANTED = (
 ).split()
 #: Host labels and path parts that say nothing.
 COMMON = frozenset("www m blog com org net example en de fr es html htm php index".split())
+#: Added to the count of every word in a class. A labelled word stands for many names, so one that is in one list alone outweighs the prior.
+SMOOTH = 0.1
 #: Learned words are fewer than this.
 WORDS = 100_000
 
@@ -83,15 +85,16 @@ class Segmenter:
 
 
 class NaiveBayes:
-    """Multinomial, add-one smoothed; words never seen in training are left out."""
+    """Multinomial, ``smooth`` added to each count; words never seen in training are left out."""
 
-    def __init__(self, samples: list[tuple[str, bool]], prior: float = 0.2) -> None:
+    def __init__(self, samples: list[tuple[str, bool]], prior: float = 0.2, smooth: float = 1.0) -> None:
+        self.smooth = smooth
         self.counts = {True: {}, False: {}}
         for text, bad in samples:
             for w in text.split():
                 self.counts[bad][w] = self.counts[bad].get(w, 0) + 1
         self.words = set(self.counts[True]) | set(self.counts[False])
-        self.total = {k: sum(c.values()) + len(self.words) for k, c in self.counts.items()}
+        self.total = {k: sum(c.values()) + smooth * len(self.words) for k, c in self.counts.items()}
         self.base = math.log(prior / (1 - prior))
 
     def odds(self, words: list[str]) -> float:
@@ -99,7 +102,7 @@ class NaiveBayes:
         s = self.base
         for w in words:
             if w in self.words:
-                s += math.log((self.counts[True].get(w, 0) + 1) / self.total[True]) - math.log((self.counts[False].get(w, 0) + 1) / self.total[False])
+                s += math.log((self.counts[True].get(w, 0) + self.smooth) / self.total[True]) - math.log((self.counts[False].get(w, 0) + self.smooth) / self.total[False])
         return s
 
 
@@ -145,7 +148,7 @@ def learn_words(pages: DataFrame, *, url_column: str = "url", least_hosts: int =
 class Judge:
     def __init__(self, rules=RULES, samples: list[tuple[str, bool]] | None = None, counts: dict[str, int] | None = None) -> None:
         samples = samples if samples is not None else [(x, True) for x in UNWANTED] + [(x, False) for x in WANTED]
-        self.rules, self.bayes = rules, NaiveBayes(samples)
+        self.rules, self.bayes = rules, NaiveBayes(samples, smooth=SMOOTH)
         own: dict[str, int] = {}
         for text, _ in samples:
             for w in text.split():
@@ -172,12 +175,11 @@ class Judge:
 def judge(pages: DataFrame, *, rules=RULES, samples: list[tuple[str, bool]] | None = None, counts: dict[str, int] | None = None, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, log_odds`` for every row.
 
-    ``samples`` are labelled names, the words of each joined by spaces (those of this module if not given); ``counts`` the words learned from
-    pages (learned from these if not given). Of rules of equal length the one that comes last in order of spelling is taken; log-odds of 0 allow. Null urls have empty host
+    ``samples`` are labelled names, the words of each joined by spaces (those of this module if not given); ``counts`` are words besides, as ``learn_words`` gives them
+    (none if not given). Words in neither list say nothing; words in both say little. Of rules of equal length the one that comes last in order of spelling is taken; log-odds of 0 allow. Null urls have empty host
     and path and no words; extra columns, repeated and null ids are fine; an empty table gives no rows; a url of any length is read whole.
     """
-    counts = learn_words(pages, url_column=url_column) if counts is None else counts
-    sent = pages.sparkSession.sparkContext.broadcast(counts)  # fewer than WORDS words of 24 letters at most
+    sent = pages.sparkSession.sparkContext.broadcast(counts or {})  # fewer than WORDS words of 24 letters at most
 
     def rate(batches):
         j = Judge(rules, samples, sent.value)

@@ -439,3 +439,13 @@ def test_ends_of_tags_by_a_plain_search():
         page = "".join(r.choice("<><\"' ab") for _ in range(r.randint(1, 30)))
         tags = html_text._Tags(page)
         assert [tags.end(k + 1) for k, c in enumerate(page) if c == "<"] == [plain(page, k + 1) for k, c in enumerate(page) if c == "<"]
+
+
+#: Names of one unwanted and one neutral part, as such sites have them; and of wanted ones.
+SPAMMY, PLAIN = "free-bets casino-win ads-track adult-x spam-farm poker-zq xx-viagra".split(), "quiet-garden zz-library city-weather tion-ble ththan farm-market bus-track".split()
+
+
+def test_one_unwanted_word_is_enough():
+    j = url_filter.Judge()
+    assert {n: j(f"http://m.{n}.example.org/de/1.html")[3] for n in SPAMMY + PLAIN} == {n: "block" for n in SPAMMY} | {n: "allow" for n in PLAIN}
+    assert j("http://free-bets.example.com/de/")[3] == "allow"  # a rule goes before
