@@ -16,10 +16,11 @@ from strandloom.functions import scalars, sequence
 from strandloom.functions.alphabet import Alphabet
 from strandloom.operators import counting, metrics, pool, selection, splits
 from strandloom.plans.lineage import number_rows, shared_folder, spread
+from strandloom.plans.model import SegmentModel
 from strandloom.plans.training import BaselinePipeline, TrainingPipeline
 from strandloom.sources import fasta
 from strandloom.sources.labels import invalid_labels, join_labels, without_labels
-from strandloom.sources.readers import text_table
+from strandloom.sources.readers import build_source, segment_list, text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -162,6 +163,11 @@ def _of_source(item: str) -> Column:
     return F.regexp_extract(item, "source=([^/]*)/", 1).alias("source")
 
 
+@query("sequence_files", f"SELECT source, CAST(sum(length('>' || doc_id) + 2 + length(c) + length(c) // 60) AS BIGINT) AS bytes FROM (SELECT source, doc_id, {GATC_SQL} AS c FROM documents WHERE text IS NOT NULL) GROUP BY source")
+def _(spark, d):
+    return fasta.fasta_paths(spark, _fasta_folder(spark, d), "*.txt").groupBy(_of_source("item")).agg(F.sum("bytes").alias("bytes"))
+
+
 @query("fasta_file_contigs", f"SELECT source, {GATC_SQL} AS seq, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL")
 def _(spark, d):
     return fasta.fasta_contigs(spark, _fasta_folder(spark, d), DNA).groupBy(_of_source("item"), "seq").agg(F.count(F.lit(1)).alias("n"))
@@ -261,6 +267,12 @@ def _(spark, d):
     return counts.groupBy(_of_source("sample_id"), "seg_id").agg(F.sum("n").alias("n"))
 
 
+@query("source_factory", "SELECT doc_id AS sample_id, CAST(doc_id AS VARCHAR) AS item, length(text) AS n, CAST(quality AS FLOAT) AS quality, CAST(toxic AS FLOAT) AS toxic FROM documents JOIN labels USING (doc_id) WHERE regexp_matches(text, '\\S') AND quality IS NOT NULL AND toxic IS NOT NULL")
+def _(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels"), "doc_id")
+    return build_source(spark, table=rows, data_column="text", label_columns=["quality", "toxic"], id_column="doc_id").select("sample_id", "item", F.length("text").alias("n"), "quality", "toxic")
+
+
 # --- pool algebra, on the words of the benchmark items
 
 _WORDS_SQL = "bw AS (SELECT w AS segment, count(*) AS n FROM benchmark, unnest(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ')) u(w) WHERE w <> '' GROUP BY w), bp AS (SELECT row_number() OVER (ORDER BY n DESC, segment) - 1 AS seg_id, segment FROM bw)"
@@ -300,6 +312,21 @@ def _(spark, d):
     return pool.graft(_word_pool(spark, d), 4, 6)
 
 
+@query("segment_list_import", f"WITH {_WORDS_SQL} SELECT seg_id AS ord, segment FROM bp")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.txt"
+    _word_pool(spark, d).sort("seg_id").select("segment").write.text(path)
+    return segment_list(spark, path)
+
+
+@query("pool_saved", f"WITH {_WORDS_SQL} SELECT seg_id, segment, 3 AS last_length, 5 AS current_max FROM bp")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/pool-{uuid.uuid4().hex}"
+    pool.SegmentPool(_word_pool(spark, d), 3, 5).save_table(path)
+    saved = pool.SegmentPool.load_table(spark, path)
+    return saved.table.select("seg_id", "segment", F.lit(saved.last_length).alias("last_length"), F.lit(saved.current_max).alias("current_max"))
+
+
 @query("containment_pairs", f"WITH {_WORDS_SQL} SELECT a.seg_id AS outer_id, b.seg_id AS inner_id FROM bp a, bp b WHERE a.seg_id <> b.seg_id AND contains(a.segment, b.segment)")
 def _(spark, d):
     return pool.containment_pairs(_word_pool(spark, d))
@@ -612,6 +639,20 @@ def _(spark, d):
     return spark.createDataFrame([(best.fold, round(best.score, 6), round(r.score, 6))], "Fold int, score double, mean_score double")
 
 
+@query("label_scale_mismatch", "SELECT l, coalesce(greatest(a, b) / least(a, b) >= 10, FALSE) AS mismatch FROM (SELECT l_returnflag AS l, coalesce(nullif(stddev_pop(l_quantity), 0), 1) AS a, coalesce(nullif(stddev_pop(l_discount), 0), 1) AS b FROM lineitem GROUP BY ALL UNION ALL SELECT 'n', coalesce(nullif(stddev_pop(l_quantity), 0), 1), coalesce(nullif(stddev_pop(l_linenumber), 0), 1) FROM lineitem)")
+def _(spark, d):
+    t = table(spark, d, "lineitem")
+    flags = [r[0] for r in t.select("l_returnflag").distinct().collect()]  # a few
+    rows = [(f, selection.scale_mismatch(t.filter(F.col("l_returnflag") == f), ["l_quantity", "l_discount"])) for f in flags]
+    return spark.createDataFrame([*rows, ("n", selection.scale_mismatch(t, ["l_quantity", "l_linenumber"]))], "l string, mismatch boolean")
+
+
+@query("registered_metric", f"SELECT round(CAST(max(abs(y - p)) AS DOUBLE), 6) AS score FROM ({_RETAIL})")
+def _(spark, d):
+    metrics.Metric.register("largest_error", lower_is_better=True)(lambda y, p: F.max(F.abs(y - p)))
+    return spark.createDataFrame([(round(metrics.Metric("largest_error").score(_retail(spark, d), "y", "p"), 6),)], "score double")
+
+
 # --- whole runs; trees of more than one split have no SQL counterpart
 
 
@@ -654,6 +695,29 @@ def _(spark, d):
     return _stumps(spark, d)
 
 
+def _saved_stump(spark, d) -> SegmentModel:
+    """A one-split model, saved by Spark and loaded again."""
+    settings = _settings(_labelled(spark, d)) | {"binary": False, "binary_features": True, "lr": 0.5, "num_rounds": 1, "depth": 1, "metric": "rmse", "partition_size_target": 0}
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    BaselinePipeline(spark, **settings, k=2).train().model.save_table(path)
+    return SegmentModel.load_table(spark, path)
+
+
+@query(
+    "saved_model_predict",
+    _STUMP_SQL[: _STUMP_SQL.index("SELECT doc_id AS sample_id")] + f"SELECT doc_id AS sample_id, round(base - 0.5 * CASE WHEN contains(x.c, w) THEN g / (n + 1) ELSE (tg - g) / (h - n + 1) END, 6) AS prediction FROM (SELECT doc_id, {LETTERS_SQL} AS c FROM documents) x, m, z, b",
+)
+def _(spark, d):
+    return _saved_stump(spark, d).predict_table(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("sample_id", _r(F.col("prediction")).alias("prediction"))
+
+
+@query("model_counts", f"WITH d AS (SELECT doc_id, {LETTERS_SQL} AS c FROM documents), w AS (SELECT DISTINCT doc_id, substr(c, i, 2) AS w FROM d, unnest(range(1, length(c))) u(i)) SELECT w AS segment, count(*) AS samples FROM w GROUP BY w")
+def _(spark, d):
+    model = _saved_stump(spark, d)
+    counts = model.count(table(spark, d, "documents").select("doc_id", "text"), "doc_id").groupBy("seg_id").agg(F.sum("n").alias("samples"))
+    return counts.join(model.segment_importance.table, "seg_id").select(F.col("Segment").alias("segment"), "samples")
+
+
 @query("stump_predict_levels", _STUMP_SQL)
 def _(spark, d):
     return _stumps(spark, d, backend="levels")

@@ -80,12 +80,27 @@ class Booster:
                 cuts = np.append(cuts, values[-1] + 1.0)  # all that is there against what is missing
             self.cuts.append(cuts)
             self.entry_bin[a:b] = np.searchsorted(cuts, col, side="right")
-        self.width = max((len(c) for c in self.cuts), default=0) + 2
         self.n_cuts = np.array([len(c) for c in self.cuts], dtype=np.int64)
+        self._lay_out()
         # histograms are summed over what is not zero; the bin of zeros gets the rest of a node's total
-        self.zero_bin = np.array([self.width - 1 if self.zero_as_missing else int(np.searchsorted(c, 0.0, side="right")) for c in self.cuts], dtype=np.int64)
+        self.zero_bin = self.missing if self.zero_as_missing else np.array([int(np.searchsorted(c, 0.0, side="right")) for c in self.cuts], dtype=np.int64)
         self.entry_row = e.rows
-        self.entry_cell = e.columns * self.width + self.entry_bin
+        self.entry_cell = self.first_cell[e.columns] + self.entry_bin
+
+    def _lay_out(self) -> None:
+        """Places of the columns' bins in a flat histogram: columns of like width make a rectangle, in their order, so narrow ones are not as wide as the widest."""
+        needed = self.n_cuts + 2  # bins, and one for what is missing
+        widths = 1 << np.ceil(np.log2(np.maximum(needed, 2))).astype(np.int64)
+        self.first_cell = np.zeros(len(widths), dtype=np.int64)
+        self.missing = widths - 1
+        self.shapes: list[tuple[int, np.ndarray, int]] = []  # where a rectangle begins, its columns, their width
+        at = 0
+        for w in np.unique(widths):
+            columns = np.flatnonzero(widths == w)
+            self.first_cell[columns] = at + np.arange(len(columns)) * w
+            self.shapes.append((at, columns, int(w)))
+            at += len(columns) * int(w)
+        self.cells = at
 
     def _bins_of(self, column: int) -> np.ndarray:
         """The bins of all rows in a column."""
@@ -107,8 +122,8 @@ class Booster:
         return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
     def _histograms(self, nodes: list[np.ndarray], values: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-        """Sums of both ``values`` by column and bin for each node's rows: ``[2, columns, bins]``."""
-        nf, w, k = len(self.n_cuts), self.width, len(nodes)
+        """Sums of both ``values`` by cell for each node's rows: ``[2, cells]``."""
+        k = len(nodes)
         if k == 1 and len(nodes[0]) == len(values[0]):
             rows, cells = self.entry_row, self.entry_cell
         else:
@@ -118,12 +133,14 @@ class Booster:
             at = place[self.entry_row]
             live = np.flatnonzero(at >= 0)
             rows = self.entry_row[live]
-            cells = self.entry_cell[live] + at[live] * (nf * w)
-        out = np.empty((k, 2, nf, w))
+            cells = self.entry_cell[live] + at[live] * self.cells
+        out = np.empty((k, 2, self.cells))
         for i, v in enumerate(values):
-            out[:, i] = np.bincount(cells, weights=v[rows], minlength=k * nf * w).reshape(k, nf, w)
+            out[:, i] = np.bincount(cells, weights=v[rows], minlength=k * self.cells).reshape(k, self.cells)
             totals = np.array([v[mine].sum() for mine in nodes])
-            out[:, i, np.arange(nf), self.zero_bin] += totals[:, None] - out[:, i].sum(axis=2)
+            for begin, columns, w in self.shapes:
+                block = out[:, i, begin : begin + len(columns) * w].reshape(k, len(columns), w)
+                block[:, np.arange(len(columns)), self.zero_bin[columns]] += totals[:, None] - block.sum(axis=2)
         return list(out)
 
     def _level(self, level: list[tuple[int, np.ndarray]], parents: list[np.ndarray], values: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
@@ -137,22 +154,25 @@ class Booster:
         return out
 
     def _split(self, hg: np.ndarray, hh: np.ndarray, tg: float, th: float):
-        """The best split of a node by its histograms: ``(gain, column, bin, missing goes left)`` or None."""
+        """The best split of a node by its histograms: ``(gain, column, bin, missing goes left)`` or None; of equal gains missing left, then the first column and bin."""
         lam = self.reg_lambda
-        gl, hl = np.cumsum(hg[:, :-1], axis=1), np.cumsum(hh[:, :-1], axis=1)
-        possible = np.arange(self.width - 1)[None, :] < self.n_cuts[:, None]
         best = None
-        for left in (True, False) if self.zero_as_missing else (False,):
-            a, b = (gl + hg[:, -1:], hl + hh[:, -1:]) if left else (gl, hl)
-            c, d = tg - a, th - b
-            # sums of what is left over carry rounding of some last digits
-            ok = possible & (b >= self.min_child - 1e-9) & (d >= self.min_child - 1e-9)
-            gain = np.where(ok, 0.5 * (a * a / (b + lam) + c * c / (d + lam) - tg * tg / (th + lam)), -np.inf)
-            gain = np.round(gain, 10)  # equal gains stay equal, and the first wins
-            k = int(np.argmax(gain))
-            if gain.flat[k] > 1e-9 and (best is None or gain.flat[k] > best[0]):
-                best = (float(gain.flat[k]), k // (self.width - 1), k % (self.width - 1), left)
-        return best
+        for begin, columns, w in self.shapes:
+            g, h = (x[begin : begin + len(columns) * w].reshape(len(columns), w) for x in (hg, hh))
+            gl, hl = np.cumsum(g[:, :-1], axis=1), np.cumsum(h[:, :-1], axis=1)
+            possible = np.arange(w - 1)[None, :] < self.n_cuts[columns][:, None]
+            for left in (True, False) if self.zero_as_missing else (False,):
+                a, b = (gl + g[:, -1:], hl + h[:, -1:]) if left else (gl, hl)
+                c, d = tg - a, th - b
+                # sums of what is left over carry rounding of some last digits
+                ok = possible & (b >= self.min_child - 1e-9) & (d >= self.min_child - 1e-9)
+                gain = np.where(ok, 0.5 * (a * a / (b + lam) + c * c / (d + lam) - tg * tg / (th + lam)), -np.inf)
+                gain = np.round(gain, 10)  # equal gains stay equal
+                k = int(np.argmax(gain))
+                found = (float(gain.flat[k]), left, -int(columns[k // (w - 1)]), -(k % (w - 1)))
+                if found[0] > 1e-9 and (best is None or found > best):
+                    best = found
+        return best and (best[0], -best[2], -best[3], best[1])
 
     def _tree(self, label: int, tree: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Grows a tree, a level at a time; returns what it adds to each training row."""
@@ -171,7 +191,7 @@ class Booster:
                     continue
                 gain, col, b, left = s
                 bins = self._bins_of(col)[rows]
-                goes = np.where(bins == self.width - 1, left, bins <= b) if self.zero_as_missing else bins <= b
+                goes = np.where(bins == self.missing[col], left, bins <= b) if self.zero_as_missing else bins <= b
                 self.nodes.append((label, tree, node, col, float(self.cuts[col][b]), gain, th, made, made + 1, bool(left), None))
                 grown += [(made, rows[goes]), (made + 1, rows[~goes])]
                 parents.append(hists[i])

@@ -120,6 +120,21 @@ class SegmentModel:
         Path(paths[2]).write_text(json.dumps(self.metadata()))
         return paths
 
+    def save_table(self, path: str) -> None:
+        """The model under ``path``, written by Spark, so the path may be remote: ``trees`` and ``segments`` as Parquet, ``about`` as JSON."""
+        trees = [(i, *n) for i, n in enumerate(self.nodes)]
+        self.spark.createDataFrame(trees, f"i int, {boosting.NODE_SCHEMA}").coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+        self.segment_importance.table.write.mode("overwrite").parquet(f"{path}/segments")
+        self.spark.createDataFrame([(json.dumps(self.metadata()),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @classmethod
+    def load_table(cls, spark: SparkSession, path: str) -> SegmentModel:
+        """What ``save_table`` wrote. Trees and segments come to the driver; their numbers are bounded by the settings of the run."""
+        m = json.loads(spark.read.text(f"{path}/about").first()[0])
+        trees = spark.read.parquet(f"{path}/trees").orderBy("i").select(*boosting.NODE_COLUMNS).collect()
+        segments = spark.read.parquet(f"{path}/segments").orderBy("seg_id").collect()
+        return cls._of(spark, m, [tuple(t) for t in trees], [r["Segment"] for r in segments], [r["Importance"] for r in segments])
+
     @classmethod
     def load(cls, spark: SparkSession, prefix: str) -> SegmentModel:
         nodes = [tuple(n) for n in json.loads(Path(f"{prefix}.json").read_text())["nodes"]]
@@ -130,7 +145,11 @@ class SegmentModel:
         else:
             log.warning("%s is missing; the defaults of a DNA regression are taken", meta_path)
             m = {"alphabet": None, "label_names": ["labels"], "base": [0.0]}
+        return cls._of(spark, m, nodes, segs["Segment"].tolist(), segs["Importance"].astype(float).tolist())
+
+    @classmethod
+    def _of(cls, spark: SparkSession, m: dict, nodes: list[tuple], segments: list[str], importance: list[float]) -> SegmentModel:
         return cls(
-            spark, nodes, np.array(m["base"]), segs["Segment"].tolist(), segs["Importance"].astype(float).tolist(), Alphabet.from_dict(m["alphabet"]), m["label_names"], binary=m.get("binary", False), sparse=m.get("sparse", False),
+            spark, nodes, np.array(m["base"]), segments, importance, Alphabet.from_dict(m["alphabet"]), m["label_names"], binary=m.get("binary", False), sparse=m.get("sparse", False),
             uint16=m.get("count_dtype") == "uint16", binary_features=m.get("binary_features", False), keep_unknown=m.get("keep_unknown", False), scaler=LabelScaler.from_dict(m.get("label_scaler")),
         )

@@ -165,11 +165,13 @@ def fold_file(spark: SparkSession, path: str, data_dir: str | None) -> DataFrame
 
 
 def segment_list(spark: SparkSession, path: str) -> DataFrame:
-    """``ord, segment`` of a ``.txt`` with one a line or a ``.csv`` with a column ``Segment``."""
+    """``ord, segment`` of a ``.txt`` with one a line or a ``.csv`` with a column ``Segment``, numbered in the order of the lines without empty ones."""
     if path.endswith(".csv"):
-        lines = [r["Segment"] for r in spark.read.csv(path, header=True).select("Segment").toLocalIterator()]
+        lines = spark.read.csv(path, header=True).withColumnRenamed("Segment", "segment")
     elif path.endswith(".txt"):
-        lines = [r["value"] for r in spark.read.text(path).toLocalIterator()]
+        lines = spark.read.text(path).withColumnRenamed("value", "segment")
     else:
         raise ValueError(f"a segment list is .txt or .csv, not {path!r}")
-    return spark.createDataFrame([(i, s) for i, s in enumerate(lines) if s], "ord long, segment string")
+    # rows of a block of a file are in one partition, in order
+    placed = lines.select("segment", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__i"))
+    return number_rows(placed.filter("segment <> ''"), [F.col("__f").asc(), F.col("__b").asc(), F.col("__i").asc()], "ord").select("ord", "segment")

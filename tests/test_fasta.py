@@ -47,7 +47,7 @@ def folder(tmp_path_factory):
     return str(d)
 
 
-@pytest.fixture(params=["397", "4096", "128m"])
+@pytest.fixture(params=["397", "4096"])
 def small_blocks(spark, request):
     was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
     spark.conf.set("spark.sql.files.maxPartitionBytes", request.param)
@@ -71,7 +71,7 @@ def test_contigs_equal_the_plain_parser(spark, folder, small_blocks):
     assert named(contigs(whole, Alphabet(), id_column="item", text_column="value").withColumnRenamed("sample_id", "item").collect()) == named(fasta.fasta_contigs(spark, folder, Alphabet()).collect())
 
 
-@pytest.mark.parametrize("chunk", [1, 13, 1000, fasta.CHUNK])
+@pytest.mark.parametrize("chunk", [1, 13, fasta.CHUNK])
 def test_chunks_hold_every_window_once(spark, folder, chunk):
     overlap = 4
     if chunk == 1:

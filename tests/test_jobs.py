@@ -229,3 +229,20 @@ def test_matrix_of_nothing(spark, tmp_path):
         training_matrix.run(spark, *paths, settings={"test_fold": 9})
     with pytest.raises(ValueError, match="no column"):
         training_matrix.run(spark, *paths, settings={"label_column": "missing"})
+
+
+def test_command_line(spark, tmp_path):
+    """In a process of its own, as it creates and stops its session."""
+    import os
+    import subprocess
+    import sys
+
+    source, out, mark = folders(tmp_path)
+    put(spark, source, FIRST)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    args = [sys.executable, "-m", "jobs.kmer_profiles", "--documents", source, "--out", out, "--checkpoint", mark, "--config", os.path.join(root, "jobs", "kmer_profiles.json")]
+    done = subprocess.run(args, cwd=root, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert json.loads(done.stdout.splitlines()[-1]) == {"batches": 1, "samples": 4}
+    assert f"reads {source}" in done.stderr and f"wrote {out}/samples/batch=0" in done.stderr
+    assert stored_counts(spark, out) == want_counts(FIRST)

@@ -176,8 +176,7 @@ def same_trees(got, want):
             assert g[i] is None and w[i] is None or g[i] == pytest.approx(w[i], abs=1e-7)
 
 
-@pytest.mark.parametrize("sparse", [False, True])
-@pytest.mark.parametrize("binary", [False, True])
+@pytest.mark.parametrize(("binary", "sparse"), [(True, False), (False, True), (False, False)])
 def test_levels_equal_the_booster(spark, binary, sparse):
     from strandloom.plans.levels import fit_levels
 
@@ -427,3 +426,38 @@ def test_levels_do_not_shuffle_the_counts(spark):
     rows = cut_by(spark.range(100).selectExpr("id AS sample_id", "0 AS node"), "sample_id")
     joined = counts.join(rows.hint("merge"), "sample_id")
     assert "hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 2000
+
+
+def test_models_and_pools_saved_by_spark(spark, tmp_path):
+    from strandloom.operators.pool import SegmentPool
+
+    r = np.random.default_rng(3)
+    x = r.integers(0, 3, (40, 3)).astype(np.float32)
+    b = boosting.Booster(rounds=3, rate=0.5).fit(x, x[:, 0] - x[:, 2])
+    model = SegmentModel(spark, [tuple(None if v != v else v for v in n) for n in b.nodes], b.base, ["a", "c", "ag"], [0.5, 0.0, 2.0], Alphabet(), ["y"], uint16=True)
+    model.save_table(f"file://{tmp_path}/m")
+    got = SegmentModel.load_table(spark, f"file://{tmp_path}/m")
+    assert got.nodes == model.nodes and got.segments == model.segments and got.importance == model.importance and got.metadata() == model.metadata()
+    texts = ["agagag", "", "ccca", "ttttcct"]
+    assert np.array_equal(got.predict_sequences(texts), model.predict_sequences(texts))
+    model.save_table(f"file://{tmp_path}/m")  # again, over what is there
+    assert SegmentModel.load_table(spark, f"file://{tmp_path}/m").nodes == model.nodes
+    SegmentPool.of(spark, ["b", "a", " x "], 2, 4).save_table(f"file://{tmp_path}/p")
+    pool = SegmentPool.load_table(spark, f"file://{tmp_path}/p")
+    assert (pool.segments(), pool.last_length, pool.current_max) == (["b", "a", " x "], 2, 4)
+
+
+def test_segment_lists_keep_their_order(spark, tmp_path):
+    names = [f"s{i * 7919 % 1000:03d}" for i in range(3000)]
+    (tmp_path / "l.txt").write_text("\n".join(["", *names, ""]) + "\n")
+    (tmp_path / "l.csv").write_text("Segment,Importance\n" + "".join(f"{n},1.0\n" for n in names))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        for kind in ("txt", "csv"):
+            got = readers.segment_list(spark, str(tmp_path / f"l.{kind}")).orderBy("ord").collect()
+            assert [r["segment"] for r in got] == names and [r["ord"] for r in got] == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    with pytest.raises(ValueError):
+        readers.segment_list(spark, "x.json")
