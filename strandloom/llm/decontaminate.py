@@ -10,8 +10,8 @@ rarest terms and to no other. There the list of its rarest term, shifted by the
 shifted lists of the others, for many windows at once. What is left are the exact starts of the phrase. A proximity
 match asks instead for all terms of a window within a span of positions, anchored at the rarest term.
 
-Neither the benchmark nor its terms or windows are ever collected or broadcast by this module; a shard's windows come
-in lists of a bounded size.
+The benchmark is never collected. The hashes of its terms are sent to the directory while there are at most ``SENT_TERMS``;
+its windows are joined, and come to a shard in lists of a bounded size.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import cut, ensure_checkpoint_dir, slices
+from strandloom.llm.common import cut, ensure_checkpoint_dir, join_names, slices
 
 WINDOW = 10
 #: Positions that hold all terms of a window in a proximity match of the registered query.
@@ -40,6 +40,10 @@ SHARD_BYTES = 4 << 20
 LIST_WINDOWS = 65_536
 #: Starts looked at together in a shard.
 AT_ONCE = 1 << 20
+#: Terms of a benchmark whose hashes are sent to every task at most (8 bytes each).
+SENT_TERMS = 1 << 20
+#: Pairs of a window and a shard that are made in one cell, about.
+CELL = 1 << 20
 
 #: Bytes of words are digits, letters and all of non-ASCII; A-Z is lower-cased, the rest separates.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -218,20 +222,50 @@ def windows_of(bench: DataFrame, *, window: int = WINDOW, item_id: str = "item_i
 
 
 def _routed(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """``shard, wid, terms, offsets``: each window with its offsets in order of rarity, once for every shard that holds its two rarest terms."""
-    placed = windows.select("wid", F.posexplode("terms").alias("k", "h"))
-    directory = index.select("shard", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("shard", F.col("x.terms").alias("h"), F.col("x.counts").alias("n"))
-    directory = cut(directory.join(placed.select("h").distinct(), "h"))
-    frequency = directory.groupBy("h").agg(F.sum("n").alias("cf"))
-    ranked = placed.join(frequency, "h").groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("cf", "h", "k"))).alias("x"))  # a window's terms
+    """``shard, wid, terms, offsets``: each window with its offsets in order of rarity, once for every shard that holds its two rarest terms.
+
+    A term may be in most shards, or in most windows: what is joined on terms is told apart by the number of rows of each, and the
+    windows and shards that meet at a rarest term do so in cells of about ``CELL`` pairs.
+    """
+    placed = cut(windows.select("wid", F.posexplode("terms").alias("k", "h")))
+    asked = cut(placed.groupBy("h").agg(F.count(F.lit(1)).alias("places")))
+    directory = index.select("shard", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("shard", F.col("x.terms").alias("h"), F.col("x.counts").alias("c"))
+    if asked.count() <= SENT_TERMS:
+        directory = directory.join(F.broadcast(asked.select("h")), "h", "left_semi")
+    known = cut(directory.groupBy("h").agg(F.count(F.lit(1)).alias("shards"), F.sum("c").alias("cf")).join(asked, "h"))
+    held = cut(join_names(directory.select("shard", "h"), known.select("h", F.col("shards").alias("n")), "h"))
+    rarity = join_names(placed, known.select("h", "cf", F.col("places").alias("n")), "h")
+    ranked = rarity.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("cf", "h", "k"))).alias("x"))  # a window's terms
     ranked = ranked.join(windows, "wid").filter(F.size("x") == F.size("terms"))  # a term that no text has: no match
     other = F.filter("x", lambda t: t["h"] != F.col("x")[0]["h"])
-    ranked = ranked.select("wid", "terms", F.col("x.k").alias("offsets"), F.col("x")[0]["h"].alias("h"), F.coalesce(F.get(other, F.lit(0))["h"], F.col("x")[0]["h"]).alias("h2"))
-    held = directory.select("shard", "h")
-    routed = ranked.join(held, "h").join(held.withColumnRenamed("h", "h2"), ["shard", "h2"], "left_semi")
+    ranked = cut(ranked.select("wid", "terms", F.col("x.k").alias("offsets"), F.col("x")[0]["h"].alias("h"), F.coalesce(F.get(other, F.lit(0))["h"], F.col("x")[0]["h"]).alias("h2")))
+    meet = ranked.groupBy("h").agg(F.count(F.lit(1)).alias("wins")).join(known.select("h", "shards"), "h")
+    meet = cut(meet.withColumn("cells", F.least("shards", F.ceil(F.col("shards") * F.col("wins") / CELL))))
+    here = join_names(ranked, meet.select("h", "cells", F.col("wins").alias("n")), "h").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+    there = join_names(held, meet.select("h", "cells", F.col("shards").alias("n")), "h").select("shard", "h", F.pmod(F.xxhash64("shard"), "cells").alias("cell"))
+    routed = here.join(there, ["h", "cell"]).join(held.withColumnRenamed("h", "h2"), ["shard", "h2"], "left_semi")
     return routed.select("shard", "wid", "terms", "offsets")
 
 
+def _items(matches: DataFrame, owners: DataFrame) -> DataFrame:
+    """``shard, d, items, near``: the items of each document's exact and proximity matches, sorted.
+
+    Windows of the same items are one owner, and documents with the same owners one set; items are listed once for each set. So a passage
+    of all items in all documents costs its items once, and its documents a key each.
+    """
+    owned = owners.groupBy("wid").agg(F.array_sort(F.collect_set("item")).alias("list"))
+    owned = cut(owned.withColumn("owner", F.sha2(F.to_json("list"), 256)))
+    hits = cut(matches.select("shard", "d", "wid", (F.col("start") >= 0).alias("exact")).distinct())
+    named = join_names(hits, hits.groupBy("wid").agg(F.count(F.lit(1)).alias("n")).join(owned.select("wid", "owner"), "wid"), "wid")
+    held = named.groupBy("shard", "d", "exact").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+    held = cut(held.withColumn("set", F.sha2(F.array_join("owners", ","), 256)))
+    sets = held.groupBy("set").agg(F.first("owners").alias("owners"), F.count(F.lit(1)).alias("n"))
+    lists = owned.groupBy("owner").agg(F.first("list").alias("list"))
+    listed = sets.select("set", "n", F.explode("owners").alias("owner")).join(lists, "owner").groupBy("set", "n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("list")))).alias("list"))
+    whole = join_names(held.select("shard", "d", "exact", "set"), cut(listed), "set").groupBy("shard", "d")
+    return whole.agg(F.first(F.when(F.col("exact"), F.col("list")), ignorenulls=True).alias("items"), F.first(F.when(~F.col("exact"), F.col("list")), ignorenulls=True).alias("near"))
+
+
 def search(index: DataFrame, bench: DataFrame, *, window: int = WINDOW, near_span: int = 0, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Every document of an index with what of the benchmark it holds, as ``find_overlaps`` returns it."""
     listed = cut(windows_of(bench, window=window, item_id=item_id, item_text=item_text))
@@ -273,8 +307,7 @@ def search(index: DataFrame, bench: DataFrame, *, window: int = WINDOW, near_spa
     matches = cut(index.join(sent, "shard").select(*columns).mapInArrow(run, "shard long, d long, wid long, start long, n long"))
     # what a document holds is bounded by its own length
     spans = matches.filter("start >= 0").groupBy("shard", "d").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("found"))
-    names = matches.select("shard", "d", "wid", (F.col("start") >= 0).alias("exact")).distinct().join(owners, "wid").groupBy("shard", "d")
-    names = names.agg(F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("item")))).alias("items"), F.array_sort(F.collect_set(F.when(~F.col("exact"), F.col("item")))).alias("near"))
+    names = _items(matches, owners)
     texts = index.select("shard", F.posexplode(F.arrays_zip("ids", "hashes", "lengths")).alias("d", "x")).select("shard", F.col("d").cast("long").alias("d"), F.col("x.ids").alias("doc_id"), F.col("x.hashes").alias("text_hash"), F.col("x.lengths").alias("n_words"))
     none = F.array().cast("array<string>")
     whole = texts.join(_merged(spans), ["shard", "d"], "left").join(names, ["shard", "d"], "left")

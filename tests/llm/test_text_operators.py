@@ -232,10 +232,12 @@ def brute_overlaps(texts, items, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard, listed", [(decontaminate.SHARD_BYTES, decontaminate.LIST_WINDOWS), (200, 3)])
-def test_decontamination_equals_brute_force(spark, monkeypatch, shard, listed):
+@pytest.mark.parametrize("shard, listed, terms, cell", [(decontaminate.SHARD_BYTES, decontaminate.LIST_WINDOWS, decontaminate.SENT_TERMS, decontaminate.CELL), (200, 3, 0, 2)])
+def test_decontamination_equals_brute_force(spark, monkeypatch, shard, listed, terms, cell):
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
     monkeypatch.setattr(decontaminate, "LIST_WINDOWS", listed)
+    monkeypatch.setattr(decontaminate, "SENT_TERMS", terms)
+    monkeypatch.setattr(decontaminate, "CELL", cell)
     small = "a b c".split()
     texts = [*TEXTS, *((300 + i, word_soup(300 + i, 60, small)) for i in range(20))]
     items = [(1, word_soup(1, 8, small)), (2, word_soup(2, 4, small)), (3, "zeta, ETA"), (4, None), (5, "..."), (2, word_soup(2, 4, small)), (10, word_soup(6, 5000)[100:260]), (None, word_soup(9, 7, small)), (11, "a a a a a")]
@@ -273,6 +275,17 @@ def test_proximity_equals_brute_force(spark, monkeypatch, shard, at_once):
         assert sorted((str(r["doc_id"]), r["near"]) for r in got) == brute_near(texts, items, 4, span)
 
 
+def test_a_passage_of_all_items_in_all_documents(spark, monkeypatch):
+    """Items that share a window, with odd ids, are listed once for each set of windows, and named whole in every document."""
+    monkeypatch.setattr(decontaminate, "CELL", 10)
+    shared = word_soup(1, 12)
+    texts = [(i, f"{word_soup(50 + i, 9)} {shared} {word_soup(90 + i, 9)}") for i in range(120)]
+    items = [(f'{i},"', f"{shared} own{i}") for i in range(40)] + [("x", f"{word_soup(57, 9)} {shared}"), (None, shared)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.find_overlaps(frame(spark, texts), bench).collect()}
+    assert got == {i: sorted(str(k) for k, _ in items) for i in range(120)}
+
+
 def test_a_stored_index_serves_another_benchmark(spark, tmp_path):
     index = decontaminate.build_index(frame(spark, [(1, "x c q b a y"), (2, "a x x x x b c"), (3, "a b")]), str(tmp_path / "index"))
     bench = lambda t: spark.createDataFrame([(7, t)], "item_id long, text string")
