@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 
 import pytest
 
 from strandloom.functions import sequence
 from strandloom.functions.alphabet import Alphabet
-from strandloom.operators import counting, pool
+from strandloom.operators import counting, pool, window_counts
 from strandloom.operators.pool import SegmentPool
 
 DNA = Alphabet()
@@ -223,3 +224,28 @@ def test_listed_kmers_equal_worked_out_ones(spark, monkeypatch, dense):
     want = sorted(map(tuple, counting.kmer_histogram(nodes, Alphabet(), 3, dense).collect()))
     monkeypatch.setattr(counting, "LISTED_KMERS", 0)
     assert sorted(map(tuple, counting.kmer_histogram(nodes, Alphabet(), 3, dense).collect())) == want
+
+
+@pytest.mark.parametrize(("characters", "complement"), [("acgt", None), ("atgc", "tacg"), ("añ語 ", None)])
+@pytest.mark.parametrize("at_once", [1 << 16, 7])
+def test_windows_are_counted_where_the_texts_lie(spark, monkeypatch, characters, complement, at_once):
+    """No row for each place of a window; contigs of a sample add up, texts longer than a piece and characters outside the alphabet come right."""
+    monkeypatch.setattr(window_counts, "AT_ONCE", at_once)
+    alphabet = Alphabet(characters, complement=complement, unknown="?")
+    r = random.Random(3)
+    rows = [(i % 5, "".join(r.choice(characters + "?Z") for _ in range(n))) for i, n in enumerate([0, 1, 2, 3, 40, 200, 9, 31])]
+    nodes = spark.createDataFrame([*rows, (9, None)], "sample_id long, seq string")
+    segments = sorted({alphabet.canonical_of(s[i : i + n]) for _, s in rows for n in (1, 2, 3) for i in range(len(s.lower()) - n + 1) if "Z" not in s[i : i + n]})
+    segments = [*segments[::2], segments[0], "Z", ""]
+    want = Counter()
+    for i, s in rows:
+        for n in (1, 2, 3):
+            for at in range(len(s) - n + 1):
+                w = alphabet.canonical_of(s[at : at + n])
+                want.update((i, k) for k, x in enumerate(segments) if x == w and set(w) <= set(characters + "?"))
+    pool = spark.createDataFrame(list(enumerate(segments)), "seg_id long, segment string")
+    got = counting.count_segments(nodes, pool, alphabet, strategy="join")
+    assert {(q[0], q[1]): q[2] for q in got.collect()} == dict(want)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    monkeypatch.setattr(counting, "THIN_BYTES", 0)
+    assert sorted(counting.count_segments(nodes, pool, alphabet, strategy="join").collect()) == sorted(got.collect())
