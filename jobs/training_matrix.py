@@ -29,6 +29,7 @@ from strandloom.functions.sequence import contigs, windows
 from strandloom.operators.counting import count_segments, sparse_counts
 from strandloom.operators.counting import stored as storage
 from strandloom.operators.splits import stratified_folds
+from strandloom.operators.window_counts import count_windows, countable
 from strandloom.plans.lineage import cut, number_rows, spread
 from strandloom.sources.labels import numeric, require_columns, without_labels
 
@@ -63,8 +64,14 @@ def labelled(documents: DataFrame, labels: DataFrame, s: dict[str, Any]) -> tupl
 def informative(samples: DataFrame, nodes: DataFrame, s: dict[str, Any], alphabet: Alphabet) -> DataFrame:
     """The ``features`` segments of the given lengths that tell the classes apart best, numbered."""
     n1, n0 = samples.agg(F.count_if(F.expr("label = 1")), F.count_if(F.expr("label = 0"))).first()
-    held = windows(nodes, s["lengths"]).select("sample_id", alphabet.canonical("window").alias("segment")).distinct()
-    by_class = held.join(samples.select("sample_id", "label"), "sample_id").groupBy("segment").agg(F.count_if(F.expr("label = 1")).alias("positives"), F.count_if(F.expr("label = 0")).alias("negatives"))
+    named = nodes.join(samples.select("sample_id", "label"), "sample_id")
+    if countable(alphabet, s["lengths"]):  # a row for each segment that a text holds, with its label
+        held = count_windows(named, alphabet, s["lengths"], keep=("sample_id", "label")).drop("n")
+    else:
+        held = windows(named, s["lengths"], keep=("sample_id", "label")).select("sample_id", "label", alphabet.canonical("window").alias("segment"))
+    if s["fasta"] or not countable(alphabet, s["lengths"]):  # several contigs a sample, or a row for each place
+        held = held.distinct()
+    by_class = held.groupBy("segment").agg(F.count_if(F.expr("label = 1")).alias("positives"), F.count_if(F.expr("label = 0")).alias("negatives"))
     wide = lambda c, n: F.col(c).cast("decimal(19,0)") * F.lit(n or 0).cast("decimal(18,0)")
     score = F.abs(wide("positives", n0) - wide("negatives", n1)).cast("decimal(38,0)")
     order = [F.desc("score"), F.asc("segment")]
@@ -80,12 +87,13 @@ def run(spark: SparkSession, documents: str, labels: str, out: str, config: str
     log.info("reads %s and %s", documents, labels)
     alphabet = Alphabet(s["alphabet"])
     usable, rejects = labelled(spread(spark.read.parquet(documents)), spark.read.parquet(labels), s)
+    usable = cut(usable)  # the texts are joined with their labels once
     rejects.write.mode("overwrite").parquet(f"{out}/rejects")
     samples = cut(stratified_folds(usable.select("sample_id", "label"), s["folds"], label="label").select("sample_id", "label", "fold"))
     nodes = contigs(usable.select("sample_id", "text"), alphabet, fasta=s["fasta"])
 
     train = samples.filter(F.col("fold") != s["test_fold"])
-    chosen = informative(train, nodes.join(train.select("sample_id"), "sample_id", "left_semi"), s, alphabet)
+    chosen = informative(train, nodes, s, alphabet)
     chosen.coalesce(1).write.mode("overwrite").options(**CSV).csv(f"{out}/segments")  # as many rows as there are features
     log.info("wrote %s/segments", out)
     pool = segments(spark, out)

@@ -246,3 +246,14 @@ def test_command_line(spark, tmp_path):
     assert json.loads(done.stdout.splitlines()[-1]) == {"batches": 1, "samples": 4}
     assert f"reads {source}" in done.stderr and f"wrote {out}/samples/batch=0" in done.stderr
     assert stored_counts(spark, out) == want_counts(FIRST)
+
+
+def test_segments_are_chosen_without_a_row_for_each_place(spark):
+    """Windows of the chosen segments are counted where the texts lie; a window that a sample holds several times counts once."""
+    from strandloom.functions.alphabet import Alphabet
+    from jobs.training_matrix import DEFAULTS, informative
+
+    nodes = spark.createDataFrame([(1, 0, "ababab"), (2, 0, "abcabc"), (3, 0, "cbacba"), (4, 0, "bbbb"), (9, 0, "aaaa")], "sample_id long, contig_idx int, seq string")
+    samples = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 0.0), (4, 0.0)], "sample_id long, label double")
+    got = informative(samples, nodes, DEFAULTS | {"lengths": [3], "min_samples": 1, "features": 3}, Alphabet("abc"))
+    assert [(r["segment"], r["positives"], r["negatives"]) for r in got.orderBy("seg_id").collect()] == [("aba", 1, 0), ("abc", 1, 0), ("acb", 0, 1)]
