@@ -461,3 +461,19 @@ def test_segment_lists_keep_their_order(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     with pytest.raises(ValueError):
         readers.segment_list(spark, "x.json")
+
+
+def test_selection_beyond_a_task(spark, planted, monkeypatch):
+    """A group of columns that no task holds is grown by levels, each group by itself, so the run ends as it would in tasks."""
+    from strandloom.plans import training
+
+    settings = SMALL | {"num_rounds": 1, "k": 1, "ext": 1, "target": 2, "features": 6, "partition_size_target": 2}
+    run = lambda: TrainingPipeline(spark, table=planted, label_columns="mic", metric="rmse", **settings).train()
+    want = run()
+    used = []
+    fit = training.fit_levels
+    monkeypatch.setattr(training, "fit_levels", lambda *a, **k: (used.append(1), fit(*a, **k))[1])
+    monkeypatch.setattr(training, "MOST_BYTES", 1000)
+    got = run()
+    assert len(used) > 2 and got.model.segments == want.model.segments and got.score == pytest.approx(want.score)
+    same_trees(got.model.nodes, want.model.nodes)
