@@ -67,9 +67,11 @@ def take(batch: DataFrame, epoch: int, out: str, s: dict[str, Any]) -> None:
     _write(rows.select("sample_id", "source", reason.alias("reason")).filter("reason IS NOT NULL").unionByName(again).unionByName(more), f"{out}/rejects/batch={epoch}")
 
     alphabet = Alphabet(s["alphabet"])
-    texts = usable.join(taken.select("sample_id", "digest"), ["sample_id", "digest"]).dropDuplicates(["sample_id"]).select("sample_id", "text")
-    counts = kmer_histogram(contigs(texts, alphabet, fasta=s["fasta"]), alphabet, s["k"])
-    named = counts.join(taken.select("sample_id", "source"), "sample_id").select("sample_id", "source", "code", "n", F.coalesce(F.concat(F.lit("s_"), F.col("source")), F.lit("none")).alias("part"))
+    # a sample's source goes with its text, not with each of its counts: these are written as they come
+    texts = usable.drop("source").join(taken.select("sample_id", "digest", "source"), ["sample_id", "digest"]).dropDuplicates(["sample_id"])
+    keyed = texts.select(F.struct("sample_id", "source").alias("key"), "text")
+    counts = kmer_histogram(contigs(keyed, alphabet, id_column="key", fasta=s["fasta"]), alphabet, s["k"], once=not s["fasta"])
+    named = counts.select("sample_id.sample_id", "sample_id.source", "code", "n").withColumn("part", F.coalesce(F.concat(F.lit("s_"), F.col("source")), F.lit("none")))
     _write(named, f"{out}/counts/batch={epoch}", "part")
     written = stored(spark, f"{out}/counts/batch={epoch}", COUNTS, "part string")
     _write(written.groupBy("source", "code").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("samples")), f"{out}/profiles/batch={epoch}")

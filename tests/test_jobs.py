@@ -257,3 +257,17 @@ def test_segments_are_chosen_without_a_row_for_each_place(spark):
     samples = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 0.0), (4, 0.0)], "sample_id long, label double")
     got = informative(samples, nodes, DEFAULTS | {"lengths": [3], "min_samples": 1, "features": 3}, Alphabet("abc"))
     assert [(r["segment"], r["positives"], r["negatives"]) for r in got.orderBy("seg_id").collect()] == [("aba", 1, 0), ("abc", 1, 0), ("acb", 0, 1)]
+
+
+def test_counts_of_a_batch_meet_no_join(spark, tmp_path, monkeypatch):
+    """A sample's counts carry its source from its text on: they are neither grouped nor joined, so no task holds more of them than it writes at once."""
+    from jobs import kmer_profiles as job
+
+    plans, write = [], job._write
+    monkeypatch.setattr(job, "_write", lambda df, path, by=None: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if by else None, write(df, path, by))[1])
+    batch = spark.createDataFrame([(1, "gattaca", "a"), (2, "acgtacgt", None), (2, "acgtacgt", None)], "doc_id long, text string, source string")
+    job.take(batch, 0, str(tmp_path / "out"), job.DEFAULTS | {"k": 3})
+    above = plans[0][: plans[0].index("MapInArrow")]
+    assert "Join" not in above and "Aggregate" not in above
+    got = {(r["sample_id"], r["source"]): 0 for r in job.sample_counts(spark, str(tmp_path / "out")).collect()}
+    assert set(got) == {("1", "a"), ("2", None)}
