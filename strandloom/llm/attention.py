@@ -12,6 +12,8 @@ windows kept from fitting, down to nothing.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 
 CLASSES = 64
@@ -139,30 +141,33 @@ class Model:
             "v": rng.normal(0, d**-0.5, (d, d)), "o": rng.normal(0, 0.1 * d**-0.5, (d, d)), "out": rng.normal(0, 0.1, (d, classes)), "skip": np.zeros((d, classes)),
         }
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
-        self.mask = np.where(np.tri(window, dtype=bool), 0.0, -1e9).astype(np.float32)
+        self.seen = np.tri(window, dtype=np.float32)
         self.input: np.ndarray | None = None
 
     def _forward(self, before: np.ndarray):
-        """All that training needs; ``before`` holds the subwords before each position, -1 at a text's start."""
+        """All that training needs; ``before`` holds the subwords before each position, -1 at a text's start. The last is the logits."""
         p, x = self.p, self.contexts
-        t = before.shape[1]
+        (n, t), d = before.shape, p["q"].shape[0]
         start = before < 0
-        ids = np.where(start, len(x.class_of), before)
-        c = np.where(start, x.classes, x.class_of[before])
-        h0 = p["class_in"][c] + p["id_in"][ids] + p["place"][:t]
-        q, k, v = h0 @ p["q"], h0 @ p["k"], h0 @ p["v"]
-        a = q @ k.transpose(0, 2, 1)
-        a *= h0.shape[2] ** -0.5
-        a += self.mask[:t, :t]
-        a -= a.max(axis=2, keepdims=True)
+        ids = np.where(start, len(x.class_of), before).ravel()
+        c = np.append(x.class_of, np.int32(x.classes))[ids]
+        into = np.concatenate([p["q"] * np.float32(d**-0.5), p["k"], p["v"]], axis=1)
+        h0 = p["id_in"][ids] + p["class_in"][c]
+        h0.reshape(n, t, d)[...] += p["place"][:t]
+        qkv = (h0 @ into).reshape(n, t, 3 * d)
+        a = qkv[:, :, :d] @ qkv[:, :, d : 2 * d].transpose(0, 2, 1)
+        np.clip(a, -LOGIT, LOGIT, out=a)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        h = a @ v
-        y = h0 @ p["skip"]
-        y += (h @ p["o"]) @ p["out"]
-        y += self.prior[np.where(start, x.start, x.row[before])]
-        y -= y.max(axis=2, keepdims=True)
-        return ids, c, h0, q, k, v, a, h, y
+        a *= self.seen[:t, :t]
+        a /= (a @ np.ones(t, dtype=np.float32))[:, :, None]
+        z = np.empty((n * t, 2 * d), dtype=np.float32)
+        z[:, :d] = h0
+        h = (a @ qkv[:, :, 2 * d :]).reshape(-1, d)
+        z[:, d:] = h @ p["o"]
+        y = z @ np.concatenate([p["skip"], p["out"]])
+        y += self.prior[np.append(x.row, x.start)[ids]]
+        np.clip(y, -LOGIT, LOGIT, out=y)
+        return ids, c, into, qkv, a, h, z, y.reshape(n, t, -1)
 
     def ready(self) -> Model:
         """Folds the fitted weights for scoring."""
@@ -171,7 +176,6 @@ class Model:
         self.scaled_q = p["q"] * np.float32(self.input.shape[1] ** -0.5)
         self.kv = np.concatenate([p["k"], p["v"]], axis=1)
         self.ends = np.concatenate([p["skip"], p["o"] @ p["out"]])
-        self.seen = np.tri(self.window, dtype=np.float32)
         return self
 
     def log_probs(self, before: np.ndarray, here: np.ndarray, first: int = 0) -> np.ndarray:
@@ -228,6 +232,12 @@ class Model:
         """All fitted weights one after another."""
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
 
+    def copied(self) -> Model:
+        """A model with weights of its own and the same tables."""
+        out = copy.copy(self)
+        out.p = {k: v.copy() for k, v in self.p.items()}
+        return out
+
     def load(self, vector: np.ndarray) -> Model:
         at = 0
         for k in sorted(self.p):
@@ -249,7 +259,7 @@ class Model:
     def fit(self, windows: np.ndarray, steps: int = 1200, batch: int = 128, rate: float = 0.01, seed: int = 11, kept: np.ndarray | None = None, every: int = 100, patience: int = 3) -> list[float]:
         """Adam on the class loss; ``windows[n, window + 1]``, padded by -2 at the end, a text's start -1. Returns the losses.
 
-        Where windows are ``kept`` for it, the weights that do best on them stay, and fitting ends when that has not changed for a while."""
+        Every window is taken once before any is taken again. Where windows are ``kept`` for it, the weights that do best on them stay, and fitting ends when that has not changed for a while."""
         if not len(windows):
             return []
         rng = np.random.default_rng(seed)
@@ -257,52 +267,60 @@ class Model:
         losses = []
         held = kept is not None and len(kept) > 0
         best, stay, idle = (self.loss(kept), self.vector(), 0) if held else (np.inf, None, 0)
+        order, at, small = np.zeros(0, dtype=np.int64), 0, np.min_scalar_type(max(len(self.p["id_in"]), len(self.p["class_in"])))  # numbers of 16 bits are sorted by radix
         for step in range(1, steps + 1):
-            w = windows[rng.integers(0, len(windows), min(batch, len(windows)))]
-            before, here = np.where(w[:, :-1] == -2, 0, w[:, :-1]), w[:, 1:]
+            if at >= len(order):
+                order, at = rng.permutation(len(windows)), 0
+            w = windows[order[at : at + batch]]
+            at += batch
+            before, here = np.where(w[:, :-1] == -2, 0, w[:, :-1]), w[:, 1:].ravel()
+            ids, c, into, qkv, a, h, z, y = self._forward(before)
+            (m, t), d, p = before.shape, z.shape[1] // 2, self.p
             valid = (here >= 0).astype(np.float32)
-            ids, c, x, q, k, v, a, h, y = self._forward(before)
-            prob = np.exp(y)
-            prob /= prob.sum(axis=2, keepdims=True)
-            want = self.contexts.class_of[np.maximum(here, 0)].astype(np.int64)
-            chosen = np.take_along_axis(prob, want[:, :, None], axis=2)[:, :, 0]
             n = max(1.0, float(valid.sum()))
-            losses.append(float(-(np.log(chosen + 1e-12) * valid).sum() / n))
-            dy = prob
-            np.put_along_axis(dy, want[:, :, None], chosen[:, :, None] - 1, axis=2)
-            dy *= (valid / n)[:, :, None]
-            p, s = self.p, x.shape[2] ** -0.5
-            flat = lambda m: m.reshape(-1, m.shape[-1])
-            g = {"skip": flat(x).T @ flat(dy), "out": flat(h @ p["o"]).T @ flat(dy)}
-            dho = dy @ p["out"].T
-            g["o"] = flat(h).T @ flat(dho)
-            dh = dho @ p["o"].T
+            prob = y.reshape(m * t, -1)
+            np.exp(prob, out=prob)
+            one = 1 / (prob @ np.ones(prob.shape[1], dtype=np.float32))
+            places, want = np.arange(m * t), self.contexts.class_of[np.maximum(here, 0)]
+            losses.append(float(-(np.log(prob[places, want] * one + 1e-12) * valid).sum() / n))
+            valid /= np.float32(n)
+            prob *= (one * valid)[:, None]
+            prob[places, want] -= valid
+            ends = z.T @ prob
+            dz = prob @ np.concatenate([p["skip"], p["out"]]).T
+            g = {"skip": ends[:d], "out": ends[d:], "o": h.T @ dz[:, d:]}
+            dh = dz[:, d:] @ p["o"].T
+            fall = np.einsum("ij,ij->i", dh, h).reshape(m, t, 1)
+            dh = dh.reshape(m, t, d)
+            q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
             da = dh @ v.transpose(0, 2, 1)
-            dv = a.transpose(0, 2, 1) @ dh
-            da = a * (da - (da * a).sum(axis=2, keepdims=True)) * s
-            dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-            g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-            dx = dy @ p["skip"].T + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-            g["place"] = dx.sum(axis=0)
+            da -= fall
+            da *= a
+            dqkv = np.empty_like(qkv)
+            dqkv[:, :, :d], dqkv[:, :, d : 2 * d], dqkv[:, :, 2 * d :] = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
+            dqkv = dqkv.reshape(-1, 3 * d)
+            g["q"], g["k"], g["v"] = np.split(z[:, :d].T @ dqkv, 3, axis=1)
+            g["q"] *= np.float32(d**-0.5)
+            dx = dz[:, :d] + dqkv @ into.T
+            g["place"] = np.zeros_like(p["place"])
+            g["place"][:t] = dx.reshape(m, t, d).sum(axis=0)
+            # tables are moved where they were used only
+            by = np.argsort(ids.astype(small), kind="stable")
+            edge = np.flatnonzero(np.diff(ids[by], prepend=-1))
+            rows, some = ids[by[edge]], np.add.reduceat(dx[by], edge, axis=0)
+            kinds = c[by[edge]]
+            by = np.argsort(kinds.astype(small), kind="stable")
+            edge = np.flatnonzero(np.diff(kinds[by], prepend=-1))
             g["class_in"] = np.zeros_like(p["class_in"])
-            for which, into in ((c, "class_in"), (ids, "id_in")):  # tables are moved where they were used only
-                order = np.argsort(which, axis=None, kind="stable")
-                at = which.ravel()[order]
-                edge = np.flatnonzero(np.diff(at, prepend=at[0] - 1))
-                sums = np.add.reduceat(flat(dx)[order], edge, axis=0)
-                if into == "id_in":
-                    rows, some = at[edge], sums
-                else:
-                    g[into][at[edge]] = sums
+            g["class_in"][kinds[by[edge]]] = np.add.reduceat(some[by], edge, axis=0)
             lr = rate * min(1.0, step / 20) * (1 - 0.9 * step / steps)
             for name, grad in [*g.items(), ("id_in", some)]:
-                m, u = state[name]
-                at = rows if name == "id_in" else slice(None)
-                m[at] = 0.9 * m[at] + 0.1 * grad
-                u[at] = 0.99 * u[at] + 0.01 * grad**2
-                self.p[name][at] -= (lr * (m[at] / (1 - 0.9**step)) / (np.sqrt(u[at] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-                if name in ("id_in", "out", "skip"):
-                    self.p[name][at] *= np.float32(1 - lr * DECAY)
+                first, second = state[name]
+                mine = rows if name == "id_in" else slice(None)
+                up, wide = 0.9 * first[mine] + 0.1 * grad, 0.99 * second[mine] + 0.01 * grad**2
+                first[mine], second[mine] = up, wide
+                now = self.p[name][mine] - (lr / (1 - 0.9**step)) * up / (np.sqrt(wide / (1 - 0.99**step)) + 1e-6)
+                self.p[name][mine] = now * (1 - lr * DECAY) if name in ("id_in", "out", "skip") else now
             if held and (step % every == 0 or step == steps):
                 now = self.loss(kept)
                 best, stay, idle = (now, self.vector(), 0) if now < best else (best, stay, idle + 1)

@@ -6,9 +6,9 @@ folder. Word counts over all training texts come from one row per chunk and word
 the chunks by a join; no word, however common, has more rows than there are chunks.
 
 All the model gathers grows with the corpus: word counts, the classes' neighbour counts and the table of what follows what cover all
-training texts, and so does fitting, for one in ``FIT_ONE_IN`` of all windows is used. A first fit on the driver takes
-``FIT_WINDOWS`` of these at most; then every group of windows goes on from there in its own task, and the mean of their
-weights is taken if it is better on windows kept from fitting.
+training texts, and so does fitting, which takes every window of them but ``MOST_KEPT`` or so that are kept to tell how far attention helps.
+A first fit on the driver gives the weights to begin with, by ``FIT_WINDOWS`` at most; then every group of windows goes on from there
+where its texts are, and the mean of their weights is the model.
 
 A text's score mixes two ways to foretell a word, the attention model's spelling and the word's frequency, in each
 of the parts ``MIXES``, all equally likely beforehand. A word without a training count is the event of an unknown word in
@@ -17,7 +17,6 @@ the second way, as it is in the base score; so no text can score below the base
 
 from __future__ import annotations
 
-import copy
 import logging
 import math
 import uuid
@@ -43,14 +42,12 @@ log = logging.getLogger("strandloom")
 
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 8 << 20
-#: One window in so many of all training texts is used for fitting; all of them while there are fewer than FIT_WINDOWS.
-FIT_ONE_IN = 8
 #: Windows of the first fit at most, in an order given by their hash, and its steps.
 FIT_WINDOWS = 16_384
 FIT_STEPS = 1200
-#: One in so many of the windows used is kept from fitting, to tell what helps; so many at most.
+#: One in so many of the windows is kept from fitting, to tell what helps, while that is less than about so many in all.
 KEEP_ONE_IN, MOST_KEPT = 8, 2048
-#: Windows of a group that goes on fitting by itself.
+#: Windows of a group that goes on fitting by itself, at most.
 GROUP_WINDOWS = 16_384
 #: Parts of the attention model in the mix with word frequencies.
 MIXES = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -176,6 +173,30 @@ def _chunks(docs: DataFrame, encoder: Encoder) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _places(c: Chunk, chunk: int, window: int) -> tuple[np.ndarray, ...]:
+    """A chunk's subwords, where each of its training texts' windows and its text begin, where that text ends, and a hash of the place."""
+    stream, sizes = c.stream()
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    n = np.where(c.held, 0, -(-sizes // window))
+    text = np.repeat(np.arange(len(n)), n)
+    start = begins[text] + _ragged(np.zeros(len(n), np.int32), n).astype(np.int64) * window
+    mix = (start.astype(np.uint64) + np.uint64((chunk * 2_654_435_761 + 1) % (1 << 63))) * np.uint64(0x9E3779B97F4A7C15)
+    mix ^= mix >> np.uint64(29)
+    mix *= np.uint64(0xBF58476D1CE4E5B9)
+    mix ^= mix >> np.uint64(32)
+    return stream, start, begins[text], ends[text], (mix >> np.uint64(2)).astype(np.int64)
+
+
+def _windows(stream: np.ndarray, start: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int) -> np.ndarray:
+    """Windows with the subword before each: -1 at a text's start, -2 behind its end."""
+    spot = start[:, None] + np.arange(-1, window)
+    w = stream[np.clip(spot, 0, max(0, len(stream) - 1))] if len(start) else np.zeros((0, window + 1), np.int32)
+    w[spot >= end[:, None]] = -2
+    w[start == begin, 0] = -1
+    return w
+
+
 def _sampled(chunks: DataFrame, share: float, window: int) -> DataFrame:
     """``windows, k``: a share of the windows of training texts, by a hash ``k`` of their place, 16 bits a subword; ``r, part`` in other rows: the counts of their subwords."""
     bound = int(share * (1 << 62))
@@ -188,23 +209,10 @@ def _sampled(chunks: DataFrame, share: float, window: int) -> DataFrame:
                 c = Chunk.of(b, i)
                 times = np.bincount(c.words[np.repeat(~c.held, c.lengths)], minlength=len(c.sub_len))
                 counts += np.bincount(c.sub_ids, weights=np.repeat(times, c.sub_len), minlength=VOCAB).astype(np.int64)
-                stream, sizes = c.stream()
-                ends = np.cumsum(sizes)
-                begins = ends - sizes
-                n = np.where(c.held, 0, -(-sizes // window))
-                text = np.repeat(np.arange(len(n)), n)
-                start = begins[text] + _ragged(np.zeros(len(n), np.int32), n).astype(np.int64) * window
-                mix = (start.astype(np.uint64) + np.uint64((b.column("chunk")[i].as_py() * 2_654_435_761 + 1) % (1 << 63))) * np.uint64(0x9E3779B97F4A7C15)
-                mix ^= mix >> np.uint64(29)
-                mix *= np.uint64(0xBF58476D1CE4E5B9)
-                mix ^= mix >> np.uint64(32)
-                some = np.flatnonzero((mix >> np.uint64(2)).astype(np.int64) < bound)
-                spot = start[some, None] + np.arange(-1, window)
-                w = stream[np.clip(spot, 0, max(0, len(stream) - 1))] if len(some) else np.zeros((0, window + 1), np.int32)
-                w[spot >= ends[text[some], None]] = -2
-                w[start[some] == begins[text[some]], 0] = -1
-                rows += [x.tobytes() for x in w.astype("<u2")]
-                keys.append((mix[some] >> np.uint64(2)).astype(np.int64))
+                stream, *at, k = _places(c, b.column("chunk")[i].as_py(), window)
+                some = np.flatnonzero(k < bound)
+                rows += [x.tobytes() for x in _windows(stream, *(x[some] for x in at), window).astype("<u2")]
+                keys.append(k[some])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(np.concatenate(keys)), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names=["windows", "k", "r", "part"])
         part = _parts(counts)
@@ -303,53 +311,54 @@ def _as_windows(rows) -> np.ndarray:
     return np.where(w >= (1 << 16) - 2, w - (1 << 16), w)
 
 
-def _went_on(used: DataFrame, n: int, model: Model) -> np.ndarray:
-    """The mean of the weights that groups of all windows lead to, each group going on from ``model`` by itself; weighted by their windows."""
-    sent = used.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size
-    groups = -(-n // GROUP_WINDOWS)
-    size = len(model.vector())
+def _went_on(chunks: DataFrame, kept: int, model: Model) -> tuple[np.ndarray, int]:
+    """The mean of the weights that groups of all windows whose hash is not below ``kept`` lead to, each group going on from ``model`` by itself, weighted by their windows; and how many these are."""
+    sent = chunks.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size
+    size, group = len(model.vector()), GROUP_WINDOWS
 
     def run(batches):
-        rows = [x for b in batches for x in b.column("windows").to_pylist()]  # a group's
-        if rows:
-            m = copy.deepcopy(sent.value)
-            windows = _as_windows(rows)
-            m.fit(windows, steps=-(-len(windows) // 128), rate=0.003)
-            yield _parts(np.append(m.vector() * np.float32(len(windows)), np.float32(len(windows))))
+        total = np.zeros(size + 1)
+        for b in batches:
+            for i in range(b.num_rows):
+                stream, *at, k = _places(Chunk.of(b, i), b.column("chunk")[i].as_py(), WINDOW)
+                used = np.flatnonzero(k >= kept)
+                used = used[np.argsort(k[used], kind="stable")]
+                # a chunk's windows are dealt to even groups by their hashes
+                for mine in np.array_split(used, -(-len(used) // group)) if len(used) else ():
+                    m = sent.value.copied()
+                    m.fit(_windows(stream, *(x[mine] for x in at), WINDOW), steps=-(-len(mine) // 128), rate=0.003)
+                    total += np.append(m.vector(), np.float32(1)) * float(len(mine))
+        yield _parts(total)
 
-    # a task's windows are a group: even parts of their hashes
-    dealt = used.select("windows", "k").repartitionByRange(groups, "k") if groups > 1 else used.select("windows", "k").coalesce(1)
-    got = _gathered(_summed(dealt.mapInArrow(run, PARTS), "<f4"), size + 1, "<f8", "<f8")
-    return got[:-1] / max(got[-1], 1.0)
+    got = _gathered(_summed(chunks.select("chunk", *Chunk.FIELDS).mapInArrow(run, PARTS), "<f8"), size + 1, "<f8", "<f8")
+    return got[:-1] / max(got[-1], 1.0), round(got[-1])
 
 
-def fit_model(chunks: DataFrame, *, fit_windows: int = FIT_WINDOWS, one_in: int = FIT_ONE_IN, steps: int = FIT_STEPS) -> Model:
+def fit_model(chunks: DataFrame, *, fit_windows: int = FIT_WINDOWS, steps: int = FIT_STEPS) -> Model:
     """The attention model for the training texts of ``chunks``. The driver holds tables of a fixed size and ``fit_windows`` windows; all else is done where the texts are.
 
     ``model.report`` tells the windows used and kept, and the losses on the kept ones without attention, after the first fit, and at last.
     """
     total = chunks.agg(F.sum("train_windows")).first()[0] or 0
-    share = min(1.0, max(1.0 / one_in, 1.25 * fit_windows / max(total, 1)))
-    seen = cut(_sampled(chunks, share, WINDOW))
-    # the hash's low bits part the windows that are kept from fitting
-    used, kept = seen.filter(F.col("k") % KEEP_ONE_IN != 0).select("windows", "k"), seen.filter(F.col("k") % KEEP_ONE_IN == 0).select("windows", "k")
-    n = used.count()
+    # windows with the lowest hashes are kept from fitting, those with the next are the first fit's
+    keep = min(1 / KEEP_ONE_IN, MOST_KEPT / max(total, 1))
+    bound = int(keep * (1 << 62))
+    seen = cut(_sampled(chunks, min(1.0, keep + 1.25 * fit_windows / max(total, 1)), WINDOW))
     counts = _gathered(_summed(seen.filter("r IS NOT NULL").select("r", "part"), "<i8"), VOCAB, "<i8")
 
-    def first(rows: DataFrame, of: int, most: int) -> np.ndarray:
-        if of > 2 * most:  # the hashes are even: half as many again as are wanted come to the driver, whatever the number of tasks
-            rows = rows.filter(F.col("k") < int(1.5 * most / of * share * (1 << 62)))
-        return _as_windows(r["windows"] for r in rows.orderBy("k", "windows").limit(most).select("windows").collect())
+    def taken(rows: DataFrame) -> np.ndarray:
+        return _as_windows(r["windows"] for r in rows.orderBy("k", "windows").select("windows").collect())
 
-    windows, kept = first(used, n, fit_windows), first(kept, n // (KEEP_ONE_IN - 1), MOST_KEPT)
+    windows, kept = taken(seen.filter(F.col("k") >= bound).orderBy("k", "windows").limit(fit_windows)), taken(seen.filter(F.col("k") < bound))
     contexts = Contexts(group_subwords(_neighbours(chunks, neighbour_places(counts), counts)), counts)
     model = Model(contexts, counts.astype(np.float64), _followed(chunks, contexts))
     losses = [model.loss(kept, 0.0)]
     model.fit(windows, steps=steps, kept=kept)
     losses.append(model.loss(kept))
-    if n > len(windows):
-        mean = copy.deepcopy(model).load(_went_on(used, n, model))
-        model = mean if not len(kept) or mean.loss(kept) < losses[1] else model
+    n = len(windows)
+    if total - len(kept) > n:
+        weights, n = _went_on(chunks, bound, model)
+        model.load(weights)
     scale, last = model.settle(kept)
     model.report = {"windows": n, "first": len(windows), "kept": len(kept), "losses": [*losses, last], "scale": scale}
     log.info("attention model: %s", model.report)

@@ -628,6 +628,38 @@ def test_lm_windows_used_grow_with_the_texts(spark):
     assert (rows[:, 1:] >= 0).sum() == sum(len(encode(" " + word_soup(i, 300))) + 1 for i in range(60) if not lm_score.is_held_out(i))
 
 
+def test_lm_every_window_is_fitted(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, word_soup(i, 300)) for i in range(120)], "id long, text string").repartition(3)
+    chunks = lm_score._chunks(docs, packing.public_encoder()).cache()
+    monkeypatch.setattr(lm_score, "MOST_KEPT", 20)
+    model = lm_score.fit_model(chunks, fit_windows=64, steps=20)
+    total = chunks.agg({"train_windows": "sum"}).first()[0]
+    assert model.report["windows"] + model.report["kept"] == total and 5 < model.report["kept"] < 40
+    assert model.report["first"] == 64
+
+
+def test_lm_fitting_takes_each_window_once_and_follows_the_loss():
+    m, r = small_model(width=8, window=12, overlap=4)
+    windows = np.concatenate([np.full((64, 1), -1), r.integers(0, 40, (64, 12))], axis=1)
+    windows[:, 1] = np.repeat(np.arange(32), 2)
+    seen, forward = [], m._forward
+    m._forward = lambda before: seen.extend(before[:, 1].tolist()) or forward(before)
+    m.fit(windows, steps=4, batch=16)
+    assert sorted(seen) == sorted(windows[:, 1].tolist())
+    # one step of Adam goes against the sign of a slope by differences
+    for name in ("q", "o", "out", "class_in"):
+        a, _ = small_model(width=8, window=12, overlap=4)
+        a.p["o"] *= 8
+        at = (0, 1)
+        b = a.copied()
+        a.fit(windows[:16], steps=1, batch=16, rate=0.2)
+        up, down = b.copied(), b.copied()
+        up.p[name][at] += 0.05
+        down.p[name][at] -= 0.05
+        slope = up.loss(windows[:16]) - down.loss(windows[:16])
+        assert abs(slope) > 1e-7 and (a.p[name][at] - b.p[name][at]) * slope < 0, name
+
+
 def test_lm_sums_of_blocks(spark):
     import pyarrow as pa
 
