@@ -249,3 +249,12 @@ def test_windows_are_counted_where_the_texts_lie(spark, monkeypatch, characters,
     assert "Generate" not in got._jdf.queryExecution().toString()
     monkeypatch.setattr(counting, "THIN_BYTES", 0)
     assert sorted(counting.count_segments(nodes, pool, alphabet, strategy="join").collect()) == sorted(got.collect())
+
+
+def test_a_small_pool_of_one_length_is_counted_in_one_reading(spark, monkeypatch):
+    nodes = spark.createDataFrame([(0, "ACGTACGA"), (1, "TTTT"), (2, "")], "sample_id long, seq string")
+    segments = spark.createDataFrame([(0, "ac"), (1, "cg"), (2, "aa")], "seg_id long, segment string")
+    want = sorted(map(tuple, counting.count_segments(nodes, segments, DNA, strategy="pattern").collect()))
+    assert want
+    monkeypatch.setattr(counting, "_count_patterns", lambda *a: pytest.fail("a pattern for each segment"))
+    assert sorted(map(tuple, counting.count_segments(nodes, segments, DNA).collect())) == want
