@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom import Alphabet, BaselinePipeline, InferencePipeline, Metric, SegmentImportance, SegmentModel, TrainingPipeline
 from strandloom.plans import boosting
@@ -322,6 +323,29 @@ def test_presence_features(spark, planted):
     assert model.metadata()["binary_features"] and np.ptp(model.predict_sequences([r["sequence"] for r in planted.limit(8).collect()])) > 0
 
 
+def test_one_row_group_is_dealt_out(spark, tmp_path):
+    """A file of one row group is read in several partitions of which one has all rows; counting with a model uses all cores."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    r = random.Random(5)
+    texts = ["".join(r.choices("acgt", k=4000)) for _ in range(400)]
+    pq.write_table(pa.table({"doc_id": list(range(400)), "text": texts}), tmp_path / "one.parquet", use_dictionary=False, compression="none")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        one = spark.read.parquet(str(tmp_path / "one.parquet"))
+        assert one.rdd.getNumPartitions() >= 4 and one.select(F.spark_partition_id()).distinct().count() == 1
+        model = SegmentModel(spark, [], [0.0], ["ac", "gg"], [0.0, 0.0], Alphabet("acgt", complement=None), ["y"])
+        counts = model.count(one, "doc_id")
+        got = {(x["sample_id"], x["seg_id"]): x["n"] for x in counts.collect()}
+        per_task = [x["count"] for x in counts.select("sample_id", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {(i, k): n for i, t in enumerate(texts) for k, s in enumerate(("ac", "gg")) if (n := sum(t.startswith(s, j) for j in range(len(t))))}
+    assert got == want
+    assert len(per_task) >= 4 and max(per_task) <= 200
+
+
 def test_multi_label_and_baseline(spark, planted):
     run = BaselinePipeline(spark, table=planted, label_columns=["mic", "growth"], metric="rmse", standardise_labels=True, **SMALL)
     result = run.train()
