@@ -145,6 +145,18 @@ def soup(seed, n):
     return " ".join(f"w{r.randrange(5000)}" for _ in range(n))
 
 
+def test_suffix_array_over_a_host(spark):
+    """Ranks are those of one array over all pages of all hosts, however the pages are dealt out."""
+    r = random.Random(3)
+    streams = [(i, f"h{i % 2}.org", [r.choice(["a", "b", ""]) for _ in range(r.randrange(1, 40))]) for i in range(12)]
+    for run in (1, 5, 8):
+        got = html_text.suffix_ranks(spark.createDataFrame(streams, "row long, host string, tokens array<string>").repartition(7), run).collect()
+        suffix = {(row, at): (host, tokens[at : at + run]) for row, host, tokens in streams for at in range(len(tokens))}
+        order = sorted({(h, tuple(x)) for h, x in suffix.values()})
+        assert {(x["row"], x["at"]): x["rank"] for x in got} == {k: order.index((h, tuple(x))) for k, (h, x) in suffix.items()}
+        assert all(x["n"] == len(streams[x["row"]][2]) for x in got)
+
+
 def test_boilerplate_of_a_host(spark):
     same = soup(0, 20)
     pages = [(i, f"http://a.org/{i}", f"<div>{same}</div><div>{soup(i + 1, 60)}</div>", "x") for i in range(150)]
