@@ -501,3 +501,22 @@ def test_selection_beyond_a_task(spark, planted, monkeypatch):
     got = run()
     assert len(used) > 2 and got.model.segments == want.model.segments and got.score == pytest.approx(want.score)
     same_trees(got.model.nodes, want.model.nodes)
+
+
+def test_texts_of_one_row_group_are_dealt_out_once(spark, planted, tmp_path, monkeypatch):
+    """Rows of a file of one row group, which one task reads, lie in several partitions from there on, dealt without a sort; and splits have no texts in them."""
+    from strandloom.plans import training
+    from strandloom.plans.lineage import dealt
+
+    planted.coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    got = readers.text_table(rows, "sequence", "mic", "id")
+    held = got.groupBy(F.spark_partition_id()).count().collect()
+    assert got.count() == 60 and len(held) == spark.sparkContext.defaultParallelism and max(r["count"] for r in held) < 40
+    plan = dealt(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and "RoundRobin" not in plan
+    split, columns = training.hold_out, []
+    monkeypatch.setattr(training, "hold_out", lambda df, **k: (columns.append(df.columns), split(df, **k))[1])
+    settings = SMALL | {"num_rounds": 2, "k": 2}
+    result = BaselinePipeline(spark, table=rows, label_columns="mic", metric="rmse", **settings).train()
+    assert columns == [["sample_id", "item", "mic"]] and result.predictions.count() == 12
