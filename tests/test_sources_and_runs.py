@@ -520,3 +520,26 @@ def test_texts_of_one_row_group_are_dealt_out_once(spark, planted, tmp_path, mon
     settings = SMALL | {"num_rounds": 2, "k": 2}
     result = BaselinePipeline(spark, table=rows, label_columns="mic", metric="rmse", **settings).train()
     assert columns == [["sample_id", "item", "mic"]] and result.predictions.count() == 12
+
+
+def test_final_fit_of_few_trees(spark, planted, monkeypatch):
+    """The final fit goes by levels where one task would be longer at taking in its entries; trees and predictions are the same."""
+    from strandloom.plans import training
+
+    settings = SMALL | {"num_rounds": 1, "depth": 1, "k": 2}
+    used = []
+    fit = training.fit_levels
+    monkeypatch.setattr(training, "fit_levels", lambda *a, **k: (used.append(1), fit(*a, **k))[1])
+    run = lambda **how: BaselinePipeline(spark, table=planted, label_columns="mic", metric="rmse", **(settings | how)).train()
+    pairs = lambda result: sorted((r["sample_id"], round(r["Prediction"], 9)) for r in result.predictions.collect())
+    for sparse in (False, True):
+        used.clear()
+        monkeypatch.setattr(training, "PASS_ENTRIES", 1 << 21)
+        want = run(sparse=sparse)
+        assert not used
+        monkeypatch.setattr(training, "PASS_ENTRIES", 100)
+        got = run(sparse=sparse)
+        assert used and pairs(got) == pairs(want)
+        same_trees(got.model.nodes, want.model.nodes)
+        used.clear()
+        assert pairs(run(sparse=sparse, final_backend="tasks")) == pairs(want) and not used
